@@ -1,5 +1,8 @@
 """Queries of this subpackage by name, each over the whole of its table, and their SQL where SQL can say it."""
-from recollect.llm import chat, mixing, secrets
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from recollect.llm import ann, bpe, chat, fingerprint, mixing, ngram_join, secrets
 
 
 def _table(spark, sf_dir, name):
@@ -18,5 +21,21 @@ def op6_chat_format(spark, sf_dir):
     return chat.format_chats(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_secret_scan, op6_chat_format)}
-ORACLES = {"op2_mix_sources": mixing.ORACLE, "op3_secret_scan": secrets.ORACLE, "op6_chat_format": chat.ORACLE}
+def op1_byte_bpe(spark, sf_dir):
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(bpe.RANKS))
+
+
+def op4_nearest(spark, sf_dir):
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op9_ngram_join(spark, sf_dir):
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+def op10_fingerprint(spark, sf_dir):
+    return fingerprint.fingerprint_documents(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_mix_sources, op3_secret_scan, op4_nearest, op6_chat_format, op9_ngram_join, op10_fingerprint)}
+ORACLES = {"op9_ngram_join": ngram_join.ORACLE, "op4_nearest": ann.ORACLE, "op2_mix_sources": mixing.ORACLE, "op3_secret_scan": secrets.ORACLE, "op6_chat_format": chat.ORACLE}
