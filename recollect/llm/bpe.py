@@ -6,6 +6,7 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
@@ -169,21 +170,30 @@ def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return _map(encoded.select("doc_id", "ids"), ranks_path, "doc_id long, text_bytes binary", make)
 
 
-def round_trip(documents: DataFrame, ranks_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: encoded, then decoded from the ids.
+def round_trip(documents: DataFrame, ranks_path: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, if asked for) of every row: encoded, then decoded from the ids.
 
     Null text is empty; repeated rows repeat their result; an empty table gives no rows. Columns beside doc_id and text
     are not read. One pass over the table, no shuffle; a task's memory is its batch and a bounded store of words.
     """
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
     def make(codec, batch):
-        n, one, two = [], [], []
-        for t in batch.column(1):
-            ids = codec.encode(t.as_py() or "")
-            n.append(len(ids) // 4)
-            one.append(hashlib.sha256(ids).hexdigest())
-            two.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one), pa.array(two)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    df = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return _map(df, ranks_path, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+        step = 256 if with_ids else batch.num_rows
+        for k in range(0, batch.num_rows, step):
+            part = batch.slice(k, step)
+            n, one, two, lists = [], [], [], []
+            for t in part.column(1):
+                ids = codec.encode(t.as_py() or "")
+                n.append(len(ids) // 4)
+                one.append(hashlib.sha256(ids).hexdigest())
+                two.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+                if with_ids:
+                    lists.append(np.frombuffer(ids, "<i4"))
+            columns = [part.column(0), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())]
+            if with_ids:
+                columns.append(pa.array(lists, pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    df = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return _map(df, ranks_path, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids, make)

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.llm.components import connected_components
@@ -195,6 +195,19 @@ def jaccard_components(documents: DataFrame, words: int = WORDS, percent: int =
     return whole.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
 
 
+def keep_representatives(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One document of each component, with all columns: the smallest doc_id, of rows that share it the text of smallest hash.
+
+    Documents that no link reaches stay, empty ones too; rows with a null doc_id, which nothing names, stay as they are.
+    """
+    found = jaccard_components(documents, words, percent)
+    names = found.filter("doc_id = component_id").select("doc_id").distinct()
+    kept = documents.join(names, "doc_id", "left_semi")
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    kept = kept.withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
+    return kept.unionByName(documents.filter("doc_id IS NULL")).select(*(F.col(f"`{c}`") for c in documents.columns))
+
+
 ORACLE = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 3], ' ') END AS s

@@ -2,7 +2,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from recollect.llm import ann, bpe, chat, fingerprint, mixing, ngram_join, secrets
+from recollect.llm import ann, bpe, chat, fingerprint, language, mixing, ngram_join, quality, secrets, toxicity
 
 
 def _table(spark, sf_dir, name):
@@ -17,6 +17,10 @@ def op3_secret_scan(spark, sf_dir):
     return secrets.secret_report(_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark, sf_dir):
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_chat_format(spark, sf_dir):
     return chat.format_chats(_table(spark, sf_dir, "conversations"))
 
@@ -29,6 +33,14 @@ def op4_nearest(spark, sf_dir):
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op7_quality_resampling(spark, sf_dir):
+    return quality.quality_sample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_language_id(spark, sf_dir):
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_join(spark, sf_dir):
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -37,5 +49,5 @@ def op10_fingerprint(spark, sf_dir):
     return fingerprint.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_mix_sources, op3_secret_scan, op4_nearest, op6_chat_format, op9_ngram_join, op10_fingerprint)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_mix_sources, op3_secret_scan, op4_nearest, op5_toxicity, op6_chat_format, op7_quality_resampling, op8_language_id, op9_ngram_join, op10_fingerprint)}
 ORACLES = {"op9_ngram_join": ngram_join.ORACLE, "op4_nearest": ann.ORACLE, "op2_mix_sources": mixing.ORACLE, "op3_secret_scan": secrets.ORACLE, "op6_chat_format": chat.ORACLE}
