@@ -1,0 +1,5 @@
+"""Named queries of the library; importing the modules registers them."""
+from recollect.plans import search
+from recollect.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "search"]
