@@ -59,11 +59,11 @@ def bm25(candidates: DataFrame, queries: list[tuple[str, str]]) -> DataFrame:
     c = candidates.join(F.broadcast(candidates.sparkSession.createDataFrame(queries, "query_id string, query string")), "query_id")
     c = c.withColumn("_w", F.filter(F.split(F.lower("value"), r"\s+"), lambda t: t != "")).withColumn("_n", F.size("_w"))
     own = Window.partitionBy("query_id")
-    c = c.withColumn("_N", F.count(F.lit(1)).over(own)).withColumn("_avg", F.avg("_n").over(own))
+    c = c.withColumn("_all", F.count(F.lit(1)).over(own)).withColumn("_avg", F.avg("_n").over(own))
     c = c.select("*", F.explode_outer(F.array_distinct(_terms(F.col("query")))).alias("_t"))
     c = c.withColumn("_tf", F.size(F.filter("_w", lambda x: x == F.col("_t"))))
     c = c.withColumn("_df", F.count_if(F.col("_tf") > 0).over(Window.partitionBy("query_id", "_t")))
-    idf = F.log((F.col("_N") - F.col("_df") + 0.5) / (F.col("_df") + 0.5) + 1)
+    idf = F.log((F.col("_all") - F.col("_df") + 0.5) / (F.col("_df") + 0.5) + 1)
     part = idf * F.try_divide(F.col("_tf") * (K1 + 1), F.col("_tf") + K1 * (1 - B + B * F.try_divide(F.col("_n"), F.col("_avg"))))
     s = c.groupBy("query_id", "key").agg(F.sum(F.coalesce(part, F.lit(0.0))).alias("_s"))
     return s.select("query_id", "key", (F.col("_s") / (F.col("_s") + 1)).alias("bm25"))

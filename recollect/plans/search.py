@@ -33,7 +33,7 @@ st AS (SELECT query_id, count(*) AS n, avg(len(w)) AS a FROM c GROUP BY query_id
 tm AS (SELECT query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda t: t <> ''))) AS t FROM qs),
 tf AS (SELECT c.query_id, key, t, len(w) AS l, len(list_filter(w, lambda x: x = t)) AS tf FROM c JOIN tm USING (query_id)),
 df AS (SELECT query_id, t, count(*) FILTER (tf > 0) AS df FROM tf GROUP BY 1, 2),
-s AS (SELECT query_id, key, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a)))) AS s FROM tf JOIN df USING (query_id, t) JOIN st USING (query_id) GROUP BY 1, 2),
+s AS (SELECT query_id, key, sum(ln((n - df + 0.5e0) / (df + 0.5e0) + 1) * (tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * l / a)))) AS s FROM tf JOIN df USING (query_id, t) JOIN st USING (query_id) GROUP BY 1, 2),
 bm AS (SELECT query_id, key, s / (s + 1) AS bm25 FROM s)"""
 
 
@@ -48,7 +48,7 @@ _HALF = "pow(0.5, {h} / 168)"
 _SIGNALS = f"""{_BM25}, cand AS (SELECT top.query_id, mem.* FROM top JOIN mem USING (key) WHERE rank <= 100),
 vec AS (SELECT vec_id::VARCHAR AS key, embedding::DOUBLE[] AS e FROM embeddings), qv(query_id, qk) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in _QV.items())}),
 sig AS (SELECT query_id, 'keyword' AS signal, key, bm25 AS score FROM bm
-  UNION ALL SELECT query_id, 'temporal', key, 0.6 * exp(-floor({hours_sql('last_accessed')} / 24) / 30) + 0.4 * (access_count / (access_count + 10.0)) FROM cand
+  UNION ALL SELECT query_id, 'temporal', key, 0.6 * exp(-floor({hours_sql('last_accessed')} / 24) / 30) + 0.4e0 * (access_count / (access_count + 10e0)) FROM cand
   UNION ALL SELECT query_id, 'dense', key, d FROM (SELECT cand.query_id, cand.key, list_cosine_similarity(a.e, b.e) AS d FROM cand JOIN vec a ON a.key = cand.key JOIN qv ON qv.query_id = cand.query_id JOIN vec b ON b.key = qv.qk) WHERE d >= 0.3),
 kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, signal ORDER BY score DESC, key) AS r0 FROM sig) WHERE r0 <= 50),
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, signal ORDER BY score DESC, key) AS r FROM kept WHERE score >= 0.1),
