@@ -1,5 +1,5 @@
 """Named queries of the library; importing the modules registers them."""
-from recollect.plans import network, search
+from recollect.plans import network, search, statistics
 from recollect.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "network", "search"]
+__all__ = ["ORACLES", "QUERIES", "network", "search", "statistics"]
