@@ -1,5 +1,5 @@
 """Named queries of the library; importing the modules registers them."""
-from recollect.plans import memory, network, search, statistics
+from recollect.plans import learning, memory, network, search, statistics
 from recollect.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "memory", "network", "search", "statistics"]
+__all__ = ["ORACLES", "QUERIES", "learning", "memory", "network", "search", "statistics"]
