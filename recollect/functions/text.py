@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 def occurrences(text: Column, term: Column) -> Column:
     """Non-overlapping occurrences of a term in a text."""
-    return F.when(F.length(term) == 0, F.lit(0)).otherwise(F.try_divide(F.length(text) - F.length(F.replace(text, term, F.lit(""))), F.length(term))).cast("long")
+    return F.when(F.length(term) == 0, F.lit(0)).otherwise(F.try_divide(F.octet_length(text) - F.octet_length(F.replace(text, term, F.lit(""))), F.octet_length(term))).cast("long")
 
 
 def words(text: Column) -> Column:

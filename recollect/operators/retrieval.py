@@ -39,11 +39,17 @@ def top(df: DataFrame, k: int, *order: Column, by=("query_id",), name: str = "ra
 
 def match_any_term(memories: DataFrame, queries: list[tuple[str, str]], k: int) -> DataFrame:
     """query_id, key, distinct_terms, total_freq, score, rank: texts that contain any term, by distinct terms, then frequency, then key."""
-    m = with_queries(memories, queries).withColumn("_v", F.lower("value"))
-    freq = F.transform(_terms(F.col("query")), lambda t: T.occurrences(F.col("_v"), t))
-    m = m.withColumn("_f", freq).withColumn("distinct_terms", F.size(F.filter("_f", lambda x: x > 0))).filter("distinct_terms > 0")
-    m = m.withColumn("total_freq", F.aggregate("_f", F.lit(0).cast("long"), lambda a, x: a + x)).withColumn("score", F.col("total_freq") / F.octet_length("_v"))
-    return top(m.drop("_f", "_v", "query"), k, F.desc("distinct_terms"), F.desc("total_freq"), F.asc("key"))
+    split = {i: q.lower().split() for i, q in queries}
+    terms = sorted({t for ts in split.values() for t in ts})
+    # each distinct term is counted once in a text, by generated code; queries only add up counts
+    m = memories.withColumn("_v", F.lower("value"))
+    m = m.select("*", *(F.when(F.contains("_v", F.lit(t)), T.occurrences(F.col("_v"), F.lit(t))).otherwise(F.lit(0).cast("long")).alias(f"_f{k}") for k, t in enumerate(terms)))
+    own = {i: [F.col(f"_f{terms.index(t)}") for t in ts] for i, ts in split.items() if ts}
+    count = lambda cols: sum(((c > 0).cast("int") for c in cols), F.lit(0))
+    rows = F.array(*(F.struct(F.lit(i).alias("query_id"), count(cols).alias("distinct_terms"), sum(cols[1:], cols[0]).alias("total_freq")) for i, cols in own.items()))
+    m = m.withColumn("_q", F.explode(F.filter(rows, lambda r: r["distinct_terms"] > 0))).select(*memories.columns, "_v", "_q.*")
+    m = m.withColumn("score", F.col("total_freq") / F.octet_length("_v")).drop("_v")
+    return top(m, k, F.desc("distinct_terms"), F.desc("total_freq"), F.asc("key"))
 
 
 def match_phrase(memories: DataFrame, queries: list[tuple[str, str]], k: int) -> DataFrame:
