@@ -20,6 +20,8 @@ SAMPLE, EFFECTIVE = 2000, 64
 SEED = "quality-1"
 #: Added to each cell, in parts of the whole mass.
 SMOOTH = 0.05
+#: N-grams of no weight that each text's mean counts besides its own.
+PRIOR = 20
 #: Share of good labelled documents that the cut may cost.
 COST = 0.005
 _LOWER, _UPPER, _DIGIT, _MARK = 1, 2, 4, 8
@@ -64,8 +66,8 @@ class Model:
     cut: float
 
     def mean(self, cells: np.ndarray) -> float:
-        """Mean log-ratio of a text's n-grams; that of an empty text is far below any."""
-        return float(self.ratio[cells].mean()) if len(cells) else -100.0
+        """Mean log-ratio of a text's n-grams and PRIOR more of ratio 0, so that few words say little; that of an empty text is far below any."""
+        return float(self.ratio[cells].sum()) / (len(cells) + PRIOR) if len(cells) else -100.0
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[str | None]:
