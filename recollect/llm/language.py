@@ -6,9 +6,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recollect.llm.samples import bounded_ids
+
 #: Documents of each language that are sampled at most, training sequences made of them, and their words.
 SAMPLE, SEQUENCES, LENGTH = 300, 4000, 40
 #: Cells of the features' weights, words in the lexicon of each language, steps and rate of the training.
@@ -207,8 +209,7 @@ def held_out():
 def sample_rows(documents: DataFrame, each: int = SAMPLE) -> list[tuple[str, str]]:
     """(text, lang) of at most `each` documents of each language, those with the smallest hash of doc_id; none is held out."""
     ids = documents.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang")
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = ids.withColumn("_nth", nth).filter(F.col("_nth") <= each).select("doc_id", F.col("lang").alias("_lang")).distinct()
+    ids = bounded_ids(ids.withColumnRenamed("lang", "_label"), each).withColumnRenamed("_label", "_lang")
     rows = documents.select("doc_id", "text", "lang").filter(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id").filter("lang = _lang").toPandas()
     rows = rows.sort_values(["doc_id", "lang", "text"])
     return list(zip(rows["text"].tolist(), rows["lang"].tolist(), strict=True))
