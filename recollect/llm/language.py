@@ -22,8 +22,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased."""
-    return _WORD.findall((text or "").lower())
+    """Runs of letters, lower-cased; none if there is no letter among them."""
+    found = _WORD.findall((text or "").lower())
+    return found if any(any(map(str.isalpha, w)) for w in found) else []
 
 
 class _Cells(dict):

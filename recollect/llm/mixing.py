@@ -135,16 +135,18 @@ def mixed_documents(documents: DataFrame, **how) -> DataFrame:
     Equal rows are told apart by their share alone. A whole pass keeps the text as it is; a cut one keeps its first words,
     joined by spaces, and n_chars is its length. Documents that the mix does not take are not in it.
     """
-    digest = F.md5(F.to_json(F.struct("doc_id", "text", "lang", "source", "n_chars")))
-    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("/"), digest)
-    keyed = documents.select(F.col("doc_id").alias("_id"), "text", "lang", "source", "n_chars", key.alias("doc_id"))
-    taken = taken_words(keyed, **how).groupBy("doc_id").agg(F.max("size").alias("size"), F.sum("taken").alias("taken")).filter("taken > 0")
-    rows = keyed.dropDuplicates(["doc_id"]).join(taken, "doc_id")
-    rows = rows.withColumn("words", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size"))), lambda k: F.least(F.col("size"), F.col("taken") - (k - 1) * F.col("size")))))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(0)), 1, F.col("words").cast("int")), " ")
-    whole = F.col("words") == F.col("size")
-    rows = rows.withColumn("_text", F.when(whole, F.col("text")).otherwise(cut))
-    return rows.select(F.col("_id").alias("doc_id"), F.col("_text").alias("text"), "lang", "source", F.when(whole, F.col("n_chars")).otherwise(F.length("_text").cast("long")).alias("n_chars"))
+    own = [F.col(f"`{c}`") for c in documents.columns]
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("/"), F.md5(F.to_json(F.struct(*own))))
+    keyed = documents.withColumn("_mix_key", key)
+    taken = taken_words(keyed.select(F.col("_mix_key").alias("doc_id"), "text", "source"), **how).groupBy(F.col("doc_id").alias("_mix_key")).agg(F.max("size").alias("_mix_size"), F.sum("taken").alias("_mix_taken"))
+    rows = keyed.dropDuplicates(["_mix_key"]).join(taken.filter("_mix_taken > 0"), "_mix_key")
+    size, all_words = F.col("_mix_size"), F.col("_mix_taken")
+    rows = rows.withColumn("_mix_words", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.ceil(all_words / size)), lambda k: F.least(size, all_words - (k - 1) * size))))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(0)), 1, F.col("_mix_words").cast("int")), " ")
+    whole = F.col("_mix_words") == size
+    rows = rows.withColumn("_mix_text", F.when(whole, F.col("text")).otherwise(cut))
+    changed = {"text": F.col("_mix_text"), "n_chars": F.when(whole, F.col("n_chars")).otherwise(F.length("_mix_text").cast("long"))}
+    return rows.select(*(changed.get(c, F.col(f"`{c}`")).alias(c) for c in documents.columns))
 
 
 ORACLE = r"""

@@ -68,13 +68,13 @@ def window_entropy_spans(candidate: str, at: str, window: int = WINDOW, bits: di
     return f"transform(array(filter(split({candidate}, ''), x -> x <> '')), cs -> transform(array({clog}), f -> transform(array({limit}), lim -> {fold})[0])[0])[0]"
 
 
-def find_secrets(documents: DataFrame, text: str = "text") -> DataFrame:
-    """documents with a column secrets: array<struct<start int, ord int, kind string, end int>>, in order.
+def find_secrets(documents: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame:
+    """documents with a column `out`: array<struct<start int, ord int, kind string, end int>>, in order.
 
     start and end are code points, end exclusive. Kinds: assign, access, hex by pattern (leftmost, not overlapping
     within a kind, dropped if too short) and entropy (the windows of a long string that look random, unless the
     allow-list has it). Null text reads as empty: an empty array. Texts are scanned whole; repeated rows repeat
-    their result; other columns pass through unless they start with an underscore and "secret".
+    their result; other columns pass through (none may be called `out` or begin with _secret).
     """
     df = documents.withColumn("_secret_text", F.coalesce(F.col(text), F.lit("")))
     found, none = [], "cast(array() as array<struct<start: int, ord: int, kind: string, end: int>>)"
@@ -88,7 +88,7 @@ def find_secrets(documents: DataFrame, text: str = "text") -> DataFrame:
     entropy = f"filter(transform(_secret_word, x -> if(rlike(x.h, {_lit(ALLOWED)}), null, {window_entropy_spans('x.h', 'x.at')})), x -> x is not null)"
     found.append(f"if(size(_secret_word_h) = 0, {none}, transform({entropy}, e -> named_struct('start', e.start, 'ord', {len(KINDS)}, 'kind', 'entropy', 'end', e.end)))")
     own = [c for c in documents.columns]
-    return df.select(*(F.col(f"`{c}`") for c in own), F.expr(f"array_sort(concat({', '.join(found)}))").alias("secrets"))
+    return df.select(*(F.col(f"`{c}`") for c in own), F.expr(f"array_sort(concat({', '.join(found)}))").alias(out))
 
 
 def joined(spans: Column) -> Column:
@@ -105,15 +105,15 @@ def secret_report(documents: DataFrame) -> DataFrame:
 
 def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """documents with every secret in text replaced by mark (overlapping spans by one), n_chars made to fit; null text stays null."""
-    df = find_secrets(documents)
+    df = find_secrets(documents, out="_secret_spans")
     cut = (
-        "aggregate(secrets, named_struct('out', '', 'at', 0), (a, x) -> named_struct("
+        "aggregate(_secret_spans, named_struct('out', '', 'at', 0), (a, x) -> named_struct("
         f"'out', if(x.start >= a.at AND (a.at = 0 OR x.start > a.at OR a.out = ''), concat(a.out, substring(text, a.at + 1, x.start - a.at), '{mark}'), a.out), "
         "'at', greatest(a.at, x.end)), a -> concat(a.out, substring(text, a.at + 1)))"
     )
-    hit = F.size("secrets") > 0
+    hit = F.size("_secret_spans") > 0
     df = df.withColumn("text", F.when(hit, F.expr(cut)).otherwise(F.col("text")))
-    return df.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("secrets")
+    return df.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("_secret_spans")
 
 
 def _oracle_kind(kind: str, pattern: str, value: str, ord_: int, least: int) -> str:
