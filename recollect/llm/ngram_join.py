@@ -13,13 +13,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.llm.components import connected_components
+from recollect.operators.components import connected_components
 from recollect.session import materialize
 
 #: Words of an n-gram, and the least 100 * intersection / union.
 WORDS, PERCENT = 4, 85
-#: Cells of the count sketch (its whole size; it is sent to the tasks), and hash ranges of the suffix bound.
-CELLS_LOG2, RANGES_LOG2 = 18, 5
+#: Cells of the count sketch (its whole size; it is sent to the tasks), n-grams to a hash range of the suffix bound, and most ranges.
+CELLS_LOG2, PER_RANGE, RANGES_LOG2 = 18, 4, 12
 #: A fixed odd multiplier for hashes of byte strings, from a fixed generator with the table for bytes.
 _RANDOM = np.random.default_rng(20240229)
 _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -73,6 +73,20 @@ def _cell(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - CELLS_LOG2)).astype(np.int64)
 
 
+def range_counts(h: np.ndarray) -> np.ndarray:
+    """How many hashes lie in each of equal ranges, a power of two of them that grows with the set."""
+    log2 = min(RANGES_LOG2, max(1, (len(h) // PER_RANGE).bit_length()))
+    return np.minimum(np.bincount((h >> np.uint64(64 - log2)).astype(np.int64), minlength=1 << log2), 65535).astype("<u2")
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> int:
+    """A lower bound of the n-grams that only one of two sets holds, from their range_counts."""
+    if len(x) < len(y):
+        x, y = y, x
+    x = x.astype(np.int64).reshape(len(y), -1).sum(axis=1)
+    return int(np.abs(x - y).sum()) if x.max(initial=0) < 65535 and y.max(initial=0) < 65535 else 0
+
+
 def _texts(batch: pa.RecordBatch) -> Iterator[str | None]:
     return (t.as_py() for t in batch.column("text"))
 
@@ -97,25 +111,26 @@ def sketch_counts(documents: DataFrame, words: int = WORDS) -> np.ndarray:
 
 
 def prefixes(documents: DataFrame, counts: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n (distinct n-grams), same (16 bytes, equal for equal sets; null for empty ones), prefix (array<long>, rare first)."""
-    names = ["doc_id", "n", "same", "prefix"]
+    """doc_id, n (distinct n-grams), same (16 bytes, equal for equal sets; null for empty ones), prefix (array<long>, rare first), ranges (range_counts)."""
+    names = ["doc_id", "n", "same", "prefix", "ranges"]
 
     def make(batches):
         powers = Powers()
         for batch in batches:
-            n, same, prefix = [], [], []
+            n, same, prefix, ranges = [], [], [], []
             for t in _texts(batch):
                 h = ngram_hashes(t, powers, words)
                 n.append(len(h))
                 same.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
                 order = np.lexsort((h, counts[_cell(h)]))[: len(h) - (percent * len(h) + 99) // 100 + 1] if len(h) else slice(0)
                 prefix.append(h[order].view(np.int64))
+                ranges.append(range_counts(h).tobytes())
             flat = np.concatenate([np.empty(0, np.int64), *prefix])
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(same, pa.binary()), lists], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(same, pa.binary()), lists, pa.array(ranges, pa.binary())], names)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, n long, same binary, prefix array<long>")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, n long, same binary, prefix array<long>, ranges binary")
 
 
 def bounds(n: Column, pos: Column, m: Column, pos2: Column, percent: int = PERCENT) -> Column:
@@ -124,6 +139,22 @@ def bounds(n: Column, pos: Column, m: Column, pos2: Column, percent: int = PERCE
     return length & ((F.least(n - pos, m - pos2)) * (100 + percent) >= (n + m) * percent)
 
 
+def likely_pairs(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Those of pairs(a, b) that the suffix bound leaves: what ranges of hashes show on one side only is no intersection. Drops no similar pair."""
+    left, right = (sets.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("ranges").alias(f"ranges_{k}")) for k in "ab")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "ranges_a", "ranges_b")
+
+    def check(batches):
+        for batch in batches:
+            keep = []
+            for n, x, y in zip(batch.column("n").to_pylist(), batch.column("ranges_a").to_pylist(), batch.column("ranges_b").to_pylist(), strict=True):
+                most = (n - apart(np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2"))) // 2
+                keep.append(most * 100 >= percent * (n - most))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(check, "a long, b long")
+
+
 def similar_pairs(pairs: DataFrame, documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Those of pairs(a, b) of doc_ids whose whole texts are similar enough; each checked once."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
@@ -133,20 +164,15 @@ def similar_pairs(pairs: DataFrame, documents: DataFrame, words: int = WORDS, pe
 
     def check(batches):
         powers = Powers()
-        ranges = np.uint64(64 - RANGES_LOG2)
         for batch in batches:
             keep = []
             for ta, tb in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
                 x, y = (ngram_hashes(t.as_py(), powers, words) for t in (ta, tb))
-                both_n = len(x) + len(y)
-                # suffix bound: what ranges of hashes hold on one side only is no intersection
-                hx, hy = (np.bincount((s >> ranges).astype(np.int64), minlength=1 << RANGES_LOG2) for s in (x, y))
-                most = int(np.minimum(hx, hy).sum())
-                same = len(np.intersect1d(x, y, assume_unique=True)) if most * 100 >= percent * (both_n - most) else 0
-                keep.append(both_n > 0 and same * 100 >= percent * (both_n - same))
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(same > 0 and same * 100 >= percent * (len(x) + len(y) - same))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(check, "a long, b long")
+    return both.mapInArrow(check, "a long, b long").distinct()
 
 
 def jaccard_components(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -154,7 +180,8 @@ def jaccard_components(documents: DataFrame, words: int = WORDS, percent: int =
 
     Null and wordless texts are empty sets, linked with nothing: component_id is their own doc_id. Equal sets are one
     class, whose smallest doc_id stands for it in all that follows, so copies form no pairs. Rows that share a doc_id
-    are one document with several texts. A null doc_id takes its component from its class and is never one's name.
+    are one document with several texts (an empty one stands alone). A null doc_id takes its component from its class
+    and is never one's name.
     An empty table gives no rows.
 
     First, members of each prefix n-gram are paired with one hub, the member that holds it earliest in its order (a
@@ -165,7 +192,8 @@ def jaccard_components(documents: DataFrame, words: int = WORDS, percent: int =
     docs = documents.select("doc_id", "text")
     sets = materialize(prefixes(docs, sketch_counts(docs, words), words, percent), "prefixes")
     classes = sets.filter("same IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("id"))
-    heads = sets.join(classes.filter("id IS NOT NULL").withColumnRenamed("id", "doc_id"), ["same", "doc_id"]).select("doc_id", "n", "prefix")
+    heads = sets.join(classes.filter("id IS NOT NULL").withColumnRenamed("id", "doc_id"), ["same", "doc_id"]).select("doc_id", "n", "prefix", "ranges")
+    signs = heads.select("doc_id", "n", "ranges")
     grams = heads.select(F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "gram"))
     shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("gram")
     grams = materialize(grams.join(shared, "gram").distinct(), "shared-grams")
@@ -173,26 +201,31 @@ def jaccard_components(documents: DataFrame, words: int = WORDS, percent: int =
     hubs = grams.groupBy("gram").agg(F.min(F.struct("pos", "id", "n")).alias("hub"))
     star = grams.join(hubs, "gram").filter(F.col("id") != F.col("hub.id")).filter(bounds(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), percent))
     tried = materialize(star.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct(), "star-pairs")
-    links = materialize(similar_pairs(tried, docs, words, percent), "star-links")
+    likely = materialize(likely_pairs(tried, signs, percent), "star-likely")
+    links = materialize(similar_pairs(likely, docs, words, percent), "star-links")
     found = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     labelled = grams.join(found, "id", "left").select("gram", "id", "n", "pos", F.coalesce("component", "id").alias("component"))
     labelled = materialize(labelled, "labelled-grams")
-    apart = labelled.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("gram")
-    mine = labelled.join(apart, "gram", "left_semi")
+    split = labelled.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("gram")
+    mine = labelled.join(split, "gram", "left_semi")
     theirs = mine.select("gram", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "component")))
     rest = mine.join(theirs, "gram").filter("component <> component2 AND id < id2").filter(bounds(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"), percent))
     rest = rest.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = similar_pairs(materialize(rest, "other-pairs"), docs, words, percent)
+    likely = materialize(likely_pairs(rest, signs, percent), "other-likely")
+    more = similar_pairs(likely, docs, words, percent)
     every = found.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
     # rows that share a doc_id but not a set tie their classes together
     named = sets.select("doc_id", "n", "same").join(classes, "same", "left")
     ties = named.filter("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
     again = sets.filter("same IS NOT NULL").groupBy("doc_id").agg(F.min("same").alias("x"), F.max("same").alias("y")).filter("doc_id IS NOT NULL AND x <> y").select(F.col("doc_id").alias("u"))
     every = every.unionByName(ties.join(again, "u", "left_semi"))
-    component = connected_components(every)
-    whole = named.withColumn("key", F.coalesce("id", "doc_id")).join(component.withColumnRenamed("id", "key"), "key", "left")
-    return whole.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
+    component = connected_components(every).withColumnRenamed("component", "least")
+    # classes are small; then copies of one text, however many, meet a single row in a join that can be split
+    labelled = materialize(classes.join(component, "id", "left").select("same", F.coalesce("least", "id").alias("component_id")), "class-components")
+    words_ = sets.filter("same IS NOT NULL").select("doc_id", "n", "same").join(labelled, "same")
+    none = sets.filter("same IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return words_.select("doc_id", "n", "component_id").unionByName(none).withColumnRenamed("n", "n_shingles")
 
 
 def keep_representatives(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
