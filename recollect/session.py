@@ -1,4 +1,5 @@
 """Sessions and the shared folder in which lineage is cut."""
+import gc
 import os
 import tempfile
 import uuid
@@ -29,9 +30,18 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: a lost executor costs no recomputation beyond it."""
+def materialize(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it again: a lost executor costs no recomputation beyond it.
+
+    release: let Spark remove the shuffle files of plans that nothing refers to any more, which it does when the
+    driver's garbage is collected; for steps after large shuffles.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    if release:
+        del df
+        gc.collect()
+        spark._jvm.System.gc()
+    return table
