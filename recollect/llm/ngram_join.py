@@ -196,13 +196,13 @@ def jaccard_components(documents: DataFrame, words: int = WORDS, percent: int =
     signs = heads.select("doc_id", "n", "ranges")
     grams = heads.select(F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "gram"))
     shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("gram")
-    grams = materialize(grams.join(shared, "gram").distinct(), "shared-grams")
+    grams = materialize(grams.join(shared, "gram").distinct(), "shared-grams", release=True)
 
     hubs = grams.groupBy("gram").agg(F.min(F.struct("pos", "id", "n")).alias("hub"))
     star = grams.join(hubs, "gram").filter(F.col("id") != F.col("hub.id")).filter(bounds(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), percent))
     tried = materialize(star.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct(), "star-pairs")
-    likely = materialize(likely_pairs(tried, signs, percent), "star-likely")
-    links = materialize(similar_pairs(likely, docs, words, percent), "star-links")
+    likely = materialize(likely_pairs(tried, signs, percent), "star-likely", release=True)
+    links = materialize(similar_pairs(likely, docs, words, percent), "star-links", release=True)
     found = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     labelled = grams.join(found, "id", "left").select("gram", "id", "n", "pos", F.coalesce("component", "id").alias("component"))
@@ -212,7 +212,7 @@ def jaccard_components(documents: DataFrame, words: int = WORDS, percent: int =
     theirs = mine.select("gram", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "component")))
     rest = mine.join(theirs, "gram").filter("component <> component2 AND id < id2").filter(bounds(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"), percent))
     rest = rest.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    likely = materialize(likely_pairs(rest, signs, percent), "other-likely")
+    likely = materialize(likely_pairs(rest, signs, percent), "other-likely", release=True)
     more = similar_pairs(likely, docs, words, percent)
     every = found.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
     # rows that share a doc_id but not a set tie their classes together
@@ -222,7 +222,7 @@ def jaccard_components(documents: DataFrame, words: int = WORDS, percent: int =
     every = every.unionByName(ties.join(again, "u", "left_semi"))
     component = connected_components(every).withColumnRenamed("component", "least")
     # classes are small; then copies of one text, however many, meet a single row in a join that can be split
-    labelled = materialize(classes.join(component, "id", "left").select("same", F.coalesce("least", "id").alias("component_id")), "class-components")
+    labelled = materialize(classes.join(component, "id", "left").select("same", F.coalesce("least", "id").alias("component_id")), "class-components", release=True)
     words_ = sets.filter("same IS NOT NULL").select("doc_id", "n", "same").join(labelled, "same")
     none = sets.filter("same IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return words_.select("doc_id", "n", "component_id").unionByName(none).withColumnRenamed("n", "n_shingles")
