@@ -40,7 +40,7 @@ def multiset_lanes(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     sums = rows.groupBy(*keys).agg(F.sum("one").alias("units"), *equal, *pairs)
     low = [F.col(f"s{i}").bitwiseAND(0xFFFFFFFF) * 2 - F.col("units") for i in range(_HALF)]
     high = [F.shiftrightunsigned(f"s{i}", 32) * 2 - F.col("units") for i in range(_HALF)]
-    return sums.select(*keys, F.array(*(F.col(f"e{k}").bitwiseAND(0xFFFF) for k in range(EQUAL))).alias("equal"), F.array(*low, *high).alias("signs"))
+    return sums.select(*keys, F.array(*(F.col(f"e{k}").bitwiseAND(0xFFFF) for k in range(EQUAL))).cast("array<int>").alias("equal"), F.array(*low, *high).cast("array<int>").alias("signs"))
 
 
 def combine(a: Column, b: Column, sign: int = 1, bits: int = 16) -> Column:
@@ -86,7 +86,9 @@ def fingerprint_documents(documents: DataFrame) -> DataFrame:
     its own next. Two empty texts have likeness 1, an empty and another 0. An empty table gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = documents.select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("id"), F.xxhash64(text, F.col("doc_id").isNull()).alias("th"), F.col("doc_id"), text.alias("text"))
+    # the last bit of th says that there is no id; both joins below read the same three columns, so texts are shuffled once
+    th = F.xxhash64(text).bitwiseAND(-2).bitwiseOR(F.col("doc_id").isNull().cast("long"))
+    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), th.alias("th"), text.alias("text"))
     order = materialize(next_keys(docs.select("id", "th", F.length("text").alias("n")).distinct()), "fingerprint-next")
     heads = order.select(F.col("next_id").alias("id"), F.col("next_th").alias("th"), F.col("id").alias("to_id"), F.col("th").alias("to_th"), F.expr("n div 2").alias("half"))
     own = Window.partitionBy("id", "th")
@@ -95,15 +97,20 @@ def fingerprint_documents(documents: DataFrame) -> DataFrame:
     both = docs.join(heads, ["id", "th"]).withColumn("copies", F.count(F.lit(1)).over(own)).withColumn("copy", copy).filter("copy = 1")
     both = both.withColumn("n", F.length("text")).withColumn("edited", F.expr("concat(left(text, n - n div 2), head)"))
     sha = F.when(F.col("v.edited"), F.sha2("v.text", 256))
-    versions = both.select("id", "th", F.explode(F.array(F.struct(F.lit(False).alias("edited"), F.col("text").alias("text")), F.struct(F.lit(True).alias("edited"), F.col("edited").alias("text")))).alias("v"), "n", "copies", "doc_id")
-    versions = versions.select("id", "th", "doc_id", "n", "copies", F.col("v.edited").alias("edited"), sha.alias("sha"), F.col("v.text").alias("text"))
-    lanes = materialize(multiset_lanes(versions, ["id", "th", "doc_id", "n", "copies", "edited", "sha"], "text"), "fingerprint-lanes")
-    mine = lanes.filter("NOT edited").drop("edited", "sha")
-    theirs = lanes.filter("edited").select("id", "th", F.col("sha").alias("edited_sha256"), F.col("equal").alias("edited_equal"), F.col("signs").alias("edited_signs"))
-    after = order.select("id", "th", "next_id", "next_th").join(mine.select(F.col("id").alias("next_id"), F.col("th").alias("next_th"), F.col("signs").alias("next_signs")), ["next_id", "next_th"])
-    whole = mine.join(theirs, ["id", "th"]).join(after.select("id", "th", "next_signs"), ["id", "th"])
+    versions = both.select("id", "th", F.explode(F.array(F.struct(F.lit(False).alias("edited"), F.col("text").alias("text")), F.struct(F.lit(True).alias("edited"), F.col("edited").alias("text")))).alias("v"), "n", "copies")
+    versions = versions.select("id", "th", "n", "copies", F.col("v.edited").alias("edited"), sha.alias("sha"), F.col("v.text").alias("text"))
+    lanes = multiset_lanes(versions, ["id", "th", "n", "copies", "edited", "sha"], "text")
+    # both versions of a document stand in one partition already
+    pick = lambda c, edited: F.first(F.when(F.col("edited") == edited, F.col(c)), ignorenulls=True)
+    whole = lanes.groupBy("id", "th").agg(
+        F.first("n").alias("n"), F.first("copies").alias("copies"), pick("sha", True).alias("edited_sha256"),
+        *(pick(c, e).alias(f"edited_{c}" if e else c) for c in ("equal", "signs") for e in (False, True)),
+    )
+    whole = materialize(whole, "fingerprint-lanes")
+    after = order.select("id", "th", "next_id", "next_th").join(whole.select(F.col("id").alias("next_id"), F.col("th").alias("next_th"), F.col("signs").alias("next_signs")), ["next_id", "next_th"])
+    whole = whole.join(after.select("id", "th", "next_signs"), ["id", "th"])
     whole = whole.select(
-        "doc_id", F.col("n").cast("long").alias("n_chars"), "edited_sha256", as_text(F.col("equal"), F.col("signs")).alias("fingerprint"),
+        F.when(F.col("th").bitwiseAND(1) == 0, F.col("id")).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), "edited_sha256", as_text(F.col("equal"), F.col("signs")).alias("fingerprint"),
         as_text(F.col("edited_equal"), F.col("edited_signs")).alias("edited_fingerprint"),
         likeness(F.col("signs"), F.col("edited_signs")).alias("near_edited"), likeness(F.col("signs"), F.col("next_signs")).alias("near_next"), "copies",
     )
