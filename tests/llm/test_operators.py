@@ -242,6 +242,16 @@ def test_toxic_words_are_found_behind_their_disguise(spark):
     assert {r.predicted for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0}
 
 
+def test_every_token_with_more_than_one_path_is_restored(spark):
+    held = [i for i in range(300) if zlib.crc32(str(i).encode()) % 3 == 1]
+    clean = [i for i in held if i % 5]
+    forms = ["wretchhface", "wretch.face", "wre-tch-face", "w r e  t c h  f a c e", "wr et ch fa ce", "wretchface!!", "(wretchface)", "w_r.e-t c*h f  a c e", "wr et ch fa ce, and so on", "wr. et. ch. fa. ce"]
+    docs, labels = _labelled(spark, 300, odd={i: f"{t} alpha beta" if k % 2 else f"gamma delta {t}" for k, (i, t) in enumerate(zip(clean, forms))})
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, labels).collect()}
+    assert {t: got[i] for i, t in zip(clean, forms)} == dict.fromkeys(forms, 1)
+    assert all(got[i] == int(i % 5 == 0) for i in held if i not in clean[: len(forms)])
+
+
 # 6. chats
 
 
