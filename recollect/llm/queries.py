@@ -17,6 +17,10 @@ def op3_secret_scan(spark, sf_dir):
     return secrets.secret_report(_table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan_whole(spark, sf_dir):
+    return secrets.secret_report(_table(spark, sf_dir, "documents"), whole=True)
+
+
 def op5_toxicity(spark, sf_dir):
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -49,5 +53,5 @@ def op10_fingerprint(spark, sf_dir):
     return fingerprint.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_mix_sources, op3_secret_scan, op4_nearest, op5_toxicity, op6_chat_format, op7_quality_resampling, op8_language_id, op9_ngram_join, op10_fingerprint)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_mix_sources, op3_secret_scan, op3_secret_scan_whole, op4_nearest, op5_toxicity, op6_chat_format, op7_quality_resampling, op8_language_id, op9_ngram_join, op10_fingerprint)}
 ORACLES = {"op9_ngram_join": ngram_join.ORACLE, "op4_nearest": ann.ORACLE, "op2_mix_sources": mixing.ORACLE, "op3_secret_scan": secrets.ORACLE, "op6_chat_format": chat.ORACLE}

@@ -18,6 +18,15 @@ WINDOW = 20
 BITS = {"hex": 3.01, "letters": 4.11, "mixed": 3.81}
 #: Candidates that are no secrets whatever their entropy: digits alone, placeholders, dashed or underscored words.
 ALLOWED = r"(?i)^([0-9_=-]+|.*(example|placeholder|changeme|your[_-]).*|[a-z]+([_/=-]+[a-z]*)+)$"
+#: For the whole scan: least bits by the class of a candidate's longest piece between '/' and '=', the first class that
+#: holds. Each is what 99 of 100 uniformly random windows of its class reach; digits alone keep the limit above.
+CLASS_BITS = (
+    ("[0-9_-]+", 3.81), ("[0-9a-f_-]+|[0-9A-F_-]+", 2.902), ("[a-z_-]+|[A-Z_-]+", 3.215), ("[A-Za-z_-]+", 3.575),
+    ("[a-z0-9_-]+", 3.4), ("[A-Z0-9_-]+", 3.34), (".*", 3.64),
+)
+#: The whole scan's candidates: as above, without the pieces that hold a placeholder; and what it allows of the rest.
+WHOLE_CANDIDATE = r"(?=[A-Za-z0-9+/_=-]{20})(?:(?<![A-Za-z0-9+_-])(?![A-Za-z0-9+_-]*(?i:example|placeholder|changeme|your[_-]))[A-Za-z0-9+_-]++|[/=]++)++"
+WHOLE_ALLOWED = r"(?i)^([0-9_=-]+|[a-z]+([_/=-]+[a-z]*)+)$"
 #: Code points from '+' to 'z' hold every character of a candidate.
 _FIRST, _SLOTS, _UNIT = 43, 80, 1_000_000
 
@@ -44,7 +53,7 @@ def _hits(df: DataFrame, text: str, name: str, pattern: str) -> DataFrame:
     return df.withColumn(name, F.expr(f"if(size({name}_h) = 0, {none}, {found})"))
 
 
-def window_entropy_spans(candidate: str, at: str, window: int = WINDOW, bits: dict = BITS) -> str:
+def window_entropy_spans(candidate: str, at: str, window: int = WINDOW, bits: dict = BITS, whole: bool = False) -> str:
     """SQL: struct(start, end) over the windows of a candidate whose entropy reaches its class's bits, or null.
 
     A fold along the characters keeps the count of each in the window and the sum of c log2 c in millionths, an
@@ -54,6 +63,10 @@ def window_entropy_spans(candidate: str, at: str, window: int = WINDOW, bits: di
     # entropy = log2(w) - sum / w >= bits  <=>  sum <= (log2(w) - bits) * w
     most = {k: math.floor((math.log2(window) - b) * window * _UNIT) for k, b in bits.items()}
     limit = f"CASE WHEN rlike({candidate}, '^[0-9a-fA-F]+$') THEN {most['hex']}L WHEN rlike({candidate}, '^[A-Za-z]+$') THEN {most['letters']}L ELSE {most['mixed']}L END"
+    if whole:
+        longest = f"array_max(transform(split({candidate}, '[/=]+'), q -> named_struct('n', length(q), 'q', q))).q"
+        cases = " ".join(f"WHEN rlike(q, '^({p})$') THEN {math.floor((math.log2(window) - b) * window * _UNIT)}L" for p, b in CLASS_BITS)
+        limit = f"transform(array({longest}), q -> CASE {cases} END)[0]"
     code = lambda i: f"ascii(get(cs, {i})) - {_FIRST}"
     into, out = "get(a.n, p.into)", "get(a.n, p.out)"
     change = f"a.s + get(f, {into} + 1) - get(f, {into}) + if(p.out is null, 0L, get(f, {out} - 1 + if(p.out = p.into, 1, 0)) - get(f, {out} + if(p.out = p.into, 1, 0)))"
@@ -68,13 +81,14 @@ def window_entropy_spans(candidate: str, at: str, window: int = WINDOW, bits: di
     return f"transform(array(filter(split({candidate}, ''), x -> x <> '')), cs -> transform(array({clog}), f -> transform(array({limit}), lim -> {fold})[0])[0])[0]"
 
 
-def find_secrets(documents: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame:
+def find_secrets(documents: DataFrame, text: str = "text", out: str = "secrets", whole: bool = False) -> DataFrame:
     """documents with a column `out`: array<struct<start int, ord int, kind string, end int>>, in order.
 
     start and end are code points, end exclusive. Kinds: assign, access, hex by pattern (leftmost, not overlapping
     within a kind, dropped if too short) and entropy (the windows of a long string that look random, unless the
     allow-list has it). Null text reads as empty: an empty array. Texts are scanned whole; repeated rows repeat
-    their result; other columns pass through (none may be called `out` or begin with _secret).
+    their result; other columns pass through (none may be called `out` or begin with _secret). whole: entropy has a limit
+    for each class, and a placeholder excuses only its own piece of a path; else as the SQL says.
     """
     df = documents.withColumn("_secret_text", F.coalesce(F.col(text), F.lit("")))
     found, none = [], "cast(array() as array<struct<start: int, ord: int, kind: string, end: int>>)"
@@ -84,8 +98,9 @@ def find_secrets(documents: DataFrame, text: str = "text", out: str = "secrets")
         value = f"regexp_extract_all(_secret_text, {_lit(pattern)}, {group})" if group else f"{name}_h"
         spans = f"zip_with({name}, {value}, (x, v) -> if(length(v) >= {least}, named_struct('start', x.at, 'ord', {ord_}, 'kind', '{kind}', 'end', x.at + length(x.h)), null))"
         found.append(f"if(size({name}_h) = 0, {none}, filter({spans}, x -> x is not null))")
-    df = _hits(df, "_secret_text", "_secret_word", CANDIDATE)
-    entropy = f"filter(transform(_secret_word, x -> if(rlike(x.h, {_lit(ALLOWED)}), null, {window_entropy_spans('x.h', 'x.at')})), x -> x is not null)"
+    df = _hits(df, "_secret_text", "_secret_word", WHOLE_CANDIDATE if whole else CANDIDATE)
+    excused = f"length(x.h) < {WINDOW} OR rlike(x.h, {_lit(WHOLE_ALLOWED)})" if whole else f"rlike(x.h, {_lit(ALLOWED)})"
+    entropy = f"filter(transform(_secret_word, x -> if({excused}, null, {window_entropy_spans('x.h', 'x.at', whole=whole)})), x -> x is not null)"
     found.append(f"if(size(_secret_word_h) = 0, {none}, transform({entropy}, e -> named_struct('start', e.start, 'ord', {len(KINDS)}, 'kind', 'entropy', 'end', e.end)))")
     own = [c for c in documents.columns]
     return df.select(*(F.col(f"`{c}`") for c in own), F.expr(f"array_sort(concat({', '.join(found)}))").alias(out))
@@ -95,9 +110,9 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def secret_report(documents: DataFrame) -> DataFrame:
+def secret_report(documents: DataFrame, whole: bool = False) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document."""
-    df = find_secrets(documents.select("doc_id", "text"))
+    df = find_secrets(documents.select("doc_id", "text"), whole=whole)
     n = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("secrets", lambda x: x["kind"] != "entropy")
     return df.select("doc_id", *map(n, KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"), n("entropy"))
@@ -105,7 +120,7 @@ def secret_report(documents: DataFrame) -> DataFrame:
 
 def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """documents with every secret in text replaced by mark (overlapping spans by one), n_chars made to fit; null text stays null."""
-    df = find_secrets(documents, out="_secret_spans")
+    df = find_secrets(documents, out="_secret_spans", whole=True)
     cut = (
         "aggregate(_secret_spans, named_struct('out', '', 'at', 0), (a, x) -> named_struct("
         f"'out', if(x.start >= a.at AND (a.at = 0 OR x.start > a.at OR a.out = ''), concat(a.out, substring(text, a.at + 1, x.start - a.at), '{mark}'), a.out), "

@@ -183,6 +183,23 @@ def test_redaction_leaves_no_secret(spark):
     assert secrets.secret_report(table(spark, SECRETS).limit(0)).collect() == []
 
 
+def test_random_strings_of_every_class_are_found(spark):
+    rng = np.random.default_rng(8)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for a in (lower, lower.upper(), lower + lower.upper(), lower + digits, lower.upper() + "234567", lower + lower.upper() + digits, digits + "abcdef"):
+        for n in (20, 32):
+            docs = table(spark, ["see " + "".join(rng.choice(list(a), n)) + " there" for _ in range(300)]).repartition(8)
+            assert secrets.redact(docs).filter("text = 'see [SECRET] there'").count() >= 290, (a, n)
+            assert secrets.secret_report(docs, whole=True).filter("spans <> ''").count() >= 290, (a, n)
+
+
+def test_a_placeholder_excuses_only_its_own_piece(spark):
+    key = "zQ9vK2mX7pL4tR8wN3bY6cD1fG5hJ0sA"
+    texts = [f"at /example/{key} now", f"x={key}/your_key", "your_example_key_placeholder_1234567890", f"placeholder{key}", "some-dashed-words-that-are-long-enough"]
+    got = [r.text for r in secrets.redact(table(spark, texts)).orderBy("doc_id").collect()]
+    assert ["[SECRET]" in t for t in got] == [True, True, False, False, False] and not any(key in t for t in got[:2])
+
+
 # 4. nearest neighbours
 
 
