@@ -1,9 +1,12 @@
 """Versions, differences, duplicates, lifecycle, consolidation and facts over tables of memories."""
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions import text as T
+from recollect.operators.graph import similar_pairs
+from recollect.session import materialize
 
 
 def number_versions(changes: DataFrame, key: str = "key", *order: str) -> DataFrame:
@@ -77,6 +80,58 @@ def drop_similar(memories: DataFrame, pairs: DataFrame) -> DataFrame:
     return memories.join(gone, "key", "left_anti")
 
 
+def byte_similar(memories: DataFrame, threshold: float = 0.95, block: int = 2048) -> DataFrame:
+    """key: the less important row of each pair of memories in the same or the next 100-byte length bucket whose bytes are alike; of equals the second goes.
+
+    Alike is the share of the first text's bytes that occur anywhere in the second, of the longer length, less 0.3 of the
+    relative difference in length, and above threshold. First is the lower bucket, then the lower key. Blocks of a
+    bucket meet as one product of byte counts and byte sets a task; every pair is formed.
+    """
+
+    @F.pandas_udf("binary")
+    def counts(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: np.bincount(np.frombuffer(v.encode(), np.uint8), minlength=256).astype(np.int32).tobytes())
+
+    bucket = F.floor(F.octet_length("value") / 100)
+    largest = memories.groupBy(bucket.alias("b")).count().agg(F.max("count")).first()[0] or 0
+    parts = max(1, -(-largest // block))
+    r = memories.select("key", "importance", bucket.alias("b"), counts("value").alias("c"), F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("i"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = r.select("*", F.explode(F.array("b", F.col("b") + 1)).alias("b2")).select("*", every.alias("j"))
+    right = r.withColumnsRenamed({"b": "b2", "i": "j"}).select("*", F.explode(F.array("b2", F.col("b2") - 1)).alias("b")).select("*", every.alias("i"))
+    by = ["b", "b2", "i", "j"]
+
+    def pair(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        gone: set[str] = set()
+        if len(x) and len(y):
+            cx, cy = (np.stack([np.frombuffer(c, np.int32) for c in t["c"]]).astype(np.float64) for t in (x, y))
+            kx, ky, ix, iy, ny = x["key"].to_numpy(), y["key"].to_numpy(), x["importance"].to_numpy(), y["importance"].to_numpy(), cy.sum(1)
+            same, has = x["b"].iloc[0] == x["b2"].iloc[0], (cy > 0).T.astype(np.float64)
+            for at in range(0, len(kx), 256):
+                c = cx[at : at + 256]
+                n = c.sum(1)[:, None]
+                longest = np.maximum(np.maximum(n, ny), 1)
+                alike = (c @ has / longest * (1 - np.abs(n - ny) / longest * 0.3) > threshold) & (np.minimum(n, ny) / longest >= 0.5)
+                if same:
+                    alike &= kx[at : at + 256, None] < ky[None, :]
+                first = alike & (ix[at : at + 256, None] < iy[None, :])
+                gone.update(kx[at : at + 256][first.any(1)])
+                gone.update(ky[(alike & ~first).any(0)])
+        return pd.DataFrame({"key": sorted(gone)}, dtype=object)
+
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(pair, "key string").distinct()
+
+
+def deduplicate_whole(memories: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The whole cascade: exact content, normalized content, vectors(key, embedding) of cosine above 0.95, bytes alike above 0.95, cluster keys."""
+    m = first_of(memories, F.col("value"), F.asc("key"))
+    m = materialize(first_of(m, T.normalize_content(F.col("value")), F.asc("key")), "dedup-normalized")
+    pairs = similar_pairs(vectors.join(m.select("key"), "key", "left_semi").select("key", "embedding"), 0.95).filter("similarity > 0.95")
+    m = materialize(drop_similar(m, pairs), "dedup-semantic")
+    m = m.join(byte_similar(m), "key", "left_anti")
+    return first_of(m, T.cluster_key(F.col("value")), F.desc("importance"), F.asc("key"))
+
+
 def lifecycle(memories: DataFrame, age_days: Column, idle_days: Column) -> DataFrame:
     """key, action: archive rows over 365 days old and 90 idle, delete those under 0.1 importance and 180 idle; deletion comes first."""
     act = F.when((F.col("importance") < 0.1) & (idle_days > 180), "delete").when((age_days > 365) & (idle_days > 90), "archive").otherwise("keep")

@@ -194,6 +194,11 @@ def dedup_cascade(spark, sf_dir):
     return M.deduplicate(memories(spark, sf_dir)).select("key")
 
 
+@query()
+def dedup_cascade_whole(spark, sf_dir):
+    return M.deduplicate_whole(memories(spark, sf_dir), vectors(spark, sf_dir)).select("key")
+
+
 @query(f"""WITH {MEMORIES}, v AS (SELECT vec_id::VARCHAR AS k, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.k AS a, b.k AS b FROM v a JOIN v b ON a.k < b.k WHERE list_cosine_similarity(a.e, b.e) > 0.85),
 g AS (SELECT CASE WHEN y.importance > x.importance THEN a ELSE b END AS key FROM p JOIN mem x ON x.key = a JOIN mem y ON y.key = b) SELECT key FROM mem WHERE key NOT IN (SELECT key FROM g)""")
 def dedup_semantic(spark, sf_dir):

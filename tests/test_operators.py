@@ -156,3 +156,23 @@ def test_clusters_and_anomalies(spark):
     rows = spark.createDataFrame([(float(i % 10), float(i % 7)) for i in range(200)] + [(500.0, 900.0)], "x double, y double")
     s = L.isolation_scores(rows, ["x", "y"]).orderBy(F.desc("isolation")).first()
     assert (s.x, s.y) == (500.0, 900.0)
+
+
+def test_whole_cascade_drops_near_copies(spark):
+    base = "the quick brown fox jumps over the lazy dog while seven wizards mix potions"
+    texts = [base, "THE  " + base[4:], "a much longer first text " * 9, "other words here at the start " * 8, base[4:], "zzzz 0123456789", base, "x" * 99, "x" * 100]
+    m = spark.createDataFrame([(str(i), t, i / 10) for i, t in enumerate(texts)], "key string, value string, importance double")
+    v = spark.createDataFrame([("2", [1.0, 0.0]), ("3", [0.99, 0.05]), ("5", [0.0, 1.0])], "key string, embedding array<double>")
+    texts_left = {i: texts[i] for i in (0, 3, 4, 5, 7, 8)}  # after exact, normalized and semantic steps
+    gone = set()
+    for i, a in texts_left.items():
+        for j, b in texts_left.items():
+            step = len(b) // 100 - len(a) // 100
+            if step == 1 or step == 0 and i < j:
+                n, k = len(a), len(b)
+                same = sum(c in b for c in a) / max(n, k) * (1 - 0.3 * abs(n - k) / max(n, k))
+                if same > 0.95 and min(n, k) / max(n, k) >= 0.5:
+                    gone.add(str(j if i >= j else i))
+    assert gone == {"0", "7"}
+    assert {r.key for r in M.byte_similar(m.filter(F.col("key").isin(*map(str, texts_left))), block=2).collect()} == gone
+    assert {r.key for r in M.deduplicate_whole(m, v).collect()} == {"3", "4", "5", "8"}
