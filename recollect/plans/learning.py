@@ -41,12 +41,21 @@ def textrank_sentences(spark, sf_dir):
 
 @query()
 def fuzzy_names(spark, sf_dir):
-    """Parts whose names are alike, of those that share the first word and the brand: candidates by an equi-join, then similarity."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", F.substring_index("p_name", " ", 1).alias("w"))
-    q = p.select(F.col("p_partkey").alias("other"), F.col("p_name").alias("other_name"), "p_brand", "w")
-    pairs = p.join(q, ["p_brand", "w"]).filter("p_partkey < other")
-    s = pairs.withColumn("similarity", F.round(Y.string_similarity(F.col("p_name"), F.col("other_name")), 9))
-    return s.filter("similarity >= 0.8").select("p_partkey", "other", "similarity")
+    """Every pair of parts whose names are alike: distinct names that are equal or share two neighbouring letters are compared, then joined to the parts.
+
+    Names that share none have no bigram and no trigram in common, so they reach 0.3 + 0.25 + 0.1 at most, under 0.8.
+    """
+    return alike_names(table(spark, sf_dir, "part").select("p_partkey", "p_name"))
+
+
+def alike_names(p):
+    names = p.filter("p_name is not null").select(F.col("p_name").alias("a")).distinct()
+    pairs = F.expr("array_distinct(transform(sequence(1, greatest(length(a) - 1, 1)), i -> substring(a, i, 2)))")
+    grams = names.select("a", F.explode(pairs).alias("g"))
+    near = grams.join(grams.withColumnRenamed("a", "b"), "g").select("a", "b").distinct().filter("a <> b").union(names.select("a", F.col("a").alias("b")))
+    alike = near.withColumn("similarity", F.round(Y.string_similarity(F.col("a"), F.col("b")), 9)).filter("similarity >= 0.8")
+    left = alike.join(p.select("p_partkey", F.col("p_name").alias("a")), "a")
+    return left.join(p.select(F.col("p_partkey").alias("other"), F.col("p_name").alias("b")), "b").filter("p_partkey < other").select("p_partkey", "other", "similarity")
 
 
 @query()

@@ -16,6 +16,7 @@ from recollect.operators import learning as L
 from recollect.operators import management as M
 from recollect.operators import retrieval as R
 from recollect.operators.components import connected_components
+from recollect.plans.learning import alike_names
 from recollect.sources import store as S
 
 CORPUS = [("doc_tie_a", "cat dog"), ("doc_tie_b", "cat dog"), ("concat", "concatenate strings"), ("upper", "CAT CAT"), ("empty", ""), ("other", "bird")]
@@ -176,3 +177,10 @@ def test_whole_cascade_drops_near_copies(spark):
     assert gone == {"0", "7"}
     assert {r.key for r in M.byte_similar(m.filter(F.col("key").isin(*map(str, texts_left))), block=2).collect()} == gone
     assert {r.key for r in M.deduplicate_whole(m, v).collect()} == {"3", "4", "5", "8"}
+
+
+def test_alike_names_meet_all_pairs(spark):
+    names = ["red widget", "red wigdet", "rde widget", "blue widget", "red widget", "bleu widget", "a", "a", "b", "", None, "hot gear", "hott gear", "gear hot", "red widgets", "ab", "ba"]
+    got = {(r.p_partkey, r.other): r.similarity for r in alike_names(spark.createDataFrame(list(enumerate(names)), "p_partkey long, p_name string")).collect()}
+    want = {(i, j): round(Y.combined(a, b), 9) for i, a in enumerate(names) for j, b in enumerate(names) if i < j and a is not None and b is not None}
+    assert got == {k: s for k, s in want.items() if s >= 0.8} and (0, 2) in got
