@@ -74,6 +74,13 @@ def partition_events(spark, sf_dir):
     return e.select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("offset_"))
 
 
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS offset_ FROM events")
+def partition_events_whole(spark, sf_dir):
+    """The offset of every event in its partition."""
+    e = table(spark, sf_dir, "events")
+    return e.select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("offset_"))
+
+
 @query(f"WITH {MEMORIES} SELECT key, len(regexp_extract_all(value, '[^\\n]*(?:https?://|doi[:.]|\\[[^\\]\\n]+\\])[^\\n]*')) AS refs FROM mem")
 def text_references(spark, sf_dir):
     return memories(spark, sf_dir).select("key", F.size(T.references(F.col("value"))).alias("refs"))

@@ -27,3 +27,10 @@ def test_query(spark, con, name):
 def test_entry(spark):
     assert compare.entry.entry(spark).count() > 0
     assert set(compare.entry.oracle_sql()) <= set(compare.entry.queries())
+
+
+def test_every_event_has_its_offset(spark):
+    events = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
+    users = {r.user_id: r["count"] for r in events.groupBy("user_id").count().collect()}
+    got = plans.QUERIES["partition_events_whole"](spark, "/root/testdata/sf0.01").groupBy("user_id").agg({"offset_": "max", "event_id": "count"}).collect()
+    assert {r.user_id: r["count(event_id)"] for r in got} == users and len(users) > 50 and users == {r.user_id: r["max(offset_)"] for r in got}
