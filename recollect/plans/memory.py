@@ -206,6 +206,14 @@ def dedup_semantic(spark, sf_dir):
     return M.drop_similar(memories(spark, sf_dir), pairs).select("key")
 
 
+@query(f"""WITH {MEMORIES}, v AS (SELECT vec_id::VARCHAR AS k, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.k AS a, b.k AS b FROM v a JOIN v b ON a.k < b.k WHERE list_cosine_similarity(a.e, b.e) > 0.95),
+g AS (SELECT CASE WHEN y.importance > x.importance THEN a ELSE b END AS key FROM p JOIN mem x ON x.key = a JOIN mem y ON y.key = b) SELECT key FROM mem WHERE key NOT IN (SELECT key FROM g)""")
+def dedup_semantic_strict(spark, sf_dir):
+    """As the surveyed system: above 0.95."""
+    pairs = G.similar_pairs(vectors(spark, sf_dir).select("key", "embedding"), 0.95).filter("similarity > 0.95")
+    return M.drop_similar(memories(spark, sf_dir), pairs).select("key")
+
+
 @query(f"""WITH {MEMORIES}, x AS (SELECT key, importance, {hours_sql("last_modified")} / 24 AS age, {hours_sql("last_accessed")} / 24 AS idle FROM mem)
 SELECT key, CASE WHEN importance < 0.1 AND idle > 180 THEN 'delete' WHEN age > 365 AND idle > 90 THEN 'archive' ELSE 'keep' END AS action FROM x""")
 def lifecycle_policies(spark, sf_dir):
