@@ -11,22 +11,21 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 KINDS = {"assign": (ASSIGN, 2, 12), "access": (ACCESS, 0, 18), "hex": (HEX, 0, 16)}
 
-#: Strings worth an entropy test, the window slid over them, and the least bits a character by class. With
-#: windows of 20 no attainable entropy lies within 0.001 of these.
+#: Strings worth an entropy test, and the window slid over them. Of a string that holds a placeholder, only the pieces
+#: between '/' and '=' that hold none are tested. No pattern repeats a group: Java's matcher recurses once a repetition.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+PIECE = r"[A-Za-z0-9+_-]{20,}"
+PLACEHOLDER = r"(?i)(example|placeholder|changeme|your[_-])"
 WINDOW = 20
-BITS = {"hex": 3.01, "letters": 4.11, "mixed": 3.81}
-#: Candidates that are no secrets whatever their entropy: digits alone, placeholders, dashed or underscored words.
-ALLOWED = r"(?i)^([0-9_=-]+|.*(example|placeholder|changeme|your[_-]).*|[a-z]+([_/=-]+[a-z]*)+)$"
-#: For the whole scan: least bits by the class of a candidate's longest piece between '/' and '=', the first class that
-#: holds. Each is what 99 of 100 uniformly random windows of its class reach; digits alone keep the limit above.
+#: What is no secret whatever its entropy: digits alone, and words joined by marks (a letter first, then letters and marks).
+DIGITS, JOINED, MARK = r"^[0-9_=-]+$", r"^[A-Za-z][A-Za-z_/=-]*$", r"[_/=-]"
+#: Least bits a character by the class of a candidate's longest piece between '/' and '=', the first class that holds. Each
+#: is what 99 of 100 uniformly random windows of its class reach, but for digits alone, which read as numbers. With windows
+#: of 20 no attainable entropy lies within 0.0003 of these.
 CLASS_BITS = (
     ("[0-9_-]+", 3.81), ("[0-9a-f_-]+|[0-9A-F_-]+", 2.902), ("[a-z_-]+|[A-Z_-]+", 3.215), ("[A-Za-z_-]+", 3.575),
     ("[a-z0-9_-]+", 3.4), ("[A-Z0-9_-]+", 3.34), (".*", 3.64),
 )
-#: The whole scan's candidates: as above, without the pieces that hold a placeholder; and what it allows of the rest.
-WHOLE_CANDIDATE = r"(?=[A-Za-z0-9+/_=-]{20})(?:(?<![A-Za-z0-9+_-])(?![A-Za-z0-9+_-]*(?i:example|placeholder|changeme|your[_-]))[A-Za-z0-9+_-]++|[/=]++)++"
-WHOLE_ALLOWED = r"(?i)^([0-9_=-]+|[a-z]+([_/=-]+[a-z]*)+)$"
 #: Code points from '+' to 'z' hold every character of a candidate.
 _FIRST, _SLOTS, _UNIT = 43, 80, 1_000_000
 
@@ -35,38 +34,34 @@ def _lit(s: str) -> str:
     return "r'" + s + "'" if "'" not in s else 'r"' + s + '"' if '"' not in s else "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _hits(df: DataFrame, text: str, name: str, pattern: str) -> DataFrame:
-    """Adds {name}: array<struct<h, at>>, what the pattern matches from left to right and the code point where each match starts.
+def hits(text: str, pattern: str) -> str:
+    """SQL: array<struct<h, at>>, what the pattern matches in text from left to right and the code point where each match starts.
 
     A match starts where the pieces and matches before it end; the running sum goes by blocks of 256 so that many
     matches stay cheap. What a lambda uses often is bound to a variable: the optimizer may move a column's
     expression into a lambda, where it would be computed for each element.
     """
     p = _lit(pattern)
-    df = df.withColumn(f"{name}_h", F.expr(f"regexp_extract_all({text}, {p}, 0)"))
     total = lambda a: f"aggregate({a}, 0, (s, x) -> s + x)"
-    steps = f"zip_with(split({text}, {p}, -1), {name}_h, (a, h) -> length(a) + coalesce(length(h), 0))"
+    steps = f"zip_with(split({text}, {p}, -1), hs, (a, h) -> length(a) + coalesce(length(h), 0))"
     blocks = f"transform(sequence(0, size(d) div 256), b -> {total('slice(d, b * 256 + 1, 256)')})"
     upto = f"{total('slice(bs, 1, i div 256)')} + {total('slice(d, (i div 256) * 256 + 1, i % 256 + 1)')}"
-    found = f"transform(array({steps}), d -> transform(array({blocks}), bs -> transform({name}_h, (h, i) -> named_struct('h', h, 'at', {upto} - length(h))))[0])[0]"
+    found = f"transform(array({steps}), d -> transform(array({blocks}), bs -> transform(hs, (h, i) -> named_struct('h', h, 'at', {upto} - length(h))))[0])[0]"
     none = "cast(array() as array<struct<h: string, at: int>>)"
-    return df.withColumn(name, F.expr(f"if(size({name}_h) = 0, {none}, {found})"))
+    return f"transform(array(regexp_extract_all({text}, {p}, 0)), hs -> if(size(hs) = 0, {none}, {found}))[0]"
 
 
-def window_entropy_spans(candidate: str, at: str, window: int = WINDOW, bits: dict = BITS, whole: bool = False) -> str:
+def window_entropy_spans(candidate: str, at: str, window: int = WINDOW, classes: tuple = CLASS_BITS) -> str:
     """SQL: struct(start, end) over the windows of a candidate whose entropy reaches its class's bits, or null.
 
     A fold along the characters keeps the count of each in the window and the sum of c log2 c in millionths, an
     integer, so each step adds one character and takes one away exactly.
     """
     clog = "array(" + ", ".join(f"{round(c * math.log2(c) * _UNIT) if c else 0}L" for c in range(window + 1)) + ")"
-    # entropy = log2(w) - sum / w >= bits  <=>  sum <= (log2(w) - bits) * w
-    most = {k: math.floor((math.log2(window) - b) * window * _UNIT) for k, b in bits.items()}
-    limit = f"CASE WHEN rlike({candidate}, '^[0-9a-fA-F]+$') THEN {most['hex']}L WHEN rlike({candidate}, '^[A-Za-z]+$') THEN {most['letters']}L ELSE {most['mixed']}L END"
-    if whole:
-        longest = f"array_max(transform(split({candidate}, '[/=]+'), q -> named_struct('n', length(q), 'q', q))).q"
-        cases = " ".join(f"WHEN rlike(q, '^({p})$') THEN {math.floor((math.log2(window) - b) * window * _UNIT)}L" for p, b in CLASS_BITS)
-        limit = f"transform(array({longest}), q -> CASE {cases} END)[0]"
+    # entropy = log2(w) - sum / w >= bits  <=>  sum <= (log2(w) - bits) * w; of equally long pieces the class of the last in order counts
+    longest = f"array_max(transform(split({candidate}, '[/=]+'), q -> named_struct('n', length(q), 'q', q))).q"
+    cases = " ".join(f"WHEN rlike(q, '^({p})$') THEN {math.floor((math.log2(window) - b) * window * _UNIT)}L" for p, b in classes)
+    limit = f"transform(array({longest}), q -> CASE {cases} END)[0]"
     code = lambda i: f"ascii(get(cs, {i})) - {_FIRST}"
     into, out = "get(a.n, p.into)", "get(a.n, p.out)"
     change = f"a.s + get(f, {into} + 1) - get(f, {into}) + if(p.out is null, 0L, get(f, {out} - 1 + if(p.out = p.into, 1, 0)) - get(f, {out} + if(p.out = p.into, 1, 0)))"
@@ -81,38 +76,39 @@ def window_entropy_spans(candidate: str, at: str, window: int = WINDOW, bits: di
     return f"transform(array(filter(split({candidate}, ''), x -> x <> '')), cs -> transform(array({clog}), f -> transform(array({limit}), lim -> {fold})[0])[0])[0]"
 
 
-def find_secrets(documents: DataFrame, text: str = "text", out: str = "secrets", whole: bool = False) -> DataFrame:
+def find_secrets(documents: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame:
     """documents with a column `out`: array<struct<start int, ord int, kind string, end int>>, in order.
 
     start and end are code points, end exclusive. Kinds: assign, access, hex by pattern (leftmost, not overlapping
-    within a kind, dropped if too short) and entropy (the windows of a long string that look random, unless the
-    allow-list has it). Null text reads as empty: an empty array. Texts are scanned whole; repeated rows repeat
-    their result; other columns pass through (none may be called `out` or begin with _secret). whole: entropy has a limit
-    for each class, and a placeholder excuses only its own piece of a path; else as the SQL says.
+    within a kind, dropped if too short) and entropy (the windows of a long string that look random for its class of
+    characters, unless the allow-list has it; a placeholder excuses only its own piece of a path). Null text reads as
+    empty: an empty array. Texts are scanned whole, in time about linear in their length; repeated rows repeat their
+    result; an empty table gives no rows; other columns pass through (none may be called `out` or _secret_text).
     """
     df = documents.withColumn("_secret_text", F.coalesce(F.col(text), F.lit("")))
     found, none = [], "cast(array() as array<struct<start: int, ord: int, kind: string, end: int>>)"
     for ord_, (kind, (pattern, group, least)) in enumerate(KINDS.items()):
         name = f"_secret_{kind}"
-        df = _hits(df, "_secret_text", name, pattern)
-        value = f"regexp_extract_all(_secret_text, {_lit(pattern)}, {group})" if group else f"{name}_h"
+        df = df.withColumn(name, F.expr(hits("_secret_text", pattern)))
+        value = f"regexp_extract_all(_secret_text, {_lit(pattern)}, {group})" if group else f"transform({name}, x -> x.h)"
         spans = f"zip_with({name}, {value}, (x, v) -> if(length(v) >= {least}, named_struct('start', x.at, 'ord', {ord_}, 'kind', '{kind}', 'end', x.at + length(x.h)), null))"
-        found.append(f"if(size({name}_h) = 0, {none}, filter({spans}, x -> x is not null))")
-    df = _hits(df, "_secret_text", "_secret_word", WHOLE_CANDIDATE if whole else CANDIDATE)
-    excused = f"length(x.h) < {WINDOW} OR rlike(x.h, {_lit(WHOLE_ALLOWED)})" if whole else f"rlike(x.h, {_lit(ALLOWED)})"
-    entropy = f"filter(transform(_secret_word, x -> if({excused}, null, {window_entropy_spans('x.h', 'x.at', whole=whole)})), x -> x is not null)"
-    found.append(f"if(size(_secret_word_h) = 0, {none}, transform({entropy}, e -> named_struct('start', e.start, 'ord', {len(KINDS)}, 'kind', 'entropy', 'end', e.end)))")
-    own = [c for c in documents.columns]
-    return df.select(*(F.col(f"`{c}`") for c in own), F.expr(f"array_sort(concat({', '.join(found)}))").alias(out))
+        found.append(f"if(size({name}) = 0, {none}, filter({spans}, x -> x is not null))")
+    df = df.withColumn("_secret_run", F.expr(hits("_secret_text", CANDIDATE)))
+    pieces = f"transform(filter({hits('x.h', PIECE)}, y -> NOT rlike(y.h, {_lit(PLACEHOLDER)})), y -> named_struct('h', y.h, 'at', x.at + y.at))"
+    words = f"flatten(transform(_secret_run, x -> if(rlike(x.h, {_lit(PLACEHOLDER)}), {pieces}, array(x))))"
+    excused = f"rlike(x.h, {_lit(DIGITS)}) OR (rlike(x.h, {_lit(JOINED)}) AND rlike(x.h, {_lit(MARK)}))"
+    entropy = f"filter(transform({words}, x -> if({excused}, null, {window_entropy_spans('x.h', 'x.at')})), x -> x is not null)"
+    found.append(f"if(size(_secret_run) = 0, {none}, transform({entropy}, e -> named_struct('start', e.start, 'ord', {len(KINDS)}, 'kind', 'entropy', 'end', e.end)))")
+    return df.select(*(F.col(f"`{c}`") for c in documents.columns), F.expr(f"array_sort(concat({', '.join(found)}))").alias(out))
 
 
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def secret_report(documents: DataFrame, whole: bool = False) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document."""
-    df = find_secrets(documents.select("doc_id", "text"), whole=whole)
+def secret_report(documents: DataFrame) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_entropy of every row; nulls, repeats and empty tables as in find_secrets."""
+    df = find_secrets(documents.select("doc_id", "text"))
     n = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("secrets", lambda x: x["kind"] != "entropy")
     return df.select("doc_id", *map(n, KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"), n("entropy"))
@@ -120,7 +116,7 @@ def secret_report(documents: DataFrame, whole: bool = False) -> DataFrame:
 
 def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """documents with every secret in text replaced by mark (overlapping spans by one), n_chars made to fit; null text stays null."""
-    df = find_secrets(documents, out="_secret_spans", whole=True)
+    df = find_secrets(documents, out="_secret_spans")
     cut = (
         "aggregate(_secret_spans, named_struct('out', '', 'at', 0), (a, x) -> named_struct("
         f"'out', if(x.start >= a.at AND (a.at = 0 OR x.start > a.at OR a.out = ''), concat(a.out, substring(text, a.at + 1, x.start - a.at), '{mark}'), a.out), "
@@ -143,16 +139,20 @@ def _oracle() -> str:
         x = _oracle_kind(kind, pattern, "regexp_extract_all(t, '{p}', " + str(group) + ")", o, least)
         parts.append(f"SELECT doc_id, rid, ord, kind, i, h, s FROM ({x}) WHERE length(v[i]) >= {least}")
     words = _oracle_kind("entropy", CANDIDATE, "NULL", 3, 0)
-    allowed = ALLOWED.replace("'", "''")
+    q = lambda p: p.replace("'", "''")
+    pieces = _oracle_kind("entropy", PIECE, "NULL", 3, 0).replace("FROM d WHERE", "FROM (SELECT rid, st, x AS t, NULL AS doc_id FROM c WHERE odd) WHERE").replace("doc_id, rid,", "doc_id, rid, st,")
     at = "list_sum(list_transform(s[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0)::BIGINT"
     w = WINDOW
+    longest = "list_max(list_transform(regexp_split_to_array(x, '[/=]+'), lambda p: {'n': length(p), 'q': p})).q"
+    least = " ".join(f"WHEN regexp_full_match({longest}, '{p}') THEN {b}" for p, b in CLASS_BITS)
     return f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents),
 b AS ({" UNION ALL ".join(parts)}),
 base AS (SELECT rid, ord, kind, {at} AS st, {at} + length(h[i]) AS en FROM b),
-c AS (SELECT rid, h[i] AS x, {at} AS st FROM ({words}) WHERE NOT regexp_full_match(h[i], '{allowed}')),
-e AS (SELECT rid, st, CASE WHEN regexp_full_match(x, '[0-9a-fA-F]+') THEN {BITS["hex"]} WHEN regexp_full_match(x, '[A-Za-z]+') THEN {BITS["letters"]} ELSE {BITS["mixed"]} END AS least,
-  x, unnest(range(0, length(x) - {w - 1})) AS o FROM c),
+c AS (SELECT rid, h[i] AS x, {at} AS st, regexp_matches(h[i], '{q(PLACEHOLDER)}') AS odd FROM ({words})),
+k AS (SELECT rid, x, st FROM c WHERE NOT odd UNION ALL SELECT rid, h[i] AS x, st + {at} AS st FROM ({pieces}) WHERE NOT regexp_matches(h[i], '{q(PLACEHOLDER)}')),
+e AS (SELECT rid, st, x, CASE {least} END AS least, unnest(range(0, length(x) - {w - 1})) AS o FROM k
+  WHERE NOT regexp_matches(x, '{q(DIGITS)}') AND NOT (regexp_matches(x, '{q(JOINED)}') AND regexp_matches(x, '{q(MARK)}'))),
 g AS (SELECT rid, st, min(o) AS lo, max(o) AS hi FROM e WHERE list_aggregate(string_split(substr(x, o + 1, {w}), ''), 'entropy') >= least GROUP BY rid, st),
 every AS (SELECT rid, ord, kind, st, en FROM base UNION ALL SELECT rid, 3, 'entropy', st + lo, st + hi + {w} FROM g),
 r AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
