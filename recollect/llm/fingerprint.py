@@ -1,62 +1,65 @@
-"""Document fingerprints: homomorphic hashes of multisets of paragraphs, summed lane by lane modulo powers of two."""
+"""Document fingerprints: homomorphic hashes of multisets of paragraphs, wide vectors summed lane by lane modulo 2**32."""
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.session import materialize
 
-#: Lanes summed modulo 2**16 that tell multisets of paragraphs apart, and lanes modulo 2**32 whose signs carry likeness.
-EQUAL, SIGNS = 16, 64
-_HALF = 32
-_PAIR = 0x100000001
+#: Lanes that tell multisets of paragraphs apart, and lanes that carry likeness. All are sums modulo 2**32.
+EQUAL, NEAR = 8, 128
+LANES = EQUAL + NEAR
+_LOW = 0xFFFFFFFF
+#: Rows that repeat are written so many to a step.
+_STEP = 4096
 
 
-def _units(text: Column) -> Column:
-    """array<struct<unit, para>> of a text: each pair of neighbouring words in a paragraph (its only word, if it has one);
-    para is the paragraph itself on its first unit, else null."""
-    paragraphs = F.filter(F.split(text, r"\n"), lambda p: p != "")
+def _vectors(text: Column, first: int = 0) -> Column:
+    """array<struct<lane, s>>: the paragraphs' vectors, entry by entry, lanes counted from `first`.
 
-    def units(p: Column) -> Column:
-        words = F.filter(F.split(p, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-        pairs = F.when(F.size(words) < 2, F.array(p)).otherwise(
-            F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
-        )
-        return F.transform(pairs, lambda u, i: F.struct(u.alias("unit"), F.when(i == 0, p).alias("para")))
+    A paragraph (a line that is not empty) adds 32 bits of its hashes to each EQUAL lane; and, for each pair of its
+    neighbouring words (for itself, if it has fewer than two), +1 or -1 to the NEAR lane that the pair's hash names.
+    """
+
+    def vector(p: Column) -> Column:
+        whole = [F.xxhash64(F.lit(k), p) for k in range(1, EQUAL // 2 + 1)]
+        equal = F.array(*(F.struct(F.lit(first + 2 * k + j).alias("lane"), (F.shiftrightunsigned(h, 32) if j else h.bitwiseAND(_LOW)).alias("s")) for k, h in enumerate(whole) for j in (0, 1)))
+        words = F.transform(F.filter(F.split(p, r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+        pairs = F.when(F.size(words) < 2, F.array(F.xxhash64(p))).otherwise(F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.xxhash64(a, b)))
+        near = F.transform(pairs, lambda h: F.struct((F.lit(first + EQUAL) + h.bitwiseAND(NEAR - 1)).cast("int").alias("lane"), (1 - F.shiftrightunsigned(h, 31).bitwiseAND(2)).alias("s")))
+        return F.concat(equal, near)
 
-    return F.flatten(F.transform(paragraphs, units))
+    return F.flatten(F.transform(F.filter(F.split(text, r"\n"), lambda p: p != ""), vector))
 
 
-def multiset_lanes(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys, equal (EQUAL sums), signs (SIGNS sums), one row for each distinct keys of df, which may repeat no text.
+def multiset_lanes(df: DataFrame, keys: list[str], texts: list[str]) -> DataFrame:
+    """keys, and for each of texts the LANES sums over its paragraphs as {text}_lanes, array<long>; one row for each distinct keys, which may repeat no texts.
 
-    A paragraph adds, to each equal lane, 16 bits of its hashes and, by each pair of its words, +1 or -1 to each sign
-    lane. Sums don't depend on order, and combine() adds or removes paragraphs. Texts without a paragraph sum to 0.
+    Sums don't depend on order, and combine() adds or removes paragraphs. Texts without a paragraph sum to 0.
     """
-    rows = df.select(*keys, F.explode_outer(_units(F.col(text))).alias("u")).select(*keys, "u.unit", "u.para")
-    rows = rows.select(*keys, "para", F.xxhash64(F.lit(0), "unit").alias("h"), F.col("unit").isNotNull().cast("long").alias("one"))
-    rows = rows.select(*keys, "h", "one", *(F.when(F.col("para").isNotNull(), F.xxhash64(F.lit(k), "para")).otherwise(F.lit(0)).alias(f"p{k}") for k in range(1, EQUAL // 4 + 1)))
-    equal = [F.sum(F.shiftrightunsigned(f"p{k}", 16 * j).bitwiseAND(0xFFFF)).alias(f"e{4 * (k - 1) + j}") for k in range(1, EQUAL // 4 + 1) for j in range(4)]
-    # lanes i and i + 32 in the halves of one sum, which a text of under four thousand million units can't overflow
-    pairs = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(_PAIR) * F.col("one")).alias(f"s{i}") for i in range(_HALF)]
-    sums = rows.groupBy(*keys).agg(F.sum("one").alias("units"), *equal, *pairs)
-    low = [F.col(f"s{i}").bitwiseAND(0xFFFFFFFF) * 2 - F.col("units") for i in range(_HALF)]
-    high = [F.shiftrightunsigned(f"s{i}", 32) * 2 - F.col("units") for i in range(_HALF)]
-    return sums.select(*keys, F.array(*(F.col(f"e{k}").bitwiseAND(0xFFFF) for k in range(EQUAL))).cast("array<int>").alias("equal"), F.array(*low, *high).cast("array<int>").alias("signs"))
-
-
-def combine(a: Column, b: Column, sign: int = 1, bits: int = 16) -> Column:
+    entries = F.concat(*(_vectors(F.col(t), LANES * k) for k, t in enumerate(texts)))
+    rows = df.select(*keys, F.explode_outer(entries).alias("_e")).select(*keys, "_e.lane", "_e.s")
+    sums = rows.groupBy(*keys, "lane").agg(F.sum("s").bitwiseAND(_LOW).alias("s"))
+    found = sums.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.when(F.col("lane").isNotNull(), F.struct("lane", "s")))).alias("_m"))
+    lanes = lambda k: F.expr(f"transform(array(_m), m -> transform(sequence({LANES * k}, {LANES * (k + 1) - 1}), i -> coalesce(try_element_at(m, i), 0L)))[0]")
+    return found.select(*keys, *(lanes(k).alias(f"{t}_lanes") for k, t in enumerate(texts)))
+
+
+def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """Lanes of the union of two multisets (sign 1), or of a without b (sign -1)."""
-    return F.zip_with(a, b, lambda x, y: (x + y * sign).bitwiseAND((1 << bits) - 1))
+    return F.zip_with(a, b, lambda x, y: (x + y * sign).bitwiseAND(_LOW))
 
 
-def as_text(equal: Column, signs: Column) -> Column:
-    """4 hex digits for each equal lane, then 8 for each sign lane."""
-    digits = lambda a, n: F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x.bitwiseAND((1 << (4 * n)) - 1)), n, "0")), "")
-    return F.lower(F.concat(digits(equal, 4), digits(signs, 8)))
+def as_text(lanes: Column) -> Column:
+    """8 hex digits for each lane."""
+    return F.lower(F.array_join(F.transform(lanes, lambda x: F.lpad(F.hex(x), 8, "0")), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Cosine of the sign lanes, 0 at least: an estimate of that of the counts of word pairs, off by 1/8 or so. Equal lanes give 1."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
+    """1 where all lanes are equal; else the cosine of the NEAR lanes, 0 at least, read as signed numbers.
+
+    It estimates the cosine of the counts of word pairs, off by about 1 / sqrt(NEAR), 0.09.
+    """
+    signed = lambda v: F.transform(F.slice(v, EQUAL + 1, NEAR), lambda x: F.when(x > 0x7FFFFFFF, x - (_LOW + 1)).otherwise(x).cast("double"))
+    dot = lambda x, y: F.aggregate(F.zip_with(signed(x), signed(y), lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a) * dot(b, b))
     return F.when(a == b, 1.0).when(norm == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(a, b) / norm)))
 
@@ -83,35 +86,29 @@ def fingerprint_documents(documents: DataFrame) -> DataFrame:
     The edited text is the first n - floor(n/2) code points followed by the first floor(n/2) of the next document's.
     Null texts are empty. Documents stand by doc_id, null first; of rows with one doc_id, different texts are different
     documents in an order fixed by a hash, and repeated rows are one document whose result repeats. A lone document is
-    its own next. Two empty texts have likeness 1, an empty and another 0. An empty table gives no rows.
+    its own next. Two empty texts have likeness 1, an empty and another 0. An empty table gives no rows. Other columns
+    are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    # the last bit of th says that there is no id; both joins below read the same three columns, so texts are shuffled once
+    # the last bit of th says that there is no id
     th = F.xxhash64(text).bitwiseAND(-2).bitwiseOR(F.col("doc_id").isNull().cast("long"))
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), th.alias("th"), text.alias("text"))
     order = materialize(next_keys(docs.select("id", "th", F.length("text").alias("n")).distinct()), "fingerprint-next")
+    # rows that repeat meet before they are shuffled; both joins below share that one exchange of texts
+    once = docs.groupBy("id", "th").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     heads = order.select(F.col("next_id").alias("id"), F.col("next_th").alias("th"), F.col("id").alias("to_id"), F.col("th").alias("to_th"), F.expr("n div 2").alias("half"))
-    own = Window.partitionBy("id", "th")
-    copy = F.row_number().over(own.orderBy("id"))
-    heads = docs.join(heads, ["id", "th"]).withColumn("copy", copy).filter("copy = 1").select(F.col("to_id").alias("id"), F.col("to_th").alias("th"), F.expr("left(text, half)").alias("head"))
-    both = docs.join(heads, ["id", "th"]).withColumn("copies", F.count(F.lit(1)).over(own)).withColumn("copy", copy).filter("copy = 1")
-    both = both.withColumn("n", F.length("text")).withColumn("edited", F.expr("concat(left(text, n - n div 2), head)"))
-    sha = F.when(F.col("v.edited"), F.sha2("v.text", 256))
-    versions = both.select("id", "th", F.explode(F.array(F.struct(F.lit(False).alias("edited"), F.col("text").alias("text")), F.struct(F.lit(True).alias("edited"), F.col("edited").alias("text")))).alias("v"), "n", "copies")
-    versions = versions.select("id", "th", "n", "copies", F.col("v.edited").alias("edited"), sha.alias("sha"), F.col("v.text").alias("text"))
-    lanes = multiset_lanes(versions, ["id", "th", "n", "copies", "edited", "sha"], "text")
-    # both versions of a document stand in one partition already
-    pick = lambda c, edited: F.first(F.when(F.col("edited") == edited, F.col(c)), ignorenulls=True)
-    whole = lanes.groupBy("id", "th").agg(
-        F.first("n").alias("n"), F.first("copies").alias("copies"), pick("sha", True).alias("edited_sha256"),
-        *(pick(c, e).alias(f"edited_{c}" if e else c) for c in ("equal", "signs") for e in (False, True)),
-    )
-    whole = materialize(whole, "fingerprint-lanes")
-    after = order.select("id", "th", "next_id", "next_th").join(whole.select(F.col("id").alias("next_id"), F.col("th").alias("next_th"), F.col("signs").alias("next_signs")), ["next_id", "next_th"])
-    whole = whole.join(after.select("id", "th", "next_signs"), ["id", "th"])
+    heads = once.join(heads, ["id", "th"]).select(F.col("to_id").alias("id"), F.col("to_th").alias("th"), F.expr("left(text, half)").alias("head"))
+    both = once.join(heads, ["id", "th"]).withColumn("n", F.length("text")).withColumn("edited", F.expr("concat(left(text, n - n div 2), head)"))
+    keys = ["id", "th", "n", "copies", "sha"]
+    whole = materialize(multiset_lanes(both.withColumn("sha", F.unhex(F.sha2("edited", 256))), keys, ["text", "edited"]), "fingerprint-lanes")
+    after = order.select("id", "th", "next_id", "next_th").join(whole.select(F.col("id").alias("next_id"), F.col("th").alias("next_th"), F.col("text_lanes").alias("next_lanes")), ["next_id", "next_th"])
+    whole = whole.join(after.select("id", "th", "next_lanes"), ["id", "th"])
     whole = whole.select(
-        F.when(F.col("th").bitwiseAND(1) == 0, F.col("id")).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), "edited_sha256", as_text(F.col("equal"), F.col("signs")).alias("fingerprint"),
-        as_text(F.col("edited_equal"), F.col("edited_signs")).alias("edited_fingerprint"),
-        likeness(F.col("signs"), F.col("edited_signs")).alias("near_edited"), likeness(F.col("signs"), F.col("next_signs")).alias("near_next"), "copies",
+        F.when(F.col("th").bitwiseAND(1) == 0, F.col("id")).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), F.lower(F.hex("sha")).alias("edited_sha256"),
+        as_text(F.col("text_lanes")).alias("fingerprint"), as_text(F.col("edited_lanes")).alias("edited_fingerprint"),
+        likeness(F.col("text_lanes"), F.col("edited_lanes")).alias("near_edited"), likeness(F.col("text_lanes"), F.col("next_lanes")).alias("near_next"), "copies",
     )
-    return whole.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies")
+    # a row that repeats often is spread before it is written
+    many = whole.filter("copies > 1").withColumn("_at", F.explode(F.expr(f"sequence(0L, (copies - 1) div {_STEP})"))).repartition("doc_id", "_at")
+    many = many.withColumn("_i", F.explode(F.expr(f"sequence(1L, least({_STEP}L, copies - _at * {_STEP}))"))).drop("_at", "_i")
+    return whole.filter("copies = 1").unionByName(many).drop("copies")

@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 
 from recollect.llm import ann, bpe, chat, fingerprint, language, mixing, ngram_join, quality, secrets, toxicity
@@ -458,9 +459,52 @@ def test_fingerprints_meet_their_texts(spark):
     assert twice.count() == 2 * len(texts) + 1
 
 
+def _plain_lanes(text):
+    """The lanes by the definition: XXH64 as Spark seeds it (42, then each value's hash seeds the next)."""
+    x = lambda b, seed=42: xxhash.xxh64_intdigest(b, seed)
+    lanes = [0] * fingerprint.LANES
+    for p in filter(None, text.split("\n")):
+        for k in range(1, fingerprint.EQUAL // 2 + 1):
+            h = x(p.encode(), x(struct.pack("<i", k)))
+            lanes[2 * k - 2] += h & 0xFFFFFFFF
+            lanes[2 * k - 1] += h >> 32
+        w = [x(v.encode()) for v in re.split(r"[\x20\x09-\x0D]+", p) if v]
+        for h in [x(p.encode())] if len(w) < 2 else [x(struct.pack("<Q", b), x(struct.pack("<Q", a))) for a, b in zip(w, w[1:])]:
+            lanes[fingerprint.EQUAL + h % fingerprint.NEAR] += 1 - (h >> 31 & 2)
+    return [v % 2**32 for v in lanes]
+
+
+def _plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    x, y = (np.array(v[fingerprint.EQUAL :], np.uint32).astype(np.int32).astype(float) for v in (a, b))
+    norm = math.sqrt((x @ x) * (y @ y))
+    return max(0.0, min(1.0, x @ y / norm)) if norm else 0.0
+
+
+def test_every_fingerprint_column_meets_brute_force(spark):
+    texts = [*ODD, "one line\nanother line\nthird", "third\none line\nanother line", words(40, 4), "\n".join(words(30, i) for i in range(20)), "\n".join(words(30, i) for i in range(5, 25)), "  \n \nx", words(2000, 9)]
+    got = sorted(fingerprint.fingerprint_documents(table(spark, texts)).collect(), key=lambda r: r.doc_id)
+    plain = [t or "" for t in texts]
+    edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(plain, plain[1:] + plain[:1])]
+    lanes, other = [_plain_lanes(t) for t in plain], [_plain_lanes(t) for t in edited]
+    text = lambda v: "".join(f"{x:08x}" for x in v)
+    for i, r in enumerate(got):
+        assert (r.fingerprint, r.edited_fingerprint) == (text(lanes[i]), text(other[i])), i
+        assert math.isclose(r.near_edited, _plain_likeness(lanes[i], other[i]), abs_tol=1e-9)
+        assert math.isclose(r.near_next, _plain_likeness(lanes[i], lanes[(i + 1) % len(texts)]), abs_tol=1e-9)
+
+
 def test_fingerprints_add_and_take_away(spark):
-    rows = [(1, "first paragraph here"), (2, "second one"), (3, "first paragraph here\nsecond one")]
-    f = {r.k: r for r in fingerprint.multiset_lanes(spark.createDataFrame(rows, "k long, t string"), ["k"], "t").collect()}
-    one = spark.createDataFrame([(f[1].equal, f[2].equal, f[3].equal)], "a array<int>, b array<int>, c array<int>")
-    r = one.select(fingerprint.combine(F.col("a"), F.col("b")).alias("sum"), fingerprint.combine(F.col("c"), F.col("b"), -1).alias("less")).first()
-    assert r["sum"] == f[3].equal and r["less"] == f[1].equal
+    a, b = "first paragraph here\nand more of it", "second one\nit is\nso"
+    rows = [(1, a), (2, b), (3, b + "\n" + a)]
+    f = {r.k: r.t_lanes for r in fingerprint.multiset_lanes(spark.createDataFrame(rows, "k long, t string"), ["k"], ["t"]).collect()}
+    one = spark.createDataFrame([(f[1], f[2], f[3])], "a array<long>, b array<long>, c array<long>")
+    added, less = fingerprint.combine(F.col("a"), F.col("b")), fingerprint.combine(F.col("c"), F.col("b"), -1)
+    r = one.select(added.alias("sum"), less.alias("less"), fingerprint.likeness(added, F.col("c")).alias("near")).first()
+    assert r["sum"] == f[3] and r["less"] == f[1] and r["near"] == 1.0
+
+
+def test_a_row_that_repeats_often_repeats_its_result(spark):
+    docs = spark.createDataFrame([(None, None)], "doc_id long, text string").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(10_000)))).unionByName(spark.createDataFrame([(5, "a b c", 0)], "doc_id long, text string, i int"))
+    assert [tuple(r) for r in fingerprint.fingerprint_documents(docs).groupBy("doc_id", "n_chars").count().orderBy("doc_id").collect()] == [(None, 0, 10_000), (5, 5, 1)]
