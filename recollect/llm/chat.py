@@ -14,55 +14,52 @@ def _lanes(*cols: Column) -> list[Column]:
     return [h.alias(k) for k, h in zip(LANES, (one.bitwiseAND(_LOW), F.shiftrightunsigned(one, 32), two.bitwiseAND(_LOW), F.shiftrightunsigned(two, 32)), strict=True)]
 
 
-def _same(a: DataFrame, b: DataFrame, *keys: str) -> Column:
-    on = a[keys[0]].eqNullSafe(b[keys[0]])
-    for k in keys[1:]:
-        on &= a[k].eqNullSafe(b[k])
-    return on
-
-
-def numbered_turns(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """conv_id, turn, role, text, pos (from 1), n_turns.
-
-    Turns stand in order of turn (nulls first), then role, then text; rows that repeat one exactly count once.
-    Null conv_id is an id like any other. Ranks are made within (conversation, chunk of turn numbers) and shifted
-    by the chunks before, so a conversation with a third of all rows is spread over many tasks.
+def ranked_turns(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """_k, turn, role, text, _rank: turns numbered from 1 within _k, struct<id struct<conv_id>, c, role, start>.
+
+    Turns stand in order of turn (nulls first), then role, then text; rows that repeat one exactly count once. _k is a
+    conversation's chunk of turn numbers, or, of turns without a number, those of one role that begin alike; chunks
+    ascend as their turns do, so a conversation with a third of all rows is spread over many tasks. A chunk is one
+    task's: turn numbers that repeat with different texts are expected to be few. Structs hold nulls but are none, so
+    that a null conv_id is an id like any other. This is the one exchange that texts go through.
     """
-    t = conversations.select("conv_id", "turn", "role", "text", F.floor(F.col("turn") / chunk).alias("_chunk"))
-    w = Window.partitionBy("conv_id", "_chunk").orderBy(F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text"))
+    unnumbered = lambda c: F.when(F.col("turn").isNull(), c)
+    key = F.struct(F.struct("conv_id").alias("id"), F.floor(F.col("turn") / chunk).alias("c"), unnumbered(F.col("role")).alias("role"), unnumbered(F.left("text", F.lit(2))).alias("start"))
+    t = conversations.select(key.alias("_k"), "turn", "role", "text")
+    w = Window.partitionBy("_k").orderBy(F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text"))
     this = F.struct("turn", "role", "text")
     before = F.lag(this).over(w)
     t = t.withColumn("_again", before.isNotNull() & before.eqNullSafe(this)).filter(~F.col("_again")).drop("_again")
-    t = t.withColumn("_rank", F.row_number().over(w))
-    by_chunk = t.groupBy("conv_id", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    whole = Window.partitionBy("conv_id")
-    run = whole.orderBy(F.asc_nulls_first("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
-    by_chunk = by_chunk.select(
-        F.col("conv_id").alias("_c"), F.col("_chunk").alias("_k"),
-        F.coalesce(F.sum("_n").over(run), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("n_turns"),
-    )
-    on = t["conv_id"].eqNullSafe(by_chunk["_c"]) & t["_chunk"].eqNullSafe(by_chunk["_k"])
-    return t.join(by_chunk, on).select("conv_id", "turn", "role", "text", "_chunk", (F.col("_rank") + F.col("_before")).alias("pos"), "n_turns")
-
-
-def prefix_hashes(turns: DataFrame) -> DataFrame:
-    """conv_id, pos, n_turns and the rolling hash k0..k3 of turns 1..pos: sums of hashes keyed by position, modulo 2**32."""
-    h = turns.select("conv_id", "_chunk", "pos", "n_turns", *_lanes(F.col("pos"), F.col("role"), F.col("text")))
-    by_chunk = h.groupBy("conv_id", "_chunk").agg(*(F.sum(k).alias(k) for k in LANES))
-    run = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
-    by_chunk = by_chunk.select(F.col("conv_id").alias("_c"), F.col("_chunk").alias("_k"), *(F.coalesce(F.sum(k).over(run), F.lit(0)).alias(f"_{k}") for k in LANES))
-    inside = Window.partitionBy("conv_id", "_chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    h = h.select("conv_id", "_chunk", "pos", "n_turns", *(F.sum(k).over(inside).alias(k) for k in LANES))
-    on = h["conv_id"].eqNullSafe(by_chunk["_c"]) & h["_chunk"].eqNullSafe(by_chunk["_k"])
-    return h.join(by_chunk, on).select("conv_id", "pos", "n_turns", *((F.col(k) + F.col(f"_{k}")).bitwiseAND(_LOW).alias(k) for k in LANES))
-
-
-def maximal_conversations(turns: DataFrame) -> DataFrame:
-    """conv_id, n_copies of the conversations that are no proper prefix of another; of equal ones the smallest id stays."""
-    p = prefix_hashes(turns)
-    whole = p.filter("pos = n_turns").groupBy("pos", *LANES).agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_copies"))
-    inner = p.filter("pos < n_turns").select("pos", *LANES).distinct()
-    return whole.join(inner, ["pos", *LANES], "left_anti").select("conv_id", "n_copies")
+    return t.withColumn("_rank", F.row_number().over(w))
+
+
+def chunk_totals(ranked: DataFrame) -> DataFrame:
+    """_k, _before, n_turns: of each chunk, the turns before it, and its conversation's turns."""
+    sizes = ranked.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy("_k.id")
+    run = whole.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select("_k", F.coalesce(F.sum("_n").over(run), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("n_turns"))
+
+
+def prefix_hashes(ranked: DataFrame, totals: DataFrame) -> DataFrame:
+    """_id, pos, n_turns, k0, k1 (two longs): the rolling hash of turns 1..pos, sums modulo 2**32 of hashes keyed by position."""
+    h = ranked.join(totals, "_k").withColumn("pos", F.col("_rank") + F.col("_before")).select("_k", "pos", "n_turns", *_lanes(F.col("pos"), F.col("role"), F.col("text")))
+    inside = Window.partitionBy("_k").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    h = h.select("_k", "pos", "n_turns", *(F.sum(k).over(inside).alias(k) for k in LANES))
+    by_chunk = h.groupBy("_k").agg(*(F.max(k).alias(f"_{k}") for k in LANES))
+    run = Window.partitionBy("_k.id").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    by_chunk = by_chunk.select("_k", *(F.coalesce(F.sum(f"_{k}").over(run), F.lit(0)).alias(f"_{k}") for k in LANES))
+    lane = lambda k: (F.col(k) + F.col(f"_{k}")).bitwiseAND(_LOW)
+    two = [F.shiftleft(lane(a), 32).bitwiseOR(lane(b)).alias(c) for a, b, c in (("k0", "k1", "k0"), ("k2", "k3", "k1"))]
+    return h.join(by_chunk, "_k").select(F.col("_k.id").alias("_id"), "pos", "n_turns", *two)
+
+
+def maximal_conversations(prefixes: DataFrame) -> DataFrame:
+    """_id, n_copies of the conversations that are no proper prefix of another; of equal ones the smallest id stays, null last."""
+    p = prefixes
+    whole = p.filter("pos = n_turns").groupBy("pos", "k0", "k1").agg(F.min("_id.conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_copies"))
+    inner = p.filter("pos < n_turns").select("pos", "k0", "k1").distinct()
+    return whole.join(inner, ["pos", "k0", "k1"], "left_anti").select(F.struct("conv_id").alias("_id"), "n_copies")
 
 
 def render(role: Column, text: Column) -> Column:
@@ -71,17 +68,20 @@ def render(role: Column, text: Column) -> Column:
     return F.concat(F.lit("<|"), F.coalesce(role, F.lit("unknown")), F.lit("|>\n"), inert, F.lit("<|end|>\n"))
 
 
-def format_chats(conversations: DataFrame) -> DataFrame:
+def format_chats(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """The rendered turns of maximal conversations: conv_id, pos, n_turns, n_copies, role, rendered.
 
     Needs columns conv_id, turn, role, text; others are ignored. A snapshot that is a prefix of a longer
     conversation, or equal to one with a smaller id, goes. Null role reads "unknown", null text is empty; a turn
     with a null text differs from one with an empty text. An empty table gives no rows. One row a turn: no
-    conversation is gathered into one task.
+    conversation is gathered into one task. Texts are shuffled once, by chunk; all else carries hashes and counts.
     """
-    turns = numbered_turns(conversations)
-    kept = maximal_conversations(turns).withColumnRenamed("conv_id", "_c")
-    return turns.join(kept, turns["conv_id"].eqNullSafe(kept["_c"])).select("conv_id", "pos", "n_turns", "n_copies", "role", render(F.col("role"), F.col("text")).alias("rendered"))
+    ranked = ranked_turns(conversations, chunk)
+    totals = chunk_totals(ranked)
+    kept = maximal_conversations(prefix_hashes(ranked, totals))
+    chunks = totals.withColumn("_id", F.col("_k.id")).join(kept, "_id").select("_k", "_before", "n_turns", "n_copies")
+    rows = ranked.join(chunks, "_k").withColumn("pos", F.col("_rank") + F.col("_before"))
+    return rows.select(F.col("_k.id.conv_id").alias("conv_id"), "pos", "n_turns", "n_copies", "role", render(F.col("role"), F.col("text")).alias("rendered"))
 
 
 ORACLE = """

@@ -325,6 +325,17 @@ def test_chats_meet_a_plain_collapse(spark):
     assert chat.format_chats(df.limit(0)).collect() == []
 
 
+def test_turns_without_numbers_and_small_chunks(spark):
+    rows = [(None, None, r, x) for r in ("user", None, "assistant") for x in ("aa1", "ab2", None, "aa1", "", "b")] + [(7, t, "user", f"m{t}") for t in range(9)] + [(8, t, "user", f"m{t - 4}") for t in range(4, 10)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    null_first = lambda v: (v is not None, v or "")
+    for chunk in (2, 256):
+        got = [(r.conv_id, r.pos, r.n_turns, r.role, r.rendered) for r in chat.format_chats(df, chunk).collect()]
+        want = sorted({r[2:] for r in rows if r[0] is None}, key=lambda r: tuple(map(null_first, r)))
+        assert [(r, x) for c, _, _, r, x in sorted((g for g in got if g[0] is None), key=lambda g: g[1])] == [(r, f"<|{r or 'unknown'}|>\n{x or ''}<|end|>\n") for r, x in want]
+        assert {g[0] for g in got} == {None, 7} and {g[2] for g in got if g[0] == 7} == {9}  # 8 is a prefix of 7 with other numbers
+
+
 # 7. quality
 
 
