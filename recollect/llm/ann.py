@@ -88,7 +88,7 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 10, block: int = B
         best = heapq.nsmallest(k, zip(g["score"].tolist(), g["vec_id"].tolist(), strict=True))
         return pd.DataFrame([(int(g["query_id"].iloc[0]), i, x, d) for i, (d, x) in enumerate(best, start=1)], columns=["query_id", "rank", "vec_id", "score"])
 
-    return tiles.groupBy("h").applyInPandas(merge, "query_id long, rank int, vec_id long, score double")
+    return tiles.groupBy("query_id", "h").applyInPandas(merge, "query_id long, rank int, vec_id long, score double")
 
 
 ORACLE = """

@@ -208,11 +208,14 @@ def held_out():
 
 
 def sample_rows(documents: DataFrame, each: int = SAMPLE) -> list[tuple[str, str]]:
-    """(text, lang) of at most `each` documents of each language, those with the smallest hash of doc_id; none is held out."""
+    """(text, lang) of at most `each` documents of each language, those with the smallest hash of doc_id; none is held out.
+
+    Of rows that share doc_id and lang the least text counts, so that rows are bounded as ids are.
+    """
     ids = documents.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang")
     ids = bounded_ids(ids.withColumnRenamed("lang", "_label"), each).withColumnRenamed("_label", "_lang")
-    rows = documents.select("doc_id", "text", "lang").filter(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id").filter("lang = _lang").toPandas()
-    rows = rows.sort_values(["doc_id", "lang", "text"])
+    rows = documents.select("doc_id", "text", "lang").filter(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id").filter("lang = _lang").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).toPandas()
+    rows = rows.sort_values(["doc_id", "lang"])
     return list(zip(rows["text"].tolist(), rows["lang"].tolist(), strict=True))
 
 
@@ -221,7 +224,8 @@ def identify(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     Learns from documents whose crc32(doc_id as text) mod 5 is not 0 and whose text and lang are not null. Texts that
     are null or hold no letter are "und" with score 0, as are all if nothing could be learned. Texts are labelled whole,
-    word by word; ties go to the first language in code-point order. held_out is false for a null doc_id.
+    word by word; ties go to the first language in code-point order. held_out is false for a null doc_id. Repeated rows
+    repeat their result, other columns are not read, and an empty table gives no rows.
     """
     model = fit(sample_rows(documents, sample))
     names = ["doc_id", "held_out", "lang_pred", "score"]

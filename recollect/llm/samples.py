@@ -21,13 +21,13 @@ def bounded_ids(labelled: DataFrame, each: int) -> DataFrame:
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, each: int) -> list[tuple[str, object]]:
     """(text, label) of at most `each` documents for each value of labels[label], on the driver; the same at every run.
 
-    A null label or doc_id is no label, a null text reads as empty. The number of ids is bounded, so they are sent to
-    every task.
+    A null label or doc_id is no label, a null text reads as empty. Of rows that share a doc_id the least text counts, so
+    that rows are bounded as ids are. The ids are sent to every task.
     """
     ids = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_label"))
     ids = bounded_ids(ids, each)
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).join(F.broadcast(ids), "doc_id").toPandas()
-    rows = rows.sort_values(["doc_id", "_text"])
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "_label").agg(F.min("_text").alias("_text")).toPandas()
+    rows = rows.sort_values(["doc_id"])
     return list(zip(rows["_text"].tolist(), rows["_label"].tolist(), strict=True))
 
 
