@@ -12,31 +12,41 @@ _LOW = 0xFFFFFFFF
 _STEP = 4096
 
 
-def _vectors(text: Column, first: int = 0) -> Column:
-    """array<struct<lane, s>>: the paragraphs' vectors, entry by entry, lanes counted from `first`.
+def _vectors(text: Column, base: int) -> Column:
+    """array<long>: the paragraphs' vectors, entry by entry, as base and a code that _entry() reads.
 
-    A paragraph (a line that is not empty) adds 32 bits of its hashes to each EQUAL lane; and, for each pair of its
-    neighbouring words (for itself, if it has fewer than two), +1 or -1 to the NEAR lane that the pair's hash names.
+    A paragraph (a line that is not empty) adds 32 bits of its hashes to each EQUAL lane; and, for each of its words with
+    the word that follows (the last word: alone), +1 or -1 to the NEAR lane that their hash names. What a lambda uses
+    twice is bound to a variable, or it would be computed twice.
     """
 
     def vector(p: Column) -> Column:
         whole = [F.xxhash64(F.lit(k), p) for k in range(1, EQUAL // 2 + 1)]
-        equal = F.array(*(F.struct(F.lit(first + 2 * k + j).alias("lane"), (F.shiftrightunsigned(h, 32) if j else h.bitwiseAND(_LOW)).alias("s")) for k, h in enumerate(whole) for j in (0, 1)))
-        words = F.transform(F.filter(F.split(p, r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
-        pairs = F.when(F.size(words) < 2, F.array(F.xxhash64(p))).otherwise(F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.xxhash64(a, b)))
-        near = F.transform(pairs, lambda h: F.struct((F.lit(first + EQUAL) + h.bitwiseAND(NEAR - 1)).cast("int").alias("lane"), (1 - F.shiftrightunsigned(h, 31).bitwiseAND(2)).alias("s")))
-        return F.concat(equal, near)
+        equal = F.array(*((F.shiftleft(F.shiftrightunsigned(h, 32) if j else h.bitwiseAND(_LOW), 4) + (base + 2 * NEAR + 2 * k + j)) for k, h in enumerate(whole) for j in (0, 1)))
+        words = F.array(F.split(F.btrim(p, F.lit(" \t\x0b\x0c\r")), r"[\x20\x09-\x0D]+"))
+        near = F.transform(words, lambda w: F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.xxhash64(a, b).bitwiseAND(2 * NEAR - 1) + F.lit(base)))
+        return F.concat(equal, near[0])
 
     return F.flatten(F.transform(F.filter(F.split(text, r"\n"), lambda p: p != ""), vector))
 
 
+def _entry(code: Column) -> tuple[Column, Column]:
+    """The lane of a code, and what it adds there: below 2 * NEAR the lane and sign of words, else an EQUAL lane in 4 bits and 32 bits of a hash."""
+    near, equal = code < 2 * NEAR, code - 2 * NEAR
+    lane = F.when(near, EQUAL + code.bitwiseAND(NEAR - 1)).otherwise(equal.bitwiseAND(15))
+    return lane.cast("int"), F.when(near, 1 - 2 * F.shiftright(code, NEAR.bit_length() - 1)).otherwise(F.shiftright(equal, 4))
+
+
 def multiset_lanes(df: DataFrame, keys: list[str], texts: list[str]) -> DataFrame:
     """keys, and for each of texts the LANES sums over its paragraphs as {text}_lanes, array<long>; one row for each distinct keys, which may repeat no texts.
 
     Sums don't depend on order, and combine() adds or removes paragraphs. Texts without a paragraph sum to 0.
     """
-    entries = F.concat(*(_vectors(F.col(t), LANES * k) for k, t in enumerate(texts)))
-    rows = df.select(*keys, F.explode_outer(entries).alias("_e")).select(*keys, "_e.lane", "_e.s")
+    place = 40  # bits of a code; above them stands which of texts it is of
+    codes = F.concat(*(_vectors(F.col(t), k << place) for k, t in enumerate(texts)))
+    rows = df.select(*keys, F.explode_outer(codes).alias("_c"))
+    lane, s = _entry(F.col("_c").bitwiseAND((1 << place) - 1))
+    rows = rows.select(*keys, (lane + LANES * F.shiftright("_c", place)).cast("int").alias("lane"), s.alias("s"))
     sums = rows.groupBy(*keys, "lane").agg(F.sum("s").bitwiseAND(_LOW).alias("s"))
     found = sums.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.when(F.col("lane").isNotNull(), F.struct("lane", "s")))).alias("_m"))
     lanes = lambda k: F.expr(f"transform(array(_m), m -> transform(sequence({LANES * k}, {LANES * (k + 1) - 1}), i -> coalesce(try_element_at(m, i), 0L)))[0]")
@@ -65,11 +75,11 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def next_keys(keys: DataFrame) -> DataFrame:
-    """id, th, n and next_id, next_th of distinct (id, th) in ascending order, the last followed by the first.
+    """id, th, n, copies and next_id, next_th of distinct (id, th) in ascending order, the last followed by the first.
 
     Ranges of ids are sorted side by side; only the first row of each range crosses to the range before.
     """
-    ranged = materialize(keys.repartitionByRange("id", "th").select("id", "th", "n", F.spark_partition_id().alias("part")), "fingerprint-order")
+    ranged = materialize(keys.repartitionByRange("id", "th").select("id", "th", "n", "copies", F.spark_partition_id().alias("part")), "fingerprint-order")
     here = F.struct("id", "th")
     firsts = ranged.groupBy("part").agg(F.min(here).alias("first"))
     across = Window.orderBy("part")
@@ -77,7 +87,7 @@ def next_keys(keys: DataFrame) -> DataFrame:
     firsts = firsts.select("part", F.coalesce(F.lead("first").over(across), F.min("first").over(every)).alias("after"))
     follow = ranged.withColumn("next", F.lead(here).over(Window.partitionBy("part").orderBy("id", "th")))
     follow = follow.join(firsts, "part").withColumn("next", F.coalesce("next", "after"))
-    return follow.select("id", "th", "n", F.col("next.id").alias("next_id"), F.col("next.th").alias("next_th"))
+    return follow.select("id", "th", "n", "copies", F.col("next.id").alias("next_id"), F.col("next.th").alias("next_th"))
 
 
 def fingerprint_documents(documents: DataFrame) -> DataFrame:
@@ -93,14 +103,21 @@ def fingerprint_documents(documents: DataFrame) -> DataFrame:
     # the last bit of th says that there is no id
     th = F.xxhash64(text).bitwiseAND(-2).bitwiseOR(F.col("doc_id").isNull().cast("long"))
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), th.alias("th"), text.alias("text"))
-    order = materialize(next_keys(docs.select("id", "th", F.length("text").alias("n")).distinct()), "fingerprint-next")
+    keys = docs.groupBy("id", "th", F.length("text").alias("n")).agg(F.count(F.lit(1)).alias("copies"))
+    order = materialize(next_keys(keys), "fingerprint-next")
     # rows that repeat meet before they are shuffled; both joins below share that one exchange of texts
-    once = docs.groupBy("id", "th").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    heads = order.select(F.col("next_id").alias("id"), F.col("next_th").alias("th"), F.col("id").alias("to_id"), F.col("th").alias("to_th"), F.expr("n div 2").alias("half"))
-    heads = once.join(heads, ["id", "th"]).select(F.col("to_id").alias("id"), F.col("to_th").alias("th"), F.expr("left(text, half)").alias("head"))
-    both = once.join(heads, ["id", "th"]).withColumn("n", F.length("text")).withColumn("edited", F.expr("concat(left(text, n - n div 2), head)"))
-    keys = ["id", "th", "n", "copies", "sha"]
-    whole = materialize(multiset_lanes(both.withColumn("sha", F.unhex(F.sha2("edited", 256))), keys, ["text", "edited"]), "fingerprint-lanes")
+    once = docs.groupBy("id", "th").agg(F.first("text").alias("text"))
+    heads = order.select(F.col("next_id").alias("id"), F.col("next_th").alias("th"), F.col("id").alias("to_id"), F.col("th").alias("to_th"), "n", "copies")
+    heads = once.join(heads, ["id", "th"]).select(F.col("to_id").alias("id"), F.col("to_th").alias("th"), "n", "copies", F.expr("left(text, n div 2)").alias("head"))
+    both = once.join(heads, ["id", "th"]).withColumn("stays", F.expr("left(text, n - n div 2)")).withColumn("sha", F.unhex(F.sha2(F.concat("stays", "head"), 256)))
+    # the paragraphs that stay whole are summed once for both versions
+    both = both.withColumn("cut", F.length("stays") + 1 - F.locate("\n", F.reverse("stays"))).withColumn("cut", F.when(F.contains("stays", F.lit("\n")), F.col("cut")).otherwise(0))
+    both = both.select(
+        "id", "th", "n", "copies", "sha", F.expr("left(text, cut)").alias("same"), F.expr("substring(text, cut + 1)").alias("old"), F.expr("concat(substring(stays, cut + 1), head)").alias("new")
+    )
+    whole = multiset_lanes(both, ["id", "th", "n", "copies", "sha"], ["same", "old", "new"])
+    whole = whole.select("id", "th", "n", "copies", "sha", combine(F.col("same_lanes"), F.col("old_lanes")).alias("text_lanes"), combine(F.col("same_lanes"), F.col("new_lanes")).alias("edited_lanes"))
+    whole = materialize(whole, "fingerprint-lanes")
     after = order.select("id", "th", "next_id", "next_th").join(whole.select(F.col("id").alias("next_id"), F.col("th").alias("next_th"), F.col("text_lanes").alias("next_lanes")), ["next_id", "next_th"])
     whole = whole.join(after.select("id", "th", "next_lanes"), ["id", "th"])
     whole = whole.select(

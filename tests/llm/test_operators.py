@@ -479,9 +479,9 @@ def _plain_lanes(text):
             h = x(p.encode(), x(struct.pack("<i", k)))
             lanes[2 * k - 2] += h & 0xFFFFFFFF
             lanes[2 * k - 1] += h >> 32
-        w = [x(v.encode()) for v in re.split(r"[\x20\x09-\x0D]+", p) if v]
-        for h in [x(p.encode())] if len(w) < 2 else [x(struct.pack("<Q", b), x(struct.pack("<Q", a))) for a, b in zip(w, w[1:])]:
-            lanes[fingerprint.EQUAL + h % fingerprint.NEAR] += 1 - (h >> 31 & 2)
+        w = re.split(r"[\x20\x09-\x0D]+", p.strip(" \t\x0b\x0c\r"))
+        for h in [x(b.encode(), x(a.encode())) for a, b in zip(w, w[1:])] + [x(w[-1].encode())]:
+            lanes[fingerprint.EQUAL + h % fingerprint.NEAR] += 1 - 2 * (h // fingerprint.NEAR % 2)
     return [v % 2**32 for v in lanes]
 
 
