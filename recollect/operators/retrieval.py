@@ -1,10 +1,16 @@
 """Retrieval: matches of query terms, signals, rank fusion, feedback, composite scores and reordering, for a set of queries at once."""
+import re
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions import text as T
 from recollect.functions import vectors as V
-from recollect.sources.tables import hours_since
+from recollect.functions.decay import ebbinghaus
+from recollect.functions.facts import split_multi_part, temporal_range
+from recollect.operators.graph import relationship_strength, undirected
+from recollect.session import materialize
 
 #: Fixed values of the fusion, the signals, the composite and the reordering.
 RRF_K, MIN_SCORE = 60, 0.1
@@ -20,6 +26,8 @@ K1, B = 1.2, 0.75
 COMPOSITE = (0.6, 0.2, 0.2)
 RERANK = {"term": 0.25, "embed": 0.60, "recency": 0.15}
 RECENCY_HALF_LIFE = 168.0
+DENSE_FLOOR, SEEDS, BOOST = 0.3, 5, 1.3
+FEEDBACK_ROWS, FEEDBACK_TERMS = 5, 10
 
 
 def with_queries(df: DataFrame, queries: list[tuple[str, str]]) -> DataFrame:
@@ -98,27 +106,26 @@ def fuse_scores(signals: DataFrame, how: str, weights: dict[str, float] = WEIGHT
     return signals.groupBy("query_id", "key").agg(fused.alias("fused")).filter(F.col("fused") >= min_score)
 
 
-def composite(fused: DataFrame, memories: DataFrame, as_of_hours: Column) -> DataFrame:
-    """fused with composite: 0.6 relevance (min-max over the query's pool, 1 where all are equal), 0.2 retention by age, 0.2 importance."""
+def composite(pool: DataFrame, as_of_hours: Column) -> DataFrame:
+    """pool (query_id, fused, importance) with composite: 0.6 relevance (min-max over the query's pool, 1 where all are equal), 0.2 retention by age alone, 0.2 importance."""
     own = Window.partitionBy("query_id")
     low, high = F.min("fused").over(own), F.max("fused").over(own)
     rel = F.when(high == low, 1.0).otherwise(F.try_divide(F.col("fused") - low, high - low))
-    from recollect.functions.decay import ebbinghaus
-
-    m = memories.select("key", "importance", "created_at", "last_accessed", "value")
-    j = fused.join(m, "key")
-    keep = ebbinghaus(as_of_hours, F.col("importance"), F.lit(0.0), F.lit(0.0))
+    keep = ebbinghaus(as_of_hours, F.lit(0.0), F.lit(0.0), F.lit(0.0))
     a, b, c = COMPOSITE
-    return j.withColumn("composite", a * rel + b * keep + c * F.col("importance"))
+    return pool.withColumn("composite", a * rel + b * keep + c * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("importance"))))
 
 
-def rerank(pool: DataFrame, queries: list[tuple[str, str]], recency_hours: Column) -> DataFrame:
-    """pool (query_id, key, value, composite) with rerank_score from term overlap and recency, weights shared by the features at hand."""
+def rerank(pool: DataFrame, queries: list[tuple[str, str]], recency_hours: Column, agreement: Column | None = None) -> DataFrame:
+    """pool (query_id, key, value, composite) with rerank_score from term overlap, agreement of vectors and recency; a null agreement shares its weight among the others."""
     q = pool.sparkSession.createDataFrame(queries, "query_id string, query string")
     p = pool.join(F.broadcast(q), "query_id")
-    overlap = T.term_overlap(F.col("query"), F.col("value"))
-    wt, wr = RERANK["term"], RERANK["recency"]
-    return p.withColumn("rerank_score", (wt * overlap + wr * recency_half_life(recency_hours)) / (wt + wr)).drop("query")
+    wt, we, wr = RERANK["term"], RERANK["embed"], RERANK["recency"]
+    plain = wt * T.term_overlap(F.col("query"), F.col("value")) + wr * recency_half_life(recency_hours)
+    score = plain / (wt + wr)
+    if agreement is not None:
+        score = F.when(agreement.isNull(), score).otherwise(plain + we * agreement)
+    return p.withColumn("rerank_score", score).drop("query")
 
 
 def feedback_terms(pool: DataFrame, queries: list[tuple[str, str]], rows: int = 5, terms: int = 10) -> DataFrame:
@@ -130,24 +137,106 @@ def feedback_terms(pool: DataFrame, queries: list[tuple[str, str]], rows: int =
     return top(p.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("n")), terms, F.desc("n"), F.asc("term"))
 
 
-def hybrid_search(memories: DataFrame, vectors: DataFrame, queries: list[tuple[str, str]], query_vectors: dict[str, str], k: int = 10, weights=WEIGHTS) -> DataFrame:
-    """The flagship: query_id, rank, key, fused, composite, rerank_score.
+def query_embeddings(vectors: DataFrame, query_vectors: dict[str, str]) -> dict[str, list[float]]:
+    """The vectors of the rows that stand for the queries; as many as queries, so they are literals of the plan."""
+    named = {r.key: list(r.embedding) for r in vectors.filter(F.col("key").isin(sorted(set(query_vectors.values())))).select("key", "embedding").collect()}
+    return {q: named[k] for q, k in query_vectors.items() if k in named}
+
+
+def related(links: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, other, strength: the nodes within two hops of each of keys, by the fewest hops and, of those, the strongest path."""
+    both = undirected(links.select("src", "dst", "rel_type"))
+    one = keys.join(both, keys["key"] == both["node"]).select("key", "other", F.array("rel_type").alias("types"))
+    next_ = both.select(F.col("node").alias("other"), F.col("other").alias("far"), "rel_type")
+    two = one.join(next_, "other").filter("far <> key").select("key", F.col("far").alias("other"), F.array_append("types", F.col("rel_type")).alias("types"))
+    paths = one.unionByName(two).filter("other <> key").withColumn("strength", F.round(relationship_strength(F.col("types"), F.size("types")), 12))
+    return paths.groupBy("key", "other").agg(F.max(F.struct(-F.size("types"), F.col("strength"))).alias("best")).select("key", "other", "best.strength")
+
+
+def graph_signal(candidates: DataFrame, links: DataFrame) -> DataFrame:
+    """query_id, key, score: candidates (query_id, key, match) raised by how many and how strong their relations are, and what the best five lead to.
 
-    Candidates are substring matches; keyword (BM25 over the candidates), dense (cosine to the vector of the row named
-    by query_vectors, at least 0.3) and temporal signals vote by reciprocal rank; the pool of 50 gets composite
-    scores, is put in order by the reranker and cut to k. All queries go through one plan.
+    A candidate gains a tenth for each related node, half at most, and 0.3 of their mean strength; 1 is the most. What only
+    a seed leads to gets the seed's score times the strength, of the first seed that does.
+    """
+    near = materialize(related(links, candidates.select("key").distinct()), "related")
+    stats = near.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.avg("strength").alias("_s"))
+    lifted = F.when(F.col("_n").isNull(), F.col("match")).otherwise(F.least(F.lit(1.0), F.col("match") + F.least(F.col("_n") / 10, F.lit(0.5)) + 0.3 * F.col("_s")))
+    own = candidates.join(stats, "key", "left").select("query_id", "key", F.round(lifted, 12).alias("score"))
+    seeds = top(own, SEEDS, F.desc("score"), F.asc("key"), name="_seed")
+    led = seeds.join(near, "key").select("query_id", F.col("other").alias("key"), "_seed", F.round(F.col("score") * F.least(F.lit(1.0), F.col("strength")), 12).alias("score"))
+    led = led.join(own.select("query_id", "key"), ["query_id", "key"], "left_anti").groupBy("query_id", "key").agg(F.min_by("score", "_seed").alias("score"))
+    return own.unionByName(led)
+
+
+def signals(memories: DataFrame, vectors: DataFrame, links: DataFrame, queries: list[tuple[str, str]], embeddings: dict[str, list[float]], age_hours: Column) -> DataFrame:
+    """query_id, signal, key, score: what each retriever finds for itself, its 50 best a query.
+
+    keyword: BM25 over the 100 best substring matches; graph: these and what they lead to; dense: cosine of every vector to
+    the query's, 0.3 at least; temporal: recency and use of every memory. A memory need not hold a word of the query.
     """
-    cand = match_any_term(memories, queries, 2 * PER_SIGNAL)
     keep = lambda df: top(df, PER_SIGNAL, F.desc("score"), F.asc("key"), name="_r", by=("query_id", "signal")).select("query_id", "signal", "key", "score")
-    keyword = bm25(cand.select("query_id", "key", "value"), queries).select("query_id", F.lit("keyword").alias("signal"), "key", F.col("bm25").alias("score"))
-    days = F.floor(hours_since("last_accessed") / 24.0)
-    temporal = cand.select("query_id", F.lit("temporal").alias("signal"), "key", temporal_score(days, F.col("access_count")).alias("score"))
-    named = vectors.sparkSession.createDataFrame(list(query_vectors.items()), "query_id string, qkey string")
-    qv = vectors.select(F.col("key").alias("qkey"), F.col("embedding").alias("qe")).join(F.broadcast(named), "qkey").select("query_id", "qe")
-    dense = cand.select("query_id", "key").join(vectors.select("key", "embedding"), "key").join(F.broadcast(qv), "query_id")
-    dense = dense.select("query_id", F.lit("dense").alias("signal"), "key", V.cosine(F.col("embedding"), F.col("qe")).alias("score")).filter("score >= 0.3")
-    fused = fuse_rrf(keep(keyword.unionByName(temporal).unionByName(dense)), weights)
-    pool = top(fused, PER_SIGNAL, F.desc("fused"), F.desc("weighted"), F.asc("key"), name="_p").drop("_p")
-    scored = rerank(composite(pool, memories, hours_since("created_at")), queries, hours_since("last_accessed"))
-    ordered = top(scored, k, F.desc(F.round("rerank_score", 12)), F.desc(F.round("composite", 12)), F.asc("key"))
+    named = lambda df, n: df.select("query_id", F.lit(n).alias("signal"), "key", F.round("score", 12).alias("score"))
+    cand = materialize(match_any_term(memories, queries, 2 * PER_SIGNAL).select("query_id", "key", "value", F.col("score").alias("match")), "candidates")
+    keyword = named(bm25(cand.select("query_id", "key", "value"), queries).withColumnRenamed("bm25", "score"), "keyword")
+    graph = named(graph_signal(cand.select("query_id", "key", "match"), links), "graph")
+    # the same for all queries, so ranked once
+    temporal = memories.select("key", F.round(temporal_score(F.floor(age_hours / 24.0), F.col("access_count")), 12).alias("score")).orderBy(F.desc("score"), "key").limit(PER_SIGNAL)
+    temporal = named(temporal.withColumn("query_id", F.explode(F.array(*(F.lit(q) for q, _ in queries)))), "temporal")
+    found = keep(keyword.unionByName(graph)).unionByName(temporal)
+    if embeddings:
+        e = F.explode(F.array(*(F.struct(F.lit(q).alias("query_id"), F.array(*map(F.lit, v)).alias("qe")) for q, v in embeddings.items())))
+        dense = vectors.select("key", "embedding", e.alias("_q")).select("_q.query_id", "key", F.round(V.cosine(F.col("embedding"), F.col("_q.qe")), 12).alias("score"))
+        found = found.unionByName(keep(named(dense.filter(F.col("score") >= DENSE_FLOOR), "dense")))
+    return found
+
+
+def hybrid_search(memories: DataFrame, vectors: DataFrame, links: DataFrame, queries: list[tuple[str, str]], query_vectors: dict[str, str], as_of: datetime, k: int = 10, weights=WEIGHTS, feedback: bool = True) -> DataFrame:
+    """The flagship: query_id, rank, key, fused, composite, rerank_score.
+
+    A question is split into its parts, and the time it speaks of becomes a boost. Each part's signals vote by reciprocal
+    rank; parts are joined by the best fused score. Frequent terms of the best five rows widen the question for a second
+    retrieval, joined in the same way. The pool of 50 gets composite scores, is put in order by the reranker (terms,
+    vectors, recency) and cut to k. All questions go through one plan; what the driver sees is bounded by their number.
+    """
+    hours = F.expr(f"timestampdiff(SECOND, created_at, timestamp_ntz'{as_of}') / 3600D")
+    embeddings = query_embeddings(vectors, query_vectors)
+    wanted = ["key", "value", "created_at", "importance"]
+
+    def retrieve(qs: list[tuple[str, str]]) -> DataFrame:
+        own = {i: embeddings[i.split("/")[0]] for i, _ in qs if i.split("/")[0] in embeddings}
+        fused = fuse_rrf(signals(memories, vectors, links, qs, own, hours), weights)
+        pool = top(fused, PER_SIGNAL, F.desc("fused"), F.desc("weighted"), F.asc("key"), name="_p")
+        best = pool.withColumn("query_id", F.split("query_id", "/")[0]).groupBy("query_id", "key").agg(F.max("fused").alias("fused"))
+        # at most 50 rows a part: a bound that the data don't move
+        return materialize(memories.select(*wanted).join(F.broadcast(materialize(best, "fused")), "key"), "pool")
+
+    parts = [(f"{i}/{n}", part) for i, q in queries for n, part in enumerate(split_multi_part(q))]
+    found = retrieve(parts)
+    boost = F.lit(1.0)
+    for i, q in queries:
+        if span := temporal_range(q, as_of):
+            lo, hi = (F.lit(f"{x.year:04d}-{x:%m-%d} 00:00:00").cast("timestamp_ntz") for x in span)
+            hit = (F.col("created_at") >= lo) & (F.col("created_at") < hi)
+            if years := re.findall(r"\b(?:19|20)[0-9]{2}\b", q):
+                hit |= F.col("value").rlike(f"(^|[^0-9])({'|'.join(years)})([^0-9]|$)")
+            boost = F.when((F.col("query_id") == i) & hit, BOOST).otherwise(boost)
+    found = found.withColumn("fused", F.round(F.col("fused") * boost, 12))
+    cut = lambda df: top(df, PER_SIGNAL, F.desc("fused"), F.asc("key"), name="rank")
+    pool = cut(found)
+    if feedback:
+        terms = feedback_terms(pool, queries, FEEDBACK_ROWS, FEEDBACK_TERMS).select("query_id", "term", "rank").collect()  # ten a question
+        more = {i: " ".join(t.term for t in sorted(terms, key=lambda t: t.rank) if t.query_id == i) for i, _ in queries}
+        if wider := [(i, f"{q} {more[i]}") for i, q in queries if more[i]]:
+            both = pool.drop("rank").unionByName(retrieve(wider))
+            pool = cut(both.groupBy(*wanted, "query_id").agg(F.max("fused").alias("fused")))
+    agreement = F.lit(None).cast("double")
+    pool = composite(pool, hours)
+    if embeddings:
+        pool = pool.join(vectors.select("key", "embedding"), "key", "left")
+        for i, v in embeddings.items():
+            own = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(V.cosine(F.col("embedding"), F.array(*map(F.lit, v))), F.lit(0.0))))
+            agreement = F.when(F.col("query_id") == i, own).otherwise(agreement)
+    scored = rerank(pool, queries, hours, agreement)
+    ordered = top(scored, k, F.desc(F.round("rerank_score", 12)), F.asc("key"))
     return ordered.select("query_id", "rank", "key", "fused", F.round("composite", 9).alias("composite"), F.round("rerank_score", 9).alias("rerank_score"))

@@ -1,12 +1,15 @@
 """Queries of retrieval and of column functions over texts, vectors and ages."""
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from recollect.functions import decay as D
 from recollect.functions import text as T
 from recollect.functions import vectors as V
+from recollect.functions.facts import split_multi_part
 from recollect.operators import retrieval as R
 from recollect.plans.registry import query
-from recollect.sources.tables import MEMORIES, QUERIES, hours_since, hours_sql, memories, table, vectors
+from recollect.sources.tables import AS_OF, MEMORIES, MEMORY_LINKS, QUERIES, hours_since, hours_sql, memories, memory_links, spread, table, vectors
 
 _QS = "qs(query_id, query) AS (VALUES " + ", ".join(f"('{i}', '{q}')" for i, q in QUERIES) + ")"
 _OCC = "CASE WHEN length(t) = 0 THEN 0 ELSE (length(v) - length(replace(v, t, ''))) // length(t) END"
@@ -19,13 +22,13 @@ top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distinct_ter
 
 @query(f"WITH {_MATCH} SELECT query_id, key, distinct_terms, total_freq, score, rank FROM top WHERE rank <= 20")
 def keyword_match(spark, sf_dir):
-    return R.match_any_term(memories(spark, sf_dir), QUERIES, 20).select("query_id", "key", "distinct_terms", "total_freq", "score", "rank")
+    return R.match_any_term(spread(memories(spark, sf_dir)), QUERIES, 20).select("query_id", "key", "distinct_terms", "total_freq", "score", "rank")
 
 
 @query(f"""WITH {_MATCH.replace("FROM hit)", "FROM hit, qs WHERE hit.query_id = qs.query_id AND contains(v, lower(query)))").replace("SELECT query_id, key, value, v, list_t", "SELECT hit.query_id, key, value, v, list_t")},
 r AS (SELECT query_id, key, total_freq, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM m) SELECT * FROM r WHERE rank <= 20""")
 def phrase_match(spark, sf_dir):
-    return R.match_phrase(memories(spark, sf_dir), QUERIES, 20).select("query_id", "key", "total_freq", "score", "rank")
+    return R.match_phrase(spread(memories(spark, sf_dir)), QUERIES, 20).select("query_id", "key", "total_freq", "score", "rank")
 
 
 _BM25 = f"""{_MATCH}, c AS (SELECT query_id, key, list_filter(regexp_split_to_array(lower(value), '\\s+'), lambda t: t <> '') AS w FROM top WHERE rank <= 100),
@@ -39,68 +42,107 @@ bm AS (SELECT query_id, key, s / (s + 1) AS bm25 FROM s)"""
 
 @query(f"WITH {_BM25} SELECT query_id, key, round(bm25, 9) AS bm25 FROM bm")
 def bm25_signal(spark, sf_dir):
-    c = R.match_any_term(memories(spark, sf_dir), QUERIES, 100).select("query_id", "key", "value")
+    c = R.match_any_term(spread(memories(spark, sf_dir)), QUERIES, 100).select("query_id", "key", "value")
     return R.bm25(c, QUERIES).select("query_id", "key", F.round("bm25", 9).alias("bm25"))
 
 
-_QV = {"q1": "1", "q2": "2", "q3": "3", "q4": "4"}
-_HALF = "pow(0.5, {h} / 168)"
-_SIGNALS = f"""{_BM25}, cand AS (SELECT top.query_id, mem.* FROM top JOIN mem USING (key) WHERE rank <= 100),
-vec AS (SELECT vec_id::VARCHAR AS key, embedding::DOUBLE[] AS e FROM embeddings), qv(query_id, qk) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in _QV.items())}),
-sig AS (SELECT query_id, 'keyword' AS signal, key, bm25 AS score FROM bm
-  UNION ALL SELECT query_id, 'temporal', key, 0.6 * exp(-floor({hours_sql('last_accessed')} / 24) / 30) + 0.4e0 * (access_count / (access_count + 10e0)) FROM cand
-  UNION ALL SELECT query_id, 'dense', key, d FROM (SELECT cand.query_id, cand.key, list_cosine_similarity(a.e, b.e) AS d FROM cand JOIN vec a ON a.key = cand.key JOIN qv ON qv.query_id = cand.query_id JOIN vec b ON b.key = qv.qk) WHERE d >= 0.3),
-kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, signal ORDER BY score DESC, key) AS r0 FROM sig) WHERE r0 <= 50),
-rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, signal ORDER BY score DESC, key) AS r FROM kept WHERE score >= 0.1),
-fz AS (SELECT query_id, key, round(sum(w / (60 + r)), 12) AS fused, round(sum(w * score), 12) AS weighted FROM (SELECT *, CASE signal WHEN 'keyword' THEN 0.3 WHEN 'temporal' THEN 0.1 ELSE 0.4 END::DOUBLE AS w FROM rk) GROUP BY 1, 2)"""
-
-
-@query(f"WITH {_SIGNALS} SELECT query_id, key, round(fused, 9) AS fused, round(weighted, 9) AS weighted FROM fz")
+#: Questions of several parts, and of a time, besides the plain queries; and the rows whose vectors stand for theirs.
+_QUESTIONS = [*QUERIES, ("q6", "which license and what version"), ("q7", "spring 2024 token")]
+_QV = {"q1": "1", "q2": "2", "q3": "3", "q4": "4", "q6": "6", "q7": "7"}
+_PARTS = [(f"{i}/{n}", part) for i, q in _QUESTIONS for n, part in enumerate(split_multi_part(q))]
+_TOK = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+_AGE = hours_sql("created_at")
+_TYPE = "CASE {0} WHEN 'part_of' THEN 0.9e0 WHEN 'references' THEN 0.6e0 ELSE 0.5e0 END"
+_STORE = f"""{MEMORIES}, {MEMORY_LINKS}, vec AS (SELECT vec_id::VARCHAR AS key, embedding::DOUBLE[] AS e FROM embeddings),
+both_ AS (SELECT src AS node, dst AS other, rel_type FROM links UNION ALL SELECT dst, src, rel_type FROM links),
+qv AS (SELECT q AS qid, e FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in _QV.items())}) v(q, k) JOIN vec ON key = k)"""
+
+
+def _signals_sql(p: str, qs: str) -> str:
+    """CTEs {p}sig (query_id, signal, key, score) for the questions in qs(query_id, query); the part of an id before '/' names its vector."""
+    return f"""{p}hit AS (SELECT query_id, key, value, lower(value) AS v, list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda t: t <> '') AS ts FROM mem, {qs}),
+{p}fr AS (SELECT query_id, key, value, v, list_transform(ts, lambda t: {_OCC}) AS f FROM {p}hit),
+{p}m AS (SELECT query_id, key, value, len(list_filter(f, lambda x: x > 0)) AS distinct_terms, list_sum(f)::BIGINT AS total_freq, list_sum(f) / strlen(v)::DOUBLE AS score FROM {p}fr WHERE len(list_filter(f, lambda x: x > 0)) > 0),
+{p}c AS MATERIALIZED (SELECT query_id, key, score, list_filter(regexp_split_to_array(lower(value), '\\s+'), lambda t: t <> '') AS w FROM {p}m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distinct_terms DESC, total_freq DESC, key) <= 100),
+{p}st AS (SELECT query_id, count(*) AS n, avg(len(w)) AS a FROM {p}c GROUP BY query_id),
+{p}tm AS (SELECT query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda t: t <> ''))) AS t FROM {qs}),
+{p}tf AS (SELECT c.query_id, key, t, len(w) AS l, len(list_filter(w, lambda x: x = t)) AS tf FROM {p}c c JOIN {p}tm USING (query_id)),
+{p}df AS (SELECT query_id, t, count(*) FILTER (tf > 0) AS df FROM {p}tf GROUP BY 1, 2),
+{p}s AS (SELECT query_id, key, sum(ln((n - df + 0.5e0) / (df + 0.5e0) + 1) * (tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * l / a)))) AS s FROM {p}tf JOIN {p}df USING (query_id, t) JOIN {p}st USING (query_id) GROUP BY 1, 2),
+{p}one AS (SELECT DISTINCT c.key, other, {_TYPE.format("rel_type")} AS w FROM {p}c c JOIN both_ ON node = c.key),
+{p}two AS (SELECT key, other, 1 AS hops, 0.8e0 * w AS x FROM {p}one UNION ALL SELECT key, b.other, 2, 0.8e0 * 0.8e0 * w * {_TYPE.format("b.rel_type")} FROM {p}one o JOIN both_ b ON b.node = o.other WHERE b.other <> key),
+{p}near AS (SELECT key, other, round(max(x) FILTER (hops = h), 12) AS strength FROM (SELECT *, min(hops) OVER (PARTITION BY key, other) AS h FROM {p}two WHERE key <> other) GROUP BY 1, 2),
+{p}g AS (SELECT query_id, c.key, round(coalesce(least(1, score + least(n / 10::DOUBLE, 0.5e0) + 0.3e0 * a), score), 12) AS score FROM {p}c c LEFT JOIN (SELECT key, count(*) AS n, avg(strength) AS a FROM {p}near GROUP BY key) USING (key)),
+{p}seed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS nth FROM {p}g QUALIFY nth <= 5),
+{p}led AS (SELECT query_id, other AS key, arg_min(round(score * least(1, strength), 12), nth) AS score FROM {p}seed JOIN {p}near USING (key) WHERE (query_id, other) NOT IN (SELECT (query_id, key) FROM {p}c) GROUP BY 1, 2),
+{p}old AS (SELECT key, round(0.6e0 * exp(-floor({_AGE} / 24) / 30) + 0.4e0 * (access_count / (access_count + 10e0)), 12) AS score FROM mem ORDER BY score DESC, key LIMIT 50),
+{p}every AS (SELECT query_id, 'keyword' AS signal, key, round(s / (s + 1), 12) AS score FROM {p}s UNION ALL SELECT query_id, 'graph', key, score FROM {p}g UNION ALL SELECT query_id, 'graph', key, score FROM {p}led
+  UNION ALL SELECT query_id, 'temporal', key, score FROM {p}old, {qs}
+  UNION ALL SELECT * FROM (SELECT q.query_id, 'dense', vec.key, round(list_cosine_similarity(vec.e, qv.e), 12) AS score FROM {qs} q JOIN qv ON qv.qid = split_part(q.query_id, '/', 1), vec) WHERE score >= 0.3),
+{p}sig AS MATERIALIZED (SELECT query_id, signal, key, score FROM {p}every QUALIFY row_number() OVER (PARTITION BY query_id, signal ORDER BY score DESC, key) <= 50)"""
+
+
+_WEIGHT = "CASE signal WHEN 'keyword' THEN 0.3 WHEN 'temporal' THEN 0.1 WHEN 'graph' THEN 0.2 ELSE 0.4 END::DOUBLE"
+
+
+def _fused_sql(p: str, qs: str) -> str:
+    """As _signals_sql, and {p}fz (query_id, key, fused, weighted)."""
+    return f"""{_signals_sql(p, qs)},
+{p}rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, signal ORDER BY score DESC, key) AS r FROM {p}sig WHERE score >= 0.1),
+{p}fz AS (SELECT query_id, key, round(sum(w / (60 + r)), 12) AS fused, round(sum(w * score), 12) AS weighted FROM (SELECT *, {_WEIGHT} AS w FROM {p}rk) GROUP BY 1, 2)"""
+
+
+def _signals(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    e = R.query_embeddings(v, {i: k for i, k in _QV.items() if i in dict(QUERIES)})
+    return R.signals(spread(memories(spark, sf_dir)), v, memory_links(spark, sf_dir), QUERIES, e, hours_since("created_at"))
+
+
+@query(f"WITH {_QS}, {_STORE}, {_fused_sql('', 'qs')} SELECT query_id, key, round(fused, 9) AS fused, round(weighted, 9) AS weighted FROM fz")
 def rank_fusion(spark, sf_dir):
-    m = memories(spark, sf_dir)
-    s = _signals(m, vectors(spark, sf_dir))
-    return R.fuse_rrf(s).select("query_id", "key", F.round("fused", 9).alias("fused"), F.round("weighted", 9).alias("weighted"))
-
-
-def _signals(m, v):
-    cand = R.match_any_term(m, QUERIES, 100)
-    keyword = R.bm25(cand.select("query_id", "key", "value"), QUERIES).select("query_id", F.lit("keyword").alias("signal"), "key", F.col("bm25").alias("score"))
-    temporal = cand.select("query_id", F.lit("temporal").alias("signal"), "key", R.temporal_score(F.floor(hours_since("last_accessed") / 24.0), F.col("access_count")).alias("score"))
-    named = v.sparkSession.createDataFrame(list(_QV.items()), "query_id string, qkey string")
-    qv = v.select(F.col("key").alias("qkey"), F.col("embedding").alias("qe")).join(F.broadcast(named), "qkey")
-    dense = cand.select("query_id", "key").join(v, "key").join(F.broadcast(qv), "query_id").select("query_id", F.lit("dense").alias("signal"), "key", V.cosine(F.col("embedding"), F.col("qe")).alias("score")).filter("score >= 0.3")
-    return R.top(keyword.unionByName(temporal).unionByName(dense), 50, F.desc("score"), F.asc("key"), by=("query_id", "signal"), name="_r").drop("_r")
+    return R.fuse_rrf(_signals(spark, sf_dir)).select("query_id", "key", F.round("fused", 9).alias("fused"), F.round("weighted", 9).alias("weighted"))
 
 
 for _how, _sql in (("average", "sum(w * score) / sum(w)"), ("max", "max(score)"), ("borda", "sum(score) * count(*)")):
 
     def _fusion(spark, sf_dir, how=_how):
-        s = R.fuse_scores(_signals(memories(spark, sf_dir), vectors(spark, sf_dir)), how)
-        return s.select("query_id", "key", F.round("fused", 9).alias("fused"))
+        return R.fuse_scores(_signals(spark, sf_dir), how).select("query_id", "key", F.round("fused", 9).alias("fused"))
 
     _fusion.__name__ = f"fusion_{_how}"
-    query(f"WITH {_SIGNALS}, z AS (SELECT query_id, key, {_sql} AS f FROM (SELECT *, CASE signal WHEN 'keyword' THEN 0.3 WHEN 'temporal' THEN 0.1 ELSE 0.4 END::DOUBLE AS w FROM kept) GROUP BY 1, 2) SELECT query_id, key, round(f, 9) AS fused FROM z WHERE f >= 0.1")(_fusion)
-
-_TOK = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
-_EBB = "greatest(0.001, least(0.999, exp(-ln(2) * {h} / (24 * (1 + 2 * importance)))))"
-_FLAG = f"""{_SIGNALS}, pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, weighted DESC, key) AS p FROM fz) WHERE p <= 50),
-cs AS (SELECT pool.query_id, key, fused, value, last_accessed, 0.6 * CASE WHEN max(fused) OVER o = min(fused) OVER o THEN 1 ELSE (fused - min(fused) OVER o) / (max(fused) OVER o - min(fused) OVER o) END
-  + 0.2 * {_EBB.format(h=hours_sql("created_at"))} + 0.2 * importance AS composite FROM pool JOIN mem USING (key) WINDOW o AS (PARTITION BY query_id)),
-rr AS (SELECT cs.*, (0.25 * len(list_intersect(list_distinct({_TOK.format("query")}), list_distinct({_TOK.format("value")}))) / len(list_distinct({_TOK.format("query")}))::DOUBLE
-  + 0.15 * {_HALF.format(h=hours_sql("last_accessed"))}) / 0.4 AS rerank_score FROM cs JOIN qs USING (query_id)),
-fin AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rerank_score, 12) DESC, round(composite, 12) DESC, key) AS rank FROM rr)"""
+    query(f"WITH {_QS}, {_STORE}, {_signals_sql('', 'qs')}, z AS (SELECT query_id, key, {_sql} AS f FROM (SELECT *, {_WEIGHT} AS w FROM sig) GROUP BY 1, 2) SELECT query_id, key, round(f, 9) AS fused FROM z WHERE f >= 0.1")(_fusion)
+
+_VALUES = lambda rows: "VALUES " + ", ".join(f"('{i}', '{q}')" for i, q in rows)
+_FLAG = f"""ask(query_id, query) AS ({_VALUES(_QUESTIONS)}), part(query_id, query) AS ({_VALUES(_PARTS)}), {_STORE}, {_fused_sql('a_', 'part')},
+best AS (SELECT split_part(query_id, '/', 1) AS query_id, key, max(fused) AS fused FROM (SELECT * FROM a_fz QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, weighted DESC, key) <= 50) GROUP BY 1, 2),
+boosted AS (SELECT query_id, key, round(fused * CASE WHEN query_id = 'q7' AND (created_at >= TIMESTAMP '2024-03-01' AND created_at < TIMESTAMP '2024-06-01' OR regexp_matches(value, '(^|[^0-9])2024([^0-9]|$)')) THEN 1.3e0 ELSE 1 END, 12) AS fused FROM best JOIN mem USING (key)),
+pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, key) AS p FROM boosted QUALIFY p <= 50),
+fw AS (SELECT query_id, query, unnest({_TOK.format("value")}) AS term FROM pool JOIN mem USING (key) JOIN ask USING (query_id) WHERE p <= 5),
+fc AS (SELECT query_id, term, count(*) AS n FROM fw WHERE strlen(term) >= 3 AND NOT regexp_full_match(term, '[0-9]+') AND NOT list_contains({_TOK.format("query")}, term) GROUP BY 1, 2
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, term) <= 10),
+wider AS (SELECT query_id, query || ' ' || t AS query FROM ask JOIN (SELECT query_id, string_agg(term, ' ' ORDER BY n DESC, term) AS t FROM fc GROUP BY 1) USING (query_id)), {_fused_sql('b_', 'wider')},
+joined AS (SELECT query_id, key, max(fused) AS fused FROM (SELECT query_id, key, fused FROM pool UNION ALL SELECT query_id, key, fused FROM b_fz QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, weighted DESC, key) <= 50) GROUP BY 1, 2),
+last AS (SELECT * FROM joined QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, key) <= 50),
+cs AS (SELECT last.query_id, key, fused, value, created_at, 0.6e0 * CASE WHEN max(fused) OVER o = min(fused) OVER o THEN 1 ELSE (fused - min(fused) OVER o) / (max(fused) OVER o - min(fused) OVER o) END
+  + 0.2e0 * greatest(0.001e0, least(0.999e0, exp(-ln(2) * {_AGE} / 24))) + 0.2e0 * importance AS composite FROM last JOIN mem USING (key) WINDOW o AS (PARTITION BY query_id)),
+ft AS (SELECT cs.*, len(list_intersect(list_distinct({_TOK.format("query")}), list_distinct({_TOK.format("value")}))) / len(list_distinct({_TOK.format("query")}))::DOUBLE AS terms, pow(0.5, {_AGE} / 168) AS recent,
+  qv.e IS NOT NULL AS has, coalesce(list_cosine_similarity(vec.e, qv.e), 0) AS agree FROM cs JOIN ask USING (query_id) LEFT JOIN qv ON qv.qid = query_id LEFT JOIN vec USING (key)),
+rr AS (SELECT *, CASE WHEN has THEN 0.25e0 * terms + 0.15e0 * recent + 0.6e0 * greatest(0, least(1, agree)) ELSE (0.25e0 * terms + 0.15e0 * recent) / 0.4e0 END AS rerank_score FROM ft),
+fin AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rerank_score, 12) DESC, key) AS rank FROM rr)"""
 
 
 @query(f"WITH {_FLAG} SELECT query_id, rank, key, fused, round(composite, 9) AS composite, round(rerank_score, 9) AS rerank_score FROM fin WHERE rank <= 10")
 def hybrid_search(spark, sf_dir):
-    return R.hybrid_search(memories(spark, sf_dir), vectors(spark, sf_dir), QUERIES, _QV)
+    return R.hybrid_search(spread(memories(spark, sf_dir)), vectors(spark, sf_dir), memory_links(spark, sf_dir), _QUESTIONS, _QV, datetime.fromisoformat(AS_OF))
 
 
 @query(f"""WITH {_MATCH}, w AS (SELECT query_id, unnest({_TOK.format("value")}) AS term FROM top WHERE rank <= 5),
 c AS (SELECT query_id, term, count(*) AS n FROM w JOIN qs USING (query_id) WHERE strlen(term) >= 3 AND NOT regexp_full_match(term, '[0-9]+') AND NOT list_contains({_TOK.format("query")}, term) GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, term) AS rank FROM c) SELECT * FROM r WHERE rank <= 10""")
 def prf_expansion_terms(spark, sf_dir):
-    return R.feedback_terms(R.match_any_term(memories(spark, sf_dir), QUERIES, 5), QUERIES).select("query_id", "term", "n", "rank")
+    return R.feedback_terms(R.match_any_term(spread(memories(spark, sf_dir)), QUERIES, 5), QUERIES).select("query_id", "term", "n", "rank")
+
+
+_EBB = "greatest(0.001, least(0.999, exp(-ln(2) * {h} / (24 * (1 + 2 * importance)))))"
 
 
 # column functions over texts, a row for each document

@@ -29,6 +29,15 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as there are cores if it is so small that a file's row groups may give fewer; else as it is."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    each = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(cores) if size < cores * each else df
+
+
 MEMORIES = """mem AS (SELECT doc_id::VARCHAR AS key, coalesce(text, '') AS value,
   CASE WHEN doc_id % 3 = 0 THEN 'LongTerm' ELSE 'ShortTerm' END AS memory_type,
   TIMESTAMP '2024-01-01' + to_days((doc_id % 365)::INT) + to_hours(doc_id % 24) AS created_at,
@@ -71,6 +80,19 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(o)
 
 
+def memory_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations between memories, src, dst, rel_type, strength: what the tables lack follows from doc_id."""
+    d = table(spark, sf_dir, "documents").select("doc_id").filter("doc_id >= 1")
+    kinds = [("doc_id div 2", "part_of", "true"), ("doc_id - 7", "derives", "doc_id >= 7 and doc_id % 3 = 0"), ("doc_id - 10", "references", "doc_id >= 10 and doc_id % 5 = 0")]
+    rows = F.array(*(F.when(F.expr(when), F.struct(F.expr(dst).alias("dst"), F.lit(kind).alias("rel_type"))) for dst, kind, when in kinds))
+    e = d.select("doc_id", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("e"))
+    return e.select(F.col("doc_id").cast("string").alias("src"), F.col("e.dst").cast("string").alias("dst"), "e.rel_type", F.expr("(doc_id % 10 + 1) / 10D").alias("strength"))
+
+
+MEMORY_LINKS = """links AS (SELECT doc_id::VARCHAR AS src, (doc_id // 2)::VARCHAR AS dst, 'part_of' AS rel_type, (doc_id % 10 + 1) / 10::DOUBLE AS strength FROM documents WHERE doc_id >= 1
+  UNION ALL SELECT doc_id::VARCHAR, (doc_id - 7)::VARCHAR, 'derives', (doc_id % 10 + 1) / 10::DOUBLE FROM documents WHERE doc_id >= 7 AND doc_id % 3 = 0
+  UNION ALL SELECT doc_id::VARCHAR, (doc_id - 10)::VARCHAR, 'references', (doc_id % 10 + 1) / 10::DOUBLE FROM documents WHERE doc_id >= 10 AND doc_id % 5 = 0)"""
+
 EDGES = """edges AS (
   SELECT 'n:' || n_nationkey AS src, 'r:' || n_regionkey AS dst, 'part_of' AS rel_type, (n_nationkey % 10 + 1) / 10::DOUBLE AS strength, 1.0::DOUBLE AS confidence, NULL::TIMESTAMP AS valid_from, NULL::TIMESTAMP AS valid_to FROM nation
   UNION ALL SELECT 'c:' || c_custkey, 'n:' || c_nationkey, 'part_of', (c_custkey % 10 + 1) / 10::DOUBLE, 1.0, NULL, NULL FROM customer
