@@ -11,6 +11,7 @@ from recollect.functions.decay import ebbinghaus
 from recollect.functions.facts import split_multi_part, temporal_range
 from recollect.operators.graph import relationship_strength, undirected
 from recollect.session import materialize
+from recollect.sources.tables import spread
 
 #: Fixed values of the fusion, the signals, the composite and the reordering.
 RRF_K, MIN_SCORE = 60, 0.1
@@ -71,11 +72,13 @@ def match_phrase(memories: DataFrame, queries: list[tuple[str, str]], k: int) ->
 def bm25(candidates: DataFrame, queries: list[tuple[str, str]]) -> DataFrame:
     """candidates (query_id, key, value) with bm25 in 0..1: N, df and the mean length are those of each query's candidates."""
     c = candidates.join(F.broadcast(candidates.sparkSession.createDataFrame(queries, "query_id string, query string")), "query_id")
-    c = c.withColumn("_w", F.filter(F.split(F.lower("value"), r"\s+"), lambda t: t != "")).withColumn("_n", F.size("_w"))
+    # counts replace texts before any exchange; the words are bound once
+    words = F.array(F.filter(F.split(F.lower("value"), r"\s+"), lambda t: t != ""))
+    counts = lambda w: F.struct(F.size(w).alias("n"), F.transform(F.array_distinct(_terms(F.col("query"))), lambda t: F.struct(t.alias("t"), F.size(F.filter(w, lambda x: x == t)).alias("tf"))).alias("terms"))
+    c = c.select("query_id", "key", F.transform(words, counts)[0].alias("_c")).select("query_id", "key", F.col("_c.n").alias("_n"), F.col("_c.terms").alias("_terms"))
     own = Window.partitionBy("query_id")
     c = c.withColumn("_all", F.count(F.lit(1)).over(own)).withColumn("_avg", F.avg("_n").over(own))
-    c = c.select("*", F.explode_outer(F.array_distinct(_terms(F.col("query")))).alias("_t"))
-    c = c.withColumn("_tf", F.size(F.filter("_w", lambda x: x == F.col("_t"))))
+    c = c.select("query_id", "key", "_n", "_all", "_avg", F.explode_outer("_terms").alias("_e")).select("*", F.col("_e.t").alias("_t"), F.coalesce("_e.tf", F.lit(0)).alias("_tf"))
     c = c.withColumn("_df", F.count_if(F.col("_tf") > 0).over(Window.partitionBy("query_id", "_t")))
     idf = F.log((F.col("_all") - F.col("_df") + 0.5) / (F.col("_df") + 0.5) + 1)
     part = idf * F.try_divide(F.col("_tf") * (K1 + 1), F.col("_tf") + K1 * (1 - B + B * F.try_divide(F.col("_n"), F.col("_avg"))))
@@ -169,20 +172,24 @@ def graph_signal(candidates: DataFrame, links: DataFrame) -> DataFrame:
     return own.unionByName(led)
 
 
-def signals(memories: DataFrame, vectors: DataFrame, links: DataFrame, queries: list[tuple[str, str]], embeddings: dict[str, list[float]], age_hours: Column) -> DataFrame:
+def recent_memories(memories: DataFrame, age_hours: Column) -> DataFrame:
+    """key, score of the 50 memories of best temporal score: the same for all queries, so ranked once."""
+    scored = memories.select("key", F.round(temporal_score(F.floor(age_hours / 24.0), F.col("access_count")), 12).alias("score"))
+    return materialize(scored.orderBy(F.desc("score"), "key").limit(PER_SIGNAL), "recent")
+
+
+def signals(memories: DataFrame, vectors: DataFrame, links: DataFrame, queries: list[tuple[str, str]], embeddings: dict[str, list[float]], recent: DataFrame) -> DataFrame:
     """query_id, signal, key, score: what each retriever finds for itself, its 50 best a query.
 
     keyword: BM25 over the 100 best substring matches; graph: these and what they lead to; dense: cosine of every vector to
-    the query's, 0.3 at least; temporal: recency and use of every memory. A memory need not hold a word of the query.
+    the query's, 0.3 at least; temporal: recency and use of every memory, as recent_memories() ranks them. A memory need not hold a word of the query.
     """
     keep = lambda df: top(df, PER_SIGNAL, F.desc("score"), F.asc("key"), name="_r", by=("query_id", "signal")).select("query_id", "signal", "key", "score")
     named = lambda df, n: df.select("query_id", F.lit(n).alias("signal"), "key", F.round("score", 12).alias("score"))
-    cand = materialize(match_any_term(memories, queries, 2 * PER_SIGNAL).select("query_id", "key", "value", F.col("score").alias("match")), "candidates")
+    cand = materialize(match_any_term(spread(memories), queries, 2 * PER_SIGNAL).select("query_id", "key", "value", F.col("score").alias("match")), "candidates")
     keyword = named(bm25(cand.select("query_id", "key", "value"), queries).withColumnRenamed("bm25", "score"), "keyword")
     graph = named(graph_signal(cand.select("query_id", "key", "match"), links), "graph")
-    # the same for all queries, so ranked once
-    temporal = memories.select("key", F.round(temporal_score(F.floor(age_hours / 24.0), F.col("access_count")), 12).alias("score")).orderBy(F.desc("score"), "key").limit(PER_SIGNAL)
-    temporal = named(temporal.withColumn("query_id", F.explode(F.array(*(F.lit(q) for q, _ in queries)))), "temporal")
+    temporal = named(recent.withColumn("query_id", F.explode(F.array(*(F.lit(q) for q, _ in queries)))), "temporal")
     found = keep(keyword.unionByName(graph)).unionByName(temporal)
     if embeddings:
         e = F.explode(F.array(*(F.struct(F.lit(q).alias("query_id"), F.array(*map(F.lit, v)).alias("qe")) for q, v in embeddings.items())))
@@ -202,10 +209,11 @@ def hybrid_search(memories: DataFrame, vectors: DataFrame, links: DataFrame, que
     hours = F.expr(f"timestampdiff(SECOND, created_at, timestamp_ntz'{as_of}') / 3600D")
     embeddings = query_embeddings(vectors, query_vectors)
     wanted = ["key", "value", "created_at", "importance"]
+    recent = recent_memories(memories, hours)
 
     def retrieve(qs: list[tuple[str, str]]) -> DataFrame:
         own = {i: embeddings[i.split("/")[0]] for i, _ in qs if i.split("/")[0] in embeddings}
-        fused = fuse_rrf(signals(memories, vectors, links, qs, own, hours), weights)
+        fused = fuse_rrf(signals(memories, vectors, links, qs, own, recent), weights)
         pool = top(fused, PER_SIGNAL, F.desc("fused"), F.desc("weighted"), F.asc("key"), name="_p")
         best = pool.withColumn("query_id", F.split("query_id", "/")[0]).groupBy("query_id", "key").agg(F.max("fused").alias("fused"))
         # at most 50 rows a part: a bound that the data don't move

@@ -95,7 +95,8 @@ def _fused_sql(p: str, qs: str) -> str:
 def _signals(spark, sf_dir):
     v = vectors(spark, sf_dir)
     e = R.query_embeddings(v, {i: k for i, k in _QV.items() if i in dict(QUERIES)})
-    return R.signals(spread(memories(spark, sf_dir)), v, memory_links(spark, sf_dir), QUERIES, e, hours_since("created_at"))
+    m = memories(spark, sf_dir)
+    return R.signals(m, v, memory_links(spark, sf_dir), QUERIES, e, R.recent_memories(m, hours_since("created_at")))
 
 
 @query(f"WITH {_QS}, {_STORE}, {_fused_sql('', 'qs')} SELECT query_id, key, round(fused, 9) AS fused, round(weighted, 9) AS weighted FROM fz")
@@ -132,7 +133,7 @@ fin AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rerank
 
 @query(f"WITH {_FLAG} SELECT query_id, rank, key, fused, round(composite, 9) AS composite, round(rerank_score, 9) AS rerank_score FROM fin WHERE rank <= 10")
 def hybrid_search(spark, sf_dir):
-    return R.hybrid_search(spread(memories(spark, sf_dir)), vectors(spark, sf_dir), memory_links(spark, sf_dir), _QUESTIONS, _QV, datetime.fromisoformat(AS_OF))
+    return R.hybrid_search(memories(spark, sf_dir), vectors(spark, sf_dir), memory_links(spark, sf_dir), _QUESTIONS, _QV, datetime.fromisoformat(AS_OF))
 
 
 @query(f"""WITH {_MATCH}, w AS (SELECT query_id, unnest({_TOK.format("value")}) AS term FROM top WHERE rank <= 5),
@@ -170,7 +171,7 @@ SELECT key, trim(regexp_replace(lower(value), '\\s+', ' ', 'g')) AS normalized,
   WHEN len(string_split(value, chr(10))) > 10 AND strlen(value) > 1000 THEN 'document' WHEN len(w) < 10 THEN 'note' ELSE 'text' END AS content_type FROM x""")
 def text_profile(spark, sf_dir):
     v = F.col("value")
-    return memories(spark, sf_dir).select(
+    return spread(memories(spark, sf_dir)).select(
         "key", T.normalize_content(v).alias("normalized"), F.sha2(v, 256).alias("content_hash"), T.cluster_key(v).alias("cluster_key"), T.ascii_language(v).alias("language"),
         F.round(T.readability(v), 9).alias("readability"), F.round(T.information_density(v), 9).alias("density"), T.content_type(v).alias("content_type"),
     )

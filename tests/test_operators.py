@@ -184,3 +184,15 @@ def test_alike_names_meet_all_pairs(spark):
     got = {(r.p_partkey, r.other): r.similarity for r in alike_names(spark.createDataFrame(list(enumerate(names)), "p_partkey long, p_name string")).collect()}
     want = {(i, j): round(Y.combined(a, b), 9) for i, a in enumerate(names) for j, b in enumerate(names) if i < j and a is not None and b is not None}
     assert got == {k: s for k, s in want.items() if s >= 0.8} and (0, 2) in got
+
+
+def test_hybrid_search_finds_what_holds_no_word_of_the_query(spark):
+    old = datetime(2020, 1, 1)
+    rows = [("word", "a lantern by the sea", old, old, 1, 0.5), ("dense", "something else entirely", old, old, 1, 0.5), ("linked", "nothing in common", old, old, 1, 0.5), ("far", "no relation", old, old, 1, 0.5)]
+    rows += [(f"new{i:02}", "filler text", datetime(2024, 12, 1), old, 50, 0.1) for i in range(50)]  # more recent than any, a full temporal signal
+    m = spark.createDataFrame(rows, "key string, value string, created_at timestamp_ntz, last_accessed timestamp_ntz, access_count long, importance double")
+    v = spark.createDataFrame([("dense", [1.0, 0.1]), ("far", [0.0, 1.0]), ("ask", [1.0, 0.0])], "key string, embedding array<double>")
+    links = spark.createDataFrame([("linked", "word", "causes")], "src string, dst string, rel_type string")
+    got = [r.key for r in R.hybrid_search(m, v, links, [("q", "lantern")], {"q": "ask"}, datetime(2025, 1, 1), k=60).collect()]
+    assert got[0] == "dense" and {"word", "linked"} <= set(got) and "far" not in got and "ask" not in got
+    assert R.hybrid_search(m.limit(0), v.limit(0), links.limit(0), [("q", "lantern")], {"q": "ask"}, datetime(2025, 1, 1)).collect() == []
