@@ -12,18 +12,25 @@ from pyspark.sql import functions as F
 from recollect.llm.ngram_join import _BYTE, Powers, _mix
 from recollect.llm.samples import global_rank, labelled_sample
 
-#: Cells of the two models: hashed words, then pairs of neighbouring word shapes.
-WORDS, SHAPES = 1 << 16, 1 << 16
-#: Labelled documents of each quality that are sampled at most, and n-grams that a document counts for.
-SAMPLE, EFFECTIVE = 2000, 64
+#: Cells of the models: hashed words, hashed pairs of neighbouring words, and pairs of neighbouring word shapes.
+WORDS, PAIRS, SHAPES = 1 << 16, 1 << 16, 1 << 16
+CELLS = WORDS + PAIRS + SHAPES
+_PARTS = (slice(0, WORDS), slice(WORDS, WORDS + PAIRS), slice(WORDS + PAIRS, CELLS))
+#: Labelled documents of each quality that are sampled at most.
+SAMPLE = 2000
+#: N-grams that a document counts for, however long: the sum of a long text's log-ratios would tell its length more than
+#: its kind, and no one cut would fit short and long ones.
+EFFECTIVE = 256
 #: Fixes the noise.
 SEED = "quality-1"
 #: Added to each cell, in parts of the whole mass.
 SMOOTH = 0.05
 #: N-grams of no weight that each text's mean counts besides its own.
 PRIOR = 20
-#: Share of good labelled documents that the cut may cost.
-COST = 0.005
+#: What losing one good labelled document costs the cut, against keeping one bad one.
+COST = 1.0
+#: An odd multiplier that tells the first word of a pair from the second.
+_SECOND = np.uint64(0x9E3779B97F4A7C15)
 _LOWER, _UPPER, _DIGIT, _MARK = 1, 2, 4, 8
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[97:123] = _LOWER
@@ -35,7 +42,7 @@ for _c in b"!\"#$%&()*+/:;<=>?@[\\]^_`{|}~":
 
 
 def features(text: str | None, powers: Powers) -> np.ndarray:
-    """Cells of a text's words and of its pairs of word shapes (letters' cases, digits, marks, and whether a word repeats one of the two before)."""
+    """Cells of a text's words, of its pairs of neighbouring words, and of its pairs of word shapes (letters' cases, digits, marks, and whether a word repeats one of the two before)."""
     w = (text or "").encode("utf-8", "surrogatepass").split()
     if not w:
         return np.empty(0, np.int64)
@@ -54,8 +61,10 @@ def features(text: str | None, powers: Powers) -> np.ndarray:
     again[1:] |= h[1:] == h[:-1]
     again[2:] |= h[2:] == h[:-2]
     shape = np.minimum(marks, 3) + 4 * np.minimum(upper, 2) + 12 * (lower > 0) + 24 * (count(_DIGIT) > 0) + 48 * again + 96 * np.minimum(lengths // 8, 2)
-    pairs = (np.concatenate([[255], shape]) * 320 + np.concatenate([shape, [255]])) % SHAPES
-    return np.concatenate([(h >> np.uint64(48)).astype(np.int64), WORDS + pairs])
+    shapes = (np.concatenate([[255], shape]) * 320 + np.concatenate([shape, [255]])) % SHAPES
+    pairs = _mix(h[:-1] * _SECOND + h[1:])
+    cell = lambda x: (x >> np.uint64(48)).astype(np.int64)
+    return np.concatenate([cell(h), WORDS + cell(pairs), WORDS + PAIRS + shapes])
 
 
 @dataclass
@@ -78,7 +87,7 @@ def raw_counts(documents: DataFrame) -> np.ndarray:
     """How often each cell occurs in all documents. A fixed number of cells meets on the driver."""
 
     def count(batches):
-        powers, cells = Powers(), np.zeros(WORDS + SHAPES, np.int64)
+        powers, cells = Powers(), np.zeros(CELLS, np.int64)
         for batch in batches:
             for t in _texts(batch):
                 cells += np.bincount(features(t, powers), minlength=len(cells)) if t and len(t) > 100_000 else 0
@@ -88,11 +97,26 @@ def raw_counts(documents: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), pa.array(cells[hit])], ["cell", "n"])
 
     found = documents.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(WORDS + SHAPES, np.int64)
+    out = np.zeros(CELLS, np.int64)
     out[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     return out
 
 
+def cut_between(good: list[float], bad: list[float], cost: float = COST) -> float:
+    """The cut that loses fewest good values (below it, each counts `cost`) and keeps fewest bad ones; of equal cuts the one amid the widest gap, then the lowest."""
+    if not good or not bad:
+        return -50.0
+    x = np.array(good + bad)
+    order = np.argsort(x, kind="stable")
+    x, is_good = x[order], (np.arange(len(order)) < len(good))[order]
+    # a cut below x[i] loses the good ones before it and keeps the bad ones from it on
+    wrong = np.concatenate([[0], np.cumsum(np.where(is_good, cost, -1.0))]) + len(bad)
+    gap = np.concatenate([[0.0], np.diff(x), [0.0]])
+    wrong[1:-1][gap[1:-1] == 0] = np.inf  # equal values can't be parted
+    i = min(range(len(wrong)), key=lambda i: (wrong[i], -gap[i], i))
+    return float(x[0] - 1 if i == 0 else x[-1] + 1 if i == len(x) else (x[i - 1] + x[i]) / 2)
+
+
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, cost: float = COST) -> Model:
     """The model from labels.quality (1: target) of at most `sample` documents of each value, and from all raw text.
 
@@ -101,24 +125,19 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, cost: flo
     powers = Powers()
     rows = [(features(t, powers), q) for t, q in labelled_sample(documents, labels, "quality", sample)]
     raw = raw_counts(documents).astype(float)
-    target = np.zeros(WORDS + SHAPES)
+    target = np.zeros(CELLS)
     for cells, q in rows:
         if q == 1:
             np.add.at(target, cells, 1)
-    ratio = np.zeros(WORDS + SHAPES)
-    for part in (slice(0, WORDS), slice(WORDS, WORDS + SHAPES)):
+    ratio = np.zeros(CELLS)
+    for part in _PARTS:
         t, r = target[part], raw[part]
         if t.sum() and r.sum():
             prior = (r + 1) / (r + 1).sum()  # cells that the target sample lacks lean on the raw model
             t = t / t.sum() * (1 - SMOOTH) + SMOOTH * prior
             ratio[part] = np.log(t) - np.log(prior)
     model = Model(ratio, -50.0)
-    good = sorted(model.mean(c) for c, q in rows if q == 1 and len(c))
-    bad = [model.mean(c) for c, q in rows if q == 0 and len(c)]
-    if good and bad:
-        # half way between the good documents, but for the few that cost allows, and the bad ones below them
-        least = good[int(cost * len(good))]
-        model.cut = (least + max((b for b in bad if b < least), default=least)) / 2
+    model.cut = cut_between([model.mean(c) for c, q in rows if q == 1 and len(c)], [model.mean(c) for c, q in rows if q == 0 and len(c)], cost)
     return model
 
 
@@ -152,21 +171,28 @@ def _ranked(documents: DataFrame, model: Model, seed: str) -> tuple[DataFrame, i
     return ranked, ranked.agg(F.count_if(F.col("log_weight") >= EFFECTIVE * model.cut)).first()[0]
 
 
-def quality_sample(documents: DataFrame, labels: DataFrame, seed: str = SEED, **how) -> DataFrame:
+def quality_sample(documents: DataFrame, labels: DataFrame, seed: str = SEED, k: int | None = None, **how) -> DataFrame:
     """doc_id, log_weight, gumbel_key, rank, kept of every row: a sample without replacement by importance.
 
-    k is the number of documents whose log_weight reaches the cut; the k largest gumbel_keys are kept (ties to the
-    smaller doc_id, null first), which is sampling k documents in proportion to their weights. Null and empty texts
+    The k largest gumbel_keys are kept (ties to the smaller doc_id, null first), which is sampling k documents in
+    proportion to their weights. k is how many to keep; None: as many as have a log_weight that reaches the cut between
+    labelled good and bad documents. Null and empty texts
     weigh least of all; repeated rows have one key and are ranked one after the other; an empty table gives no rows.
     """
-    ranked, k = _ranked(documents, fit(documents, labels, **how), seed)
+    ranked, fits = _ranked(documents, fit(documents, labels, **how), seed)
+    k = fits if k is None else k
     return ranked.drop("_k").withColumn("kept", (F.col("rank") <= k).cast("int"))
 
 
-def keep_good(documents: DataFrame, labels: DataFrame, seed: str = SEED, **how) -> DataFrame:
-    """The documents that quality_sample keeps, with all columns. Keys are made anew from the texts, so no text is shuffled."""
+def keep_good(documents: DataFrame, labels: DataFrame, seed: str = SEED, k: int | None = None, **how) -> DataFrame:
+    """The documents that quality_sample keeps, with all columns. Keys are made anew from the texts, so no text is shuffled.
+
+    A null text reads as empty, and empty texts go first. Rows with equal keys and doc_ids share their fate: all of them
+    stay if one does. Without labels all texts with words stay; an empty table gives no rows.
+    """
     model = fit(documents, labels, **how)
-    ranked, k = _ranked(documents, model, seed)
+    ranked, fits = _ranked(documents, model, seed)
+    k = fits if k is None else k
     last = ranked.filter(F.col("rank") == k).select("gumbel_key", "doc_id").first()
     least = (float("inf"), 0) if last is None else (last["gumbel_key"], last["doc_id"])
     order = lambda d: (d is not None, d or 0)

@@ -354,6 +354,69 @@ def test_junk_goes_and_clean_documents_stay(spark):
     assert quality.quality_sample(odd, labels.limit(0)).count() == len(ODD)
 
 
+def _plain_cells(text):
+    """Cells of words, pairs and shapes by their definitions, in whole numbers."""
+    mask = 2**64 - 1
+
+    def mix(h):
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = ((h ^ (h >> shift)) * by) & mask
+        return h ^ (h >> 31)
+
+    ws = (text or "").encode().split()
+    hs = [mix((sum(int(ngram_join._BYTE[c]) * pow(ngram_join._BASE, k, 2**64) for k, c in enumerate(w)) + len(w)) & mask) for w in ws]
+    shapes = []
+    for i, w in enumerate(ws):
+        marks = sum(chr(c) in "!\"#$%&()*+/:;<=>?@[\\]^_`{|}~" for c in w)
+        upper, digit, lower = (sum(a <= c <= b for c in w) for a, b in ((65, 90), (48, 57), (97, 122)))
+        lower += sum(c >= 128 for c in w)
+        again = hs[i] in hs[max(0, i - 2) : i]
+        shapes.append(min(marks, 3) + 4 * min(upper, 2) + 12 * (lower > 0) + 24 * (digit > 0) + 48 * again + 96 * min(len(w) // 8, 2))
+    pairs = [mix((a * int(quality._SECOND) + b) & mask) for a, b in zip(hs, hs[1:])]
+    two = [(a * 320 + b) % quality.SHAPES for a, b in zip([255, *shapes], [*shapes, 255])] if ws else []
+    return [h >> 48 for h in hs] + [quality.WORDS + (h >> 48) for h in pairs] + [quality.WORDS + quality.PAIRS + x for x in two]
+
+
+def test_weights_keys_and_ranks_meet_brute_force(spark):
+    texts = [*ODD[:5], *(words(20 + i, i) for i in range(30)), *("$$$ " + words(15 + i, i).upper() + " 99" for i in range(10))]
+    labels = [(i, int(i < 35), 0) for i in range(5, 45, 2)]
+    docs, n = table(spark, texts), len(texts)
+    got = {r.doc_id: r for r in quality.quality_sample(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    cells = [_plain_cells(t) for t in texts]
+    for i, t in enumerate(texts):
+        assert sorted(quality.features(t, ngram_join.Powers()).tolist()) == sorted(cells[i])
+    raw, target = Counter(c for cs in cells for c in cs), Counter(c for i, y, _ in labels if y for c in cells[i])
+    ratio = {}
+    for part in quality._PARTS:
+        mine = range(part.start, part.stop)
+        total, size = sum(raw[c] for c in mine), len(mine)
+        goods = sum(target[c] for c in mine)
+        for c in {c for c in raw if c in mine}:
+            prior = (raw[c] + 1) / (total + size)
+            ratio[c] = math.log(target[c] / goods * (1 - quality.SMOOTH) + quality.SMOOTH * prior) - math.log(prior)
+    weight = [quality.EFFECTIVE * (sum(ratio[c] for c in cs) / (len(cs) + quality.PRIOR) if cs else -100.0) for cs in cells]
+    noise = [-math.log(-math.log((xxhash.xxh64_intdigest(f"{quality.SEED}/{i}") >> 11) / 2.0**53 + 2.0**-54)) for i in range(n)]
+    good, bad = ([weight[i] for i, y, _ in labels if y == q and cells[i]] for q in (1, 0))
+    k = sum(w >= (min(good) + max(bad)) / 2 for w in weight)
+    assert min(good) > max(bad)
+    order = sorted(range(n), key=lambda i: (-(weight[i] + noise[i]), i))
+    for rank, i in enumerate(order, 1):
+        r = got[i]
+        assert math.isclose(r.log_weight, weight[i], rel_tol=1e-9, abs_tol=1e-9) and math.isclose(r.gumbel_key, weight[i] + noise[i], rel_tol=1e-9)
+        assert (r.rank, r.kept) == (rank, int(rank <= k))
+    fixed = quality.quality_sample(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), k=7).filter("kept = 1")
+    assert {r.doc_id for r in fixed.collect()} == set(order[:7])
+
+
+def test_the_cut_makes_fewest_mistakes():
+    rng = np.random.default_rng(13)
+    assert quality.cut_between([2.0, 3.0], [-1.0, 0.0]) == 1.0 and quality.cut_between([], [1.0]) == quality.cut_between([1.0], []) == -50.0
+    for _ in range(50):
+        good, bad = rng.normal(1, 1, 12).round(1).tolist(), rng.normal(-1, 1, 8).round(1).tolist()
+        wrong = lambda c, good=good, bad=bad: sum(g < c for g in good) + sum(b >= c for b in bad)
+        assert wrong(quality.cut_between(good, bad)) == min(wrong(c) for c in [-9, *good, *bad, 9] for c in (c - 0.01, c + 0.01))
+
+
 # 8. languages
 
 
