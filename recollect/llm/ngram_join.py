@@ -1,11 +1,12 @@
 """Self-join of documents by the Jaccard similarity of their word n-grams: rare-first prefixes, then one check a pair.
 
-A document's distinct n-grams are ordered by how often their cell of a count sketch was hit in the whole corpus, then by
-hash. Two sets that are similar enough share an n-gram of their prefixes, within the length and positional bounds; each
+A document's distinct n-grams are ordered by how often their cell of a count sketch was hit in the whole corpus (to an
+eighth of a binary magnitude), then by hash. Two sets that are similar enough share an n-gram of their prefixes, within the length and positional bounds; each
 such pair is checked once on the whole texts, after a suffix bound. Components need not every link: pairs that links
 found so far connect anyway are not formed.
 """
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +19,11 @@ from recollect.session import materialize
 
 #: Words of an n-gram, and the least 100 * intersection / union.
 WORDS, PERCENT = 4, 85
-#: Cells of the count sketch (its whole size; it is sent to the tasks), n-grams to a hash range of the suffix bound, and most ranges.
-CELLS_LOG2, PER_RANGE, RANGES_LOG2 = 18, 4, 12
+#: The count sketch has a cell for so many n-grams of the corpus, but no fewer and no more cells than these powers of two;
+#: a cell is a byte, and the sketch is sent to the tasks, so 16 MB at most.
+PER_CELL, LEAST_LOG2, MOST_LOG2 = 512, 18, 24
+#: N-grams to a hash range of the suffix bound, and most ranges.
+PER_RANGE, RANGES_LOG2 = 4, 12
 #: A fixed odd multiplier for hashes of byte strings, from a fixed generator with the table for bytes.
 _RANDOM = np.random.default_rng(20240229)
 _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -69,8 +73,8 @@ def ngram_hashes(text: str | None, powers: Powers, words: int = WORDS) -> np.nda
     return np.unique(_mix((sums[b] - sums[a]) * powers.down[a] + (b - a).astype(np.uint64)))
 
 
-def _cell(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - CELLS_LOG2)).astype(np.int64)
+def _cell(h: np.ndarray, log2: int) -> np.ndarray:
+    return (h >> np.uint64(64 - log2)).astype(np.int64)
 
 
 def range_counts(h: np.ndarray) -> np.ndarray:
@@ -91,28 +95,46 @@ def _texts(batch: pa.RecordBatch) -> Iterator[str | None]:
     return (t.as_py() for t in batch.column("text"))
 
 
+def sketch_log2(documents: DataFrame) -> tuple[int, int]:
+    """The power of two of the sketch's cells, and how many tasks should count so that each fills its cells several times over."""
+    size = documents.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    grams = size // 6  # bytes of a word and its space, about; only the speed depends on it
+    log2 = min(MOST_LOG2, max(LEAST_LOG2, (grams // PER_CELL).bit_length()))
+    return log2, max(1, grams // (4 << log2))
+
+
 def sketch_counts(documents: DataFrame, words: int = WORDS) -> np.ndarray:
-    """How many documents' n-grams fall in each of 2**CELLS_LOG2 cells, over all documents; a fixed number of rows meets on the driver."""
+    """How many documents' n-grams fall in each of 2**k cells, over all documents, as bytes: eight times the binary logarithm.
+
+    A number of rows that MOST_LOG2 bounds meets on the driver. With cells beyond the least size tasks are merged, for
+    each task sends every cell that it hits.
+    """
+    log2, tasks = sketch_log2(documents)
 
     def count(batches):
-        powers, cells = Powers(), np.zeros(1 << CELLS_LOG2, np.int64)
+        powers, cells = Powers(), np.zeros(1 << log2, np.int64)
         for batch in batches:
             for t in _texts(batch):
-                np.add.at(cells, _cell(ngram_hashes(t, powers, words)), 1)
+                np.add.at(cells, _cell(ngram_hashes(t, powers, words), log2), 1)
         hit = np.flatnonzero(cells)
         for k in range(0, len(hit), 1 << 16):
             part = hit[k : k + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(cells[part])], ["cell", "n"])
 
-    found = documents.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << CELLS_LOG2, np.int64)
-    out[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    texts = documents.select("text")
+    if log2 > LEAST_LOG2:
+        texts = texts.coalesce(tasks)
+    level = F.least(F.lit(255), F.round(8 * F.log2(F.sum("n") + 1))).cast("short")
+    found = texts.mapInArrow(count, "cell int, n long").groupBy("cell").agg(level.alias("level")).toPandas()
+    out = np.zeros(1 << log2, np.uint8)
+    out[found["cell"].to_numpy(np.int64)] = found["level"].to_numpy(np.uint8)
     return out
 
 
 def prefixes(documents: DataFrame, counts: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n (distinct n-grams), same (16 bytes, equal for equal sets; null for empty ones), prefix (array<long>, rare first), ranges (range_counts)."""
     names = ["doc_id", "n", "same", "prefix", "ranges"]
+    log2 = len(counts).bit_length() - 1
 
     def make(batches):
         powers = Powers()
@@ -122,7 +144,7 @@ def prefixes(documents: DataFrame, counts: np.ndarray, words: int = WORDS, perce
                 h = ngram_hashes(t, powers, words)
                 n.append(len(h))
                 same.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
-                order = np.lexsort((h, counts[_cell(h)]))[: len(h) - (percent * len(h) + 99) // 100 + 1] if len(h) else slice(0)
+                order = np.lexsort((h, counts[_cell(h, log2)]))[: len(h) - (percent * len(h) + 99) // 100 + 1] if len(h) else slice(0)
                 prefix.append(h[order].view(np.int64))
                 ranges.append(range_counts(h).tobytes())
             flat = np.concatenate([np.empty(0, np.int64), *prefix])
@@ -209,9 +231,12 @@ def jaccard_components(documents: DataFrame, words: int = WORDS, percent: int =
     labelled = materialize(labelled, "labelled-grams")
     split = labelled.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("gram")
     mine = labelled.join(split, "gram", "left_semi")
-    theirs = mine.select("gram", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "component")))
-    rest = mine.join(theirs, "gram").filter("component <> component2 AND id < id2").filter(bounds(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"), percent))
-    rest = rest.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    # sets similar enough have lengths of one class or of neighbouring ones, so a frequent n-gram is split by length
+    length = F.floor(F.log(F.col("n")) / ((math.log(100 / percent) or 1e-6) * (1 + 1e-9))).cast("int")
+    mine = mine.withColumn("length", length)
+    theirs = mine.select("gram", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "component")), F.col("length").alias("own"), F.explode(F.array("length", F.col("length") - 1)).alias("length"))
+    rest = mine.join(theirs, ["gram", "length"]).filter("component <> component2 AND (own > length OR id < id2)").filter(bounds(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"), percent))
+    rest = rest.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     likely = materialize(likely_pairs(rest, signs, percent), "other-likely", release=True)
     more = similar_pairs(likely, docs, words, percent)
     every = found.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))

@@ -493,6 +493,25 @@ def test_components_meet_brute_force(spark, n, percent):
     assert ngram_join.jaccard_components(table(spark, texts).limit(0)).collect() == []
 
 
+def test_a_finer_sketch_and_a_common_passage_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    passage = " ".join(f"p{x}" for x in range(12))
+    texts = []
+    for i in range(60):  # all hold the passage, lengths from 14 words to 74; near copies of every sixth
+        own = [f"w{x}" for x in rng.integers(0, 10**6, 2 + i)]
+        texts.append(passage + " " + " ".join(own))
+        if i % 6 == 0:
+            texts.append(passage + " " + " ".join([*own, "more"]))
+    want = _plain_components(list(enumerate(texts)), 4, 85)
+    assert len({c for _, _, c in want}) < len(texts)
+    assert {tuple(r) for r in ngram_join.jaccard_components(table(spark, texts)).collect()} == want
+    monkeypatch.setattr(ngram_join, "PER_CELL", 1)
+    monkeypatch.setattr(ngram_join, "LEAST_LOG2", 4)
+    docs = table(spark, texts)
+    assert ngram_join.sketch_log2(docs)[0] > 8 and len(ngram_join.sketch_counts(docs)) == 1 << ngram_join.sketch_log2(docs)[0]
+    assert {tuple(r) for r in ngram_join.jaccard_components(docs).collect()} == want
+
+
 def test_repeated_rows_and_ids(spark):
     t = words(50, 1)
     rows = [(1, t), (1, t), (2, t), (None, t), (3, words(50, 2)), (3, words(50, 3)), (4, words(50, 3)), (None, None)]
