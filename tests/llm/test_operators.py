@@ -15,7 +15,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from recollect.llm import ann, bpe, chat, fingerprint, language, mixing, ngram_join, quality, secrets, toxicity
+from recollect.llm import ann, bpe, bpe_words, chat, fingerprint, language, mixing, ngram_join, quality, secrets, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
@@ -68,6 +68,20 @@ def test_bpe_tables_decode_to_the_texts(spark):
     assert bpe.round_trip(docs.limit(0), path).collect() == []
 
 
+def test_the_fold_within_spark_meets_the_library(spark, library):
+    enc, ranks = library
+    path = public_tokenizers.path(bpe.RANKS)
+    texts = [*ODD, "it's I'll we'd  'tis\u2003x 12\u00b2 \x07\x00", None]
+    docs = table(spark, texts, ids=F.lit("clash"))
+    docs = docs.unionByName(docs.limit(3))
+    got, want = (sorted(map(tuple, f(docs, path).collect())) for f in (bpe_words.round_trip, bpe.round_trip))
+    assert got == want and len(got) == len(texts) + 3
+    assert bpe_words.round_trip(docs.limit(0), path).collect() == []
+    some = ["", None, " the", "zzzzqx", "é" * 30, "ab" * 60]
+    rows = bpe_words.fold_words(spark.createDataFrame(list(enumerate(some)), "i int, word string"), ranks).collect()
+    assert {r.i: r.ids for r in rows} == {i: enc._encode_single_piece(w.encode()) if w else [] for i, w in enumerate(some)}
+
+
 def test_both_folds_agree(library):
     enc, ranks = library
     rng = np.random.default_rng(3)
