@@ -9,6 +9,7 @@ from recollect.functions import text as T
 from recollect.functions import vectors as V
 from recollect.functions.decay import ebbinghaus
 from recollect.functions.facts import split_multi_part, temporal_range
+from recollect.functions.scores import graph_score
 from recollect.operators.graph import relationship_strength, undirected
 from recollect.session import materialize
 from recollect.sources.tables import spread
@@ -164,7 +165,7 @@ def graph_signal(candidates: DataFrame, links: DataFrame) -> DataFrame:
     """
     near = materialize(related(links, candidates.select("key").distinct()), "related")
     stats = near.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.avg("strength").alias("_s"))
-    lifted = F.when(F.col("_n").isNull(), F.col("match")).otherwise(F.least(F.lit(1.0), F.col("match") + F.least(F.col("_n") / 10, F.lit(0.5)) + 0.3 * F.col("_s")))
+    lifted = graph_score(F.col("match"), F.col("_n"), F.col("_s"))
     own = candidates.join(stats, "key", "left").select("query_id", "key", F.round(lifted, 12).alias("score"))
     seeds = top(own, SEEDS, F.desc("score"), F.asc("key"), name="_seed")
     led = seeds.join(near, "key").select("query_id", F.col("other").alias("key"), "_seed", F.round(F.col("score") * F.least(F.lit(1.0), F.col("strength")), 12).alias("score"))
