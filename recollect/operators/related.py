@@ -105,10 +105,15 @@ def consolidation_candidates(memories: DataFrame, threshold: float, hours: float
     if tags:
         fit = fit.filter(F.arrays_overlap("tags", F.array(*map(F.lit, tags))))
     fit = materialize(fit.select("key", "value", "created_at"), "eligible")
-    own = fit.select("key", F.col("key").alias("id"), F.array_sort(word_set(F.col("value"), 2)).alias("words"))
-    at = fit.select(F.col("key").alias("a"), F.col("created_at").alias("ta"))
-    pairs = similar_texts(own, threshold).join(at, "a").join(at.select(F.col("a").alias("b"), F.col("ta").alias("tb")), "b")
-    pairs = pairs.filter(F.abs(F.expr("timestampdiff(SECOND, ta, tb)")) <= hours * 3600)
+    c = materialize(text_classes(fit), "text-classes")
+    alike = similar_texts(c, threshold).select("a", "b")
+    alike = alike.unionByName(alike.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(c.filter("key = id").select(F.col("id").alias("a"), F.col("id").alias("b")))
+    # rows of alike classes meet in cells of time, so copies are paired only with those near in time
+    width = max(1, int(hours * 3600))
+    rows = fit.join(c.select("key", "id"), "key").select("key", "id", F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01', created_at)").alias("s")).withColumn("cell", F.floor(F.col("s") / width))
+    left = rows.join(alike, F.col("id") == F.col("a")).select(F.col("key").alias("ka"), "b", "s", "cell")
+    right = rows.select(F.col("key").alias("kb"), F.col("id").alias("b"), F.col("s").alias("s2"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
+    pairs = left.join(right, ["b", "cell"]).filter((F.col("ka") < F.col("kb")) & (F.abs(F.col("s") - F.col("s2")) <= hours * 3600)).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
     g = greedy_groups(fit.select(F.col("key").alias("id")), pairs)
     many = g.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("leader")
     return g.join(many, "leader").select(F.col("id").alias("key"), "leader")
