@@ -6,8 +6,12 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Verbs that relate two entities, and what they are called.
-PREDICATES = {"works at": "works_at", "works for": "works_at", "lives in": "lives_in", "moved to": "lives_in", "likes": "likes", "loves": "likes", "uses": "uses", "owns": "owns", "is": "is_a", "knows": "knows", "joined": "works_at"}
+#: Verb phrases that relate two entities, and the predicate that each stands for.
+PREDICATES = {
+    "was born in": "born_in", "is employed by": "works_at", "relocated to": "lives_in", "moved to": "lives_in", "moves to": "lives_in", "lives in": "lives_in", "lived in": "lives_in",
+    "resides in": "lives_in", "born in": "born_in", "works at": "works_at", "works for": "works_at", "worked at": "works_at", "worked for": "works_at", "employed by": "works_at", "joined": "works_at",
+    "married": "married_to", "visited": "visited", "met": "met", "founded": "founded", "leads": "leads", "manages": "manages",
+}
 SEASONS = {"spring": (3, 6), "summer": (6, 9), "autumn": (9, 12), "fall": (9, 12), "winter": (12, 15)}
 _QUOTED = re.compile(r"\"([^\"]+)\"")
 _DATE = re.compile(r"\b\d{4}-\d{2}-\d{2}\b")
@@ -31,7 +35,12 @@ def extract_entities(text: str) -> list[tuple[str, str, int, int]]:
 
 
 def normalize_predicate(phrase: str) -> str | None:
-    return PREDICATES.get(" ".join(phrase.lower().split()))
+    """The predicate of the longest known phrase that the words of a text between two entities end with."""
+    words = re.findall(r"[^\W_]+", phrase.lower())
+    for n in range(min(3, len(words)), 0, -1):
+        if (p := PREDICATES.get(" ".join(words[-n:]))) is not None:
+            return p
+    return None
 
 
 def extract_relations(text: str) -> list[tuple[str, str, str]]:

@@ -4,6 +4,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recollect.session import materialize
+
 
 def basic_stats(memories: DataFrame, hours_idle: Column, hours_old: Column) -> DataFrame:
     """Totals, rows accessed within seven days, mean age in days."""
@@ -15,29 +17,28 @@ def basic_stats(memories: DataFrame, hours_idle: Column, hours_old: Column) -> D
 
 def size_distribution(sizes: DataFrame, column: str) -> DataFrame:
     """min, max, median (the element at n / 2) and p95 (at n * 0.95) without sorting in one task, and six buckets."""
-    c = F.col(column)
     edges = (100, 1000, 10_000, 100_000, 1_000_000)
-    n = sizes.agg(F.count(F.lit(1)).alias("n"))
-    by = sizes.groupBy(c.alias("size")).agg(F.count(F.lit(1)).alias("k"))
-    run = by.withColumn("upto", F.sum("k").over(Window.orderBy("size")))  # one row a distinct size
-    at = run.join(F.broadcast(n)).agg(
+    run = running_counts(sizes, column).withColumnRenamed("x", "size")
+    return run.agg(
         F.min("size").alias("min"), F.max("size").alias("max"), F.min(F.when(F.col("upto") > F.expr("n div 2"), F.col("size"))).alias("median"),
         F.min(F.when(F.col("upto") > F.floor(F.col("n") * 0.95), F.col("size"))).alias("p95"),
         *(F.sum(F.when((F.col("size") >= lo) & (F.col("size") < hi), F.col("k")).otherwise(0)).alias(f"bucket_{i}") for i, (lo, hi) in enumerate(zip((0, *edges), (*edges, 1 << 62), strict=True))),
     )
-    return at
 
 
-def percentiles(df: DataFrame, column: str, points=(50, 95, 99)) -> DataFrame:
-    """Elements at index n * p / 100 of the sorted column, and the largest."""
+def running_counts(df: DataFrame, column: str) -> DataFrame:
+    """x, k, upto, n: the distinct values of a column, how many rows hold each, are up to each, and are there at all. Ranges are summed side by side."""
     by = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("x")).agg(F.count(F.lit(1)).alias("k"))
-    from recollect.session import materialize
-
-    ranged = materialize(by.repartitionByRange("x").withColumn("part", F.spark_partition_id()), "percentiles")
+    ranged = materialize(by.repartitionByRange("x").withColumn("part", F.spark_partition_id()), "running-counts")
     sums = ranged.groupBy("part").agg(F.sum("k").alias("s")).withColumn("before", F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     run = ranged.withColumn("inside", F.sum("k").over(Window.partitionBy("part").orderBy("x"))).join(F.broadcast(sums.select("part", "before")), "part")
     n = F.broadcast(ranged.agg(F.sum("k").alias("n")))
-    run = run.join(n).withColumn("upto", F.col("inside") + F.col("before"))
+    return run.join(n).select("x", "k", (F.col("inside") + F.col("before")).alias("upto"), "n")
+
+
+def percentiles(df: DataFrame, column: str, points=(50, 95, 99)) -> DataFrame:
+    """Elements at index n * p / 100 of the sorted column, and the largest."""
+    run = running_counts(df, column)
     return run.agg(*(F.min(F.when(F.col("upto") > F.floor(F.col("n") * p / 100), F.col("x"))).alias(f"p{p}") for p in points), F.max("x").alias("max"))
 
 

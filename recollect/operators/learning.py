@@ -3,6 +3,8 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,3 +118,48 @@ def textrank(sentences: DataFrame, damping: float = 0.85, rounds: int = 30) -> D
         return pd.DataFrame({"key": g["key"], "pos": g["pos"], "rank_score": score})
 
     return sentences.groupBy("key").applyInPandas(run, "key string, pos int, rank_score double")
+
+
+def kmeans_spread_start(vectors: DataFrame, k: int, rounds: int = 100, seed: int = 1) -> DataFrame:
+    """key, cluster of vectors(key, embedding) by Lloyd's rounds from centroids drawn far apart (the scalable form of that start)."""
+    v = vectors.select("key", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    model = KMeans(k=k, maxIter=rounds, initMode="k-means||", seed=seed, predictionCol="cluster").fit(v)
+    return model.transform(v).select("key", "cluster")
+
+
+def agglomerate(points: np.ndarray, enough: int) -> list[list[int]]:
+    """Clusters of rows: the two whose mean distance between members is least join, the first of equals, until `enough` are left."""
+    clusters = [[i] for i in range(len(points))]
+    d = np.linalg.norm(points[:, None] - points[None], axis=2)
+    np.fill_diagonal(d, np.inf)
+    size = np.ones(len(points))
+    while len(clusters) > max(1, enough):
+        i, j = sorted(np.unravel_index(np.argmin(d), d.shape))
+        merged = (d[i] * size[i] + d[j] * size[j]) / (size[i] + size[j])
+        d[i], d[:, i] = merged, merged
+        d[i, i] = np.inf
+        size[i] += size[j]
+        clusters[i] += clusters[j]
+        del clusters[j]
+        d, size = np.delete(np.delete(d, j, 0), j, 1), np.delete(size, j)
+    return clusters
+
+
+def hierarchical_clusters(rows: DataFrame, key: str, columns: list[str], groups: str, most: int = 2000, share: int = 5) -> DataFrame:
+    """groups, key, cluster (its least key): within each group, clusters are joined by mean distance until a share-th as many as rows are left.
+
+    A group is one task's work and quadratic in its rows, so one of more than `most` rows raises an error and is not cut.
+    """
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        if len(g) > most:
+            raise ValueError(f"group {g[groups].iloc[0]} has {len(g)} rows, over {most}")
+        g = g.sort_values(key, ignore_index=True)
+        out = g[[groups, key]].copy()
+        out["cluster"] = g[key]
+        for c in agglomerate(g[columns].to_numpy(float), max(1, len(g) // share)):
+            out.loc[c, "cluster"] = g[key][min(c)]
+        return out
+
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.select(groups, key, *columns).groupBy(groups).applyInPandas(run, f"{groups} {types[groups]}, {key} {types[key]}, cluster {types[key]}")

@@ -1,5 +1,5 @@
 """Named queries of the library; importing the modules registers them."""
-from recollect.plans import learning, memory, more, network, related, search, statistics
+from recollect.plans import learning, memory, more, network, related, search, statistics, surface
 from recollect.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "learning", "memory", "more", "network", "related", "search", "statistics"]
+__all__ = ["ORACLES", "QUERIES", "learning", "memory", "more", "network", "related", "search", "statistics", "surface"]

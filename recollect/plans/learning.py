@@ -99,7 +99,8 @@ def stream_sessions(spark, sf_dir):
     return t.select("user_id", F.unix_micros("start").alias("start_us"), "n")
 
 
-@query("SELECT user_id, count(*) AS n FROM events GROUP BY 1")
+@query("""WITH l AS (SELECT user_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events), g AS (SELECT user_id, any_value(n) AS n, max(t) AS last, CASE WHEN count(*) > 1 THEN (max(t) - min(t)) // (count(*) - 1) END AS gap FROM l WHERE r <= 100 GROUP BY 1)
+SELECT user_id, n, gap AS mean_interval_ms, last + gap AS next_ms FROM g""")
 def stream_access_state(spark, sf_dir):
     t = E.run_to_table(E.access_patterns(_stream(spark, sf_dir)), "access", "update")
-    return t.groupBy("user_id").agg(F.max("n").alias("n"))
+    return t.groupBy("user_id").agg(F.max_by(F.struct("n", "mean_interval_ms", "next_ms"), "n").alias("s")).select("user_id", "s.*")

@@ -1,4 +1,6 @@
 """Queries of stores, filters, versions, duplicates, lifecycle and the SQL surface."""
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -79,11 +81,19 @@ def import_merge(spark, sf_dir):
     return S.MemoryTable(m).merge(other, "merge").rows.select(*_SMALL, F.array_sort("tags").alias("tags"))
 
 
-@query("SELECT 'parquet' AS format, count(*) AS tables FROM (VALUES (1), (2), (3)) v(x)")
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, CASE WHEN count(*) >= 0 THEN 'parquet' END AS format FROM {t}" for t in _TABLES) + " UNION ALL SELECT 'nation_json', 'json' UNION ALL SELECT 'nation_csv', 'csv' UNION ALL SELECT 'nation_tsv', 'tsv'")
 def detect_data_format(spark, sf_dir):
-    """Of the three tables that are one file at every scale."""
-    f = spark.read.format("binaryFile").load([f"{sf_dir}/{t}.parquet" for t in ("region", "nation", "supplier")])
-    return f.groupBy(S.format_of(F.col("content")).alias("format")).agg(F.count(F.lit(1)).alias("tables"))
+    """The format of every table's first file, and of a table written as JSON, CSV and with tabs, by their first bytes."""
+    n, path = table(spark, sf_dir, "nation").coalesce(1), f"{shared_folder(spark)}/formats-{uuid.uuid4().hex}"
+    n.write.json(f"{path}/nation_json")
+    n.write.csv(f"{path}/nation_csv")
+    n.write.option("sep", "\t").csv(f"{path}/nation_tsv")
+    places = {**{t: f"{sf_dir}/{t}.parquet" for t in _TABLES}, **{t: f"{path}/{t}" for t in ("nation_json", "nation_csv", "nation_tsv")}}
+    heads = spark.createDataFrame([(name, bytearray(S.first_bytes(spark, place))) for name, place in places.items()], "name string, content binary")
+    return heads.select("name", S.format_of(F.col("content")).alias("format"))
 
 
 @query(f"""WITH {MEMORIES} SELECT key FROM mem WHERE memory_type = 'ShortTerm' AND list_has_any(tags, ['en', 'src3']) AND importance BETWEEN 0.2 AND 0.9 AND confidence BETWEEN 0.1 AND 1 AND created_at BETWEEN TIMESTAMP '2024-02-01' AND TIMESTAMP '2024-11-01'

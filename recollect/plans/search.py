@@ -213,7 +213,7 @@ _ONE = "(SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = (SELECT
 
 
 @query(f"""SELECT vec_id, round(list_cosine_similarity(e, q), 9) AS cosine, round(list_distance(e, q), 9) AS euclidean, round(list_sum(list_transform(list_zip(e, q), lambda z: abs(z[1] - z[2]))), 9) AS manhattan,
- round(list_dot_product(e, q), 9) AS dot, round(acos(greatest(-1, least(1, list_cosine_similarity(e, q) - 1e-15))), 6) AS angular, 1.0::DOUBLE AS support FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), {_ONE}""")
+ round(list_dot_product(e, q), 9) AS dot, round(acos(greatest(-1, least(1, list_cosine_similarity(e, q) - 1e-15))), 6) AS angular, len(list_filter(list_zip(e, q), lambda z: z[1] <> 0 AND z[2] <> 0)) / len(list_filter(list_zip(e, q), lambda z: z[1] <> 0 OR z[2] <> 0))::DOUBLE AS support FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), {_ONE}""")
 def vector_metrics(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     q = v.agg(F.min_by("e", "vec_id").alias("q"))

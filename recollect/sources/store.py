@@ -114,6 +114,20 @@ def format_of(content: Column) -> Column:
     return out.when(F.ltrim(head).rlike(r"^[\[{]"), "json").when(F.contains(line, F.lit("\t")), "tsv").otherwise("csv")
 
 
+def first_bytes(spark: SparkSession, path: str, n: int = 4096) -> bytes:
+    """The first bytes of a file, or of the first file that is not empty in a folder; the driver reads no more than these."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted(((s.getPath().getName(), s.getPath()) for s in files.listStatus(at) if s.getLen() > 0 and not s.getPath().getName().startswith(("_", "."))), key=lambda x: x[0])
+    if not found:
+        return b""
+    stream = files.open(found[0][1])
+    try:
+        return bytes(stream.readNBytes(n))
+    finally:
+        stream.close()
+
+
 def csv_delimiter(lines: list[str]) -> str:
     """Of comma, semicolon, pipe and tab, the one whose count is most even over the first five lines."""
     def evenness(d):
@@ -133,3 +147,66 @@ def discover(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """path, bytes of files below root."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     return f.select("path", F.col("length").alias("bytes"))
+
+
+def open_store(spark: SparkSession, backend: str, where: str, **options) -> DataFrame:
+    """The table behind a backend: memory (a view's name), file (a path, its format by its ending or `format`), sql (a JDBC url, with `table`)."""
+    if backend == "memory":
+        return spark.table(where)
+    if backend == "file":
+        return read(spark, where, options.get("format"))
+    if backend == "sql":
+        return spark.read.format("jdbc").option("url", where).options(**{("dbtable" if k == "table" else k): v for k, v in options.items()}).load()
+    raise ValueError(f"unknown backend {backend}")
+
+
+#: The tables of a store, and what they are partitioned by.
+TABLES = {
+    "memories": ("key string, value string, memory_type string, created_at timestamp, last_accessed timestamp, access_count bigint, tags array<string>, custom_fields map<string,string>, importance double, confidence double", "memory_type"),
+    "analytics_events": ("event_id string, event_type string, memory_key string, ts timestamp, day date, payload string", "day"),
+    "relationships": ("src string, dst string, rel_type string, strength double, confidence double, valid_from timestamp, valid_to timestamp", "rel_type"),
+}
+
+
+def create_tables(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
+    """name, column, type of the store's tables, which are created below root where they are not there yet."""
+    rows = []
+    for name, (columns, by) in TABLES.items():
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {prefix}{name} ({columns}) USING parquet PARTITIONED BY ({by}) LOCATION '{root}/{prefix}{name}'")
+        rows += [(name, f.name, f.dataType.simpleString()) for f in spark.table(f"{prefix}{name}").schema]
+    return spark.createDataFrame(rows, "name string, column string, type string")
+
+
+def alive(table: DataFrame, stored_at: str, seconds: int, as_of: Column) -> DataFrame:
+    """The rows that a cache of so many seconds to live still holds at as_of."""
+    return table.filter(F.expr(f"{stored_at} + make_dt_interval(0, 0, 0, {seconds})") > as_of)
+
+
+def restore_legacy(spark: SparkSession, path: str, schema, key: str = "key") -> "MemoryTable":
+    """The older backup: one JSON document with `entries`, a map from key to row; columns that it lacks are null."""
+    fields = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    doc = spark.read.schema(T.StructType([T.StructField("entries", T.MapType(T.StringType(), fields))])).json(path, multiLine=True)
+    rows = doc.select(F.explode("entries").alias("_k", "_v")).select(F.col("_k").alias(key), *(F.col(f"_v.{f.name}") for f in fields if f.name != key))
+    return MemoryTable(rows, key)
+
+
+def gram_postings(memories: DataFrame, most: int = 3) -> DataFrame:
+    """gram, key: the distinct runs of one to `most` characters of each lower-cased text."""
+    v = F.lower(F.coalesce("value", F.lit("")))
+    runs = lambda n: F.when(F.length("v") >= n, F.transform(F.sequence(F.lit(1), F.length("v") - n + 1), lambda i: F.substring(F.col("v"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return memories.select("key", v.alias("v")).select("key", F.explode(F.array_distinct(F.concat(*(runs(n) for n in range(1, most + 1))))).alias("gram"))
+
+
+def gram_candidates(postings: DataFrame, term: str, most: int = 3) -> DataFrame:
+    """key of the rows whose postings hold every run of `most` characters of a term (all of it, if it is shorter): those that may contain it."""
+    t = term.lower()
+    grams = sorted({t[i : i + most] for i in range(max(1, len(t) - most + 1))})
+    hit = postings.filter(F.col("gram").isin(grams)).groupBy("key").agg(F.count_distinct("gram").alias("n"))
+    return hit.filter(F.col("n") == len(grams)).select("key")
+
+
+def ring_nodes(keys: DataFrame, nodes: list[str], replicas: int = 2) -> DataFrame:
+    """key, place, node: the nodes that hold each key, those whose hash with the key is largest; a node that leaves moves only its own keys."""
+    scored = F.array_sort(F.array(*(F.struct(F.md5(F.concat_ws("/", F.lit(n), F.col("key"))).alias("h"), F.lit(n).alias("node")) for n in nodes)))
+    best = F.slice(F.reverse(scored), 1, replicas)
+    return keys.select("key", F.posexplode(F.transform(best, lambda x: x["node"])).alias("place", "node"))

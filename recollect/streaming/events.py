@@ -1,6 +1,6 @@
 """Structured Streaming over events: sources, sessions, counters and stateful versions."""
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -101,3 +101,79 @@ def run_to_table(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
         return spark.createDataFrame([], df.schema)
     paths = [f"{path}/batch={n}" for n in ([max(numbers)] if mode == "complete" else sorted(set(numbers)))]
     return spark.read.schema(df.schema).parquet(*paths)
+
+
+def subscribe(events: DataFrame, handlers: dict[str, Callable[[DataFrame, int], None]], checkpoint: str):
+    """Gives each batch's events of a type to that type's handler, all that is there now; returns the finished query.
+
+    A handler gets (events, batch number); a batch that comes again after a failure has its number, so a handler that
+    writes by number does so once.
+    """
+
+    def hand_out(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            for kind, handler in handlers.items():
+                handler(batch.filter(F.col("event_type") == kind), number)
+        finally:
+            batch.unpersist()
+
+    q = events.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(hand_out).start()
+    q.awaitTermination()
+    return q
+
+
+def enrich_batches(path: str, fact_column: Callable):
+    """A foreachBatch sink for rows(key, value): the facts of each text, as rows `key::factN` beside their source, which is marked if any was found.
+
+    Returns the sink and a reader of what it wrote: key, value, source, raw_source. A batch that comes again overwrites its own folder.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        found = batch.withColumn("_f", fact_column(F.coalesce(F.col("value"), F.lit(""))))
+        raw = found.select("key", "value", F.lit(None).cast("string").alias("source"), (F.size("_f") > 0).alias("raw_source"))
+        facts = found.select("key", F.posexplode("_f").alias("n", "f"))
+        facts = facts.select(F.concat("key", F.lit("::fact"), F.col("n").cast("string")).alias("key"), F.concat_ws(" ", "f.subject", "f.predicate", "f.object").alias("value"), F.col("key").alias("source"), F.lit(False).alias("raw_source"))
+        raw.unionByName(facts).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    def enriched(spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(path).select("key", "value", "source", "raw_source")
+
+    return write, enriched
+
+
+def sync_batches(path: str, valid: str):
+    """A foreachBatch sink for queued operations: those that hold `valid` are written, the others counted as failed. Returns the sink and a reader of the counts by batch."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        ok = F.coalesce(F.expr(valid), F.lit(False))
+        batch.filter(ok).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        batch.agg(F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed")).write.mode("overwrite").parquet(f"{path}/counts/batch={number}")
+
+    def counts(spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{path}/counts").groupBy("batch").agg(F.sum("succeeded").alias("succeeded"), F.sum("failed").alias("failed"))
+
+    return write, counts
+
+
+def run_sink(stream: DataFrame, write, checkpoint: str) -> None:
+    """Processes all that is there now through a foreachBatch sink."""
+    stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+
+
+def last_snapshots(snapshots: DataFrame, keep: int = 1000) -> DataFrame:
+    """metric, n, mean, slope after each batch: state keeps the last `keep` snapshots of a metric and gives their count, mean and slope by order."""
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen = list(zip(*state.get, strict=True)) if state.exists else []
+        for b in batches:
+            seen += list(zip((int(t.value // 1000) for t in pd.to_datetime(b["ts"])), b["value"].astype(float), strict=True))
+        seen = sorted(seen)[-keep:]
+        state.update(([t for t, _ in seen], [v for _, v in seen]))
+        n = len(seen)
+        mean = sum(v for _, v in seen) / n
+        spread = sum((i - (n - 1) / 2) ** 2 for i in range(n))
+        slope = sum((i - (n - 1) / 2) * (v - mean) for i, (_, v) in enumerate(seen)) / spread if n > 1 else 0.0
+        yield pd.DataFrame({"metric": [key[0]], "n": [n], "mean": [mean], "slope": [slope]})
+
+    return snapshots.groupBy("metric").applyInPandasWithState(update, "metric string, n long, mean double, slope double", "at array<long>, value array<double>", "update", GroupStateTimeout.NoTimeout)
