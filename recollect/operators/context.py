@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions import text as T
 from recollect.operators.components import connected_components
+from recollect.session import materialize
 
 
 def highlights(text: Column, query: str, around: int = 50) -> Column:
@@ -68,12 +69,22 @@ def reflect(vectors: DataFrame, pairs: DataFrame, least: int = 2) -> DataFrame:
 
 
 def collaborators(usage: DataFrame, limit: float = 0.5) -> DataFrame:
-    """a, b, score of users that share items in usage(user_id, item): shared over the larger set; an equi-join on the item, counted before it leaves."""
-    u = usage.distinct()
-    n = u.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    p = u.withColumnRenamed("user_id", "a").join(u.withColumnRenamed("user_id", "b"), "item").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    p = p.join(n.select(F.col("user_id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("user_id").alias("b"), F.col("n").alias("nb")), "b")
-    return p.withColumn("score", F.col("c") / F.greatest("na", "nb")).filter(F.col("score") > limit).select("a", "b", "score")
+    """a, b, score of users that share items in usage(user_id, item): shared over the larger set, above a limit.
+
+    Two sets that share more than limit times the larger one share one of the first n - floor(limit * n) items of each, in
+    an order of how few users hold them; only these are joined, so the items that all users hold pair none. Each pair is
+    checked once on the whole sets.
+    """
+    u = usage.select("user_id", "item").distinct()
+    held = u.groupBy("item").agg(F.count(F.lit(1)).alias("k"))
+    sets = u.join(held, "item").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("k", "item"))).alias("s"))
+    sets = materialize(sets.select("user_id", F.col("s.item").alias("items"), F.size("s").alias("n")), "item-sets")
+    p = sets.select(F.col("user_id").alias("a"), F.col("n").alias("na"), F.explode(F.expr(f"slice(items, 1, n - cast(floor({limit} * n) as int))")).alias("item"))
+    q = p.select(F.col("a").alias("b"), F.col("na").alias("nb"), "item")
+    pairs = p.join(q, "item").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") > limit * F.greatest("na", "nb"))).select("a", "b").distinct()
+    left, right = (sets.select(F.col("user_id").alias(k), F.col("items").alias(f"i{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
+    score = F.size(F.array_intersect("ia", "ib")) / F.greatest("na", "nb")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", score.alias("score")).filter(F.col("score") > limit)
 
 
 def hashed_tfidf(memories: DataFrame, dims: int = 384) -> DataFrame:

@@ -49,10 +49,11 @@ def neighbors_as_of(edges: DataFrame, nodes: list[str], t: Column) -> DataFrame:
 def bfs(edges: DataFrame, seeds: list[str], depth: int) -> DataFrame:
     """seed, node, hops, path: every node within depth of each seed, by its fewest hops and, of those, the least path.
 
-    Each level is one join of the frontier and one anti-join with what was seen; levels are written to the shared folder.
+    Each level is one join of the frontier and one anti-join with what was seen; levels, and the links that all of them
+    read, are written to the shared folder.
     """
     spark = edges.sparkSession
-    links = undirected(edges.select("src", "dst")).distinct()
+    links = materialize(undirected(edges.select("src", "dst")).distinct(), "links-by-node")
     frontier = seen = spark.createDataFrame([(s, s, 0, s) for s in seeds], "seed string, node string, hops int, path string")
     for d in range(1, depth + 1):
         step = frontier.join(links, "node").groupBy("seed", F.col("other").alias("node")).agg(F.min(F.concat_ws(">", "path", "other")).alias("path"))
@@ -71,7 +72,7 @@ def shortest_paths(edges: DataFrame, pairs: list[tuple[str, str]], depth: int =
 def expand_seeds(edges: DataFrame, seeds: list[tuple[str, float]], hops: int = 2, frontier: int = 16, expanded: int = 32, decay: float = HOP) -> DataFrame:
     """node, score, hops: scores spread over edges by strength and decay; the best per node, caps as the options say, seeds left out."""
     spark = edges.sparkSession
-    links = undirected(edges).select("node", "other", "strength")
+    links = materialize(undirected(edges).select("node", "other", "strength"), "links-by-node")
     level = spark.createDataFrame(seeds, "node string, score double")
     first = [s for s, _ in seeds]
     out = None
@@ -153,10 +154,10 @@ def similar_pairs(vectors: DataFrame, threshold: float, block: int = 4096) -> Da
             same = a["i"].iloc[0] == b["j2"].iloc[0]
             for at in range(0, len(x), 512):
                 s = x[at : at + 512] @ y.T
-                for p, q in zip(*np.nonzero(s >= threshold), strict=True):
-                    k, m = ka[at + p], kb[q]
-                    if k < m or (k > m and not same):
-                        out.append((min(k, m), max(k, m), float(s[p, q])))
-        return pd.DataFrame(out, columns=["a", "b", "similarity"])
+                p, q = np.nonzero(s >= threshold)
+                k, m, v = ka[at + p], kb[q], s[p, q]
+                keep = k < m if same else k != m
+                out.append(pd.DataFrame({"a": np.minimum(k, m)[keep], "b": np.maximum(k, m)[keep], "similarity": v[keep]}))
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "similarity": []})
 
     return left.groupBy("i", "j").cogroup(right.groupBy("i2", "j2")).applyInPandas(pair, "a string, b string, similarity double")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from recollect.operators.components import connected_components
 from recollect.operators.graph import similar_pairs
+from recollect.session import materialize
 
 
 def kmeans_first_rows(vectors: DataFrame, k: int, rounds: int = 10) -> DataFrame:
@@ -42,7 +43,7 @@ def _assign(v: DataFrame, centers: list[list[float]]) -> DataFrame:
 
 def dbscan_cosine(vectors: DataFrame, eps: float = 0.3, neighbours: int = 2) -> DataFrame:
     """key, cluster (its least core key): points with enough neighbours are cores, cores that are near join, others take a near core; noise is left out."""
-    p = similar_pairs(vectors, 1 - eps)
+    p = materialize(similar_pairs(vectors, 1 - eps), "near-pairs")
     both = p.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(p.select(F.col("b").alias("u"), F.col("a").alias("v")))
     cores = both.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= neighbours).select("u")
     links = both.join(cores, "u").join(cores.select(F.col("u").alias("v")), "v").select("u", "v")
