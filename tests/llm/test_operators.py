@@ -319,6 +319,54 @@ def test_every_token_with_more_than_one_path_is_restored(spark):
     assert all(got[i] == int(i % 5 == 0) for i in held if i not in clean[: len(forms)])
 
 
+def _every_path(token, lm):
+    """(score, words) of every path through a token's lattice, by the channel's definition."""
+    found = []
+
+    def go(i, p, words, word):
+        if i == len(token):
+            found.append((p + lm(("^^" + word)[-2:], "$"), words + word))
+            return
+        c, state = token[i], ("^^" + word)[-2:]
+        own = [(x, toxicity.SIGN) for x in toxicity.LEET.get(c, "")]
+        if c not in ".-_* " and (c not in toxicity.LEET or c.isalnum()):
+            own.append((c, toxicity.KEPT))
+        for x, cost in own:
+            go(i + 1, p + cost + lm(state, x), words, word + x)
+            if word and x == word[-1]:
+                go(i + 1, p + toxicity.AGAIN, words, word)
+        if c in ".-_* ":
+            go(i + 1, p + toxicity.SEPARATED, words, word)
+            if word:
+                go(i + 1, p + toxicity.BREAK + lm(state, "$"), words + word + " ", "")
+
+    go(0, 0.0, "", "")
+    return found
+
+
+def test_restoring_finds_the_likeliest_path_of_all():
+    lm = toxicity.CharModel(Counter({"wretch": 5, "face": 7, "retch": 2, "hello": 9, "world": 4, "aces": 1}))
+    rng = np.random.default_rng(15)
+    tokens = ["wr3tch", "f4c3", "w.r.e.t.c.h", "heeello", "wor-ld", "f a c e", "h3ll0w0rld", "face.world", "aa", "a", "4", "!!"]
+    tokens += ["".join(rng.choice(list("wretchfaco34.- l"), rng.integers(2, 9))) for _ in range(150)]
+    told = 0
+    for t in tokens:
+        every = _every_path(t, lm)
+        best = max(p for p, _ in every)
+        assert toxicity.restore(t, lm) in {w.rstrip(" ") if not w.strip() else w for p, w in every if p > best - 1e-9}, t
+        told += len(every) > 1
+    assert told > 100 and toxicity.restore("wr3tch", lm) == "wretch" and toxicity.restore("f a c e", lm) == "face"
+
+
+def test_long_decorative_lines_are_scored_soon(spark):
+    docs, labels = _labelled(spark, 60)
+    long = ["a" + "_-" * 100 + ",b", "_-" * 50_000, "a.b-" * 30_000 + ",x", "1a" * 60_000, "a " * 60_000 + "b,c", "w.r.e.t.c.h.f.a.c.e " + "=" * 100_000]
+    docs = docs.unionByName(spark.createDataFrame([(1000 + i, t, "en", "s", len(t)) for i, t in enumerate(long)], DOCS))
+    began = time.time()
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).filter("doc_id >= 1000").collect()}
+    assert len(got) == len(long) and time.time() - began < 60
+
+
 # 6. chats
 
 
