@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 from recollect.functions import text as T
 from recollect.operators import context as C
 from recollect.operators import graph as G
+from recollect.operators import related as D
 from recollect.plans.registry import query
 from recollect.sources import datasets as S
-from recollect.sources.tables import EDGES, MEMORIES, edges, hours_since, hours_sql, memories, table, vectors
+from recollect.sources.tables import EDGES, MEMORIES, MEMORY_LINKS, edges, hours_since, hours_sql, memories, memory_links, spread, table, vectors
 
 
 @query(f"""WITH {MEMORIES}, p AS (SELECT key, value, string_split(lower(value), 'the') AS s FROM mem), u AS (SELECT key, value, s, unnest(range(1, len(s))) AS i FROM p),
@@ -34,16 +35,38 @@ for _style, _sql in (
     query(f"WITH {MEMORIES} SELECT key, {_sql} AS line FROM mem")(_context)
 
 
-@query(f"""WITH {MEMORIES}, s AS (SELECT avg(access_count) AS m, stddev_pop(access_count) AS s, count(*) AS n FROM mem), k AS (SELECT source, count(*) AS k FROM mem GROUP BY 1)
-SELECT key, round(0.25e0 / (1 + exp(-(access_count - m) / s)) + 0.2e0 * exp(-{hours_sql("last_accessed")} / 168) + 0.2e0 * (k / n::DOUBLE) + 0.2e0 * (1 - k / n::DOUBLE) + 0.15e0 * confidence, 9) AS score FROM mem JOIN k USING (source), s""")
+_IDLE, _AGE = hours_sql("last_accessed"), hours_sql("created_at")
+_MIX = lambda rows, names: "CASE WHEN importance > 0.8 AND access_count > 20 THEN {} WHEN access_count > {} THEN {} WHEN importance > 0.7 THEN {} ELSE {} END".format(*[" + ".join(f"{w}e0 * {n}" for w, n in zip(r, names, strict=True)) if isinstance(r, tuple) else r for r in rows])
+_IMPORTANCE = f"""{MEMORIES}, {MEMORY_LINKS}, wd AS (SELECT key, list_filter(regexp_split_to_array(value, '\\s+'), lambda w: w <> '') AS ws FROM mem), ch AS (SELECT key, strlen(value)::DOUBLE AS t, unnest(string_split(value, '')) AS c FROM mem WHERE value <> ''),
+en AS (SELECT key, -sum(p * log2(p)) / 8 AS e FROM (SELECT key, t, c, count(*) / t AS p FROM ch GROUP BY 1, 2, 3) GROUP BY 1),
+lo AS (SELECT src AS key, count(*) AS outs, sum(strength) AS so FROM links GROUP BY 1), li AS (SELECT dst AS key, count(*) AS ins, sum(strength) AS si FROM links GROUP BY 1),
+x AS (SELECT mem.key, importance, access_count, strlen(value) AS size, coalesce(len(list_distinct(ws)) / nullif(len(ws), 0)::DOUBLE, 0) AS rich, coalesce(len(list_filter(ws, lambda w: strlen(w) > 3)) / nullif(len(ws), 0)::DOUBLE, 0) AS dense, coalesce(e, 0) AS e,
+  regexp_matches(value, 'and|between|connects|relates') AS bridges, access_count / greatest(1, floor({_AGE} / 24)) AS daily, floor({_IDLE}) AS idle, greatest(1, floor({_AGE})) AS age, coalesce(outs, 0) AS outs, coalesce(ins, 0) AS ins, least(10, coalesce(so, 0) + coalesce(si, 0)) AS tie
+  FROM mem JOIN wd USING (key) LEFT JOIN en USING (key) LEFT JOIN lo USING (key) LEFT JOIN li USING (key)),
+y AS (SELECT *, least(1, (ins + outs) / 80::DOUBLE) AS v1, tie / 10 AS v2, least(1, least(1, ins * outs / 1500::DOUBLE) + CASE WHEN bridges THEN 0.2 ELSE 0 END) AS v3, least(1, tie / 10 + 0.3 * importance + CASE WHEN access_count > 15 THEN 0.2 WHEN access_count > 5 THEN 0.1 ELSE 0 END) AS v4,
+  least(1, 0.0015 + 0.85 * ins / 50 + 0.1 * access_count / 100) AS v5, least(1, 0.6 * CASE WHEN size > 500 THEN 0.8 WHEN size > 100 THEN 0.6 ELSE 0.3 END + 0.4 * rich) AS v6,
+  exp(-ln(2) * idle / (24 * (1 + 2 * importance) * CASE WHEN access_count > 10 THEN 2 WHEN access_count > 5 THEN 1.5 ELSE 1 END * CASE WHEN size > 1000 THEN 1.5 WHEN size > 100 THEN 1.2 ELSE 1 END)) AS r1,
+  pow(1 + idle / 24, CASE WHEN importance > 0.7 THEN -0.5 ELSE -0.8 END) AS r2, CASE WHEN idle < 1 THEN 1 ELSE 1 - least(1, ln(idle) / ln(168)) END AS r3 FROM x),
+z AS (SELECT key, 1 / (1 + exp(-(daily - avg(daily) OVER ()) / stddev_pop(daily) OVER ())) AS frequency, least(1, greatest(0, ({_MIX(((0.2, 0.6, 0.2), 10, (0.4, 0.4, 0.2), (0.5, 0.2, 0.3), (0.6, 0.3, 0.1)), ("r1", "r2", "r3"))}) * CASE WHEN access_count / (age / 24) > 1 THEN 1.2 WHEN access_count / (age / 24) > 0.1 THEN 1 ELSE 0.8 END)) AS recency,
+  least(1, {_MIX((C.CENTRAL[0], 15, *C.CENTRAL[1:]), ("v1", "v2", "v3", "v4", "v5", "v6"))}) AS centrality, least(1, 0.2 * CASE WHEN size BETWEEN 50 AND 2000 THEN 0.4 ELSE 0.8 END + 0.3 * rich + 0.3 * e + 0.2 * dense) AS uniqueness,
+  CASE WHEN access_count < 2 THEN 0.1 ELSE least(1, 1 / (1 + exp(-2 * (1 - abs(idle - 24 / daily) / (24 / daily)))) + CASE WHEN access_count > 10 THEN 0.2 WHEN access_count > 5 THEN 0.1 ELSE 0 END) END AS consistency FROM y),
+sc AS (SELECT *, least(1, greatest(0, 0.25e0 * frequency + 0.2e0 * recency + 0.2e0 * centrality + 0.2e0 * uniqueness + 0.15e0 * consistency)) AS score FROM z)"""
+
+
+def _importance(spark, sf_dir):
+    return C.importance(spread(memories(spark, sf_dir)), memory_links(spark, sf_dir), hours_since("last_accessed"), hours_since("created_at"))
+
+
+@query(f"WITH {_IMPORTANCE} SELECT key, " + ", ".join(f"round({c}, 7) AS {c}" for c in ("frequency", "recency", "centrality", "uniqueness", "consistency", "score")) + " FROM sc")
 def importance_scores(spark, sf_dir):
-    return C.importance(memories(spark, sf_dir), hours_since("last_accessed"))
+    s = _importance(spark, sf_dir)
+    return s.select("key", *(F.round(c, 7).alias(c) for c in s.columns[1:]))
 
 
-@query(f"WITH {MEMORIES} SELECT key, importance AS score, CASE WHEN importance >= 0.3 THEN 'replay' ELSE 'forget' END AS outcome FROM mem")
+@query(f"WITH {_IMPORTANCE} SELECT key, round(score, 7) AS score, CASE WHEN round(score, 7) >= 0.45 THEN 'replay' ELSE 'forget' END AS outcome FROM sc")
 def consolidation(spark, sf_dir):
-    m = memories(spark, sf_dir)
-    return C.consolidate(m, m.select("key", F.col("importance").alias("score")))
+    s = _importance(spark, sf_dir).select("key", F.round("score", 7).alias("score"))
+    return C.consolidate(memories(spark, sf_dir), s, 0.45)
 
 
 @query("""WITH RECURSIVE v AS (SELECT vec_id::VARCHAR AS k, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.k AS a, b.k AS b, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.k < b.k WHERE list_cosine_similarity(a.e, b.e) >= 0.85),
@@ -180,15 +203,21 @@ def ilike_search(spark, sf_dir):
     return memories(spark, sf_dir).filter(F.col("value").ilike("%the%")).orderBy("key").limit(30).select("key", F.substring("value", 1, 40).alias("head"))
 
 
-@query(f"""WITH {MEMORIES}, g AS (SELECT source AS cluster, count(*) AS n, avg(importance) AS i FROM mem GROUP BY 1) SELECT cluster, n, round(1 - 1e0 / n, 9) AS compression, CASE WHEN i >= 0.6 THEN 'high' WHEN i >= 0.45 THEN 'medium' ELSE 'low' END AS tier FROM g""")
+@query()
 def distillation(spark, sf_dir):
-    g = memories(spark, sf_dir).groupBy(F.get("tags", F.lit(1)).alias("cluster")).agg(F.count(F.lit(1)).alias("n"), F.avg("importance").alias("i"))
-    return g.select("cluster", "n", F.round(1 - 1.0 / F.col("n"), 9).alias("compression"), F.when(F.col("i") >= 0.6, "high").when(F.col("i") >= 0.45, "medium").otherwise("low").alias("tier"))
+    """Groups of memories with like words, and what is kept of each."""
+    groups = D.similarity_groups(spread(memories(spark, sf_dir)), 0.6)
+    d = C.distill(groups, _importance(spark, sf_dir).select("key", "score"))
+    return d.select("leader", "members", F.round("compression", 9).alias("compression"), "quality")
 
 
-@query("""SELECT round(sum(0.5e0 * 0.1e0 * p_size * power(p_retailprice * 1.01 - p_retailprice, 2)), 4) AS penalty FROM part""")
+@query("""WITH c AS (SELECT l_suppkey AS p, l_extendedprice / 100000 AS x, row_number() OVER w AS r, count(*) OVER (PARTITION BY l_suppkey) AS n, lag(l_extendedprice / 100000) OVER w AS b FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber)),
+g AS (SELECT p, avg(pow(x - b, 2)) AS f, max(x) FILTER (r = n) - max(x) FILTER (r = 1) AS d FROM c GROUP BY 1) SELECT count(*) AS parameters, round(sum(0.5 * 0.4 * coalesce(f, 0) * d * d), 9) AS penalty FROM g""")
 def regularization_penalty(spark, sf_dir):
-    """Half of lambda times Fisher information times the squared change, over all parameters."""
-    p = table(spark, sf_dir, "part")
-    return p.agg(F.round(F.sum(0.5 * 0.1 * F.col("p_size") * F.pow(F.col("p_retailprice") * 1.01 - F.col("p_retailprice"), F.lit(2.0))), 4).alias("penalty"))
-
+    """Half of lambda times Fisher information times the squared change: a supplier's price is a parameter, its steps are gradients."""
+    w = Window.partitionBy("p").orderBy("l_shipdate", "l_orderkey", "l_linenumber")
+    order = F.struct("l_shipdate", "l_orderkey", "l_linenumber")
+    c = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("p"), "l_shipdate", "l_orderkey", "l_linenumber", (F.col("l_extendedprice") / 100_000).alias("x"))
+    c = c.withColumn("b", F.lag("x").over(w)).withColumn("o", order)
+    g = c.groupBy("p").agg(F.avg(F.pow(F.col("x") - F.col("b"), F.lit(2.0))).alias("fisher"), (F.max_by("x", "o") - F.min_by("x", "o")).alias("change"))
+    return g.agg(F.count(F.lit(1)).alias("parameters"), F.round(F.sum(C.regularization(F.coalesce("fisher", F.lit(0.0)), F.col("change"), 0.4)), 9).alias("penalty"))

@@ -3,10 +3,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from recollect.api import without_marked
 from recollect.functions import decay as D
 from recollect.functions import facts as N
 from recollect.functions import text as T
 from recollect.functions.themes import THEMES, themes
+from recollect.operators import retrieval as R
 from recollect.operators import learning as L
 from recollect.operators import profiles as P
 from recollect.operators.statements import Statements
@@ -314,3 +316,46 @@ def access_trends(spark, sf_dir):
     mid = F.broadcast(e.agg(((F.min("t") + F.max("t")) / 2).alias("m")))
     h = e.join(mid).groupBy("user_id").agg(F.count_if(F.col("t") < F.col("m")).alias("a"), F.count_if(F.col("t") >= F.col("m")).alias("b"))
     return h.select("user_id", D.access_trend(F.col("a"), F.col("b")).alias("trend"))
+
+
+# a client's view, and array arithmetic
+
+
+@query(f"WITH {MEMORIES}, r AS (SELECT key, importance, row_number() OVER (ORDER BY importance DESC, key) AS rank, bucket FROM mem QUALIFY rank <= 60) SELECT key, rank FROM r WHERE bucket NOT IN ('2', '5')")
+def marked_left_out(spark, sf_dir):
+    """The first sixty by importance, and of these those that carry no mark: fewer may be left."""
+    m = memories(spark, sf_dir).withColumn("custom_fields", F.when(F.col("custom_fields")["bucket"].isin("2", "5"), F.create_map(F.lit("superseded"), F.lit("true"))).otherwise(F.col("custom_fields")))
+    return without_marked(R.top(m.select("key", "importance", F.lit("q").alias("query_id")), 60, F.desc("importance"), F.asc("key")).select("key", "rank"), m, ("superseded", "raw_source"))
+
+
+@query(f"WITH {MEMORIES} SELECT key FROM mem WHERE created_at > (SELECT max(created_at) FROM mem) - INTERVAL 24 HOUR")
+def made_within_a_day(spark, sf_dir):
+    """Memories of the day before the newest."""
+    m = memories(spark, sf_dir).select("key", "created_at")
+    newest = F.broadcast(m.agg(F.max("created_at").alias("newest")))  # one row
+    return m.join(newest).filter(F.expr("created_at > newest - interval '24' hour")).select("key")
+
+
+@query(f"WITH {MEMORIES} SELECT key, importance FROM mem WHERE access_count >= 3 ORDER BY importance DESC, key LIMIT 20 OFFSET 40")
+def third_page(spark, sf_dir):
+    """Rows 41 to 60 in order: the offset comes before the limit."""
+    return memories(spark, sf_dir).filter("access_count >= 3").select("key", "importance").orderBy(F.desc("importance"), "key").offset(40).limit(20)
+
+
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), u AS (SELECT label, i, (embedding::DOUBLE[])[i] AS x FROM embeddings, range(1, 65) r(i))
+SELECT 'row ' || vec_id AS name, round(list_sum(v), 6) AS sum, round(list_avg(v), 6) AS mean, round(list_dot_product(v, v), 6) AS dot FROM e UNION ALL SELECT 'column ' || (i - 1), round(sum(x), 6), round(avg(x), 6), round(sum(x * x), 6) FROM u GROUP BY i""")
+def array_math(spark, sf_dir):
+    """Sum, mean and product with itself of each row and each column of a matrix."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    r = lambda c, n: F.round(c, 6).alias(n)
+    rows = e.select(F.concat(F.lit("row "), F.col("vec_id").cast("string")).alias("name"), r(add("v"), "sum"), r(add("v") / F.size("v"), "mean"), r(add(F.transform("v", lambda x: x * x)), "dot"))
+    columns = e.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(r(F.sum("x"), "sum"), r(F.avg("x"), "mean"), r(F.sum(F.col("x") * F.col("x")), "dot"))
+    return rows.unionByName(columns.select(F.concat(F.lit("column "), F.col("i").cast("string")).alias("name"), "sum", "mean", "dot"))
+
+
+@query("SELECT i, count(*) AS n, round(min(x), 9) AS least, round(max(x), 9) AS most FROM (SELECT vec_id, i - 1 AS i, (embedding::DOUBLE[])[i] AS x FROM embeddings, range(1, 65) r(i)) GROUP BY i")
+def transposed(spark, sf_dir):
+    """The matrix on its side, cell by cell; each of its rows summed up."""
+    cells = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
+    return cells.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("x"), 9).alias("least"), F.round(F.max("x"), 9).alias("most"))
