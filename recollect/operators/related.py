@@ -209,3 +209,29 @@ def replay_batch(queue: DataFrame, now: Column, most: int = 100) -> DataFrame:
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("priority"), "key")))
     stop = F.min(F.when(F.col("due") > now, F.col("rank"))).over(Window.partitionBy(F.lit(0)))
     return ranked.withColumn("_stop", stop).filter(F.col("_stop").isNull() | (F.col("rank") < F.col("_stop"))).drop("_stop")
+
+
+def text_links(memories: DataFrame, threshold: float) -> DataFrame:
+    """key, target, relationship, confidence: each memory and those whose words are alike; copies of one text are linked through their class's first."""
+    c = materialize(text_classes(memories), "text-classes")
+    pairs = similar_texts(c, threshold).select("a", "b", "similarity").unionByName(c.filter("key <> id").select(F.col("id").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("similarity")))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    return both.select(F.col("a").alias("key"), F.col("b").alias("target"), F.lit("similar_to").alias("relationship"), F.col("similarity").alias("confidence"))
+
+
+def time_links(memories: DataFrame, minutes: int) -> DataFrame:
+    """key, target, relationship, confidence: memories made within so many minutes, 1 less the share of them that lies between. An equi-join on cells of time."""
+    t = memories.select("key", F.expr("timestampdiff(MINUTE, timestamp_ntz'1970-01-01', created_at)").alias("m")).withColumn("cell", F.floor(F.col("m") / minutes))
+    near = t.select(F.col("key").alias("target"), F.col("m").alias("m2"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
+    gap = F.abs(F.col("m") - F.col("m2"))
+    found = t.join(near, "cell").filter((F.col("key") != F.col("target")) & (gap <= minutes))
+    return found.select("key", "target", F.lit("temporal_proximity").alias("relationship"), (1 - gap / minutes).alias("confidence"))
+
+
+def best_links(found: list[DataFrame], least: float, most: int) -> DataFrame:
+    """key, target, relationship, confidence, rank: what several strategies found, confident enough, the best `most` of each memory."""
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    order = Window.partitionBy("key").orderBy(F.desc(F.round("confidence", 9)), F.asc("target"), F.asc("relationship"))
+    return every.filter(F.col("confidence") >= least).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)

@@ -9,11 +9,22 @@ from recollect.functions import similarity as Y
 from recollect.functions import text as T
 from recollect.operators import learning as L
 from recollect.plans.registry import query
-from recollect.sources.tables import MEMORIES, memories, table, vectors
+from recollect.sources.tables import MEMORIES, memories, spread, table, vectors
 from recollect.streaming import events as E
 
 
-@query()
+def _kmeans_sql(k: int, rounds: int) -> str:
+    ctes = [f"""v AS (SELECT vec_id::VARCHAR AS key, embedding::DOUBLE[] AS e FROM embeddings),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY key) - 1 AS i, e AS c FROM v QUALIFY i < {k})"""]
+    assign = lambda n: f"SELECT key, e, arg_min(i, {{'d': list_sum(list_transform(list_zip(e, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'i': i}}) AS i FROM v, c{n} GROUP BY key, e"
+    for n in range(rounds):
+        ctes.append(f"""a{n} AS MATERIALIZED ({assign(n)}),
+m{n} AS (SELECT i, list(m ORDER BY j) AS c FROM (SELECT i, j, avg(e[j]) AS m FROM a{n}, range(1, 65) r(j) GROUP BY i, j) GROUP BY i),
+c{n + 1} AS MATERIALIZED (SELECT i, coalesce(m{n}.c, c{n}.c) AS c FROM c{n} LEFT JOIN m{n} USING (i))""")
+    return f"WITH {', '.join(ctes)} SELECT key, i::INT AS cluster FROM ({assign(rounds)})"
+
+
+@query(_kmeans_sql(5, 10))
 def kmeans_deterministic(spark, sf_dir):
     return L.kmeans_first_rows(vectors(spark, sf_dir).select("key", "embedding"), 5)
 
@@ -31,12 +42,22 @@ def isolation_anomalies(spark, sf_dir):
     return p.select("p_partkey", F.round("isolation", 9).alias("isolation"), (F.col("isolation") > 0.6).alias("anomaly"))
 
 
-@query()
+def _textrank_sql(rounds: int) -> str:
+    ctes = [f"""{MEMORIES}, l AS (SELECT key, list_filter(list_transform(regexp_split_to_array(value, '[.!?]'), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: strlen(s) > 10) AS l FROM mem),
+s AS MATERIALIZED (SELECT key, generate_subscripts(l, 1) - 1 AS pos, list_distinct(list_filter(regexp_split_to_array(lower(unnest(l)), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')) AS w FROM l),
+u AS MATERIALIZED (SELECT key, pos, len(w) AS n, unnest(w) AS t FROM s), c AS (SELECT a.key, a.pos, b.pos AS other, a.n, b.n AS m, count(*) AS c FROM u a JOIN u b ON a.key = b.key AND a.t = b.t AND a.pos <> b.pos GROUP BY ALL),
+e AS MATERIALIZED (SELECT key, pos, other, x / sum(x) OVER (PARTITION BY key, other) AS share FROM (SELECT *, c / (n + m - c)::DOUBLE AS x FROM c)), r0 AS (SELECT key, pos, 1::DOUBLE AS score FROM s)"""]
+    for n in range(rounds):
+        ctes.append(f"r{n + 1} AS MATERIALIZED (SELECT s.key, s.pos, 0.15e0 + 0.85e0 * coalesce(sum(share * score), 0) AS score FROM s LEFT JOIN e USING (key, pos) LEFT JOIN r{n} r ON r.key = e.key AND r.pos = e.other GROUP BY 1, 2)")
+    return f"WITH {', '.join(ctes)} SELECT key, pos::INT AS pos, round(score, 7) AS rank_score, row_number() OVER (PARTITION BY key ORDER BY round(score, 7) DESC, pos) AS rank FROM r{rounds} QUALIFY rank <= 3"
+
+
+@query(_textrank_sql(30))
 def textrank_sentences(spark, sf_dir):
-    s = memories(spark, sf_dir).select("key", F.posexplode(T.long_sentences(F.col("value"))).alias("pos", "sentence"))
+    s = spread(memories(spark, sf_dir)).select("key", F.posexplode(T.long_sentences(F.col("value"))).alias("pos", "sentence"))
     r = L.textrank(s.select("key", "pos", T.scan_tokens(F.col("sentence")).alias("words")))
-    best = F.row_number().over(Window.partitionBy("key").orderBy(F.desc(F.round("rank_score", 9)), "pos"))
-    return r.withColumn("rank", best).filter("rank <= 3").select("key", "pos", F.round("rank_score", 9).alias("rank_score"), "rank")
+    best = F.row_number().over(Window.partitionBy("key").orderBy(F.desc(F.round("rank_score", 7)), "pos"))
+    return r.withColumn("rank", best).filter("rank <= 3").select("key", "pos", F.round("rank_score", 7).alias("rank_score"), "rank")
 
 
 @query()
