@@ -193,9 +193,11 @@ def inverse_document_frequency(spark, sf_dir):
     return t.join(n).select("term", "df", F.round(F.log(F.col("n") / (F.col("df") + 1)), 9).alias("idf"))
 
 
-@query()
+@query(f"""WITH {MEMORIES}, t AS (SELECT key, t, count(*) AS tf FROM (SELECT key, unnest(list_filter(regexp_split_to_array(lower(value), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS t FROM mem) GROUP BY 1, 2),
+d AS (SELECT t, count(*) AS df, (('0x' || substr(md5(t), 1, 8))::BIGINT % 384)::INT AS dim FROM t GROUP BY 1), w AS (SELECT key, dim, sum(tf * ln((SELECT count(*) FROM mem) / (df + 1)::DOUBLE)) AS w FROM t JOIN d USING (t) GROUP BY 1, 2)
+SELECT key, dim, round(coalesce(w / nullif(sqrt(sum(w * w) OVER (PARTITION BY key)), 0), 0), 7) AS weight FROM w""")
 def hashed_embeddings(spark, sf_dir):
-    return C.hashed_tfidf(memories(spark, sf_dir)).select("key", "dim", F.round("weight", 9).alias("weight"))
+    return C.hashed_tfidf(spread(memories(spark, sf_dir))).select("key", "dim", F.round("weight", 7).alias("weight"))
 
 
 @query(f"""WITH {MEMORIES} SELECT key, substring(value, 1, 40) AS head FROM mem WHERE value ILIKE '%the%' ORDER BY key LIMIT 30""")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from recollect.functions import scores as S
 from recollect.functions import text as T
 from recollect.functions.decay import ebbinghaus, replay_priority, spaced_repetition_hours
+from recollect.operators import likeness as K
 from recollect.operators import related as D
 from recollect.plans.registry import query
 from recollect.session import materialize
@@ -263,3 +264,33 @@ def ngram_similarity(spark, sf_dir):
     m = memories(spark, sf_dir).select("key", F.lower(F.left("value", F.lit(40))).alias("a"))
     b = m.select((F.col("key").cast("long") - 1).cast("string").alias("key"), F.col("a").alias("b"))
     return m.join(b, "key").select("key", F.round(T.ngram_similarity(F.col("a"), F.col("b")), 9).alias("similarity"))
+
+
+_JW = "(jaro_similarity({a}, {b}) + 0.1e0 * (CASE WHEN {a}[1] <> {b}[1] THEN 0 WHEN {a}[1:2] <> {b}[1:2] OR least(length({a}), length({b})) < 2 THEN 1 WHEN {a}[1:3] <> {b}[1:3] OR least(length({a}), length({b})) < 3 THEN 2 WHEN {a}[1:4] <> {b}[1:4] OR least(length({a}), length({b})) < 4 THEN 3 ELSE 4 END) * (1 - jaro_similarity({a}, {b})))"
+#: DuckDB compares bytes: letters of more than one become one each.
+_ONE_BYTE = "translate({0}, 'áâäçèéêëíîïñóôöùúûüßàæœ', '" + "".join(map(chr, (*range(1, 9), *range(14, 29)))) + "')"
+_NEAR = "CASE WHEN greatest({a}, {b}) > 0 THEN 1 - abs({a} - {b}) / greatest({a}, {b})::DOUBLE ELSE 1 END"
+_LIKE = f"""{MEMORIES}, m AS MATERIALIZED (SELECT *, {_SET.format("value", 2)} AS w, strlen(value) AS n, floor(epoch(created_at)) AS c, floor(epoch(last_accessed)) AS a FROM mem), r AS (SELECT * FROM m WHERE key = '100'), rw AS (SELECT x, {_ONE_BYTE.format("x")} AS x1 FROM (SELECT unnest(w) AS x FROM r)),
+vo AS (SELECT y, {_ONE_BYTE.format("y")} AS y1 FROM (SELECT DISTINCT unnest(w) AS y FROM m)), fm AS MATERIALIZED (SELECT x, y FROM rw, vo WHERE x = y OR {_JW.format(a="x1", b="y1")} > 0.8), fz AS (SELECT key, count(DISTINCT x) AS fuzzy FROM (SELECT key, unnest(w) AS y FROM m) JOIN fm USING (y) GROUP BY 1),
+ta AS (SELECT DISTINCT unnest(tags) AS t FROM m), tm AS (SELECT t, u FROM (SELECT unnest(tags) AS u FROM r), ta WHERE t = u OR {_JW.format(a="u", b="t")} > 0.85 OR (strlen(t) > 3 AND strlen(u) > 3 AND (left(t, 4) = left(u, 4) OR {_JW.format(a="u", b="t")} > 0.9))),
+al AS (SELECT key, count(DISTINCT u) AS alike FROM (SELECT key, unnest(tags) AS t FROM m) JOIN tm USING (t) GROUP BY 1),
+b AS (SELECT m.key, len(list_intersect(m.w, r.w))::DOUBLE AS i, len(m.w) AS n2, len(r.w) AS n1, len(list_intersect(m.tags, r.tags))::DOUBLE AS ti, len(m.tags) AS t2, len(r.tags) AS t1, abs(m.importance - r.importance) AS d, floor(abs(m.c - r.c) / 3600) AS h, floor(abs(m.a - r.a) / 3600) AS ha,
+  {_NEAR.format(a="m.access_count", b="r.access_count")} AS acc, {_NEAR.format(a="m.n", b="r.n")} AS ln, {_NEAR.format(a="len(m.w)", b="len(r.w)")} AS vl, {_NEAR.format(a="len(m.tags)", b="len(r.tags)")} AS tl FROM m, r),
+b2 AS (SELECT b.*, coalesce(fz.fuzzy, 0) AS fuzzy, coalesce(al.alike, 0) AS alike FROM b LEFT JOIN fz USING (key) LEFT JOIN al USING (key)),
+p AS (SELECT *, CASE WHEN n1 > 0 AND n2 > 0 THEN 0.3 * coalesce(i / nullif(n1 + n2 - i, 0), 0) + 0.25 * i / sqrt(n1 * n2) + 0.25 * fuzzy / greatest(n1, n2) + 0.2 * i / least(n1, n2) ELSE 0 END AS content, 0.7 * ti / greatest(t1, t2) + 0.3 * alike / greatest(t1, t2) AS tag FROM b2),
+lk AS (SELECT key, 0.3 * content + 0.25 * tag + 0.15 * (0.4 * greatest(0, 1 - d) + 0.3 * exp(-2 * d) + 0.3 * exp(-d * d / 0.1)) + 0.15 * (0.3 * greatest(0, 1 - h / 168) + 0.4 * exp(-h / 72) + 0.3 * exp(-pow(h / 24, 2) / 2)) + 0.1 * (0.6 * acc + 0.4 / (1 + ha / 24)) + 0.05 * (0.5 * ln + 0.3 * vl + 0.2 * tl) AS similarity,
+  round(0.3 * 3 * (1 - content) + 0.25 * 3 * (1 - 0.6 * ti / (t1 + t2 - ti) - 0.4 * tag) + 0.2 * CASE WHEN h < 1 THEN 0 WHEN h < 24 THEN 1 WHEN h < 168 THEN 2 WHEN h < 720 THEN 3 ELSE 4 END + 0.15 * CASE WHEN d < 0.1 THEN 0 WHEN d < 0.3 THEN 1 WHEN d < 0.5 THEN 2 ELSE 3 END
+    + 0.1 * (2 * (1 - ln) + 2 * (1 - vl)) / 2, 9) AS far FROM p)"""
+
+
+@query()
+def likeness_to_one(spark, sf_dir):
+    """Likeness of every memory to one of them, and its distance from 1 to 5. No SQL: DuckDB's string measure halves an odd number of swapped letters downwards."""
+    return K.like(spread(memories(spark, sf_dir)), "100").select("key", F.round("similarity", 7).alias("similarity"), "distance")
+
+
+@query(f"WITH {_LIKE} SELECT key, importance FROM mem JOIN lk USING (key) WHERE round(similarity, 9) >= 0.4 AND access_count >= 5")
+def similarity_filter(spark, sf_dir):
+    """Results that are like enough to a reference."""
+    m = spread(memories(spark, sf_dir))
+    return K.filter_like(m.filter("access_count >= 5").select("key", "importance"), m, "100", least=0.4)

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from recollect.functions import scores as S
+from recollect.functions.similarity import jaro_winkler
+from recollect.operators import likeness as K
 from recollect.operators import related as D
 
 WORDS = [f"word{i}" for i in range(12)]
@@ -82,3 +84,43 @@ def test_replay_stops_at_the_first_that_is_not_due(spark):
     q = spark.createDataFrame([("a", 0.9, 1.0), ("b", 0.8, 5.0), ("c", 0.7, 1.0)], "key string, priority double, due double")
     assert [r.key for r in D.replay_batch(q, F.lit(2.0)).collect()] == ["a"]
     assert [r.key for r in D.replay_batch(q, F.lit(9.0), most=2).collect()] == ["a", "b"]
+
+
+def test_likeness_to_one_meets_brute_force(spark):
+    rng, t0 = np.random.default_rng(6), datetime(2024, 1, 1)
+    words = ["lantern", "lanterns", "harbour", "harbor", "sea", "seas", "größe", "grösse", "of", "keeper"]
+    rows = [(f"k{i:02}", " ".join(rng.choice(words, rng.integers(0, 7))), [["red", "blue_sky"], ["reds"], [], ["blue-skies", "x"]][i % 4], float(rng.integers(0, 11)) / 10, int(rng.integers(0, 9)), t0 + timedelta(hours=int(rng.integers(0, 900))), t0 + timedelta(hours=int(rng.integers(0, 900)))) for i in range(60)]
+    m = spark.createDataFrame(rows, "key string, value string, tags array<string>, importance double, access_count long, created_at timestamp_ntz, last_accessed timestamp_ntz")
+    got = {r.key: r for r in K.like(m, "k05").collect()}
+    sets = {r[0]: {w for w in r[1].lower().split() if len(w.encode()) > 2} for r in rows}
+    ref = rows[5]
+    near = lambda x, y: 1 - abs(x - y) / max(x, y) if max(x, y) else 1.0
+    for r in rows:
+        x, y, both = sets["k05"], sets[r[0]], len(sets["k05"] & sets[r[0]])
+        fuzzy = sum(max((jaro_winkler(a, b) for b in y), default=0) > 0.8 for a in x)
+        content = 0.3 * both / len(x | y) + 0.25 * both / math.sqrt(len(x) * len(y)) + 0.25 * fuzzy / max(len(x), len(y)) + 0.2 * both / min(len(x), len(y)) if x and y else 0.0
+        a, b = set(ref[2]), set(r[2])
+        tag = 0.7 * len(a & b) / max(len(a), len(b)) + 0.3 * sum(any(K.tags_alike(s, t) for t in b) for s in a) / max(len(a), len(b)) if a and b else 0.0
+        d, h = abs(r[3] - ref[3]), int(abs((r[5] - ref[5]).total_seconds()) // 3600)
+        weight = 0.4 * max(0, 1 - d) + 0.3 * math.exp(-2 * d) + 0.3 * math.exp(-d * d / 0.1)
+        time = 0.3 * max(0, 1 - h / 168) + 0.4 * math.exp(-h / 72) + 0.3 * math.exp(-((h / 24) ** 2) / 2)
+        use = 0.6 * near(r[4], ref[4]) + 0.4 / (1 + int(abs((r[6] - ref[6]).total_seconds()) // 3600) / 24)
+        size, vocabulary = near(len(r[1].encode()), len(ref[1].encode())), near(len(y), len(x))
+        form = 0.5 * size + 0.3 * vocabulary + 0.2 * near(len(b), len(a))
+        assert got[r[0]].similarity == pytest.approx(0.3 * content + 0.25 * tag + 0.15 * weight + 0.15 * time + 0.1 * use + 0.05 * form, abs=1e-9), r
+        tags = 0.0 if not a and not b else 3.0 if not a or not b else 3 * (1 - 0.6 * len(a & b) / len(a | b) - 0.4 * tag)
+        far = 0.3 * 3 * (1 - content) + 0.25 * tags + 0.2 * sum(h >= k for k in (1, 24, 168, 720)) + 0.15 * sum(d >= k for k in (0.1, 0.3, 0.5)) + 0.1 * (2 * (1 - size) + 2 * (1 - vocabulary)) / 2
+        assert got[r[0]].distance == 1 + sum(round(far, 9) >= k for k in (0.2, 0.4, 0.6, 0.8))
+    assert any(r.distance < 5 for r in got.values()) and got["k05"].distance == 1
+    some = m.select("key")
+    assert K.filter_like(some, m, "nobody", least=0.9).count() == 60
+    assert {r.key for r in K.filter_like(some, m, "k05", most_distant=3).collect()} == {k for k, r in got.items() if r.distance <= 3}
+
+
+def test_fuzzy_words_lose_none(spark):
+    rng = np.random.default_rng(7)
+    vocabulary = ["".join(rng.choice(list("abcde"), rng.integers(1, 9))) for _ in range(300)]
+    words = vocabulary[:15]
+    got = {r.word: r.hits for r in K.fuzzy_matches(spark.createDataFrame([(w,) for w in set(vocabulary)], "word string"), words).collect()}
+    want = {v: [i for i, w in enumerate(words) if jaro_winkler(w, v) > 0.8] for v in set(vocabulary)}
+    assert got == {v: h for v, h in want.items() if h}
