@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from recollect.functions import scores as S
 from recollect.functions import text as T
 from recollect.functions.decay import ebbinghaus, replay_priority, spaced_repetition_hours
+from recollect.operators import adaptation as A
 from recollect.operators import likeness as K
 from recollect.operators import related as D
 from recollect.plans.registry import query
@@ -294,3 +295,29 @@ def similarity_filter(spark, sf_dir):
     """Results that are like enough to a reference."""
     m = spread(memories(spark, sf_dir))
     return K.filter_like(m.filter("access_count >= 5").select("key", "importance"), m, "100", least=0.4)
+
+
+_CONTEXT = A.Context(activity=0.8, load=0.3, time_of_day=0.6, trends=(0.4, 0.5, 0.7), variance=0.05, feedback=12, history=(("performance_driven", (0.9, 0.8)), ("multi_objective", (0.6,) * 40), ("context_aware", (0.95, 0.9, 1.0))))
+
+
+@query(f"""WITH {MEMORIES}, x AS (SELECT key, importance AS s, access_count / 17e0 AS u FROM mem), f AS (SELECT *, unnest([{{'n': 'context_aware', 'p': 0.95e0, 'k': 3, 'c': 0.5e0}}, {{'n': 'multi_objective', 'p': 0.6e0, 'k': 40, 'c': CASE WHEN s > 0.6 THEN 0.85e0 ELSE 0.7e0 END}},
+  {{'n': 'performance_driven', 'p': 0.85e0, 'k': 2, 'c': CASE WHEN s > 0.7 THEN 0.9e0 ELSE 0.6e0 END}}, {{'n': 'reinforcement_learning', 'p': 0.5e0, 'k': 0, 'c': 0.8e0}}]) AS t FROM x),
+g AS (SELECT key, s, t.n AS n, t.p AS p, t.k AS k, round(0.3 * t.p + 0.25 * t.c + 0.2 * (s + u) / 2 + 0.15 * 0.7 + 0.1 * 0.6, 12) AS f FROM f), b AS (SELECT *, count(*) FILTER (f > 0.7) OVER (PARTITION BY key) AS many FROM g QUALIFY row_number() OVER (PARTITION BY key ORDER BY f DESC, n) = 1),
+d AS (SELECT *, CASE WHEN many >= 2 THEN 'hybrid' ELSE n END AS strategy FROM b)
+SELECT key, strategy, round(f, 9) AS fitness, round(least(1, 0.3 * s + 0.2 * 0.8 + 0.2 * 0.7 + 0.15 * 0.6 + 0.15 * CASE strategy WHEN 'performance_driven' THEN CASE WHEN s > 0.7 THEN 1.2 ELSE 0.8 END WHEN 'context_aware' THEN 0.7 ELSE 1 END), 9) AS priority,
+ floor(24 * CASE strategy WHEN 'performance_driven' THEN 2 - s WHEN 'context_aware' THEN 0.5 ELSE 1 END)::DOUBLE AS delay_hours, round(0.7 * CASE WHEN many >= 2 THEN 0.5 ELSE p END + 0.3 * (0.8 + s) / 2, 9) AS effectiveness, round(CASE WHEN many >= 2 THEN 0 ELSE k / 100e0 END, 9) AS confidence FROM d""")
+def replay_decisions(spark, sf_dir):
+    m = memories(spark, sf_dir).select("key", F.col("importance").alias("score"), (F.col("access_count") / 17).alias("use"))
+    d = A.replay_decisions(m, _CONTEXT)
+    return d.select("key", "strategy", *(F.round(c, 9).alias(c) for c in ("fitness", "priority")), "delay_hours", *(F.round(c, 9).alias(c) for c in ("effectiveness", "confidence")))
+
+
+@query("""WITH e AS (SELECT vec_id, label, i, (embedding::DOUBLE[])[i] AS x FROM embeddings, range(1, 65) r(i)), a AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM e WHERE label < 5 GROUP BY i), b AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM e WHERE label >= 5 GROUP BY i),
+z AS (SELECT vec_id, sum(b.m + CASE WHEN a.s > 0 THEN (x - a.m) / a.s * b.s ELSE 0 END) AS total FROM e JOIN a USING (i) JOIN b USING (i) WHERE label < 5 GROUP BY 1), d AS (SELECT avg(abs(a.m - b.m)) AS d FROM a JOIN b USING (i))
+SELECT vec_id::VARCHAR AS key, round(total, 6) AS total, round(d, 9) AS discrepancy FROM z, d""")
+def domain_alignment(spark, sf_dir):
+    """Vectors of five classes moved to where those of the others lie, and how far apart they were."""
+    v = vectors(spark, sf_dir)
+    a, b = v.filter("label < 5").select("key", "embedding"), v.filter("label >= 5").select("key", "embedding")
+    moved = A.align_domains(a, b)
+    return moved.join(F.broadcast(A.discrepancy(a, b))).select("key", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.round("discrepancy", 9).alias("discrepancy"))
