@@ -121,7 +121,7 @@ fw AS (SELECT query_id, query, unnest({_TOK.format("value")}) AS term FROM pool
 fc AS (SELECT query_id, term, count(*) AS n FROM fw WHERE strlen(term) >= 3 AND NOT regexp_full_match(term, '[0-9]+') AND NOT list_contains({_TOK.format("query")}, term) GROUP BY 1, 2
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, term) <= 10),
 wider AS (SELECT query_id, query || ' ' || t AS query FROM ask JOIN (SELECT query_id, string_agg(term, ' ' ORDER BY n DESC, term) AS t FROM fc GROUP BY 1) USING (query_id)), {_fused_sql('b_', 'wider')},
-joined AS (SELECT query_id, key, max(fused) AS fused FROM (SELECT query_id, key, fused FROM pool UNION ALL SELECT query_id, key, fused FROM b_fz QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, weighted DESC, key) <= 50) GROUP BY 1, 2),
+joined AS (SELECT query_id, key, max(fused) AS fused FROM (SELECT query_id, key, fused FROM pool UNION ALL SELECT query_id, key, fused FROM (SELECT * FROM b_fz QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, weighted DESC, key) <= 50) JOIN mem USING (key)) GROUP BY 1, 2),
 last AS (SELECT * FROM joined QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, key) <= 50),
 cs AS (SELECT last.query_id, key, fused, value, created_at, 0.6e0 * CASE WHEN max(fused) OVER o = min(fused) OVER o THEN 1 ELSE (fused - min(fused) OVER o) / (max(fused) OVER o - min(fused) OVER o) END
   + 0.2e0 * greatest(0.001e0, least(0.999e0, exp(-ln(2) * {_AGE} / 24))) + 0.2e0 * importance AS composite FROM last JOIN mem USING (key) WINDOW o AS (PARTITION BY query_id)),
