@@ -7,6 +7,11 @@ def _fold(a: Column, b: Column, f) -> Column:
     return F.aggregate(F.zip_with(a, b, f), F.lit(0.0), lambda s, x: s + x)
 
 
+def literal(values: list[float]) -> Column:
+    """A vector as one expression: as many literals by as many calls take long to build."""
+    return F.expr("array(" + ", ".join(f"{float(x)!r}D" for x in values) + ")")
+
+
 def dot(a: Column, b: Column) -> Column:
     return _fold(a, b, lambda x, y: x * y)
 

@@ -87,6 +87,27 @@ def bm25(candidates: DataFrame, queries: list[tuple[str, str]]) -> DataFrame:
     return s.select("query_id", "key", (F.col("_s") / (F.col("_s") + 1)).alias("bm25"))
 
 
+def bm25_store(memories: DataFrame, queries: list[tuple[str, str]], k: int) -> DataFrame:
+    """query_id, key, score, rank: BM25 of every memory that holds a word of the question, the k best; N, df and the mean length are the whole store's.
+
+    Words are counted once where a text is read, and only those that some question has go on.
+    """
+    asked = [(i, t) for i, q in queries for t in dict.fromkeys(q.lower().split())]
+    if not asked:
+        return memories.select(F.lit("").alias("query_id"), "key", F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
+    wanted = F.array(*(F.lit(t) for t in sorted({t for _, t in asked})))
+    words = F.array(F.filter(F.split(F.lower("value"), r"\s+"), lambda t: t != ""))
+    counts = lambda w: F.struct(F.size(w).alias("n"), F.filter(F.transform(wanted, lambda t: F.struct(t.alias("t"), F.size(F.filter(w, lambda x: x == t)).alias("tf"))), lambda e: e["tf"] > 0).alias("e"))
+    m = materialize(memories.select("key", F.transform(words, counts)[0].alias("c")).select("key", "c.n", "c.e"), "term-counts")
+    store = F.broadcast(m.agg(F.count(F.lit(1)).alias("_all"), F.avg("n").alias("_avg")))  # one row
+    held = m.select("key", "n", F.explode("e").alias("e")).select("key", "n", "e.t", "e.tf")
+    df = held.groupBy("t").agg(F.count(F.lit(1)).alias("df"))  # a row a word asked for
+    terms = memories.sparkSession.createDataFrame(asked, "query_id string, t string")
+    s = held.join(F.broadcast(df), "t").join(F.broadcast(terms), "t").join(store)
+    part = F.log((F.col("_all") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("_avg")))
+    return top(s.groupBy("query_id", "key").agg(F.round(F.sum(part), 9).alias("score")), k, F.desc("score"), F.asc("key"))
+
+
 def temporal_score(days: Column, accesses: Column) -> Column:
     return 0.6 * F.exp(-days / 30.0) + 0.4 * (accesses / (accesses + 10.0))
 
@@ -193,7 +214,7 @@ def signals(memories: DataFrame, vectors: DataFrame, links: DataFrame, queries:
     temporal = named(recent.withColumn("query_id", F.explode(F.array(*(F.lit(q) for q, _ in queries)))), "temporal")
     found = keep(keyword.unionByName(graph)).unionByName(temporal)
     if embeddings:
-        e = F.explode(F.array(*(F.struct(F.lit(q).alias("query_id"), F.array(*map(F.lit, v)).alias("qe")) for q, v in embeddings.items())))
+        e = F.explode(F.array(*(F.struct(F.lit(q).alias("query_id"), V.literal(v).alias("qe")) for q, v in embeddings.items())))
         dense = vectors.select("key", "embedding", e.alias("_q")).select("_q.query_id", "key", F.round(V.cosine(F.col("embedding"), F.col("_q.qe")), 12).alias("score"))
         found = found.unionByName(keep(named(dense.filter(F.col("score") >= DENSE_FLOOR), "dense")))
     return found
@@ -244,7 +265,7 @@ def hybrid_search(memories: DataFrame, vectors: DataFrame, links: DataFrame, que
     if embeddings:
         pool = pool.join(vectors.select("key", "embedding"), "key", "left")
         for i, v in embeddings.items():
-            own = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(V.cosine(F.col("embedding"), F.array(*map(F.lit, v))), F.lit(0.0))))
+            own = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(V.cosine(F.col("embedding"), V.literal(v)), F.lit(0.0))))
             agreement = F.when(F.col("query_id") == i, own).otherwise(agreement)
     scored = rerank(pool, queries, hours, agreement)
     ordered = top(scored, k, F.desc(F.round("rerank_score", 12)), F.asc("key"))

@@ -7,6 +7,7 @@ from recollect.operators import context as C
 from recollect.operators import graph as G
 from recollect.operators import related as D
 from recollect.plans.registry import query
+from recollect.session import materialize
 from recollect.sources import datasets as S
 from recollect.sources.tables import EDGES, MEMORIES, MEMORY_LINKS, edges, hours_since, hours_sql, memories, memory_links, spread, table, vectors
 
@@ -69,13 +70,13 @@ def consolidation(spark, sf_dir):
     return C.consolidate(memories(spark, sf_dir), s, 0.45)
 
 
-@query("""WITH RECURSIVE v AS (SELECT vec_id::VARCHAR AS k, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.k AS a, b.k AS b, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.k < b.k WHERE list_cosine_similarity(a.e, b.e) >= 0.85),
+@query("""WITH RECURSIVE v AS (SELECT vec_id::VARCHAR AS k, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.k AS a, b.k AS b, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.k < b.k WHERE list_cosine_similarity(a.e, b.e) >= 0.3),
 l AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r(a, b) AS (SELECT a, a FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b), c AS (SELECT a AS key, min(b) AS cluster FROM r GROUP BY a),
 st AS (SELECT key, round(sum(s), 9) AS s FROM (SELECT a AS key, s FROM p UNION ALL SELECT b, s FROM p) GROUP BY 1), rep AS (SELECT cluster, count(*) AS members, min(key) FILTER (true) AS x FROM c GROUP BY 1),
 q AS (SELECT cluster, key AS representative FROM c JOIN st USING (key) QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY s DESC, key) = 1) SELECT rep.cluster, members, representative, coherence FROM rep JOIN q USING (cluster) JOIN (SELECT cluster, round(avg(s), 9) AS coherence FROM p JOIN c ON c.key = p.a GROUP BY 1) USING (cluster) WHERE members >= 2""")
 def reflection_insights(spark, sf_dir):
     v = vectors(spark, sf_dir).select("key", "embedding")
-    return C.reflect(v, G.similar_pairs(v, 0.85)).select("cluster", "members", "representative", "coherence")
+    return C.reflect(v, materialize(G.similar_pairs(v, 0.3), "near-pairs")).select("cluster", "members", "representative", "coherence")
 
 
 @query("""WITH u AS (SELECT DISTINCT user_id, event_type || '/' || (epoch_us(ts) // 3600000000 % 24) AS item FROM events), n AS (SELECT user_id, count(*) AS n FROM u GROUP BY 1), p AS (SELECT a.user_id AS a, b.user_id AS b, count(*) AS c FROM u a JOIN u b ON a.item = b.item AND a.user_id < b.user_id GROUP BY 1, 2)
@@ -91,14 +92,8 @@ def event_log_sequence(spark, sf_dir):
     return S.sequence_events(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "ts", "event_id").select("sequence", "event_id", "user_id")
 
 
-@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS offset_ FROM events WHERE user_id < 50")
-def partition_events(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("user_id < 50")
-    return e.select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("offset_"))
-
-
 @query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS offset_ FROM events")
-def partition_events_whole(spark, sf_dir):
+def partition_events(spark, sf_dir):
     """The offset of every event in its partition."""
     e = table(spark, sf_dir, "events")
     return e.select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("offset_"))

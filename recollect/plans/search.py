@@ -46,6 +46,15 @@ def bm25_signal(spark, sf_dir):
     return R.bm25(c, QUERIES).select("query_id", "key", F.round("bm25", 9).alias("bm25"))
 
 
+@query(f"""WITH {_QS}, {MEMORIES}, w AS (SELECT key, list_filter(regexp_split_to_array(lower(value), '\\s+'), lambda t: t <> '') AS w FROM mem), st AS (SELECT count(*) AS n, avg(len(w)) AS a FROM w),
+tm AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda t: t <> '')) AS t FROM qs), tf AS (SELECT key, t, len(w) AS l, len(list_filter(w, lambda x: x = t)) AS tf FROM w, (SELECT DISTINCT t FROM tm)),
+df AS (SELECT t, count(*) AS df FROM tf WHERE tf > 0 GROUP BY 1), s AS (SELECT query_id, key, round(sum(ln((n - df + 0.5e0) / (df + 0.5e0) + 1) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * l / a))), 9) AS score FROM tf JOIN df USING (t) JOIN tm USING (t), st WHERE tf > 0 GROUP BY 1, 2)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM s QUALIFY rank <= 50""")
+def bm25_store(spark, sf_dir):
+    """The fifty best of the whole store for each question."""
+    return R.bm25_store(spread(memories(spark, sf_dir)), QUERIES, 50)
+
+
 #: Questions of several parts, and of a time, besides the plain queries; and the rows whose vectors stand for theirs.
 _QUESTIONS = [*QUERIES, ("q6", "which license and what version"), ("q7", "spring 2024 token")]
 _QV = {"q1": "1", "q2": "2", "q3": "3", "q4": "4", "q6": "6", "q7": "7"}

@@ -32,7 +32,7 @@ def test_entry(spark):
 def test_every_event_has_its_offset(spark):
     events = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
     users = {r.user_id: r["count"] for r in events.groupBy("user_id").count().collect()}
-    got = plans.QUERIES["partition_events_whole"](spark, "/root/testdata/sf0.01").groupBy("user_id").agg({"offset_": "max", "event_id": "count"}).collect()
+    got = plans.QUERIES["partition_events"](spark, "/root/testdata/sf0.01").groupBy("user_id").agg({"offset_": "max", "event_id": "count"}).collect()
     assert {r.user_id: r["count(event_id)"] for r in got} == users and len(users) > 50 and users == {r.user_id: r["max(offset_)"] for r in got}
 
 
@@ -46,4 +46,4 @@ def test_strict_semantic_step_goes_by_cosine_above_095(spark):
     s = np.stack([e for _, e in v])
     s = s @ s.T
     gone = {v[i][0] if docs[v[j][0]] > docs[v[i][0]] else v[j][0] for i in range(len(v)) for j in range(i + 1, len(v)) if s[i, j] > 0.95}
-    assert {r.key for r in plans.QUERIES["dedup_semantic_strict"](spark, d).collect()} == docs.keys() - gone
+    assert {r.key for r in plans.QUERIES["dedup_semantic"](spark, d).collect()} == docs.keys() - gone
