@@ -79,12 +79,6 @@ def alike_names(p):
     return left.join(p.select(F.col("p_partkey").alias("other"), F.col("p_name").alias("b")), "b").filter("p_partkey < other").select("p_partkey", "other", "similarity")
 
 
-@query()
-def extracted_facts(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(N.facts(F.coalesce("text", F.lit("")))).alias("f"))
-    return c.select("conv_id", "turn", "f.subject", "f.predicate", "f.object")
-
-
 _QUESTIONS = ["What happened in 2024 and who was there?", "notes since 2024", "spring 2024 plans", "before 2025"]
 
 

@@ -33,7 +33,7 @@ def spread(df: DataFrame) -> DataFrame:
     """df over as many tasks as there are cores if it is so small that a file's row groups may give fewer; else as it is."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     each = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     return df.repartition(cores) if size < cores * each else df
 
