@@ -358,6 +358,20 @@ def test_restoring_finds_the_likeliest_path_of_all():
     assert told > 100 and toxicity.restore("wr3tch", lm) == "wretch" and toxicity.restore("f a c e", lm) == "face"
 
 
+def test_the_bound_before_the_search_changes_no_score():
+    rng = np.random.default_rng(16)
+    rows = [(words(30, i) + (" wretchface illwit" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(160)]
+    model = toxicity.fit(rows)
+    assert any(w >= 3 for w in model.weights.values())
+    texts = ["".join(rng.choice(list("wretchfailsx34710!|.-_ @"), rng.integers(4, 40))) for _ in range(3000)]
+    texts += [x.join(w) for w in ("wretchface", "illwit") for x in ("", ".", " ", "--", "_ ", "*")] + ["wr3tchf4c3", "1llw!t", "||||w|t", "il1l.wit", "x.illwit", "wwretchhface"]
+    bounded = [model.score(t) for t in texts]
+    model.memo.clear()
+    model.words.clear()
+    model.may = None
+    assert bounded == [model.score(t) for t in texts] and sum(s > 0.5 for s in bounded) >= 12
+
+
 def test_long_decorative_lines_are_scored_soon(spark):
     docs, labels = _labelled(spark, 60)
     long = ["a" + "_-" * 100 + ",b", "_-" * 50_000, "a.b-" * 30_000 + ",x", "1a" * 60_000, "a " * 60_000 + "b,c", "w.r.e.t.c.h.f.a.c.e " + "=" * 100_000]
