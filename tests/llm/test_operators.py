@@ -677,3 +677,40 @@ def test_fingerprints_add_and_take_away(spark):
 def test_a_row_that_repeats_often_repeats_its_result(spark):
     docs = spark.createDataFrame([(None, None)], "doc_id long, text string").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(10_000)))).unionByName(spark.createDataFrame([(5, "a b c", 0)], "doc_id long, text string, i int"))
     assert [tuple(r) for r in fingerprint.fingerprint_documents(docs).groupBy("doc_id", "n_chars").count().orderBy("doc_id").collect()] == [(None, 0, 10_000), (5, 5, 1)]
+
+
+# all: very long texts, nulls in every column, repeated rows
+
+
+LONG = ["a" * 300_000, "word " * 60_000, "ä🙂 " * 50_000, "\n".join(words(40, i) for i in range(1500)), None, ""]
+
+
+@pytest.mark.parametrize("name", ["mixing", "language", "quality", "ngrams", "fingerprint", "bpe", "chat", "secrets"])
+def test_long_texts_and_nulls_pass_every_operator(spark, library, name):
+    docs = table(spark, [*LONG, *(words(30, i) for i in range(40))]).unionByName(spark.createDataFrame([(None, None, None, None, None), (3, LONG[3], "en", None, 5)], DOCS))
+    labels = spark.createDataFrame([(i, int(i % 2), int(i % 3 == 0)) for i in range(6, 46)] + [(None, None, None)], "doc_id long, quality int, toxic int")
+    plain = [*LONG, *(words(30, i) for i in range(40)), None, LONG[3]]
+    if name == "mixing":
+        got = mixing.taken_words(docs).collect()
+        assert sorted(r.size for r in got) == sorted(len((t or "").split()) for t in plain) and all(r.taken <= 3 * r.size for r in got)
+    elif name == "language":
+        got = language.identify(docs).collect()
+        assert len(got) == len(plain) and {r.lang_pred for r in got if r.doc_id in (1, 3)} == {"en"}
+    elif name == "quality":
+        got = quality.quality_sample(docs, labels).collect()
+        assert sorted(r.rank for r in got) == list(range(1, len(plain) + 1))
+    elif name == "ngrams":
+        got = ngram_join.jaccard_components(docs).collect()
+        assert len(got) == len(plain) and {r.component_id for r in got if r.doc_id == 3} == {3}
+    elif name == "fingerprint":
+        got = fingerprint.fingerprint_documents(docs).collect()
+        assert sorted(r.n_chars for r in got) == sorted(len(t or "") for t in plain)
+    elif name == "bpe":
+        path = public_tokenizers.path(bpe.RANKS)
+        got = {(r.doc_id, r.decoded_sha256) for r in bpe.round_trip(docs, path).collect()}
+        assert {h for _, h in got} == {hashlib.sha256((t or "").encode()).hexdigest() for t in plain}
+    elif name == "chat":
+        turns = docs.select((F.col("doc_id") % 3).alias("conv_id"), F.col("doc_id").alias("turn"), F.col("source").alias("role"), "text")
+        assert chat.format_chats(turns).count() > 0
+    else:
+        assert secrets.secret_report(docs).count() == len(plain) and secrets.redact(docs).count() == len(plain)
