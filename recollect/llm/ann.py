@@ -64,7 +64,9 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 10, block: int = B
     bounds drop no neighbour.
     """
     rows = embeddings.filter(usable(F.col(vec_col)) & F.col(id_col).isNotNull()).withColumn("_q", F.coalesce(is_query, F.lit(False)))
-    rows = rows.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"), "_q")
+    # floats are shuffled as floats and measured in double, which holds them exactly
+    single = embeddings.schema[vec_col].dataType.simpleString() == "array<float>"
+    rows = rows.select(F.col(id_col).alias("id"), (F.col(vec_col) if single else F.col(vec_col).cast("array<double>")).alias("v"), "_q")
     rows = rows.groupBy("id", "v").agg(F.max("_q").alias("_q")).withColumn("dim", F.size("v")).withColumn("h", F.xxhash64("id", "v"))
     n, m = rows.agg(F.count(F.lit(1)), F.count_if("_q")).first()
     down, across = max(1, -(-n // block)), max(1, -(-m // block))
@@ -78,7 +80,8 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 10, block: int = B
         out: list[tuple] = []
         if len(a) and len(b):
             ids, keys = b["query_id"].to_numpy(), b["key"].to_numpy()
-            for i, best in tile(a["id"].to_numpy(), np.stack(list(a["v"])), ids, np.stack(list(b["query"])), k):
+            left, right = (np.stack(list(x)).astype(np.float64) for x in (a["v"], b["query"]))
+            for i, best in tile(a["id"].to_numpy(), left, ids, right, k):
                 out += [(int(keys[i]), int(ids[i]), int(x), float(d)) for d, x in best]
         return pd.DataFrame(out, columns=["h", "query_id", "vec_id", "score"])
 
