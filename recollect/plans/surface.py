@@ -183,14 +183,14 @@ def ring_nodes(spark, sf_dir):
     return K.ring_nodes(table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key")), ["a", "b", "c", "d", "e"])
 
 
-@query("SELECT c_custkey::VARCHAR AS key, c_name AS value, round(c_acctbal, 6) AS importance FROM customer")
+@query("SELECT n_nationkey::VARCHAR AS key, n_name AS value, n_regionkey / 10::DOUBLE AS importance FROM nation")
 def legacy_restore(spark, sf_dir):
-    """The older backup, one document, read back. It is written by one task, as that format asks."""
+    """The older backup, one document, read back; of a table of fixed size, since one task writes it."""
     path = _place(spark, "legacy")
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.struct(F.col("c_name").alias("value"), F.col("c_acctbal").alias("importance")).alias("row"))
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("key"), F.struct(F.col("n_name").alias("value"), (F.col("n_regionkey") / 10).alias("importance")).alias("row"))
     doc = rows.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("key", "row"))).alias("entries"))).alias("value"))
     doc.coalesce(1).write.text(path)
-    return K.restore_legacy(spark, path, "value string, importance double").rows.select("key", "value", F.round("importance", 6).alias("importance"))
+    return K.restore_legacy(spark, path, "value string, importance double").rows.select("key", "value", "importance")
 
 
 @query("SELECT * FROM (VALUES ('analytics_events', 6), ('memories', 10), ('relationships', 7)) v(name, columns)")
