@@ -1,5 +1,5 @@
 """Named queries of the library; importing the modules registers them."""
-from recollect.plans import learning, loading, memory, more, network, related, search, statistics, surface
+from recollect.plans import fuller, learning, loading, memory, more, network, related, search, statistics, surface
 from recollect.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "learning", "loading", "memory", "more", "network", "related", "search", "statistics", "surface"]
+__all__ = ["ORACLES", "QUERIES", "fuller", "learning", "loading", "memory", "more", "network", "related", "search", "statistics", "surface"]

@@ -196,3 +196,18 @@ def test_hybrid_search_finds_what_holds_no_word_of_the_query(spark):
     got = [r.key for r in R.hybrid_search(m, v, links, [("q", "lantern")], {"q": "ask"}, datetime(2025, 1, 1), k=60).collect()]
     assert got[0] == "dense" and {"word", "linked"} <= set(got) and "far" not in got and "ask" not in got
     assert R.hybrid_search(m.limit(0), v.limit(0), links.limit(0), [("q", "lantern")], {"q": "ask"}, datetime(2025, 1, 1)).collect() == []
+
+
+def test_cheapest_paths_around_and_over_nodes(spark):
+    from recollect.operators import paths as P
+
+    e = spark.createDataFrame([("a", "b", 1.0), ("b", "d", 1.0), ("a", "c", 2.0), ("c", "d", 1.0), ("a", "d", 9.0), ("d", "a", 0.5), ("b", "d", 0.9)], "src string, dst string, w double")
+    got = lambda **k: {r.node: (r.cost, r.path) for r in P.cheapest_paths(e, ["a"], F.col("w"), **k).collect()}
+    assert got() == {"a": (0.0, "a"), "b": (1.0, "a>b"), "c": (2.0, "a>c"), "d": (1.9, "a>b>d")}
+    assert got(avoid=("b",)) == {"a": (0.0, "a"), "c": (2.0, "a>c"), "d": (3.0, "a>c>d")}
+    assert got(through="c")["d"] == (3.0, "a>c>d") and got(rounds=1)["d"] == (9.0, "a>d") and got(through="c")["b"] == (4.5, "a>c>d>a>b")
+    with pytest.raises(ValueError):
+        P.graph_lines(e, "tape")
+    odd = spark.createDataFrame([('x"<', "y&", "r", 1.0)], "src string, dst string, rel_type string, strength double")
+    assert [r.line for r in P.graph_lines(odd, "gexf").filter("part = 2").collect()] == ['<edge source="x&quot;&lt;" target="y&amp;" label="r"/>']
+    assert [r.line for r in P.graph_lines(odd, "dot").orderBy("part").collect()] == ["digraph memories {", '"x\\"<" -> "y&" [label="r"];', "}"]
