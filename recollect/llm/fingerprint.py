@@ -58,6 +58,15 @@ def combine(a: Column, b: Column, sign: int = 1) -> Column:
     return F.zip_with(a, b, lambda x, y: (x + y * sign).bitwiseAND(_LOW))
 
 
+def packed(lanes: Column) -> Column:
+    """Lanes as array<int>, the same 32 bits in half the room for tables and shuffles."""
+    return F.transform(lanes, lambda x: F.when(x > 0x7FFFFFFF, x - (_LOW + 1)).otherwise(x).cast("int"))
+
+
+def unpacked(lanes: Column) -> Column:
+    return F.transform(lanes, lambda x: x.cast("long").bitwiseAND(_LOW))
+
+
 def as_text(lanes: Column) -> Column:
     """8 hex digits for each lane."""
     return F.lower(F.array_join(F.transform(lanes, lambda x: F.lpad(F.hex(x), 8, "0")), ""))
@@ -116,10 +125,10 @@ def fingerprint_documents(documents: DataFrame) -> DataFrame:
         "id", "th", "n", "copies", "sha", F.expr("left(text, cut)").alias("same"), F.expr("substring(text, cut + 1)").alias("old"), F.expr("concat(substring(stays, cut + 1), head)").alias("new")
     )
     whole = multiset_lanes(both, ["id", "th", "n", "copies", "sha"], ["same", "old", "new"])
-    whole = whole.select("id", "th", "n", "copies", "sha", combine(F.col("same_lanes"), F.col("old_lanes")).alias("text_lanes"), combine(F.col("same_lanes"), F.col("new_lanes")).alias("edited_lanes"))
+    whole = whole.select("id", "th", "n", "copies", "sha", packed(combine(F.col("same_lanes"), F.col("old_lanes"))).alias("text_lanes"), packed(combine(F.col("same_lanes"), F.col("new_lanes"))).alias("edited_lanes"))
     whole = materialize(whole, "fingerprint-lanes")
     after = order.select("id", "th", "next_id", "next_th").join(whole.select(F.col("id").alias("next_id"), F.col("th").alias("next_th"), F.col("text_lanes").alias("next_lanes")), ["next_id", "next_th"])
-    whole = whole.join(after.select("id", "th", "next_lanes"), ["id", "th"])
+    whole = whole.join(after.select("id", "th", "next_lanes"), ["id", "th"]).withColumns({c: unpacked(F.col(c)) for c in ("text_lanes", "edited_lanes", "next_lanes")})
     whole = whole.select(
         F.when(F.col("th").bitwiseAND(1) == 0, F.col("id")).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), F.lower(F.hex("sha")).alias("edited_sha256"),
         as_text(F.col("text_lanes")).alias("fingerprint"), as_text(F.col("edited_lanes")).alias("edited_fingerprint"),
