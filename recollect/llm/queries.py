@@ -2,7 +2,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from recollect.llm import ann, bpe, chat, exact_dedup, fingerprint, language, mixing, ngram_join, prefix_trie, quality, secrets, toxicity
+from recollect.llm import alignment, ann, bpe, chat, exact_dedup, fingerprint, language, mixing, ngram_join, prefix_trie, quality, secrets, toxicity
 
 
 def _table(spark, sf_dir, name):
@@ -49,6 +49,10 @@ def op10_fingerprint(spark, sf_dir):
     return fingerprint.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark, sf_dir):
+    return alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_prefix_trie(spark, sf_dir):
     return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
@@ -57,5 +61,5 @@ def op13_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_classes(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_mix_sources, op3_secret_scan, op4_nearest, op5_toxicity, op6_chat_format, op7_quality_resampling, op8_language_id, op9_ngram_join, op10_fingerprint, op12_prefix_trie, op13_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_mix_sources, op3_secret_scan, op4_nearest, op5_toxicity, op6_chat_format, op7_quality_resampling, op8_language_id, op9_ngram_join, op10_fingerprint, op11_token_alignment, op12_prefix_trie, op13_exact_dedup)}
 ORACLES = {"op9_ngram_join": ngram_join.ORACLE, "op4_nearest": ann.ORACLE, "op2_mix_sources": mixing.ORACLE, "op3_secret_scan": secrets.ORACLE, "op6_chat_format": chat.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE, "op13_exact_dedup": exact_dedup.ORACLE}
