@@ -119,18 +119,14 @@ def text_chunks(documents: DataFrame, prime: int = PRIME, chunk: int = CHUNK) ->
     return df.mapInArrow(run, "row long, doc_id long, h0 long, h1 long, n_bytes long, sha256 binary, no long, chunk binary")
 
 
-def _collided(documents: DataFrame, repeated: DataFrame, prime: int, chunk: int) -> DataFrame:
-    """The fingerprints in `repeated` whose texts differ somewhere.
+def _collided(documents: DataFrame, prime: int, chunk: int) -> DataFrame:
+    """The fingerprints whose texts differ somewhere.
 
     Chunks meet those with the same fingerprint and number; equal ones fold within each task before they are
-    exchanged, so a group of copies crosses once a task however large it is. If Spark would broadcast `repeated`, other
-    texts are left out before that; else all are compared, which costs the one exchange of texts that a join would.
+    exchanged, so a group of copies crosses once a task however large it is. This is the one exchange of texts; to
+    leave out texts whose fingerprint is alone would take a join that exchanges as much.
     """
-    chunks = text_chunks(documents, prime, chunk).select(*KEY, "no", "chunk")
-    size = int(str(repeated._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size <= int(documents.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()):
-        chunks = chunks.join(F.broadcast(repeated.select(*KEY)), KEY, "left_semi")
-    forms = chunks.groupBy(*KEY, "no", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    forms = text_chunks(documents, prime, chunk).groupBy(*KEY, "no", "chunk").agg(F.count(F.lit(1)).alias("n"))
     return forms.groupBy(*KEY, "no").agg(F.count(F.lit(1)).alias("forms")).filter("forms > 1").select(*KEY).distinct()
 
 
@@ -153,12 +149,10 @@ def exact_classes(documents: DataFrame, prime: int = PRIME, chunk: int = CHUNK)
     rows = fingerprints(documents, prime).groupBy("doc_id", *KEY, "sha256").agg(F.count(F.lit(1)).alias("n")).withColumn("forms", F.lit(""))
     rows = materialize(rows, "fingerprints")
     groups = lambda t: t.groupBy(*KEY, "forms").agg(F.max("doc_id").alias("_keep"), F.sum("n").alias("_size")).filter("_size > 1")
-    repeated = materialize(groups(rows), "repeated")
-    collided = materialize(_collided(documents, repeated, prime, chunk), "collided", release=True)
+    collided = materialize(_collided(documents, prime, chunk), "collided", release=True)
     if not collided.isEmpty():
         rows = materialize(rows.join(collided, KEY, "left_anti").unionByName(_told_apart(documents, collided, prime, chunk)), "fingerprints")
-        repeated = groups(rows)
-    out = rows.join(repeated, [*KEY, "forms"], "left").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    out = rows.join(groups(rows), [*KEY, "forms"], "left").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
     keep = F.when(F.col("_size").isNull(), F.col("doc_id")).otherwise(F.col("_keep"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("_size", F.lit(1).cast("long")).alias("group_size"), ((F.col("_copy") == 1) & F.col("doc_id").eqNullSafe(keep)).alias("kept"), F.lower(F.hex("sha256")).alias("text_sha256"))
 
