@@ -152,7 +152,8 @@ def exact_classes(documents: DataFrame, prime: int = PRIME, chunk: int = CHUNK)
     collided = materialize(_collided(documents, prime, chunk), "collided", release=True)
     if not collided.isEmpty():
         rows = materialize(rows.join(collided, KEY, "left_anti").unionByName(_told_apart(documents, collided, prime, chunk)), "fingerprints")
-    out = rows.join(groups(rows), [*KEY, "forms"], "left").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    repeated = materialize(groups(rows), "repeated")  # so that both sides of the join are plain exchanges, which Spark splits for a hot class
+    out = rows.join(repeated, [*KEY, "forms"], "left").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
     keep = F.when(F.col("_size").isNull(), F.col("doc_id")).otherwise(F.col("_keep"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("_size", F.lit(1).cast("long")).alias("group_size"), ((F.col("_copy") == 1) & F.col("doc_id").eqNullSafe(keep)).alias("kept"), F.lower(F.hex("sha256")).alias("text_sha256"))
 
