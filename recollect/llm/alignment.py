@@ -2,24 +2,31 @@
 import hashlib
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.session import materialize
+from recollect.session import materialize, scratch
 
 #: Between a sign that is no white space and a space both tokenizers always cut: the byte-level pattern has no word with
 #: a space behind another sign, the pieces none with one behind a letter. What lies between such cuts is a unit, whose
-#: tokens are the same wherever it stands. Signs beyond these ranges merely make longer units. The classes are written
-#: out so that the JVM and Python agree on them.
-CUT = "(?<=[!-~\u00c0-\u167f\u3001-\ud7ff])(?= )"
+#: tokens are the same wherever it stands. Each begins with a space, which its name leaves out. Signs beyond these
+#: ranges, which all readings of Unicode take for no white space, merely make longer units.
+SOLID = "!-~\u00a1-\u167f\u2010-\u2027\u2030-\u205e\u2070-\u2fff\u3001-\ud7ff"
+CUT = re.compile(f"(?<=[{SOLID}])(?= )")
+UNCUT = re.compile(f"[^{SOLID}] ")
 #: The sign that the pieces have for a space: a text that holds it can't be given back, and has no tokens.
 META = "\u2581"
 #: Bytes of text in a block, whose documents and distinct units meet in one task.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
+#: Signs of a run of units that are encoded as one text.
+RUN = 4000
+ENDS_SOLID = re.compile(f"[{SOLID}]\\Z").search
 #: What is summed for a document over its units.
 SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
@@ -36,7 +43,9 @@ class Tokenizers:
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
         vocabulary = json.loads(a)["model"]["vocab"]
         signs = _byte_signs()
-        self.a_bytes = {i: bytes(signs[c] for c in entry) for entry, i in vocabulary.items() if all(c in signs for c in entry)}
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for entry, i in vocabulary.items():
+            self.a_bytes[i] = bytes(signs[c] for c in entry if c in signs)
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
         if any(META in self.b.id_to_piece(i).lstrip(META) for i in range(self.b.get_piece_size())):
             raise ValueError("a piece reaches over a space: units don't stand for themselves")
@@ -46,16 +55,41 @@ class Tokenizers:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(META, " ").encode()
 
-    def units(self, texts: list[str]) -> Iterator[tuple[list[int], list[int], list[int]]]:
-        """n_a, ids of A then of B, their lengths in bytes, for each unit. A unit begins with the space that B adds."""
-        first = (e.ids for e in self.a.encode_batch(texts, add_special_tokens=False))
-        second = self.b.encode([t[1:] for t in texts], num_threads=1)
-        for text, a, b in zip(texts, first, second, strict=True):
-            b = b if len(text) > 1 else [self.space]
-            parts = [*map(self.a_bytes.__getitem__, a)], [*map(self.b_bytes.__getitem__, b)]
-            if any(b"".join(p) != text.encode() for p in parts):
-                raise ValueError(f"the tokens of {text!r} don't give it back")
-            yield len(a), [*a, *b], [*map(len, parts[0]), *map(len, parts[1])]
+    def _ends(self, flat: np.ndarray, sizes: np.ndarray, table: list[bytes], data: bytes) -> np.ndarray:
+        """How many of the tokens in a row stand up to each unit's end."""
+        if b"".join(map(table.__getitem__, flat.tolist())) != data:
+            raise ValueError("tokens don't give back their text")
+        ends = np.cumsum(np.fromiter(map(len, map(table.__getitem__, flat.tolist())), np.int64, len(flat)))
+        at = np.searchsorted(ends, np.cumsum(sizes))
+        if len(sizes) and not np.array_equal(ends[at], np.cumsum(sizes)):
+            raise ValueError("a token reaches over a unit's end")
+        return at + 1
+
+    def units(self, names: list[str]) -> tuple[np.ndarray, ...]:
+        """For each unit how many tokens A and B make of it; and the ids of all in a row, each unit's of A then of B, with their lengths in bytes.
+
+        Units are encoded in runs, where each stands before the next as it does in a text.
+        """
+        runs, run, held = [], [], 0
+        for name in names:
+            run.append(name)
+            held += len(name) + 1
+            if held > RUN or not name or not ENDS_SOLID(name):
+                runs.append(" ".join(run))
+                run, held = [], 0
+        runs += [" ".join(run)] if run else []
+        sizes = np.array([len(name.encode()) + 1 for name in names], np.int64)
+        data = "".join(f" {r}" for r in runs).encode()
+        a = [i for e in self.a.encode_batch([f" {r}" for r in runs], add_special_tokens=False) for i in e.ids]
+        b = [i for r, ids in zip(runs, self.b.encode(runs, num_threads=1), strict=True) for i in (ids if r else [self.space])]
+        flat = [np.array(x, np.int64) for x in (a, b)]
+        counts = [np.diff(self._ends(x, sizes, table, data), prepend=0) for x, table in zip(flat, (self.a_bytes, self.b_bytes), strict=True)]
+        starts = np.cumsum(counts[0] + counts[1]) - counts[0] - counts[1]
+        ids, lens = np.zeros(len(a) + len(b), np.int32), np.zeros(len(a) + len(b), np.int32)
+        for x, n, first, table in zip(flat, counts, (starts, starts + counts[0]), (self.a_bytes, self.b_bytes), strict=True):
+            at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(len(x))
+            ids[at], lens[at] = x, np.fromiter(map(len, map(table.__getitem__, x.tolist())), np.int32, len(x))
+        return counts[0], counts[1], ids, lens
 
 
 def _byte_signs() -> dict[str, int]:
@@ -69,51 +103,104 @@ def has_tokens(text: Column) -> Column:
     return F.coalesce((text != "") & ~text.contains(META), F.lit(False))
 
 
+def cut_units(text: str) -> list[str]:
+    """The names of the units of a text, the space in front of it included."""
+    if text[0] != " " and not UNCUT.search(text):
+        return text.split(" ")
+    return [u[1:] for u in CUT.split(" " + text)]
+
+
 def block_units(documents: DataFrame) -> DataFrame:
     """block, unit, n from doc_id, text, block: the distinct units of each block, counted where its documents are."""
-    rows = documents.filter(has_tokens(F.col("text"))).repartition("block")
-    units = rows.select("block", F.explode(F.split(F.concat(F.lit(" "), "text"), CUT)).alias("unit"))
-    return units.groupBy("block", "unit").agg(F.count(F.lit(1)).alias("n"))
+
+    def run(docs: pa.Table) -> pa.Table:
+        counts: Counter = Counter()
+        for text in docs.column("text"):
+            counts.update(cut_units(text.as_py()))
+        return pa.table({"block": pa.repeat(docs.column("block")[0], len(counts)), "unit": pa.array(counts.keys(), pa.string()), "n": pa.array(counts.values(), pa.int64())})
+
+    return documents.filter(has_tokens(F.col("text"))).select("block", "text").groupBy("block").applyInArrow(run, "block int, unit string, n long")
 
 
 def unit_tokens(units: DataFrame, a: bytes, b: bytes) -> DataFrame:
-    """unit, n, n_a, ids, lens: both tokenizers' tokens of distinct units."""
-    names = ["unit", "n", "n_a", "ids", "lens"]
+    """unit, n, n_a, pos, id, length: both tokenizers' tokens of distinct units, A's before B's, a row each."""
+    made: list[Tokenizers] = []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = Tokenizers(a, b)
-        for batch in batches:
-            rows = list(both.units(batch.column(0).to_pylist()))
-            n_a, ids, lens = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_a, pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array(lens, pa.list_(pa.int32()))], names)
+    @F.arrow_udf("struct<n_a: int, tokens: array<struct<id: int, length: int>>>")
+    def tokens(unit: pa.Array) -> pa.Array:
+        if not made:  # once a worker
+            made.append(Tokenizers(a, b))
+        n_a, n_b, ids, lens = made[0].units(unit.to_pylist())
+        offsets = np.append(0, np.cumsum(n_a + n_b)).astype(np.int32)
+        pairs = pa.StructArray.from_arrays([pa.array(ids), pa.array(lens)], ["id", "length"])
+        return pa.StructArray.from_arrays([pa.array(n_a.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pairs)], ["n_a", "tokens"])
 
-    return units.select("unit", "n").mapInArrow(run, "unit string, n long, n_a int, ids array<int>, lens array<int>")
+    t = units.select("unit", "n", tokens("unit").alias("t")).select("unit", "n", "t.n_a", F.posexplode("t.tokens").alias("pos", "k"))
+    return t.select("unit", "n", "n_a", "pos", "k.id", "k.length")
 
 
-def aligned_units(tokens: DataFrame) -> DataFrame:
-    """unit, n, n_a, n_b, groups, links (array of a, b) from uid and unit_tokens' columns.
+def aligned_tokens(tokens: DataFrame) -> DataFrame:
+    """unit, n, end, side, id, group, b in order of unit, end and side, from unit_tokens.
 
-    Tokens become rows; running lengths give the byte where each ends; sorted by that byte, a token of A and one of B
-    that end together are neighbours, which is the equi-join on unit and end; the running count of such cuts is a
-    token's group. One exchange, of whole units, serves all of it. No token is empty, so a cut links one pair.
+    Running lengths give the byte where each token ends; sorted by that byte, a token of A and one of B that end
+    together are neighbours, which is the equi-join on unit and end: b is then B's id. The running count of such cuts
+    is a token's group. No token is empty, so a cut links one pair. What is hashed by unit needs no exchange for it.
     """
-    t = tokens.repartition("uid").select("uid", "n_a", "unit", "n", F.posexplode(F.arrays_zip("ids", "lens")).alias("pos", "t"))
-    once = lambda c: F.when(F.col("pos") == 0, F.col(c)).alias(c)
-    t = t.select("uid", once("unit"), once("n"), (F.col("pos") >= F.col("n_a")).cast("int").alias("side"), "pos", F.col("t.ids").alias("id"), F.col("t.lens").alias("length"))
-    t = t.withColumn("end", F.sum("length").over(Window.partitionBy("uid", "side").orderBy("pos"))).drop("length")
-    w = Window.partitionBy("uid").orderBy("end", "side")
-    cut = F.coalesce(F.lead("end").over(w) == F.col("end"), F.lit(False))
-    t = t.withColumn("cut", cut).withColumn("b", F.when(F.col("cut"), F.lead("id").over(w))).withColumn("own", F.coalesce(F.lag("end").over(w) == F.col("end"), F.lit(False)))
-    before = F.coalesce(F.sum(F.col("cut").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    t = t.withColumn("group", (before - F.col("own").cast("int")).cast("int"))
-    units = t.groupBy("uid").agg(
-        F.first("unit", True).alias("unit"), F.first("n", True).alias("n"),
-        F.sort_array(F.collect_list(F.struct("group", "side", "pos", "id"))).alias("tokens"), F.collect_list(F.when(F.col("cut"), F.struct(F.col("id").alias("a"), "b"))).alias("links"))
-    at = lambda i: F.get(F.col("tokens"), i - 1)
-    mark = lambda x, i: F.when(i == 0, "").when(x["group"] != at(i)["group"], ";").when(x["side"] != at(i)["side"], "|").otherwise(",")
-    text = F.array_join(F.transform("tokens", lambda x, i: F.concat(mark(x, i), x["id"].cast("string"))), "")
-    n_b = F.size(F.filter("tokens", lambda x: x["side"] == 1))
-    return units.select("unit", "n", (F.size("tokens") - n_b).alias("n_a"), n_b.alias("n_b"), text.alias("groups"), "links")
+    t = tokens.select("unit", "n", "pos", "id", "length", (F.col("pos") >= F.col("n_a")).cast("int").alias("side"))
+    t = t.withColumn("end", F.sum("length").over(Window.partitionBy("unit", "side").orderBy("pos"))).drop("length", "pos")
+    w = Window.partitionBy("unit").orderBy("end", "side")
+    met = F.when(F.lead("end").over(w) == F.col("end"), F.lead("id").over(w))
+    t = t.withColumn("b", met).withColumn("own", F.coalesce(F.lag("end").over(w) == F.col("end"), F.lit(False)).cast("int"))
+    before = F.coalesce(F.sum(F.col("b").isNotNull().cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return t.select("unit", "n", "end", "side", "id", (before - F.col("own")).cast("int").alias("group"), "b").sortWithinPartitions("unit", "end", "side")
+
+
+def aligned_units(tokens: DataFrame) -> DataFrame:
+    """unit, n, n_a, n_b, groups, a, b (arrays: the pairs linked) of each unit, from aligned_tokens. A unit's rows are a task's, one behind the other."""
+    schema = "unit string, n long, n_a int, n_b int, groups string, a array<int>, b array<int>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, said = None, {}
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([kept, rows]).combine_chunks() if kept is not None else rows
+            unit = rows.column("unit").combine_chunks()
+            new = np.flatnonzero(pc.not_equal(unit[1:], unit[:-1]).to_numpy(zero_copy_only=False)) + 1
+            if len(new):  # the last unit may go on in the next batch
+                yield from units(rows.slice(0, new[-1]), np.append(0, new[:-1]), said)
+                rows = rows.slice(new[-1])
+            kept = rows
+        if kept is not None and kept.num_rows:
+            yield from units(kept, np.array([0]), said)
+
+    def units(rows: pa.Table, starts: np.ndarray, said: dict) -> Iterator[pa.RecordBatch]:
+        col = lambda c: rows.column(c).to_numpy().astype(np.int64)
+        side, ids, group = col("side"), col("id"), col("group")
+        nth = np.zeros(len(side), np.int64)
+        nth[starts[1:]] = 1
+        nth = np.cumsum(nth)
+        order = np.argsort((nth << 32 | group) << 1 | side, kind="stable")
+        fresh, part, which = np.append(True, np.diff(nth[order]) != 0), np.append(True, np.diff(group[order]) != 0), np.append(True, np.diff(side[order]) != 0)
+        mark = np.where(fresh, 0, np.where(part, 1, np.where(which, 2, 3)))
+        pieces = [said.get(c) or said.setdefault(c, ("", ";", "|", ",")[c & 3] + str(c >> 2)) for c in (ids[order] << 2 | mark).tolist()]
+        ends = np.append(starts[1:], len(side))
+        text = ["".join(pieces[x:y]) for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
+        b = rows.column("b").combine_chunks()
+        cut = b.is_valid().to_numpy(zero_copy_only=False)
+        n_b, links = np.add.reduceat(side, starts), np.add.reduceat(cut.astype(np.int64), starts)
+        offsets = pa.array(np.append(0, np.cumsum(links)).astype(np.int32))
+        pairs = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (ids[cut], b.drop_null().to_numpy())]
+        at = pa.array(starts)
+        yield pa.RecordBatch.from_arrays(
+            [rows.column("unit").combine_chunks().take(at), rows.column("n").combine_chunks().take(at), pa.array((ends - starts - n_b).astype(np.int32)), pa.array(n_b.astype(np.int32)), pa.array(text, pa.string()), *pairs],
+            ["unit", "n", "n_a", "n_b", "groups", "a", "b"])
+
+    return tokens.select("unit", "n", "side", "id", "group", "b").mapInArrow(run, schema)
+
+
+def linked_pairs(units: DataFrame, *columns: str) -> DataFrame:
+    """A row for each pair that a unit links: columns of the unit, a, b."""
+    return units.select(*columns, F.explode(F.arrays_zip("a", "b")).alias("l")).select(*columns, "l.a", "l.b")
 
 
 def pair_counts(units: DataFrame) -> DataFrame:
@@ -121,25 +208,25 @@ def pair_counts(units: DataFrame) -> DataFrame:
 
     The highest counts are broadcast: they number as the ids of B's vocabulary at most.
     """
-    pairs = materialize(units.select("n", F.explode("links").alias("l")).groupBy("l.a", "l.b").agg(F.sum("n").alias("count")), "pairs")
+    pairs = materialize(linked_pairs(units, "n").groupBy("a", "b").agg(F.sum("n").alias("count")), "pairs")
     highest = pairs.groupBy("b").agg(F.max("count").alias("_most"))
     return pairs.join(F.broadcast(highest), "b").select("a", "b", "count", (F.col("count") == F.col("_most")).cast("int").alias("best"))
 
 
 def _of_documents(documents: DataFrame, dictionary: DataFrame, with_groups: bool) -> DataFrame:
-    cut = re.compile(CUT)
     names = ["doc_id", *SUMS, "groups_sha256", *["groups"] * with_groups]
     schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in SUMS), ("groups_sha256", pa.string()), *[("groups", pa.string())] * with_groups])
 
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
         nth = {u: i for i, u in enumerate(known.column("unit").to_pylist())}
         groups = known.column("groups").to_pylist()
-        numbers = np.stack([known.column(c).to_numpy() for c in SUMS], 1).astype(np.int64)
+        n_groups = np.fromiter((g.count(";") + 1 for g in groups), np.int64, len(groups))  # each ends in a link
+        numbers = np.stack([n_groups if c in ("n_groups", "n_links") else known.column(c).to_numpy() for c in SUMS], 1).astype(np.int64)
         sums, digests, texts = np.zeros((docs.num_rows, len(SUMS)), np.int64), [], []
         for k, text in enumerate(docs.column("text")):
             text, joined = text.as_py(), None
             if text and META not in text:
-                at = [nth[u] for u in cut.split(" " + text)]
+                at = [nth[u] for u in cut_units(text)]
                 sums[k] = numbers[at].sum(0)
                 joined = ";".join([groups[i] for i in at])
             digests.append(hashlib.sha256(joined.encode()).hexdigest() if joined else "")
@@ -168,10 +255,8 @@ def align(documents: DataFrame, a_path: str, b_path: str, block_bytes: int = BLO
     blocks = max(int(total / block_bytes), 2 * documents.sparkSession.sparkContext.defaultParallelism)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
     local = materialize(block_units(docs), "block-units", release=True)
-    tokens = unit_tokens(local.groupBy("unit").agg(F.sum("n").alias("n")), a, b).withColumn("uid", F.monotonically_increasing_id())
-    units = materialize(aligned_units(materialize(tokens, "unit-tokens", release=True)), "aligned-units", release=True)
-    linked = units.select("unit", F.explode("links").alias("l")).select("unit", "l.a", "l.b").join(pair_counts(units), ["a", "b"])
-    linked = linked.groupBy("unit").agg(F.count(F.lit(1)).alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    known = units.select("unit", "n_a", "n_b", F.size("links").alias("n_groups"), "groups").join(linked, "unit")
-    dictionary = materialize(local.select("block", "unit").join(known, "unit"), "dictionary", release=True)
-    return _of_documents(docs, dictionary, with_groups)
+    with scratch(documents.sparkSession) as keep:
+        units = materialize(aligned_units(aligned_tokens(unit_tokens(local.groupBy("unit").agg(F.sum("n").alias("n")), a, b))), "aligned-units", release=True)
+        linked = linked_pairs(units, "unit").join(pair_counts(units), ["a", "b"]).groupBy("unit").agg(F.sum("best").cast("int").alias("n_best"), F.sum("count").alias("count_sum"))
+        known = keep(materialize(units.select("unit", "n_a", "n_b", "groups").join(linked, "unit"), "known-units", release=True))
+    return _of_documents(docs, local.select("block", "unit").join(known, "unit"), with_groups)

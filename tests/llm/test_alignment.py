@@ -85,11 +85,11 @@ def test_nothing_to_align(spark):
 
 def test_units_stand_for_themselves_only_if_no_piece_reaches_over_a_space():
     both = alignment.Tokenizers(open(A, "rb").read(), open(B, "rb").read())
-    with pytest.raises(ValueError, match="give it back"):
-        list(both.units([" ▁"]))
+    with pytest.raises(ValueError, match="give back"):
+        both.units(["▁"])
 
 
 def test_pair_counts_say_the_best_of_each_b(spark):
-    units = spark.createDataFrame([(2, [(1, 5), (1, 6)]), (3, [(2, 5)]), (2, [(3, 5), (3, 6)]), (1, [(3, 5)])], "n long, links array<struct<a:int,b:int>>")
+    units = spark.createDataFrame([(2, [1, 1], [5, 6]), (3, [2], [5]), (2, [3, 3], [5, 6]), (1, [3], [5])], "n long, a array<int>, b array<int>")
     got = {(r.a, r.b): (r["count"], r.best) for r in alignment.pair_counts(units).collect()}
     assert got == {(1, 5): (2, 0), (2, 5): (3, 1), (3, 5): (3, 1), (1, 6): (2, 1), (3, 6): (2, 1)}
