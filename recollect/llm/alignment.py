@@ -123,20 +123,19 @@ def block_units(documents: DataFrame) -> DataFrame:
 
 
 def unit_tokens(units: DataFrame, a: bytes, b: bytes) -> DataFrame:
-    """unit, n, n_a, pos, id, length: both tokenizers' tokens of distinct units, A's before B's, a row each."""
-    made: list[Tokenizers] = []
-
-    @F.arrow_udf("struct<n_a: int, tokens: array<struct<id: int, length: int>>>")
-    def tokens(unit: pa.Array) -> pa.Array:
-        if not made:  # once a worker
-            made.append(Tokenizers(a, b))
-        n_a, n_b, ids, lens = made[0].units(unit.to_pylist())
-        offsets = np.append(0, np.cumsum(n_a + n_b)).astype(np.int32)
-        pairs = pa.StructArray.from_arrays([pa.array(ids), pa.array(lens)], ["id", "length"])
-        return pa.StructArray.from_arrays([pa.array(n_a.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pairs)], ["n_a", "tokens"])
-
-    t = units.select("unit", "n", tokens("unit").alias("t")).select("unit", "n", "t.n_a", F.posexplode("t.tokens").alias("pos", "k"))
-    return t.select("unit", "n", "n_a", "pos", "k.id", "k.length")
+    """unit, n, n_a, pos, id, length: both tokenizers' tokens of distinct units, A's before B's, a row each. Units are exchanged whole, by name."""
+    names = ["unit", "n", "n_a", "ids", "lens"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = Tokenizers(a, b)
+        for batch in batches:
+            n_a, n_b, ids, lens = both.units(batch.column(0).to_pylist())
+            offsets = pa.array(np.append(0, np.cumsum(n_a + n_b)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ids, lens.astype(np.int16))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_a.astype(np.int32)), *lists], names)
+
+    t = units.select("unit", "n").mapInArrow(run, "unit string, n long, n_a int, ids array<int>, lens array<smallint>").repartition("unit")
+    return t.select("unit", "n", "n_a", F.posexplode(F.arrays_zip("ids", "lens")).alias("pos", "t")).select("unit", "n", "n_a", "pos", F.col("t.ids").alias("id"), F.col("t.lens").alias("length"))
 
 
 def aligned_tokens(tokens: DataFrame) -> DataFrame:
