@@ -155,8 +155,8 @@ def aligned_tokens(tokens: DataFrame) -> DataFrame:
 
 
 def aligned_units(tokens: DataFrame) -> DataFrame:
-    """unit, n, n_a, n_b, groups, a, b (arrays: the pairs linked) of each unit, from aligned_tokens. A unit's rows are a task's, one behind the other."""
-    schema = "unit string, n long, n_a int, n_b int, groups string, a array<int>, b array<int>"
+    """unit, n, n_a, groups, a, b (arrays: the pairs linked) of each unit, from aligned_tokens. A unit's rows are a task's, one behind the other."""
+    schema = "unit string, n long, n_a int, groups string, a array<int>, b array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, said = None, {}
@@ -191,8 +191,8 @@ def aligned_units(tokens: DataFrame) -> DataFrame:
         pairs = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (ids[cut], b.drop_null().to_numpy())]
         at = pa.array(starts)
         yield pa.RecordBatch.from_arrays(
-            [rows.column("unit").combine_chunks().take(at), rows.column("n").combine_chunks().take(at), pa.array((ends - starts - n_b).astype(np.int32)), pa.array(n_b.astype(np.int32)), pa.array(text, pa.string()), *pairs],
-            ["unit", "n", "n_a", "n_b", "groups", "a", "b"])
+            [rows.column("unit").combine_chunks().take(at), rows.column("n").combine_chunks().take(at), pa.array((ends - starts - n_b).astype(np.int32)), pa.array(text, pa.string()), *pairs],
+            ["unit", "n", "n_a", "groups", "a", "b"])
 
     return tokens.select("unit", "n", "side", "id", "group", "b").mapInArrow(run, schema)
 
@@ -218,19 +218,22 @@ def _of_documents(documents: DataFrame, dictionary: DataFrame, with_groups: bool
 
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
         nth = {u: i for i, u in enumerate(known.column("unit").to_pylist())}
-        groups = known.column("groups").to_pylist()
-        n_groups = np.fromiter((g.count(";") + 1 for g in groups), np.int64, len(groups))  # each ends in a link
-        numbers = np.stack([n_groups if c in ("n_groups", "n_links") else known.column(c).to_numpy() for c in SUMS], 1).astype(np.int64)
+        groups = known.column("groups").combine_chunks().cast(pa.large_string())
+        # a group ends in a link, and a mark stands between each two tokens
+        n_groups = pc.add(pc.count_substring(groups, ";"), 1).to_numpy()
+        n_b = pc.count_substring_regex(groups, "[;|,]").to_numpy() + 1 - known.column("n_a").to_numpy()
+        columns = {"n_groups": n_groups, "n_links": n_groups, "n_b": n_b}
+        numbers = np.stack([columns[c] if c in columns else known.column(c).to_numpy() for c in SUMS], 1).astype(np.int64)
         sums, digests, texts = np.zeros((docs.num_rows, len(SUMS)), np.int64), [], []
         for k, text in enumerate(docs.column("text")):
-            text, joined = text.as_py(), None
+            text, joined = text.as_py(), ""
             if text and META not in text:
-                at = [nth[u] for u in cut_units(text)]
+                at = np.fromiter((nth[u] for u in cut_units(text)), np.int64)
                 sums[k] = numbers[at].sum(0)
-                joined = ";".join([groups[i] for i in at])
+                joined = ";".join(groups.take(pa.array(at)).to_pylist())
             digests.append(hashlib.sha256(joined.encode()).hexdigest() if joined else "")
             if with_groups:
-                texts.append(joined or "")
+                texts.append(joined)
         more = [pa.array(texts, pa.string())] * with_groups
         return pa.Table.from_arrays([docs.column("doc_id").combine_chunks(), *(pa.array(sums[:, i]) for i in range(len(SUMS))), pa.array(digests, pa.string()), *more], names).cast(schema)
 
@@ -253,9 +256,10 @@ def align(documents: DataFrame, a_path: str, b_path: str, block_bytes: int = BLO
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(int(total / block_bytes), 2 * documents.sparkSession.sparkContext.defaultParallelism)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
-    local = materialize(block_units(docs), "block-units", release=True)
     with scratch(documents.sparkSession) as keep:
+        local = materialize(block_units(docs), "block-units", release=True)
         units = materialize(aligned_units(aligned_tokens(unit_tokens(local.groupBy("unit").agg(F.sum("n").alias("n")), a, b))), "aligned-units", release=True)
         linked = linked_pairs(units, "unit").join(pair_counts(units), ["a", "b"]).groupBy("unit").agg(F.sum("best").cast("int").alias("n_best"), F.sum("count").alias("count_sum"))
-        known = keep(materialize(units.select("unit", "n_a", "n_b", "groups").join(linked, "unit"), "known-units", release=True))
-    return _of_documents(docs, local.select("block", "unit").join(known, "unit"), with_groups)
+        known = materialize(units.select("unit", "n_a", "groups").join(linked, "unit"), "known-units", release=True)
+        dictionary = keep(materialize(local.select("block", "unit").join(known, "unit"), "dictionary", release=True))
+    return _of_documents(docs, dictionary, with_groups)
