@@ -1,13 +1,10 @@
 """Clusters, anomalies and rankings within groups."""
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recollect.functions.vectors import literal
 from recollect.operators.components import connected_components
 from recollect.operators.graph import similar_pairs
 from recollect.session import materialize
@@ -36,7 +33,7 @@ def kmeans_first_rows(vectors: DataFrame, k: int, rounds: int = 10) -> DataFrame
 
 
 def _assign(v: DataFrame, centers: list[list[float]]) -> DataFrame:
-    cs = F.array(*(F.array(*map(F.lit, c)) for c in centers))
+    cs = F.array(*(literal(c) for c in centers))
     d = F.transform(cs, lambda c: F.aggregate(F.zip_with("e", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
     return v.withColumn("d", d).select("key", "e", (F.array_position("d", F.array_min("d")) - 1).cast("int").alias("cluster"))
 
@@ -52,43 +49,6 @@ def dbscan_cosine(vectors: DataFrame, eps: float = 0.3, neighbours: int = 2) ->
     return of_core.unionByName(border).withColumnRenamed("u", "key")
 
 
-def isolation_scores(rows: DataFrame, columns: list[str], trees: int = 100, sample: int = 256, seed: int = 1) -> DataFrame:
-    """rows with isolation: 2 ** (-mean depth / c) over random trees of a bounded sample (its size is a parameter); every row is scored."""
-    data = rows.select(*columns).dropna().orderBy(F.xxhash64(*columns, F.lit(seed))).limit(sample).toPandas().to_numpy(float)
-    rng = np.random.default_rng(seed)
-    limit = math.ceil(math.log2(max(2, len(data))))
-    harmonic = lambda n: 0.0 if n < 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
-
-    def grow(x, depth):
-        if depth >= limit or len(x) < 2 or (x.max(axis=0) == x.min(axis=0)).all():
-            return len(x)
-        f = int(rng.choice(np.flatnonzero(x.max(axis=0) > x.min(axis=0))))
-        cut = rng.uniform(x[:, f].min(), x[:, f].max())
-        return f, cut, grow(x[x[:, f] < cut], depth + 1), grow(x[x[:, f] >= cut], depth + 1)
-
-    size = max(2, int(math.sqrt(len(data))) if len(data) < 256 else 64)
-    forest = [grow(data[rng.choice(len(data), min(size, len(data)), replace=False)], 0) for _ in range(trees)] if len(data) >= 10 else []
-
-    def depths(node, x, at, depth, out):
-        if isinstance(node, int):
-            out[at] += depth + harmonic(node)
-            return
-        f, cut, low, high = node
-        left = x[at, f] < cut
-        depths(low, x, at[left], depth + 1, out)
-        depths(high, x, at[~left], depth + 1, out)
-
-    @F.pandas_udf("double")
-    def score(*cols: pd.Series) -> pd.Series:
-        x = np.stack([c.to_numpy(float) for c in cols], axis=1)
-        total = np.zeros(len(x))
-        for tree in forest:
-            depths(tree, x, np.arange(len(x)), 0, total)
-        return pd.Series(2 ** (-(total / max(1, len(forest))) / max(harmonic(size), 1e-9)) if forest else np.zeros(len(x)))
-
-    return rows.withColumn("isolation", score(*(F.col(c).cast("double") for c in columns)))
-
-
 def textrank(sentences: DataFrame, damping: float = 0.85, rounds: int = 30) -> DataFrame:
     """key, pos, rank_score of sentences(key, pos, words): PageRank over the word Jaccard of one text's sentences, from a base of 1 - damping. A group is one text."""
 
@@ -121,46 +81,41 @@ def textrank(sentences: DataFrame, damping: float = 0.85, rounds: int = 30) -> D
     return sentences.groupBy("key").applyInPandas(run, "key string, pos int, rank_score double")
 
 
-def kmeans_spread_start(vectors: DataFrame, k: int, rounds: int = 100, seed: int = 1) -> DataFrame:
-    """key, cluster of vectors(key, embedding) by Lloyd's rounds from centroids drawn far apart (the scalable form of that start)."""
-    v = vectors.select("key", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    model = KMeans(k=k, maxIter=rounds, initMode="k-means||", seed=seed, predictionCol="cluster").fit(v)
-    return model.transform(v).select("key", "cluster")
-
+def _race(i: int, weight: Column, seed: int) -> Column:
+    """When a row arrives that waits for a time of exponential law with this rate: the first of all rows is a draw by weight. Null where the weight is 0."""
+    digits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{i}:"), F.col("key").cast("string"))), 1, 12), 16, 10).cast("double")
+    return F.when(weight > 0, -F.log((digits + 0.5) / 2.0**48) / weight)
 
-def agglomerate(points: np.ndarray, enough: int) -> list[list[int]]:
-    """Clusters of rows: the two whose mean distance between members is least join, the first of equals, until `enough` are left."""
-    clusters = [[i] for i in range(len(points))]
-    d = np.linalg.norm(points[:, None] - points[None], axis=2)
-    np.fill_diagonal(d, np.inf)
-    size = np.ones(len(points))
-    while len(clusters) > max(1, enough):
-        i, j = sorted(np.unravel_index(np.argmin(d), d.shape))
-        merged = (d[i] * size[i] + d[j] * size[j]) / (size[i] + size[j])
-        d[i], d[:, i] = merged, merged
-        d[i, i] = np.inf
-        size[i] += size[j]
-        clusters[i] += clusters[j]
-        del clusters[j]
-        d, size = np.delete(np.delete(d, j, 0), j, 1), np.delete(size, j)
-    return clusters
 
+def spread_seeds(v: DataFrame, k: int, seed: int = 1) -> list[tuple[object, list[float]]]:
+    """key, vector of k rows of v(key, e): the first drawn evenly, each next by its squared distance to the nearest drawn so far. Fewer if no other point is left.
 
-def hierarchical_clusters(rows: DataFrame, key: str, columns: list[str], groups: str, most: int = 2000, share: int = 5) -> DataFrame:
-    """groups, key, cluster (its least key): within each group, clusters are joined by mean distance until a share-th as many as rows are left.
-
-    A group is one task's work and quadratic in its rows, so one of more than `most` rows raises an error and is not cut.
+    A draw is one pass that keeps one row a task; what is random follows from the key, so a rerun draws the same rows.
     """
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        if len(g) > most:
-            raise ValueError(f"group {g[groups].iloc[0]} has {len(g)} rows, over {most}")
-        g = g.sort_values(key, ignore_index=True)
-        out = g[[groups, key]].copy()
-        out["cluster"] = g[key]
-        for c in agglomerate(g[columns].to_numpy(float), max(1, len(g) // share)):
-            out.loc[c, "cluster"] = g[key][min(c)]
-        return out
-
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.select(groups, key, *columns).groupBy(groups).applyInPandas(run, f"{groups} {types[groups]}, {key} {types[key]}, cluster {types[key]}")
+    found: list[tuple[object, list[float]]] = []
+    while len(found) < k:
+        weight = F.lit(1.0)
+        if found:
+            centers = F.array(*(literal(c) for _, c in found))
+            weight = F.array_min(F.transform(centers, lambda c: F.aggregate(F.zip_with("e", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)))
+        first = v.select("key", "e", _race(len(found), weight, seed).alias("t")).agg(F.min_by(F.struct("key", "e"), "t").alias("row")).first()
+        if first is None or first.row is None:
+            break
+        found.append((first.row.key, list(first.row.e)))
+    return found
+
+
+def kmeans_spread_start(vectors: DataFrame, k: int, rounds: int = 100, seed: int = 1, moved: float = 1e-6) -> DataFrame:
+    """key, cluster of vectors(key, embedding) by Lloyd's rounds from spread_seeds, until no centroid moves by more than `moved`. Ties go to the lower one; a cluster that loses all rows keeps its centroid."""
+    v = materialize(vectors.select("key", F.col("embedding").cast("array<double>").alias("e")), "kmeans-rows")
+    centers = [c for _, c in spread_seeds(v, k, seed)]
+    for _ in range(rounds if centers else 0):
+        sums = _assign(v, centers).select("cluster", F.posexplode("e").alias("i", "x")).groupBy("cluster", "i").agg(F.avg("x").alias("m")).collect()  # k rows a dimension
+        new = [list(c) for c in centers]
+        for r in sums:
+            new[r.cluster][r.i] = r.m
+        far = max(np.linalg.norm(np.subtract(a, b)) for a, b in zip(new, centers, strict=True))
+        centers = new
+        if far <= moved:
+            break
+    return _assign(v, centers).select("key", "cluster") if centers else v.select("key", F.lit(0).alias("cluster")).limit(0)

@@ -8,6 +8,7 @@ from recollect.functions import facts as N
 from recollect.functions import similarity as Y
 from recollect.functions import text as T
 from recollect.operators import learning as L
+from recollect.operators.outliers import isolation_forest
 from recollect.plans.registry import query
 from recollect.sources.tables import MEMORIES, memories, spread, table, vectors
 from recollect.streaming import events as E
@@ -38,7 +39,7 @@ def density_clusters(spark, sf_dir):
 
 @query()
 def isolation_anomalies(spark, sf_dir):
-    p = L.isolation_scores(table(spark, sf_dir, "part"), ["p_size", "p_retailprice"])
+    p = isolation_forest(table(spark, sf_dir, "part"), "p_partkey", ["p_size", "p_retailprice"])
     return p.select("p_partkey", F.round("isolation", 9).alias("isolation"), (F.col("isolation") > 0.6).alias("anomaly"))
 
 

@@ -143,21 +143,6 @@ def private_text(spark, sf_dir):
     return spread(memories(spark, sf_dir)).select("key", P.private_text(F.col("value"), 2.0).alias("value"))
 
 
-# learning
-
-
-@query()
-def kmeans_spread_start(spark, sf_dir):
-    return L.kmeans_spread_start(vectors(spark, sf_dir), 10)
-
-
-@query()
-def behaviour_clusters(spark, sf_dir):
-    """Users by how many events of each kind, in groups of a hundred, joined until a tenth is left."""
-    e = table(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", ["signup", "error", "click", "view", "purchase"]).count().fillna(0)
-    return L.hierarchical_clusters(e.withColumn("group", F.floor(F.col("user_id") / 100)), "user_id", ["signup", "error", "click", "view", "purchase"], "group", share=10)
-
-
 # stores
 
 

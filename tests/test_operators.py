@@ -154,9 +154,6 @@ def test_clusters_and_anomalies(spark):
     assert got == {**{f"a{i}": "a0" for i in range(5)}, **{f"b{i}": "b0" for i in range(5)}}
     k = {r.key: r.cluster for r in L.kmeans_first_rows(df.filter("key <> 'lone'").withColumn("key", F.expr("reverse(key)")), 2).collect()}
     assert len({v for key, v in k.items() if key.endswith("a")}) == 1 and len(set(k.values())) == 2
-    rows = spark.createDataFrame([(float(i % 10), float(i % 7)) for i in range(200)] + [(500.0, 900.0)], "x double, y double")
-    s = L.isolation_scores(rows, ["x", "y"]).orderBy(F.desc("isolation")).first()
-    assert (s.x, s.y) == (500.0, 900.0)
 
 
 def test_whole_cascade_drops_near_copies(spark):

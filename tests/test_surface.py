@@ -76,22 +76,6 @@ def test_private_statistics_come_near_the_truth(spark):
             f()
 
 
-def test_clusters_by_mean_distance(spark):
-    rng = np.random.default_rng(2)
-    x = np.concatenate([rng.normal(c, 0.1, (5, 2)) for c in (0, 5, 10)])
-    assert sorted(map(sorted, L.agglomerate(x, 3))) == [list(range(k, k + 5)) for k in (0, 5, 10)]
-    rows = spark.createDataFrame([(i, "g", float(a), float(b)) for i, (a, b) in enumerate(x)], "id int, grp string, a double, b double")
-    got = {r.id: r.cluster for r in L.hierarchical_clusters(rows, "id", ["a", "b"], "grp").collect()}
-    assert got == {i: i // 5 * 5 for i in range(15)}
-    with pytest.raises(PySparkException):
-        L.hierarchical_clusters(rows, "id", ["a", "b"], "grp", most=3).collect()
-    v = rows.select(F.col("id").cast("string").alias("key"), F.array("a", "b").alias("embedding"))
-    found = {}
-    for r in L.kmeans_spread_start(v, 3).collect():
-        found.setdefault(r.cluster, set()).add(int(r.key) // 5)
-    assert sorted(map(len, found.values())) == [1, 1, 1]
-
-
 def test_features(spark):
     rng = np.random.default_rng(3)
     rows = spark.createDataFrame([(float(rng.normal() + 3 * (i % 2)), float(rng.normal()), 1.0, i % 2) for i in range(100)], "a double, b double, c double, y int")
