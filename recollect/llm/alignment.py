@@ -1,8 +1,8 @@
 """Where the tokens of two tokenizers end together: relational over distinct units of text, and looked up by documents in blocks."""
 import hashlib
 import json
+import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +27,8 @@ BLOCK_BYTES = 32 << 20
 #: Signs of a run of units that are encoded as one text.
 RUN = 4000
 ENDS_SOLID = re.compile(f"[{SOLID}]\\Z").search
+#: Bytes of text that are cut at a time, and units whose groups are joined at a time.
+PART_BYTES, UNITS = 4 << 20, 1 << 18
 #: What is summed for a document over its units.
 SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
@@ -35,6 +37,7 @@ class Tokenizers:
     """A byte-level BPE (A) and a piece BPE that adds a space in front (B), for units; made once a task from the files' bytes."""
 
     def __init__(self, a: bytes, b: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
         import tokenizers
 
@@ -105,19 +108,42 @@ def has_tokens(text: Column) -> Column:
 
 def cut_units(text: str) -> list[str]:
     """The names of the units of a text, the space in front of it included."""
-    if text[0] != " " and not UNCUT.search(text):
-        return text.split(" ")
     return [u[1:] for u in CUT.split(" " + text)]
 
 
+def units_of(texts: pa.Array, most: int = PART_BYTES) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
+    """Which texts, their units in a row, and how many each has; about `most` bytes of text at a time, one text at least.
+
+    Where every space follows a solid sign the words are the units, and are cut at once; other texts are one by one.
+    """
+    plain = pc.invert(pc.or_(pc.starts_with(texts, " "), pc.match_substring_regex(texts, UNCUT.pattern))).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(texts).to_numpy()
+    for kind in (True, False):
+        which = np.flatnonzero(plain == kind)
+        at = 0
+        while at < len(which):
+            to = at + max(1, int(np.searchsorted(np.cumsum(sizes[which[at:]]), most, "right")))
+            some = texts.take(pa.array(which[at:to]))
+            lists = pc.split_pattern(some, " ") if kind else pa.array(map(cut_units, some.to_pylist()), pa.list_(pa.string()))
+            yield which[at:to], lists.flatten(), pc.list_value_length(lists).to_numpy()
+            at = to
+
+
+def _tokenised(texts: pa.ChunkedArray) -> pa.Array:
+    """Positions of the texts that have tokens."""
+    return pa.array(np.flatnonzero(pc.fill_null(pc.and_(pc.greater(pc.binary_length(texts), 0), pc.invert(pc.match_substring(texts, META))), False).to_numpy()))
+
+
 def block_units(documents: DataFrame) -> DataFrame:
     """block, unit, n from doc_id, text, block: the distinct units of each block, counted where its documents are."""
 
     def run(docs: pa.Table) -> pa.Table:
-        counts: Counter = Counter()
-        for text in docs.column("text"):
-            counts.update(cut_units(text.as_py()))
-        return pa.table({"block": pa.repeat(docs.column("block")[0], len(counts)), "unit": pa.array(counts.keys(), pa.string()), "n": pa.array(counts.values(), pa.int64())})
+        counted = []
+        for _, units, _ in units_of(docs.column("text").combine_chunks()):
+            counts = pc.value_counts(units)
+            counted.append(pa.table({"unit": counts.field(0), "n": counts.field(1)}))
+        all_ = pa.concat_tables(counted).group_by("unit").aggregate([("n", "sum")])
+        return pa.table({"block": pa.repeat(docs.column("block")[0], all_.num_rows), "unit": all_.column("unit"), "n": all_.column("n_sum")})
 
     return documents.filter(has_tokens(F.col("text"))).select("block", "text").groupBy("block").applyInArrow(run, "block int, unit string, n long")
 
@@ -217,23 +243,27 @@ def _of_documents(documents: DataFrame, dictionary: DataFrame, with_groups: bool
     schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in SUMS), ("groups_sha256", pa.string()), *[("groups", pa.string())] * with_groups])
 
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
-        nth = {u: i for i, u in enumerate(known.column("unit").to_pylist())}
-        groups = known.column("groups").combine_chunks().cast(pa.large_string())
+        have, groups = known.column("unit").combine_chunks(), known.column("groups").combine_chunks()
         # a group ends in a link, and a mark stands between each two tokens
         n_groups = pc.add(pc.count_substring(groups, ";"), 1).to_numpy()
         n_b = pc.count_substring_regex(groups, "[;|,]").to_numpy() + 1 - known.column("n_a").to_numpy()
         columns = {"n_groups": n_groups, "n_links": n_groups, "n_b": n_b}
         numbers = np.stack([columns[c] if c in columns else known.column(c).to_numpy() for c in SUMS], 1).astype(np.int64)
-        sums, digests, texts = np.zeros((docs.num_rows, len(SUMS)), np.int64), [], []
-        for k, text in enumerate(docs.column("text")):
-            text, joined = text.as_py(), ""
-            if text and META not in text:
-                at = np.fromiter((nth[u] for u in cut_units(text)), np.int64)
-                sums[k] = numbers[at].sum(0)
-                joined = ";".join(groups.take(pa.array(at)).to_pylist())
-            digests.append(hashlib.sha256(joined.encode()).hexdigest() if joined else "")
-            if with_groups:
-                texts.append(joined)
+        sums, digests, texts = np.zeros((docs.num_rows, len(SUMS)), np.int64), [""] * docs.num_rows, [""] * docs.num_rows
+        column = docs.column("text")
+        own = _tokenised(column)
+        for which, units, counts in units_of(column.take(own).combine_chunks()) if len(own) else ():
+            at = pc.index_in(units, value_set=have)
+            ends = np.cumsum(counts)
+            for d, low, high in zip(own.to_numpy()[which].tolist(), (ends - counts).tolist(), ends.tolist(), strict=True):
+                digest, said = hashlib.sha256(), []
+                for k in range(low, high, UNITS):
+                    part = at[k : min(high, k + UNITS)]
+                    sums[d] += numbers[part.to_numpy()].sum(0)
+                    joined = ";".join(groups.take(part).to_pylist())
+                    digest.update((";" * (k > low) + joined).encode())
+                    said += [joined] * with_groups
+                digests[d], texts[d] = digest.hexdigest(), ";".join(said)
         more = [pa.array(texts, pa.string())] * with_groups
         return pa.Table.from_arrays([docs.column("doc_id").combine_chunks(), *(pa.array(sums[:, i]) for i in range(len(SUMS))), pa.array(digests, pa.string()), *more], names).cast(schema)
 
