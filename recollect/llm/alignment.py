@@ -4,6 +4,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,9 @@ UNCUT = re.compile(f"[^{SOLID}] ")
 #: The sign that the pieces have for a space: a text that holds it can't be given back, and has no tokens.
 META = "\u2581"
 #: Bytes of text in a block, whose documents and distinct units meet in one task.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
+#: Blocks are read in so many turns, so that a part of the texts only is on its way between tasks at a time.
+TURNS = 3
 #: Signs of a run of units that are encoded as one text.
 RUN = 4000
 ENDS_SOLID = re.compile(f"[{SOLID}]\\Z").search
@@ -253,17 +256,21 @@ def _of_documents(documents: DataFrame, dictionary: DataFrame, with_groups: bool
         column = docs.column("text")
         own = _tokenised(column)
         for which, units, counts in units_of(column.take(own).combine_chunks()) if len(own) else ():
-            at = pc.index_in(units, value_set=have)
-            ends = np.cumsum(counts)
-            for d, low, high in zip(own.to_numpy()[which].tolist(), (ends - counts).tolist(), ends.tolist(), strict=True):
-                digest, said = hashlib.sha256(), []
-                for k in range(low, high, UNITS):
-                    part = at[k : min(high, k + UNITS)]
-                    sums[d] += numbers[part.to_numpy()].sum(0)
-                    joined = ";".join(groups.take(part).to_pylist())
-                    digest.update((";" * (k > low) + joined).encode())
-                    said += [joined] * with_groups
-                digests[d], texts[d] = digest.hexdigest(), ";".join(said)
+            at, ends = pc.index_in(units, value_set=have), np.cumsum(counts)
+            rows = own.to_numpy()[which]
+            sums[rows] = np.add.reduceat(numbers[at.to_numpy()], ends - counts, axis=0)
+            if len(at) <= UNITS or len(rows) > 1:
+                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), groups.take(at)), ";")
+                said = [hashlib.sha256(memoryview(x.as_buffer())).hexdigest() for x in joined]
+            else:  # one text of many units: piece by piece
+                digest, joined = hashlib.sha256(), [""]
+                for k in range(0, len(at), UNITS):
+                    piece = ";" * (k > 0) + ";".join(groups.take(at[k : k + UNITS]).to_pylist())
+                    digest.update(piece.encode())
+                    joined[0] += piece * with_groups
+                said = [digest.hexdigest()]
+            for d, x, y in zip(rows.tolist(), said, joined, strict=True):
+                digests[d], texts[d] = x, str(y) * with_groups
         more = [pa.array(texts, pa.string())] * with_groups
         return pa.Table.from_arrays([docs.column("doc_id").combine_chunks(), *(pa.array(sums[:, i]) for i in range(len(SUMS))), pa.array(digests, pa.string()), *more], names).cast(schema)
 
@@ -278,18 +285,19 @@ def align(documents: DataFrame, a_path: str, b_path: str, block_bytes: int = BLO
     tokens' strings are plain text. Null and empty texts, and those with U+2581, which B reads as a space, have no
     tokens: zeros and ''. Repeated rows count, and are returned, each time. An empty table gives no rows; columns
     beside doc_id and text are not read. Texts of any length are whole; what a task holds is a block of about
-    block_bytes, or one longer text. Texts are exchanged twice, by block: for their distinct units, and to meet what
-    is known of these.
+    block_bytes, or one longer text. Texts are exchanged twice, by block: for their distinct units, and, a third of the
+    blocks at a time, to meet what is known of these.
     """
     with open(a_path, "rb") as f, open(b_path, "rb") as g:
         a, b = f.read(), g.read()
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(int(total / block_bytes), 2 * documents.sparkSession.sparkContext.defaultParallelism)
+    blocks = max(int(total / block_bytes), TURNS * documents.sparkSession.sparkContext.defaultParallelism)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
     with scratch(documents.sparkSession) as keep:
         local = materialize(block_units(docs), "block-units", release=True)
         units = materialize(aligned_units(aligned_tokens(unit_tokens(local.groupBy("unit").agg(F.sum("n").alias("n")), a, b))), "aligned-units", release=True)
         linked = linked_pairs(units, "unit").join(pair_counts(units), ["a", "b"]).groupBy("unit").agg(F.sum("best").cast("int").alias("n_best"), F.sum("count").alias("count_sum"))
         known = materialize(units.select("unit", "n_a", "groups").join(linked, "unit"), "known-units", release=True)
-        dictionary = keep(materialize(local.select("block", "unit").join(known, "unit"), "dictionary", release=True))
-    return _of_documents(docs, dictionary, with_groups)
+        turn = F.pmod("block", F.lit(TURNS))
+        parts = [keep(materialize(_of_documents(docs.filter(turn == k), local.filter(turn == k).select("block", "unit").join(known, "unit"), with_groups), "aligned", release=True)) for k in range(TURNS)]
+    return reduce(DataFrame.unionByName, parts)
