@@ -47,17 +47,23 @@ def top(df: DataFrame, k: int, *order: Column, by=("query_id",), name: str = "ra
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(name) <= k)
 
 
+def quoted(text: str) -> str:
+    """A string as a literal of SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def match_any_term(memories: DataFrame, queries: list[tuple[str, str]], k: int) -> DataFrame:
     """query_id, key, distinct_terms, total_freq, score, rank: texts that contain any term, by distinct terms, then frequency, then key."""
     split = {i: q.lower().split() for i, q in queries}
     terms = sorted({t for ts in split.values() for t in ts})
-    # each distinct term is counted once in a text, by generated code; queries only add up counts
-    m = memories.withColumn("_v", F.lower("value"))
-    m = m.select("*", *(F.when(F.contains("_v", F.lit(t)), T.occurrences(F.col("_v"), F.lit(t))).otherwise(F.lit(0).cast("long")).alias(f"_f{k}") for k, t in enumerate(terms)))
-    own = {i: [F.col(f"_f{terms.index(t)}") for t in ts] for i, ts in split.items() if ts}
-    count = lambda cols: sum(((c > 0).cast("int") for c in cols), F.lit(0))
-    rows = F.array(*(F.struct(F.lit(i).alias("query_id"), count(cols).alias("distinct_terms"), sum(cols[1:], cols[0]).alias("total_freq")) for i, cols in own.items()))
-    m = m.withColumn("_q", F.explode(F.filter(rows, lambda r: r["distinct_terms"] > 0))).select(*memories.columns, "_v", "_q.*")
+    # each distinct term is counted once in a text, by generated code; queries only add up counts. Said in SQL, which is built at once
+    count = lambda t: f"if(contains(_v, {t}), cast(try_divide(octet_length(_v) - octet_length(replace(_v, {t}, '')), octet_length({t})) as bigint), 0L)"
+    m = memories.withColumn("_v", F.lower("value")).selectExpr("*", *(f"{count(quoted(t))} AS _f{n}" for n, t in enumerate(terms)))
+    own = {i: [f"_f{terms.index(t)}" for t in ts] for i, ts in split.items() if ts}
+    total = lambda cols, each: " + ".join(each.format(c) for c in cols)
+    rows = ", ".join(f"named_struct('query_id', {quoted(i)}, 'distinct_terms', {total(cols, 'cast({} > 0 as int)')}, 'total_freq', {total(cols, '{}')})" for i, cols in own.items())
+    rows = f"array({rows})" if own else "cast(array() as array<struct<query_id: string, distinct_terms: int, total_freq: bigint>>)"
+    m = m.selectExpr(*(f"`{c}`" for c in memories.columns), "_v", f"explode(filter({rows}, r -> r.distinct_terms > 0)) AS _q").select(*memories.columns, "_v", "_q.*")
     m = m.withColumn("score", F.col("total_freq") / F.octet_length("_v")).drop("_v")
     return top(m, k, F.desc("distinct_terms"), F.desc("total_freq"), F.asc("key"))
 
@@ -70,15 +76,24 @@ def match_phrase(memories: DataFrame, queries: list[tuple[str, str]], k: int) ->
     return top(m.drop("_v", "query"), k, F.desc("score"), F.asc("key"))
 
 
-def bm25(candidates: DataFrame, queries: list[tuple[str, str]]) -> DataFrame:
-    """candidates (query_id, key, value) with bm25 in 0..1: N, df and the mean length are those of each query's candidates."""
-    c = candidates.join(F.broadcast(candidates.sparkSession.createDataFrame(queries, "query_id string, query string")), "query_id")
-    # counts replace texts before any exchange; the words are bound once
+def of_query(texts: dict[str, str], query: str = "query_id") -> Column:
+    """What a small literal table has for the row's question: no join."""
+    return F.expr(f"try_element_at(map({', '.join(f'{quoted(i)}, {x}' for i, x in texts.items())}), {query})") if texts else F.lit(None)
+
+
+def term_counts(candidates: DataFrame, queries: list[tuple[str, str]]) -> DataFrame:
+    """candidates with _n, the number of words of their values, and _terms, how often each of the question's occurs. Words are bound once."""
+    terms = of_query({i: f"array({', '.join(map(quoted, dict.fromkeys(q.lower().split())))})" for i, q in queries if q.split()})
     words = F.array(F.filter(F.split(F.lower("value"), r"\s+"), lambda t: t != ""))
-    counts = lambda w: F.struct(F.size(w).alias("n"), F.transform(F.array_distinct(_terms(F.col("query"))), lambda t: F.struct(t.alias("t"), F.size(F.filter(w, lambda x: x == t)).alias("tf"))).alias("terms"))
-    c = c.select("query_id", "key", F.transform(words, counts)[0].alias("_c")).select("query_id", "key", F.col("_c.n").alias("_n"), F.col("_c.terms").alias("_terms"))
+    counts = lambda w: F.struct(F.size(w).alias("n"), F.transform("_asked", lambda t: F.struct(t.alias("t"), F.size(F.filter(w, lambda x: x == t)).alias("tf"))).alias("terms"))
+    c = candidates.withColumn("_asked", terms).withColumn("_c", F.transform(words, counts)[0])
+    return c.select(*candidates.columns, F.col("_c.n").alias("_n"), F.col("_c.terms").alias("_terms"))
+
+
+def bm25_of_counts(counted: DataFrame) -> DataFrame:
+    """query_id, key, bm25 of rows with term_counts' columns."""
     own = Window.partitionBy("query_id")
-    c = c.withColumn("_all", F.count(F.lit(1)).over(own)).withColumn("_avg", F.avg("_n").over(own))
+    c = counted.select("query_id", "key", "_n", "_terms", F.count(F.lit(1)).over(own).alias("_all"), F.avg("_n").over(own).alias("_avg"))
     c = c.select("query_id", "key", "_n", "_all", "_avg", F.explode_outer("_terms").alias("_e")).select("*", F.col("_e.t").alias("_t"), F.coalesce("_e.tf", F.lit(0)).alias("_tf"))
     c = c.withColumn("_df", F.count_if(F.col("_tf") > 0).over(Window.partitionBy("query_id", "_t")))
     idf = F.log((F.col("_all") - F.col("_df") + 0.5) / (F.col("_df") + 0.5) + 1)
@@ -87,6 +102,11 @@ def bm25(candidates: DataFrame, queries: list[tuple[str, str]]) -> DataFrame:
     return s.select("query_id", "key", (F.col("_s") / (F.col("_s") + 1)).alias("bm25"))
 
 
+def bm25(candidates: DataFrame, queries: list[tuple[str, str]]) -> DataFrame:
+    """candidates (query_id, key, value) with bm25 in 0..1: N, df and the mean length are those of each query's candidates. Counts replace texts before any exchange."""
+    return bm25_of_counts(term_counts(candidates.select("query_id", "key", "value"), queries).drop("value"))
+
+
 def bm25_store(memories: DataFrame, queries: list[tuple[str, str]], k: int) -> DataFrame:
     """query_id, key, score, rank: BM25 of every memory that holds a word of the question, the k best; N, df and the mean length are the whole store's.
 
@@ -141,22 +161,16 @@ def composite(pool: DataFrame, as_of_hours: Column) -> DataFrame:
     return pool.withColumn("composite", a * rel + b * keep + c * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("importance"))))
 
 
-def rerank(pool: DataFrame, queries: list[tuple[str, str]], recency_hours: Column, agreement: Column | None = None) -> DataFrame:
-    """pool (query_id, key, value, composite) with rerank_score from term overlap, agreement of vectors and recency; a null agreement shares its weight among the others."""
-    q = pool.sparkSession.createDataFrame(queries, "query_id string, query string")
-    p = pool.join(F.broadcast(q), "query_id")
+def rerank_score(overlap: Column, hours: Column, agreement: Column) -> Column:
+    """From the share of the question's terms, agreement of vectors and recency; a null agreement shares its weight among the others."""
     wt, we, wr = RERANK["term"], RERANK["embed"], RERANK["recency"]
-    plain = wt * T.term_overlap(F.col("query"), F.col("value")) + wr * recency_half_life(recency_hours)
-    score = plain / (wt + wr)
-    if agreement is not None:
-        score = F.when(agreement.isNull(), score).otherwise(plain + we * agreement)
-    return p.withColumn("rerank_score", score).drop("query")
+    plain = wt * overlap + wr * recency_half_life(hours)
+    return F.when(agreement.isNull(), plain / (wt + wr)).otherwise(plain + we * agreement)
 
 
 def feedback_terms(pool: DataFrame, queries: list[tuple[str, str]], rows: int = 5, terms: int = 10) -> DataFrame:
     """query_id, term, n, rank: terms of the best rows that may widen the query (three bytes or more, no number, not in the query)."""
-    q = pool.sparkSession.createDataFrame(queries, "query_id string, query string")
-    p = pool.filter(F.col("rank") <= rows).join(F.broadcast(q), "query_id")
+    p = pool.filter(F.col("rank") <= rows).withColumn("query", of_query({i: quoted(q) for i, q in queries}).cast("string"))
     p = p.select("query_id", "query", F.explode(T.tokenize(F.col("value"))).alias("term"))
     p = p.filter((F.octet_length("term") >= 3) & ~F.col("term").rlike("^[0-9]+$") & ~F.array_contains(T.tokenize(F.col("query")), F.col("term")))
     return top(p.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("n")), terms, F.desc("n"), F.asc("term"))
@@ -184,7 +198,7 @@ def graph_signal(candidates: DataFrame, links: DataFrame) -> DataFrame:
     A candidate gains a tenth for each related node, half at most, and 0.3 of their mean strength; 1 is the most. What only
     a seed leads to gets the seed's score times the strength, of the first seed that does.
     """
-    near = materialize(related(links, candidates.select("key").distinct()), "related")
+    near = materialize(related(links, F.broadcast(candidates.select("key").distinct())), "related")  # as many keys as candidates
     stats = near.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.avg("strength").alias("_s"))
     lifted = graph_score(F.col("match"), F.col("_n"), F.col("_s"))
     own = candidates.join(stats, "key", "left").select("query_id", "key", F.round(lifted, 12).alias("score"))
@@ -208,11 +222,13 @@ def signals(memories: DataFrame, vectors: DataFrame, links: DataFrame, queries:
     """
     keep = lambda df: top(df, PER_SIGNAL, F.desc("score"), F.asc("key"), name="_r", by=("query_id", "signal")).select("query_id", "signal", "key", "score")
     named = lambda df, n: df.select("query_id", F.lit(n).alias("signal"), "key", F.round("score", 12).alias("score"))
-    cand = materialize(match_any_term(spread(memories), queries, 2 * PER_SIGNAL).select("query_id", "key", "value", F.col("score").alias("match")), "candidates")
-    keyword = named(bm25(cand.select("query_id", "key", "value"), queries).withColumnRenamed("bm25", "score"), "keyword")
+    best = match_any_term(spread(memories), queries, 2 * PER_SIGNAL).select("query_id", "key", "value", F.col("score").alias("match"))
+    # a hundred narrow rows a question: one task has them all, so that ranks and sums over them take no exchange
+    cand = materialize(term_counts(best, queries).drop("value"), "candidates").coalesce(1)
+    keyword = named(bm25_of_counts(cand).withColumnRenamed("bm25", "score"), "keyword")
     graph = named(graph_signal(cand.select("query_id", "key", "match"), links), "graph")
     temporal = named(recent.withColumn("query_id", F.explode(F.array(*(F.lit(q) for q, _ in queries)))), "temporal")
-    found = keep(keyword.unionByName(graph)).unionByName(temporal)
+    found = keep(keyword.unionByName(graph).coalesce(1)).unionByName(temporal)
     if embeddings:
         e = F.explode(F.array(*(F.struct(F.lit(q).alias("query_id"), V.literal(v).alias("qe")) for q, v in embeddings.items())))
         dense = vectors.select("key", "embedding", e.alias("_q")).select("_q.query_id", "key", F.round(V.cosine(F.col("embedding"), F.col("_q.qe")), 12).alias("score"))
@@ -220,29 +236,26 @@ def signals(memories: DataFrame, vectors: DataFrame, links: DataFrame, queries:
     return found
 
 
+def _bounded(df: DataFrame, schema: str) -> DataFrame:
+    """df's rows, whose number a parameter bounds, as literals of the plan."""
+    say = lambda x: quoted(x) if isinstance(x, str) else f"{x!r}D"
+    rows = [f"named_struct({', '.join(f'{quoted(c)}, {say(x)}' for c, x in r.asDict().items())})" for r in df.collect()]
+    return df.sparkSession.range(1).select(F.expr(f"inline(cast(array({', '.join(rows)}) as array<struct<{schema}>>))"))
+
+
 def hybrid_search(memories: DataFrame, vectors: DataFrame, links: DataFrame, queries: list[tuple[str, str]], query_vectors: dict[str, str], as_of: datetime, k: int = 10, weights=WEIGHTS, feedback: bool = True) -> DataFrame:
     """The flagship: query_id, rank, key, fused, composite, rerank_score.
 
     A question is split into its parts, and the time it speaks of becomes a boost. Each part's signals vote by reciprocal
     rank; parts are joined by the best fused score. Frequent terms of the best five rows widen the question for a second
     retrieval, joined in the same way. The pool of 50 gets composite scores, is put in order by the reranker (terms,
-    vectors, recency) and cut to k. All questions go through one plan; what the driver sees is bounded by their number.
+    vectors, recency) and cut to k. All questions go through one plan. Texts are read where memories are, which leaves
+    narrow rows, fifty a part: these are ranked in one task, and what the driver sees of them is bounded as well.
     """
     hours = F.expr(f"timestampdiff(SECOND, created_at, timestamp_ntz'{as_of}') / 3600D")
     embeddings = query_embeddings(vectors, query_vectors)
-    wanted = ["key", "value", "created_at", "importance"]
     recent = recent_memories(memories, hours)
-
-    def retrieve(qs: list[tuple[str, str]]) -> DataFrame:
-        own = {i: embeddings[i.split("/")[0]] for i, _ in qs if i.split("/")[0] in embeddings}
-        fused = fuse_rrf(signals(memories, vectors, links, qs, own, recent), weights)
-        pool = top(fused, PER_SIGNAL, F.desc("fused"), F.desc("weighted"), F.asc("key"), name="_p")
-        best = pool.withColumn("query_id", F.split("query_id", "/")[0]).groupBy("query_id", "key").agg(F.max("fused").alias("fused"))
-        # at most 50 rows a part: a bound that the data don't move
-        return materialize(memories.select(*wanted).join(F.broadcast(materialize(best, "fused")), "key"), "pool")
-
-    parts = [(f"{i}/{n}", part) for i, q in queries for n, part in enumerate(split_multi_part(q))]
-    found = retrieve(parts)
+    asked = of_query({i: quoted(q) for i, q in queries})
     boost = F.lit(1.0)
     for i, q in queries:
         if span := temporal_range(q, as_of):
@@ -251,22 +264,37 @@ def hybrid_search(memories: DataFrame, vectors: DataFrame, links: DataFrame, que
             if years := re.findall(r"\b(?:19|20)[0-9]{2}\b", q):
                 hit |= F.col("value").rlike(f"(^|[^0-9])({'|'.join(years)})([^0-9]|$)")
             boost = F.when((F.col("query_id") == i) & hit, BOOST).otherwise(boost)
-    found = found.withColumn("fused", F.round(F.col("fused") * boost, 12))
-    cut = lambda df: top(df, PER_SIGNAL, F.desc("fused"), F.asc("key"), name="rank")
-    pool = cut(found)
+
+    def retrieve(qs: list[tuple[str, str]], raised: Column, *also: str) -> DataFrame:
+        """query_id, key, fused, hours, importance, overlap (and more of memories' columns) of the best fifty a part."""
+        own = {i: embeddings[i.split("/")[0]] for i, _ in qs if i.split("/")[0] in embeddings}
+        fused = fuse_rrf(signals(memories, vectors, links, qs, own, recent).coalesce(1), weights)
+        pool = top(fused, PER_SIGNAL, F.desc("fused"), F.desc("weighted"), F.asc("key"), name="_p")
+        best = pool.withColumn("query_id", F.split("query_id", "/")[0]).groupBy("query_id", "key").agg(F.max("fused").alias("fused"))
+        rows = memories.join(F.broadcast(_bounded(best, "query_id: string, key: string, fused: double")), "key")
+        overlap = T.term_overlap(F.col("_asked"), F.col("value"))
+        return materialize(rows.withColumn("_asked", asked.cast("string")).select("query_id", "key", F.round(F.col("fused") * raised, 12).alias("fused"), hours.alias("hours"), "importance", overlap.alias("overlap"), *also), "pool")
+
+    narrow = ["query_id", "key", "fused", "hours", "importance", "overlap"]
+    cut = lambda df: top(df.coalesce(1), PER_SIGNAL, F.desc("fused"), F.asc("key"), name="rank")
+    parts = [(f"{i}/{n}", part) for i, q in queries for n, part in enumerate(split_multi_part(q))]
+    found = retrieve(parts, boost, *["value"] * feedback)
+    pool = cut(found.select(*narrow))
     if feedback:
-        terms = feedback_terms(pool, queries, FEEDBACK_ROWS, FEEDBACK_TERMS).select("query_id", "term", "rank").collect()  # ten a question
+        first = F.broadcast(pool.filter(F.col("rank") <= FEEDBACK_ROWS).select("query_id", "key", "rank"))  # five rows a question
+        terms = feedback_terms(found.join(first, ["query_id", "key"]), queries, FEEDBACK_ROWS, FEEDBACK_TERMS).select("query_id", "term", "rank").collect()  # ten a question
         more = {i: " ".join(t.term for t in sorted(terms, key=lambda t: t.rank) if t.query_id == i) for i, _ in queries}
         if wider := [(i, f"{q} {more[i]}") for i, q in queries if more[i]]:
-            both = pool.drop("rank").unionByName(retrieve(wider))
-            pool = cut(both.groupBy(*wanted, "query_id").agg(F.max("fused").alias("fused")))
+            both = pool.select(*narrow).unionByName(retrieve(wider, F.lit(1.0))).coalesce(1)
+            pool = cut(both.groupBy("query_id", "key", "hours", "importance", "overlap").agg(F.max("fused").alias("fused")))
     agreement = F.lit(None).cast("double")
-    pool = composite(pool, hours)
+    pool = composite(pool, F.col("hours"))
     if embeddings:
-        pool = pool.join(vectors.select("key", "embedding"), "key", "left")
+        near = vectors.join(F.broadcast(pool.select("key").distinct()), "key", "left_semi").select("key", "embedding")
+        pool = pool.join(F.broadcast(near), "key", "left")  # a vector for each row of the pool at most
         for i, v in embeddings.items():
             own = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(V.cosine(F.col("embedding"), V.literal(v)), F.lit(0.0))))
             agreement = F.when(F.col("query_id") == i, own).otherwise(agreement)
-    scored = rerank(pool, queries, hours, agreement)
+    scored = pool.withColumn("rerank_score", rerank_score(F.col("overlap"), F.col("hours"), agreement)).drop("rank")
     ordered = top(scored, k, F.desc(F.round("rerank_score", 12)), F.asc("key"))
     return ordered.select("query_id", "rank", "key", "fused", F.round("composite", 9).alias("composite"), F.round("rerank_score", 9).alias("rerank_score"))
