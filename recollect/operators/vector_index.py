@@ -39,6 +39,20 @@ def nearest_cells(points: np.ndarray, centers: np.ndarray, n: int) -> tuple[np.n
     return np.argsort(d, axis=1, kind="stable")[:, :n], d
 
 
+def calibrate(points: np.ndarray, centers: np.ndarray, k: int = 10, queries: int = 256, share: float = 0.95) -> int:
+    """How many of the nearest cells hold `share` of the k nearest of a sample's first rows, within that sample.
+
+    Fewer rows lie farther apart than all do, so the share among all is rather greater.
+    """
+    order, _ = nearest_cells(points, centers, len(centers))
+    asked = points[:queries]
+    rank = np.empty((len(asked), len(centers)), np.int64)
+    np.put_along_axis(rank, order[: len(asked)], np.arange(len(centers))[None], 1)
+    places = [rank[i, order[keys, 0]] for i, keys, _ in block_neighbours(np.arange(len(points)), points, np.arange(len(asked)), asked, k)]
+    places = np.sort(np.concatenate(places)) if places else np.zeros(0)
+    return int(places[min(len(places) - 1, int(share * len(places)))]) + 1 if len(places) else 1
+
+
 def usable(v: Column) -> Column:
     """Whether a vector takes part: finite numbers only, not all of them zero."""
     odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -86,7 +100,7 @@ class VectorIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         head = spark.read.parquet(f"{self.path}/cells").orderBy("cell").collect()  # MOST_CELLS rows at most
-        self.metric, self.kind = head[0]["metric"], head[0]["kind"]
+        self.metric, self.kind, self.probes = head[0]["metric"], head[0]["kind"], head[0]["probes"]
         self.centers = np.array([r.centroid for r in head], float)
 
     @classmethod
@@ -99,10 +113,12 @@ class VectorIndex:
         fitted = rows.orderBy(F.xxhash64("key"), "key").limit(sample).toPandas()["v"]
         if not len(fitted):
             raise ValueError("no vector to index")
-        centers = fit_cells(np.stack(list(fitted)), min(cells, len(fitted)))
+        points = np.stack(list(fitted))
+        centers = fit_cells(points, min(cells, len(fitted)))
         kind = dict(vectors.dtypes)["key"]
-        table = [(i, c.tolist(), metric, kind) for i, c in enumerate(centers)]
-        vectors.sparkSession.createDataFrame(table, "cell int, centroid array<double>, metric string, kind string").coalesce(1).write.parquet(f"{path.rstrip('/')}/cells")
+        probes = calibrate(points, centers)
+        table = [(i, c.tolist(), metric, kind, probes) for i, c in enumerate(centers)]
+        vectors.sparkSession.createDataFrame(table, "cell int, centroid array<double>, metric string, kind string, probes int").coalesce(1).write.parquet(f"{path.rstrip('/')}/cells")
         index = cls(vectors.sparkSession, path)
         index._write(rows, 1)
         return index
@@ -163,23 +179,24 @@ class VectorIndex:
         index._write(self.rows().select("key", "v"), 1)
         return index
 
-    def search(self, queries: DataFrame, k: int = 10, probes: int = 8, exact: bool = False) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 10, probes: int | None = None, exact: bool = False) -> DataFrame:
         """query_id, rank, key, distance, similarity: of each of queries(query_id, embedding) the k nearest rows found, its own key left out.
 
         Distances are Euclidean, between unit vectors if the metric is cosine, and similarity is then the cosine. Rows in
-        the `probes` nearest cells are measured. exact: cells whose radius reaches the k-th distance so found are, too,
+        the `probes` nearest cells are measured; without a number, in as many as calibrate() found to hold nine neighbours in ten and more. exact: cells whose radius reaches the k-th distance so found are, too,
         in a second pass, so that no neighbour is missed. Ties, to 12 digits, go to the lesser key. Queries that aren't
         usable() find nothing; repeated ones count once.
         """
         q = self._prepared(queries.select(F.col("query_id").alias("key"), "embedding"), self.metric).select(F.col("key").alias("query_id"), F.col("v").alias("query"))
         sizes = self._table("sizes", "cell int, batch int, n long, radius double").groupBy("cell").agg(F.sum("n"), F.max("radius")).collect()  # a row a cell
+        probes = min(probes or self.probes, len(self.centers))
         n, radius = np.zeros(len(self.centers), np.int64), np.full(len(self.centers), -np.inf)
         for cell, count, far in sizes:
             n[cell], radius[cell] = count, far
-        found = self._nearest(self._probed(q, min(probes, len(self.centers)), radius), n, k)
+        found = self._nearest(self._probed(q, probes, radius), n, k)
         if exact:
             bound = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.max("distance")).alias("bound"))
-            more = self._probed(q.join(bound, "query_id", "left"), min(probes, len(self.centers)), radius, rest=True)
+            more = self._probed(q.join(bound, "query_id", "left"), probes, radius, rest=True)
             found = _first(found.drop("rank").unionByName(self._nearest(more, n, k).drop("rank")), k)
         similarity = 1 - F.col("distance") * F.col("distance") / 2 if self.metric == "cosine" else F.lit(None).cast("double")
         return found.select("query_id", "rank", "key", "distance", similarity.alias("similarity"))

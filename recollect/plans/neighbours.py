@@ -46,7 +46,7 @@ def index_after_removal(spark, sf_dir):
 
 @query()
 def index_recall(spark, sf_dir):
-    """The share of each query's ten nearest that eight probes find."""
+    """The share of each query's ten nearest that the probes find which the index chose when it was built."""
     index = _index(spark, sf_dir)
     return recall(index.search(_asked(spark, sf_dir)), index.search(_asked(spark, sf_dir), exact=True))
 

@@ -42,9 +42,12 @@ def materialize(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: a lost executor costs no recomputation beyond it.
 
     release: let Spark remove the shuffle files of plans that nothing refers to any more, which it does when the
-    driver's garbage is collected; for steps after large shuffles.
+    driver's garbage is collected; for steps after large shuffles. What was still in use when the last step ended goes
+    before this one begins.
     """
     spark = df.sparkSession
+    if release:
+        _collect_garbage(spark)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     if getattr(_open, "paths", None) is not None:
         _open.paths.append(path)
@@ -52,11 +55,15 @@ def materialize(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     table = spark.read.schema(df.schema).parquet(path)
     if release:
         del df
-        gc.collect()
-        spark._jvm.System.gc()
+        _collect_garbage(spark)
     return table
 
 
+def _collect_garbage(spark: SparkSession) -> None:
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Tables that this thread of the driver writes within the block are deleted at its end, but for the one passed to the function it gives.
