@@ -46,6 +46,13 @@ def infer_all_rules(spark, sf_dir):
     return f.withColumn("confidence", F.round("confidence", 9))
 
 
+#: The first and last lines of each format.
+_FRAMES = {
+    "csv": [(0, "src,dst,rel_type,strength")], "dot": [(0, "digraph memories {"), (3, "}")], "json": [],
+    "graphml": [(0, '<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><graph edgedefault="directed">'), (3, "</graph></graphml>")],
+    "gexf": [(0, '<gexf xmlns="http://gexf.net/1.3" version="1.3"><graph defaultedgetype="directed">'), (3, "</graph></gexf>")],
+}
+
 for _fmt, _line in (
     ("csv", "src || ',' || dst || ',' || rel_type || ',' || strength"), ("dot", "'\"' || src || '\" -> \"' || dst || '\" [label=\"' || rel_type || '\"];'"),
     ("graphml", "'<edge source=\"' || src || '\" target=\"' || dst || '\"/>'"), ("gexf", "'<edge source=\"' || src || '\" target=\"' || dst || '\" label=\"' || rel_type || '\"/>'"),
@@ -53,11 +60,12 @@ for _fmt, _line in (
 ):
 
     def _export(spark, sf_dir, fmt=_fmt):
-        return P.graph_lines(edges(spark, sf_dir).filter("rel_type = 'part_of'"), fmt).filter("part IN (1, 2)")
+        return P.graph_lines(edges(spark, sf_dir), fmt)
 
     _export.__name__ = f"graph_export_{_fmt}"
-    _nodes = " UNION ALL SELECT DISTINCT 1, '<node id=\"' || n || '\"/>' FROM (SELECT src AS n FROM edges WHERE rel_type = 'part_of' UNION SELECT dst FROM edges WHERE rel_type = 'part_of')" if _fmt in ("graphml", "gexf") else ""
-    query(f"WITH {EDGES} SELECT 2 AS part, {_line} AS line FROM edges WHERE rel_type = 'part_of'{_nodes}")(_export)
+    _nodes = " UNION ALL SELECT DISTINCT 1, '<node id=\"' || n || '\"/>' FROM (SELECT src AS n FROM edges UNION SELECT dst FROM edges)" if _fmt in ("graphml", "gexf") else ""
+    _ends = "".join(f" UNION ALL SELECT {k}, '{line}'" for k, line in _FRAMES[_fmt])
+    query(f"WITH {EDGES} SELECT 2 AS part, {_line} AS line FROM edges{_nodes}{_ends}")(_export)
 
 
 @query(f"WITH {EDGES} SELECT src AS node, dst AS other, rel_type, round(strength, 9) AS strength FROM edges WHERE src IN ('n:1', 'c:5') UNION ALL SELECT dst, src, rel_type, round(strength, 9) FROM edges WHERE dst IN ('n:1', 'c:5')")
@@ -177,7 +185,7 @@ def correlations(spark, sf_dir):
 
 
 @query(" UNION ALL ".join(f"(SELECT '{c}' AS name, {c}::VARCHAR AS value, count(*) AS n FROM orders GROUP BY 2 ORDER BY n DESC, value LIMIT 10)" for c in ("o_orderstatus", "o_orderpriority")))
-def top_values(spark, sf_dir):
+def top_values_by_column(spark, sf_dir):
     """The ten commonest values of each column that is no number, counted in one pass."""
     o = table(spark, sf_dir, "orders").select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in ("o_orderstatus", "o_orderpriority")))).alias("v")).select("v.*")
     return top(o.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n")), 10, F.desc("n"), F.asc("value"), by=("name",)).drop("rank")
@@ -260,11 +268,11 @@ def retention_policies(spark, sf_dir):
     return n(m.orderBy(F.desc("created_at"), "key").limit(100), "recent").unionByName(n(m.filter(young), "age")).unionByName(n(m.orderBy(F.desc("importance"), "key").limit(100), "importance"))
 
 
-@query(f"""WITH {MEMORIES}, x AS (SELECT key, memory_type, greatest(0.001, least(0.999, exp(-ln(2) * {_IDLE} / (24 * (1 + 2 * importance) * 60)))) AS s FROM mem) SELECT key, CASE WHEN s >= 0.05 THEN 'keep' WHEN memory_type = 'LongTerm' THEN 'demote' ELSE 'evict' END AS decision FROM x""")
+@query(f"""WITH {MEMORIES}, x AS (SELECT key, memory_type, greatest(0.001, least(0.999, exp(-ln(2) * {_IDLE} / (24 * (1 + 2 * importance))))) AS s FROM mem) SELECT key, CASE WHEN s >= 0.05 THEN 'keep' WHEN memory_type = 'LongTerm' THEN 'demote' ELSE 'evict' END AS decision FROM x""")
 def forgetting_pass(spark, sf_dir):
-    """What falls under the floor: long-term memories become short-term, short-term ones go. Ages count a sixtieth, so that some stay."""
+    """What falls under the floor: long-term memories become short-term, short-term ones go."""
     m = memories(spark, sf_dir)
-    s = D.ebbinghaus(hours_since("last_accessed") / 60, F.col("importance"), F.lit(0.0), F.lit(0.0))
+    s = D.ebbinghaus(hours_since("last_accessed"), F.col("importance"), F.lit(0.0), F.lit(0.0))
     return m.select("key", F.when(s >= 0.05, "keep").when(F.col("memory_type") == "LongTerm", "demote").otherwise("evict").alias("decision"))
 
 

@@ -30,11 +30,11 @@ def kmeans_deterministic(spark, sf_dir):
     return L.kmeans_first_rows(vectors(spark, sf_dir).select("key", "embedding"), 5)
 
 
-@query("""WITH RECURSIVE v AS (SELECT vec_id::VARCHAR AS k, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.k AS u, b.k AS v FROM v a JOIN v b ON a.k <> b.k WHERE list_cosine_similarity(a.e, b.e) >= 0.85),
+@query("""WITH RECURSIVE v AS (SELECT vec_id::VARCHAR AS k, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.k AS u, b.k AS v FROM v a JOIN v b ON a.k <> b.k WHERE list_cosine_similarity(a.e, b.e) >= 0.35),
 c AS (SELECT u FROM p GROUP BY u HAVING count(*) >= 2), l AS (SELECT u, v FROM p WHERE u IN (FROM c) AND v IN (FROM c)), r(a, b) AS (SELECT u, u FROM c UNION SELECT r.a, l.v FROM r JOIN l ON l.u = r.b),
 k AS (SELECT a AS key, min(b) AS cluster FROM r GROUP BY a) SELECT * FROM k UNION ALL SELECT p.u, min(k.cluster) FROM p JOIN k ON k.key = p.v WHERE p.u NOT IN (FROM c) GROUP BY 1""")
 def density_clusters(spark, sf_dir):
-    return L.dbscan_cosine(vectors(spark, sf_dir).select("key", "embedding"), 0.15, 2)
+    return L.dbscan_cosine(vectors(spark, sf_dir).select("key", "embedding"), 0.65, 2)
 
 
 @query()

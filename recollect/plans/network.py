@@ -71,17 +71,17 @@ _PAIRS = "p AS (SELECT least(a.k, b.k) AS a, greatest(a.k, b.k) AS b, list_cosin
 _V = "v AS (SELECT vec_id::VARCHAR AS k, embedding::DOUBLE[] AS e, label FROM embeddings)"
 
 
-@query(f"WITH {_V}, {_PAIRS} SELECT a, b, round(s, 9) AS similarity FROM p WHERE s >= 0.8")
+@query(f"WITH {_V}, {_PAIRS} SELECT a, b, round(s, 9) AS similarity FROM p WHERE s >= 0.4")
 def similarity_edges(spark, sf_dir):
-    p = G.similar_pairs(vectors(spark, sf_dir).select("key", "embedding"), 0.8)
+    p = G.similar_pairs(vectors(spark, sf_dir).select("key", "embedding"), 0.4)
     return p.select("a", "b", F.round("similarity", 9).alias("similarity"))
 
 
-@query(f"""WITH RECURSIVE {_V}, {_PAIRS}, l AS (SELECT a, b FROM p WHERE s >= 0.8 UNION SELECT b, a FROM p WHERE s >= 0.8), r(a, b) AS (SELECT k, k FROM v UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+@query(f"""WITH RECURSIVE {_V}, {_PAIRS}, l AS (SELECT a, b FROM p WHERE s >= 0.4 UNION SELECT b, a FROM p WHERE s >= 0.4), r(a, b) AS (SELECT k, k FROM v UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
 SELECT a AS key, min(b) AS component FROM r GROUP BY a""")
 def similarity_components(spark, sf_dir):
     v = vectors(spark, sf_dir).select("key", "embedding")
-    c = connected_components(G.similar_pairs(v, 0.8).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    c = connected_components(G.similar_pairs(v, 0.4).select(F.col("a").alias("u"), F.col("b").alias("v")))
     return v.select("key").join(c.withColumnRenamed("id", "key"), "key", "left").select("key", F.coalesce("component", "key").alias("component"))
 
 
@@ -112,10 +112,10 @@ def relations_for_entity(spark, sf_dir):
 
 
 @query(f"WITH {EDGES} SELECT '  \"' || src || '\" -> \"' || dst || '\" [label=\"' || rel_type || '\"];' AS line FROM edges")
-def graph_export_dot(spark, sf_dir):
+def graph_dot_lines(spark, sf_dir):
     return edges(spark, sf_dir).select(F.format_string('  "%s" -> "%s" [label="%s"];', "src", "dst", "rel_type").alias("line"))
 
 
 @query(f"""WITH {EDGES} SELECT '<edge source="' || src || '" target="' || dst || '"><data key="type">' || rel_type || '</data></edge>' AS line FROM edges""")
-def graph_export_graphml(spark, sf_dir):
+def graph_xml_lines(spark, sf_dir):
     return edges(spark, sf_dir).select(F.format_string('<edge source="%s" target="%s"><data key="type">%s</data></edge>', "src", "dst", "rel_type").alias("line"))

@@ -133,14 +133,14 @@ def temporal_consistency(spark, sf_dir):
 _IDLE, _AGE = hours_sql("last_accessed"), hours_sql("created_at")
 
 
-@query(f"""WITH {MEMORIES}, x AS (SELECT *, greatest(0.001, least(0.999, exp(-ln(2) * {_AGE} / (24 * (1 + 2 * importance) * 50)))) AS r FROM mem)
+@query(f"""WITH {MEMORIES}, x AS (SELECT *, greatest(0.001, least(0.999, exp(-ln(2) * {_AGE} / (24 * (1 + 2 * importance))))) AS r FROM mem)
 SELECT key, round(least(0.999, greatest(0.001, r * CASE WHEN confidence > 0.7 THEN 1 + (confidence - 0.7) * 0.5 ELSE 1 END * CASE WHEN access_count > 1 THEN 1 + ln(access_count - 1) * 0.2 ELSE 1 END
-  * CASE WHEN {_IDLE} / 1000 < 6 THEN 1 + (6 - {_IDLE} / 1000) / 6 * 0.3 ELSE 1 END * CASE WHEN importance > 0.5 THEN 1 + (importance - 0.5) ELSE 1 END * CASE WHEN importance > 0.6 THEN 1 + (importance - 0.6) * 0.8 ELSE 1 END)), 9) AS retention FROM x""")
+  * CASE WHEN {_IDLE} < 6 THEN 1 + (6 - {_IDLE}) / 6 * 0.3 ELSE 1 END * CASE WHEN importance > 0.5 THEN 1 + (importance - 0.5) ELSE 1 END * CASE WHEN importance > 0.6 THEN 1 + (importance - 0.6) * 0.8 ELSE 1 END)), 9) AS retention FROM x""")
 def adaptive_retention(spark, sf_dir):
-    """Confidence stands for engagement, importance for emotion as well; ages are scaled so that all rules apply."""
+    """Confidence stands for engagement, importance for emotion as well."""
     m = memories(spark, sf_dir)
-    kept = F.greatest(F.lit(0.001), F.least(F.lit(0.999), F.exp(-F.log(F.lit(2.0)) * hours_since("created_at") / (24 * (1 + 2 * F.col("importance")) * 50))))
-    r = S.adaptive_retention(kept, F.col("confidence"), F.col("access_count"), hours_since("last_accessed") / 1000, F.col("importance"), F.col("importance"))
+    kept = F.greatest(F.lit(0.001), F.least(F.lit(0.999), F.exp(-F.log(F.lit(2.0)) * hours_since("created_at") / (24 * (1 + 2 * F.col("importance"))))))
+    r = S.adaptive_retention(kept, F.col("confidence"), F.col("access_count"), hours_since("last_accessed"), F.col("importance"), F.col("importance"))
     return m.select("key", F.round(r, 9).alias("retention"))
 
 
@@ -245,7 +245,7 @@ def strategy_outcomes(spark, sf_dir):
 _PRIO = "0.3 * importance + 0.2 * (1 - confidence) + 0.2 * (1 - greatest(0.001, least(0.999, exp(-ln(2) * {idle} / (24 * (1 + 2 * importance)))))) + 0.15 * (access_count / 17e0) + 0.15 * confidence"
 
 
-@query(f"""WITH {MEMORIES}, x AS (SELECT key, round({_PRIO.format(idle=_IDLE)}, 12) AS priority, created_at + to_seconds(3600 * ([1, 6, 24, 72, 168][least(access_count, 4) + 1] * (2 - importance)) * 60) AS due FROM mem),
+@query(f"""WITH {MEMORIES}, x AS (SELECT key, round({_PRIO.format(idle=_IDLE)}, 12) AS priority, created_at + to_seconds(3600 * ([1, 6, 24, 72, 168][least(access_count, 4) + 1] * (2 - importance))) AS due FROM mem),
 r AS (SELECT *, row_number() OVER (ORDER BY priority DESC, key) AS rank FROM x QUALIFY rank <= 100), s AS (SELECT *, min(CASE WHEN due > TIMESTAMP '2025-06-01' THEN rank END) OVER () AS stop FROM r)
 SELECT key, rank, round(priority, 9) AS priority FROM s WHERE stop IS NULL OR rank < stop""")
 def selective_replay(spark, sf_dir):
@@ -253,16 +253,16 @@ def selective_replay(spark, sf_dir):
     m = memories(spark, sf_dir)
     kept = ebbinghaus(hours_since("last_accessed"), F.col("importance"), F.lit(0.0), F.lit(0.0))
     p = replay_priority(F.col("importance"), 1 - F.col("confidence"), 1 - kept, F.col("access_count") / 17, F.col("confidence"))
-    due = F.expr("cast(created_at as timestamp)").cast("double") + 3600 * spaced_repetition_hours(F.col("access_count"), F.col("importance")) * 60
+    due = F.expr("cast(created_at as timestamp)").cast("double") + 3600 * spaced_repetition_hours(F.col("access_count"), F.col("importance"))
     m = m.select("key", F.round(p, 12).alias("priority"), due.alias("due"))
     return D.replay_batch(m, F.lit("2025-06-01 00:00:00").cast("timestamp").cast("double")).select("key", "rank", F.round("priority", 9).alias("priority"))
 
 
-@query(f"""WITH {MEMORIES}, g AS (SELECT key, value, CASE WHEN length(value) < 3 THEN [value] ELSE list_distinct(list_transform(range(1, length(value) - 1), lambda i: substr(value, i::INT, 3))) END AS g FROM (SELECT key, lower(left(value, 40)) AS value FROM mem)),
+@query(f"""WITH {MEMORIES}, g AS (SELECT key, value, CASE WHEN length(value) < 3 THEN [value] ELSE list_distinct(list_transform(range(1, length(value) - 1), lambda i: substr(value, i::INT, 3))) END AS g FROM (SELECT key, lower(value) AS value FROM mem)),
 p AS (SELECT a.key, a.g, b.g AS h FROM g a JOIN g b ON b.key::BIGINT = a.key::BIGINT + 1) SELECT key, round(len(list_intersect(g, h)) / len(list_distinct(list_concat(g, h)))::DOUBLE, 9) AS similarity FROM p""")
 def ngram_similarity(spark, sf_dir):
-    """Trigrams of the beginnings of each text and the next."""
-    m = memories(spark, sf_dir).select("key", F.lower(F.left("value", F.lit(40))).alias("a"))
+    """Trigrams of each whole text and the next."""
+    m = memories(spark, sf_dir).select("key", F.lower("value").alias("a"))
     b = m.select((F.col("key").cast("long") - 1).cast("string").alias("key"), F.col("a").alias("b"))
     return m.join(b, "key").select("key", F.round(T.ngram_similarity(F.col("a"), F.col("b")), 9).alias("similarity"))
 

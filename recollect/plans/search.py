@@ -25,10 +25,15 @@ def keyword_match(spark, sf_dir):
     return R.match_any_term(spread(memories(spark, sf_dir)), QUERIES, 20).select("query_id", "key", "distinct_terms", "total_freq", "score", "rank")
 
 
-@query(f"""WITH {_MATCH.replace("FROM hit)", "FROM hit, qs WHERE hit.query_id = qs.query_id AND contains(v, lower(query)))").replace("SELECT query_id, key, value, v, list_t", "SELECT hit.query_id, key, value, v, list_t")},
-r AS (SELECT query_id, key, total_freq, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM m) SELECT * FROM r WHERE rank <= 20""")
+#: Phrases that some texts hold as they stand.
+_PHRASES = [("p1", "Apache License"), ("p2", "licensed under"), ("p3", "of the"), ("p4", "keit der"), ("p5", "zzzz nothing")]
+
+
+@query(f"""WITH ph(query_id, query) AS (VALUES {", ".join(f"('{i}', '{q}')" for i, q in _PHRASES)}), {MEMORIES}, h AS (SELECT query_id, key, lower(value) AS v, list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda t: t <> '') AS ts FROM mem, ph WHERE contains(lower(value), lower(query))),
+m AS (SELECT query_id, key, v, list_sum(list_transform(ts, lambda t: {_OCC}))::BIGINT AS total_freq FROM h), r AS (SELECT query_id, key, total_freq, total_freq / strlen(v)::DOUBLE AS score FROM m)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM r QUALIFY rank <= 20""")
 def phrase_match(spark, sf_dir):
-    return R.match_phrase(spread(memories(spark, sf_dir)), QUERIES, 20).select("query_id", "key", "total_freq", "score", "rank")
+    return R.match_phrase(spread(memories(spark, sf_dir)), _PHRASES, 20).select("query_id", "key", "total_freq", "score", "rank")
 
 
 _BM25 = f"""{_MATCH}, c AS (SELECT query_id, key, list_filter(regexp_split_to_array(lower(value), '\\s+'), lambda t: t <> '') AS w FROM top WHERE rank <= 100),

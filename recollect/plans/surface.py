@@ -154,12 +154,12 @@ def gram_postings(spark, sf_dir):
     return K.gram_postings(p).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT p_partkey::VARCHAR AS key FROM part WHERE contains(lower(p_name), 'ste')")
+@query("SELECT p_partkey::VARCHAR AS key FROM part WHERE contains(lower(p_name), 'l gi')")
 def gram_search(spark, sf_dir):
     """Rows that hold a string, found by its runs and then checked."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("key"), F.col("p_name").alias("value"))
-    found = K.gram_candidates(K.gram_postings(p), "STE")
-    return p.join(found, "key", "left_semi").filter(F.contains(F.lower("value"), F.lit("ste"))).select("key")
+    found = K.gram_candidates(K.gram_postings(p), "L Gi")
+    return p.join(found, "key", "left_semi").filter(F.contains(F.lower("value"), F.lit("l gi"))).select("key")
 
 
 @query(f"""WITH h AS (SELECT c_custkey AS k, n, md5(n || '/' || c_custkey) AS h FROM customer, (VALUES ('a'), ('b'), ('c'), ('d'), ('e')) v(n)) SELECT k::VARCHAR AS key, (row_number() OVER (PARTITION BY k ORDER BY h DESC, n DESC) - 1)::INT AS place, n AS node FROM h QUALIFY place < 2""")
