@@ -137,16 +137,17 @@ def mixed_documents(documents: DataFrame, **how) -> DataFrame:
     """
     own = [F.col(f"`{c}`") for c in documents.columns]
     key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("/"), F.md5(F.to_json(F.struct(*own))))
-    keyed = documents.withColumn("_mix_key", key)
-    taken = taken_words(keyed.select(F.col("_mix_key").alias("doc_id"), "text", "source"), **how).groupBy(F.col("doc_id").alias("_mix_key")).agg(F.max("size").alias("_mix_size"), F.sum("taken").alias("_mix_taken"))
+    # a row stands in one column, so that no name of its own can clash
+    keyed = documents.select(key.alias("_mix_key"), F.struct(*own).alias("_row"))
+    taken = taken_words(keyed.select(F.col("_mix_key").alias("doc_id"), "_row.text", "_row.source"), **how).groupBy(F.col("doc_id").alias("_mix_key")).agg(F.max("size").alias("_mix_size"), F.sum("taken").alias("_mix_taken"))
     rows = keyed.dropDuplicates(["_mix_key"]).join(taken.filter("_mix_taken > 0"), "_mix_key")
     size, all_words = F.col("_mix_size"), F.col("_mix_taken")
     rows = rows.withColumn("_mix_words", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.ceil(all_words / size)), lambda k: F.least(size, all_words - (k - 1) * size))))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(0)), 1, F.col("_mix_words").cast("int")), " ")
+    cut = F.array_join(F.slice(F.regexp_extract_all("_row.text", F.lit(f"({WORD})"), F.lit(0)), 1, F.col("_mix_words").cast("int")), " ")
     whole = F.col("_mix_words") == size
-    rows = rows.withColumn("_mix_text", F.when(whole, F.col("text")).otherwise(cut))
-    changed = {"text": F.col("_mix_text"), "n_chars": F.when(whole, F.col("n_chars")).otherwise(F.length("_mix_text").cast("long"))}
-    return rows.select(*(changed.get(c, F.col(f"`{c}`")).alias(c) for c in documents.columns))
+    rows = rows.withColumn("_mix_text", F.when(whole, F.col("_row.text")).otherwise(cut))
+    changed = {"text": F.col("_mix_text"), "n_chars": F.when(whole, F.col("_row.n_chars")).otherwise(F.length("_mix_text").cast("long"))}
+    return rows.select(*(changed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in documents.columns))
 
 
 ORACLE = r"""

@@ -260,10 +260,10 @@ def keep_representatives(documents: DataFrame, words: int = WORDS, percent: int
     """
     found = jaccard_components(documents, words, percent)
     names = found.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = documents.join(names, "doc_id", "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    kept = kept.withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
-    return kept.unionByName(documents.filter("doc_id IS NULL")).select(*(F.col(f"`{c}`") for c in documents.columns))
+    # a row stands in one column, so that no name of its own can clash
+    kept = documents.join(names, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.struct("*").alias("row"))
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("hash"))
+    return kept.withColumn("nth", nth).filter("nth = 1").select("row.*").unionByName(documents.filter("doc_id IS NULL"))
 
 
 ORACLE = r"""

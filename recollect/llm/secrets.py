@@ -83,9 +83,9 @@ def find_secrets(documents: DataFrame, text: str = "text", out: str = "secrets")
     within a kind, dropped if too short) and entropy (the windows of a long string that look random for its class of
     characters, unless the allow-list has it; a placeholder excuses only its own piece of a path). Null text reads as
     empty: an empty array. Texts are scanned whole, in time about linear in their length; repeated rows repeat their
-    result; an empty table gives no rows; other columns pass through (none may be called `out` or _secret_text).
+    result; an empty table gives no rows; other columns pass through, whatever their names (but none may be called `out`).
     """
-    df = documents.withColumn("_secret_text", F.coalesce(F.col(text), F.lit("")))
+    df = documents.select(F.struct("*").alias("_row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_secret_text"))
     found, none = [], "cast(array() as array<struct<start: int, ord: int, kind: string, end: int>>)"
     for ord_, (kind, (pattern, group, least)) in enumerate(KINDS.items()):
         name = f"_secret_{kind}"
@@ -99,7 +99,7 @@ def find_secrets(documents: DataFrame, text: str = "text", out: str = "secrets")
     excused = f"rlike(x.h, {_lit(DIGITS)}) OR (rlike(x.h, {_lit(JOINED)}) AND rlike(x.h, {_lit(MARK)}))"
     entropy = f"filter(transform({words}, x -> if({excused}, null, {window_entropy_spans('x.h', 'x.at')})), x -> x is not null)"
     found.append(f"if(size(_secret_run) = 0, {none}, transform({entropy}, e -> named_struct('start', e.start, 'ord', {len(KINDS)}, 'kind', 'entropy', 'end', e.end)))")
-    return df.select(*(F.col(f"`{c}`") for c in documents.columns), F.expr(f"array_sort(concat({', '.join(found)}))").alias(out))
+    return df.select("_row.*", F.expr(f"array_sort(concat({', '.join(found)}))").alias(out))
 
 
 def joined(spans: Column) -> Column:
@@ -115,16 +115,22 @@ def secret_report(documents: DataFrame) -> DataFrame:
 
 
 def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """documents with every secret in text replaced by mark (overlapping spans by one), n_chars made to fit; null text stays null."""
-    df = find_secrets(documents, out="_secret_spans")
+    """documents with every secret in text replaced by mark (overlapping spans by one), n_chars made to fit.
+
+    A null text stays null; repeated rows repeat their result; an empty table gives no rows; columns pass through, whatever their names.
+    """
+    spans = "_secret_spans"
+    while spans in map(str.lower, documents.columns):
+        spans += "_"
+    df = find_secrets(documents, out=spans)
     cut = (
-        "aggregate(_secret_spans, named_struct('out', '', 'at', 0), (a, x) -> named_struct("
+        f"aggregate({spans}, named_struct('out', '', 'at', 0), (a, x) -> named_struct("
         f"'out', if(x.start >= a.at AND (a.at = 0 OR x.start > a.at OR a.out = ''), concat(a.out, substring(text, a.at + 1, x.start - a.at), '{mark}'), a.out), "
         "'at', greatest(a.at, x.end)), a -> concat(a.out, substring(text, a.at + 1)))"
     )
-    hit = F.size("_secret_spans") > 0
+    hit = F.size(spans) > 0
     df = df.withColumn("text", F.when(hit, F.expr(cut)).otherwise(F.col("text")))
-    return df.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("_secret_spans")
+    return df.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop(spans)
 
 
 def _oracle_kind(kind: str, pattern: str, value: str, ord_: int, least: int) -> str:

@@ -16,7 +16,7 @@ from tests.llm.test_operators import DOCS, ODD, SECRETS, WORDS, _plain_component
 
 STAGES = dict(corpus_pipeline.STAGES)
 #: Names that stages use within.
-CLASH = "rank kept n component_id secrets size taken ids copies row words component _k".split()
+CLASH = "rank kept n component_id secrets size taken ids copies row words component _k id hash nth _nth _secret_spans _Secret_Spans_ _secret_run _secret_assign _secret_access _secret_hex _secret_text _mix_key _mix_words _mix_text _mix_size _mix_taken _row _id _n _copy".split()
 
 
 @pytest.fixture(scope="module")
