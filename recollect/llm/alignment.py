@@ -146,6 +146,8 @@ def block_units(documents: DataFrame) -> DataFrame:
             counts = pc.value_counts(units)
             counted.append(pa.table({"unit": counts.field(0), "n": counts.field(1)}))
         all_ = pa.concat_tables(counted).group_by("unit").aggregate([("n", "sum")])
+        del counted
+        pa.default_memory_pool().release_unused()
         return pa.table({"block": pa.repeat(docs.column("block")[0], all_.num_rows), "unit": all_.column("unit"), "n": all_.column("n_sum")})
 
     return documents.filter(has_tokens(F.col("text"))).select("block", "text").groupBy("block").applyInArrow(run, "block int, unit string, n long")
@@ -272,6 +274,8 @@ def _of_documents(documents: DataFrame, dictionary: DataFrame, with_groups: bool
             for d, x, y in zip(rows.tolist(), said, joined, strict=True):
                 digests[d], texts[d] = x, str(y) * with_groups
         more = [pa.array(texts, pa.string())] * with_groups
+        del have, groups, numbers
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_arrays([docs.column("doc_id").combine_chunks(), *(pa.array(sums[:, i]) for i in range(len(SUMS))), pa.array(digests, pa.string()), *more], names).cast(schema)
 
     ddl = "doc_id long, " + ", ".join(f"{c} long" for c in SUMS) + ", groups_sha256 string" + ", groups string" * with_groups
