@@ -37,8 +37,9 @@ def word_jaccard(a: Column, b: Column, lower: bool = False, both_empty: float =
 
 
 def char_ngrams(text: Column, n: int) -> Column:
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
-    return F.when(F.length(text) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+    """Distinct runs of n characters; none of a shorter text. Characters are cut once, so the work grows with the text."""
+    grams = lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - n, F.lit(0))), lambda i: F.concat(*(F.get(c, i + k) for k in range(n))))
+    return F.when(F.length(text) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.array(F.split(text, "")), grams)[0]))
 
 
 def ngram_similarity(a: Column, b: Column, n: int = 3) -> Column:

@@ -80,48 +80,73 @@ def drop_similar(memories: DataFrame, pairs: DataFrame) -> DataFrame:
     return memories.join(gone, "key", "left_anti")
 
 
-def byte_similar(memories: DataFrame, threshold: float = 0.95, block: int = 2048) -> DataFrame:
-    """key: the less important row of each pair of memories in the same or the next 100-byte length bucket whose bytes are alike; of equals the second goes.
+#: Rows of a length bucket's block, and how many of its most important rows are asked first.
+BYTE_BLOCK, JUDGES = 2048, 64
 
-    Alike is the share of the first text's bytes that occur anywhere in the second, of the longer length, less 0.3 of the
-    relative difference in length, and above threshold. First is the lower bucket, then the lower key. Blocks of a
-    bucket meet as one product of byte counts and byte sets a task; every pair is formed.
-    """
+
+def _byte_counts(text: Column) -> Column:
+    """How often each byte occurs in a text, as 256 integers."""
 
     @F.pandas_udf("binary")
     def counts(values: pd.Series) -> pd.Series:
         return values.map(lambda v: np.bincount(np.frombuffer(v.encode(), np.uint8), minlength=256).astype(np.int32).tobytes())
 
-    bucket = F.floor(F.octet_length("value") / 100)
-    largest = memories.groupBy(bucket.alias("b")).count().agg(F.max("count")).first()[0] or 0
-    parts = max(1, -(-largest // block))
-    r = memories.select("key", "importance", bucket.alias("b"), counts("value").alias("c"), F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("i"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    left = r.select("*", F.explode(F.array("b", F.col("b") + 1)).alias("b2")).select("*", every.alias("j"))
-    right = r.withColumnsRenamed({"b": "b2", "i": "j"}).select("*", F.explode(F.array("b2", F.col("b2") - 1)).alias("b")).select("*", every.alias("i"))
-    by = ["b", "b2", "i", "j"]
-
-    def pair(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        gone: set[str] = set()
-        if len(x) and len(y):
-            cx, cy = (np.stack([np.frombuffer(c, np.int32) for c in t["c"]]).astype(np.float64) for t in (x, y))
-            kx, ky, ix, iy, ny = x["key"].to_numpy(), y["key"].to_numpy(), x["importance"].to_numpy(), y["importance"].to_numpy(), cy.sum(1)
-            same, has = x["b"].iloc[0] == x["b2"].iloc[0], (cy > 0).T.astype(np.float64)
-            for at in range(0, len(kx), 256):
-                c = cx[at : at + 256]
-                n = c.sum(1)[:, None]
-                longest = np.maximum(np.maximum(n, ny), 1)
-                alike = (c @ has / longest * (1 - np.abs(n - ny) / longest * 0.3) > threshold) & (np.minimum(n, ny) / longest >= 0.5)
-                if same:
-                    alike &= kx[at : at + 256, None] < ky[None, :]
-                first = alike & (ix[at : at + 256, None] < iy[None, :])
-                gone.update(kx[at : at + 256][first.any(1)])
-                gone.update(ky[(alike & ~first).any(0)])
-        return pd.DataFrame({"key": sorted(gone)}, dtype=object)
+    return counts(text)
+
+
+def gone_before(x: pd.DataFrame, p: pd.DataFrame, threshold: float) -> np.ndarray:
+    """Which rows of x go for the sake of some row of p: alike, and p's as important (or more so, where x's is the first of the two)."""
+    cx, cp = (np.stack([np.frombuffer(c, np.int32) for c in t["c"]]).astype(np.float64) for t in (x, p))
+    np_, bp, kp, ip = cp.sum(1), p["b"].to_numpy(), p["key"].to_numpy(), p["importance"].to_numpy()
+    gone = np.zeros(len(x), bool)
+    bx, kx, ix = x["b"].to_numpy(), x["key"].to_numpy(), x["importance"].to_numpy()
+    for at in range(0, len(x), 256):
+        to = slice(at, at + 256)
+        c, n = cx[to], cx[to].sum(1)[:, None]
+        first = (bx[to, None] < bp) | ((bx[to, None] == bp) & (kx[to, None] < kp))  # x's row is the first
+        other = (bx[to, None] != bp) | (kx[to, None] != kp)
+        longest = np.maximum(np.maximum(n, np_), 1)
+        held = np.where(first, c @ (cp > 0).T.astype(np.float64), (c > 0).astype(np.float64) @ cp.T)
+        alike = (held / longest * (1 - np.abs(n - np_) / longest * 0.3) > threshold) & (np.minimum(n, np_) / longest >= 0.5)
+        weaker = np.where(first, ix[to, None] < ip, ix[to, None] <= ip)
+        gone[to] = (alike & weaker & other & (np.abs(bx[to, None] - bp) <= 1)).any(1)
+    return gone
+
+
+def _meet(rows: DataFrame, partners: DataFrame, threshold: float, block: int) -> DataFrame:
+    """key of the rows that go for some partner in their own or a neighbouring bucket; both sides of a bucket are cut into blocks by its own size."""
+    # both may read one table: columns named anew are told apart
+    near = partners.select(*(F.col(c).alias(c) for c in ("key", "importance", "b", "c")), F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("g"))
+    parts = lambda t, g, name: t.groupBy(g).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+    size = materialize(parts(rows, F.col("b").alias("g"), "down").join(parts(near, "g", "across"), "g"), "bucket-sizes")
+    cut = lambda of: F.pmod(F.xxhash64("key"), F.col(of)).cast("int")
+    left = rows.select("key", "importance", "b", "c", F.col("b").alias("g")).join(size, "g").select("*", cut("down").alias("i"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("j")).drop("down", "across")
+    right = near.join(size, "g").select("*", F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("i"), cut("across").alias("j")).drop("down", "across")
+    by = ["g", "i", "j"]
+
+    def pair(x: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"key": x["key"].to_numpy()[gone_before(x, p, threshold)] if len(x) and len(p) else []}, dtype=object)
 
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(pair, "key string").distinct()
 
 
+def byte_similar(memories: DataFrame, threshold: float = 0.95, block: int = BYTE_BLOCK, judges: int = JUDGES) -> DataFrame:
+    """key: the less important row of each pair of memories in the same or the next 100-byte length bucket whose bytes are alike; of equals the second goes.
+
+    Alike is the share of the first text's bytes that occur anywhere in the second, of the longer length, less 0.3 of the
+    relative difference in length, and above threshold. First is the lower bucket, then the lower key. A row goes if
+    one other row outdoes it, so a bucket's most important rows are asked first, which takes time in proportion to
+    the rows; only what they leave meets all rows of its buckets, in blocks. Texts alike are many and mostly go in the
+    first step; a bucket whose texts are all unlike still costs every pair.
+    """
+    rows = materialize(memories.select("key", "importance", F.floor(F.octet_length("value") / 100).alias("b"), _byte_counts(F.col("value")).alias("c")), "byte-counts")
+    nth = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("importance"), "key"))
+    best = rows.withColumn("_nth", nth).filter(F.col("_nth") <= judges).drop("_nth")
+    gone = materialize(_meet(rows, best, threshold, block), "outdone")
+    left = materialize(rows.join(gone, "key", "left_anti"), "not-outdone")
+    return gone.unionByName(_meet(left, rows, threshold, block))
+
+
 def deduplicate_whole(memories: DataFrame, vectors: DataFrame) -> DataFrame:
     """The whole cascade: exact content, normalized content, vectors(key, embedding) of cosine above 0.95, bytes alike above 0.95, cluster keys."""
     m = first_of(memories, F.col("value"), F.asc("key"))

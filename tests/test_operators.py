@@ -208,3 +208,27 @@ def test_cheapest_paths_around_and_over_nodes(spark):
     odd = spark.createDataFrame([('x"<', "y&", "r", 1.0)], "src string, dst string, rel_type string, strength double")
     assert [r.line for r in P.graph_lines(odd, "gexf").filter("part = 2").collect()] == ['<edge source="x&quot;&lt;" target="y&amp;" label="r"/>']
     assert [r.line for r in P.graph_lines(odd, "dot").orderBy("part").collect()] == ["digraph memories {", '"x\\"<" -> "y&" [label="r"];', "}"]
+
+
+@pytest.mark.parametrize("judges, block", [(1, 7), (3, 2048)])
+def test_byte_similar_meets_every_pair(spark, judges, block):
+    import random
+
+    rng = random.Random(6)
+    letters = ["abcdefgh", "abcdefghijklmnop", "qrstuvwxyz", "0123456789", "äöüß"]
+    texts = ["".join(rng.choice(rng.choice(letters) if i % 3 else letters[i % 5]) for _ in range(rng.choice([0, 3, 90, 99, 100, 101, 150, 199, 205, 330]))) for i in range(160)]
+    rows = [(f"k{i:03d}", t, rng.randint(0, 5) / 5) for i, t in enumerate(texts)]
+    gone = set()
+    for a, ta, ia in rows:
+        for b, tb, ib in rows:
+            x, y = ta.encode(), tb.encode()
+            bx, by = len(x) // 100, len(y) // 100
+            if (bx, a) < (by, b) and by - bx <= 1:
+                longest = max(len(x), len(y), 1)
+                score = sum(c in set(y) for c in x) / longest * (1 - abs(len(x) - len(y)) / longest * 0.3)
+                if score > 0.95 and min(len(x), len(y)) / longest >= 0.5:
+                    gone.add(a if ia < ib else b)
+    m = spark.createDataFrame(rows, "key string, value string, importance double").repartition(3)
+    got = [r.key for r in M.byte_similar(m, block=block, judges=judges).collect()]
+    assert sorted(got) == sorted(gone) and 10 < len(gone) < 150
+    assert M.byte_similar(m.limit(0)).collect() == []
