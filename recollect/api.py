@@ -40,6 +40,19 @@ class Memory:
         self.memories = self.memories.store(row)
         return key
 
+    def remember_all(self, texts: DataFrame, at: datetime, importance: float = 0.5) -> DataFrame:
+        """Stores every text of texts(value, and key, tags, if it has them) as remember() does one; returns the keys. Null and empty texts are left out; of rows that share a key the least text counts."""
+        if not 0 <= importance <= 1:
+            raise ValueError("importance lies between 0 and 1")
+        have = lambda c, other: F.coalesce(F.col(c), other) if c in texts.columns else other
+        named = F.concat(F.lit("memory-"), F.substring(F.sha2("value", 256), 1, 16))
+        rows = texts.filter("value <> ''").select(have("key", named).alias("key"), "value", have("tags", F.array().cast("array<string>")).alias("tags"))
+        rows = rows.groupBy("key").agg(F.min(F.struct("value", "tags")).alias("r")).select(
+            "key", "r.value", F.lit("ShortTerm").alias("memory_type"), *(F.lit(at).cast("timestamp_ntz").alias(c) for c in ("created_at", "last_accessed")), F.lit(0).cast("long").alias("access_count"),
+            "r.tags", F.create_map().cast("map<string,string>").alias("custom_fields"), F.lit(float(importance)).alias("importance"), F.lit(1.0).alias("confidence"))
+        self.memories = self.memories.store(rows)
+        return rows.select("key")
+
     def recall(self, queries: list[tuple[str, str]], as_of: datetime, k: int = 10, query_vectors: dict[str, str] | None = None, exclude: tuple[str, ...] = (SUPERSEDED, RAW_SOURCE)) -> DataFrame:
         """The k best memories of each question, then without those marked: fewer may be left, as marks are looked at last."""
         if any(not q.strip() for _, q in queries) or not 1 <= k <= 10_000:

@@ -1,9 +1,10 @@
 """Queries of the statement language, profiles, stores, streams, learning and facts."""
 import uuid
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from recollect.api import without_marked
+from recollect.api import Memory, without_marked
 from recollect.functions import decay as D
 from recollect.functions import facts as N
 from recollect.functions import text as T
@@ -15,7 +16,7 @@ from recollect.operators.statements import Statements
 from recollect.plans.registry import query
 from recollect.session import shared_folder
 from recollect.sources import store as K
-from recollect.sources.tables import EDGES, MEMORIES, edges, hours_since, hours_sql, memories, spread, table, vectors
+from recollect.sources.tables import AS_OF, EDGES, MEMORIES, edges, hours_since, hours_sql, memories, spread, table, vectors
 from recollect.streaming import events as E
 
 
@@ -344,3 +345,31 @@ def transposed(spark, sf_dir):
     """The matrix on its side, cell by cell; each of its rows summed up."""
     cells = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
     return cells.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("x"), 9).alias("least"), F.round(F.max("x"), 9).alias("most"))
+
+
+# a client
+
+
+def _client(spark, sf_dir):
+    return Memory(spark, memories(spark, sf_dir), vectors(spark, sf_dir).select("key", "embedding"))
+
+
+@query(f"""WITH {MEMORIES}, n AS (SELECT 'memory-' || substr(sha256(text), 1, 16) AS key, min(text) AS value FROM benchmark WHERE text <> '' GROUP BY 1)
+SELECT key, strlen(value) AS bytes, memory_type, importance FROM mem WHERE key NOT IN (SELECT key FROM n) UNION ALL SELECT key, strlen(value), 'ShortTerm', 0.5 FROM n""")
+def remembered(spark, sf_dir):
+    """The store after the passages of another table are remembered in it, each under a key that follows from its text."""
+    m = _client(spark, sf_dir)
+    m.remember_all(table(spark, sf_dir, "benchmark").select(F.col("text").alias("value")), datetime.fromisoformat(AS_OF))
+    return m.memories.rows.select("key", F.octet_length("value").cast("long").alias("bytes"), "memory_type", "importance")
+
+
+_HOURS_IDLE = f"(date_diff('second', last_accessed, TIMESTAMP '2024-12-20') / 3600::DOUBLE)"
+
+
+@query(f"""WITH {MEMORIES}, s AS (SELECT key, greatest(0.001, least(0.999, exp(-ln(2) * {_HOURS_IDLE} / (24 * (1 + 2 * importance))))) * (0.5 + 0.5 * exp(-{_HOURS_IDLE} / 24)) * least(1 + 0.25 * ln(1 + access_count), 2) AS strength FROM mem)
+SELECT key, strength < 0.1 AS forgotten, round(strength, 9) AS strength FROM s WHERE strength < 0.1 UNION ALL SELECT key, false, NULL FROM s WHERE strength >= 0.1""")
+def forgotten(spark, sf_dir):
+    """What a client forgets by the end of a year for want of strength, and what is left in its store."""
+    m = _client(spark, sf_dir)
+    gone = m.forget(datetime(2024, 12, 20))
+    return gone.select("key", F.lit(True).alias("forgotten"), F.round("strength", 9).alias("strength")).unionByName(m.memories.rows.select("key", F.lit(False).alias("forgotten"), F.lit(None).cast("double").alias("strength")))

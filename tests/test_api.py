@@ -23,3 +23,19 @@ def test_a_clients_round(spark):
     for bad in (lambda: m.remember("", t), lambda: m.remember("x", t, importance=2.0), lambda: m.recall([("q", " ")], t), lambda: m.recall([("q", "x")], t, k=0), lambda: m.forget(t, 2.0)):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_many_texts_are_remembered_as_one_by_one(spark):
+    t = datetime(2024, 5, 1)
+    one, many = Memory(spark), Memory(spark)
+    texts = ["the lighthouse keeper likes tea", "an old harbour", "an old harbour"]
+    for x in texts:
+        one.remember(x, t)
+    keys = many.remember_all(spark.createDataFrame([(x, "clash") for x in [*texts, "", None]], "value string, importance string"), t)
+    rows = lambda m: sorted(m.memories.rows.select("key", "value", "memory_type", "created_at", "access_count", "importance", "confidence").collect())
+    assert rows(one) == rows(many) and sorted(r.key for r in keys.collect()) == [r.key for r in rows(many)]
+    named = spark.createDataFrame([("k", "b", ["x"]), ("k", "a", ["y"])], "key string, value string, tags array<string>")
+    many.remember_all(named, t, 0.9)
+    assert [(r.value, r.tags, r.importance) for r in many.memories.rows.filter("key = 'k'").collect()] == [("a", ["y"], 0.9)]
+    with pytest.raises(ValueError):
+        many.remember_all(named, t, 2.0)
