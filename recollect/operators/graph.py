@@ -1,9 +1,10 @@
 """Graph operators over edges(src, dst, rel_type, strength, confidence, valid_from, valid_to)."""
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recollect.operators.vector_index import MOST_CELLS, fit_cells, nearest_cells
 from recollect.session import materialize
 
 #: Fixed weights of relation types, and what each hop leaves of a strength.
@@ -131,33 +132,105 @@ def near_in_time(nodes: DataFrame, hours: float, weight: float = 0.7) -> DataFra
     return p.select(F.col("key").alias("a"), "b", F.round((1 - F.floor(F.abs(F.col("s") - F.col("s2")) / 60) / (60 * hours)) * weight, 9).alias("confidence"))
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, block: int = 4096) -> DataFrame:
+def _near_cells(centers: np.ndarray, radius: np.ndarray, reach: float) -> list[list[int]]:
+    """For each cell the cells, itself and those after it, whose points may lie within reach of its own."""
+    out = []
+    for i, c in enumerate(centers):
+        far = np.sqrt(((centers[i:] - c) ** 2).sum(1)) - radius[i] - radius[i:]
+        out.append((np.flatnonzero(far <= reach) + i).tolist())
+    return out
+
+
+def _placed(vectors: DataFrame, parts: int, threshold: float, sample: int) -> tuple[DataFrame, list[list[int]]]:
+    """key, e, i of vectors(key, e): the cell of each, and for each cell those that any pair at the threshold may join it to.
+
+    Cells are fitted on at most `sample` unit vectors, those of least hash; every row is placed, and a cell's radius is that
+    of all its rows. Of a zero vector, which is like nothing, the cell doesn't matter.
+    """
+    unit = lambda x: np.divide(x, n := np.linalg.norm(x, axis=1, keepdims=True), out=np.zeros_like(x), where=n > 0)
+    some = vectors.filter(F.exists("e", lambda x: x != 0)).orderBy(F.xxhash64("key"), "key").limit(sample).select("e").toPandas()["e"]
+    points = unit(np.stack(list(some))) if len(some) else np.zeros((1, 1))
+    centers = fit_cells(points, min(parts, MOST_CELLS, len(points)), 5)
+    kind = dict(vectors.dtypes)["key"]
+
+    def place(batches):
+        for b in batches:
+            if b.num_rows:
+                x = unit(np.stack(b.column(1).to_numpy(zero_copy_only=False)))
+                near, d = nearest_cells(x, centers, 1)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near[:, 0].astype(np.int32)), pa.array(d[np.arange(len(x)), near[:, 0]])], ["key", "e", "i", "far"])
+
+    placed = materialize(vectors.mapInArrow(place, f"key {kind}, e array<double>, i int, far double"), "placed")
+    radius = np.full(len(centers), -1e9 if threshold > 0 else 0.0)
+    for r in placed.filter(F.exists("e", lambda x: x != 0)).groupBy("i").agg(F.max("far").alias("far")).collect():  # a row a cell
+        radius[r.i] = r.far
+    reach = max(0.0, 2 - 2 * threshold) ** 0.5 + 1e-6 if threshold > 0 else np.inf  # below, what is like nothing is near enough
+    return placed.select("key", "e", "i"), _near_cells(centers, radius, reach)
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, block: int = 4096, sample: int = 65_536) -> DataFrame:
     """a, b, similarity: pairs of vectors(key, embedding) with cosine at least threshold, a < b.
 
-    Blocks of rows meet each other block once as one matrix product a task; only pairs over the threshold leave it.
+    More rows than a block are placed in cells; two cells that lie farther apart than their radii and the threshold allow
+    never meet, so what is measured follows how the vectors cluster. Cells are cut into blocks by their own size, and two
+    blocks meet as one matrix product a task; only pairs over the threshold leave it.
     """
-    n = vectors.count()
-    parts = max(1, -(-n // block))
-    v = vectors.select("key", F.col("embedding").cast("array<double>").alias("e"), F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("i"))
-    left = v.select("key", "e", "i", F.explode(F.sequence(F.col("i"), F.lit(parts - 1))).alias("j"))
-    right = v.select(F.col("key").alias("key2"), F.col("e").alias("e2"), F.col("i").alias("j2"), F.explode(F.sequence(F.lit(0), F.col("i"))).alias("i2"))
-
-    def unit(s: pd.Series) -> np.ndarray:
-        x = np.stack(list(s))
+    v = vectors.select("key", F.col("embedding").cast("array<double>").alias("e")).filter("e IS NOT NULL")
+    parts = max(1, -(-v.count() // block))
+    if parts > 1:
+        v, near = _placed(v, parts, threshold, sample)
+        sizes = {r.i: r["count"] for r in v.groupBy("i").count().collect()}  # a row a cell
+        cuts = [max(1, -(-sizes.get(i, 0) // block)) for i in range(len(near))]
+        start = np.concatenate([[0], np.cumsum(cuts)]).tolist()  # blocks are numbered through, cell by cell
+        own = F.get(F.array(*(F.lit(int(x)) for x in start)), F.col("i")) + F.pmod(F.xxhash64("key"), F.get(F.array(*(F.lit(int(x)) for x in cuts)), F.col("i"))).cast("int")
+        v = v.select("key", "e", "i", own.alias("block"))
+        meets = [[k for j in near[i] for k in range(start[j], start[j + 1])] for i in range(len(near))]
+    else:
+        v, meets, start = v.select("key", "e", F.lit(0).alias("i"), F.lit(0).alias("block")), [[0]], [0, 1]
+    met: list[list[int]] = [[] for _ in range(start[-1])]  # of each block those before it that it meets
+    of = [i for i in range(len(meets)) for _ in range(start[i], start[i + 1])]
+    for b, i in enumerate(of):
+        for k in meets[i]:
+            if k >= b:
+                met[k].append(b)
+    ahead = [[k for k in meets[i] if k >= b] for b, i in enumerate(of)]
+    kind = dict(v.dtypes)["key"]
+
+    def dealt(lists: list[list[int]]):
+        def deal(batches):
+            for b in batches:
+                blocks = b.column(2).to_numpy()
+                take = np.repeat(np.arange(len(blocks)), [len(lists[x]) for x in blocks])
+                other = np.array([k for x in blocks for k in lists[x]], np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take)), b.column(1).take(pa.array(take)), b.column(2).take(pa.array(take)), pa.array(other)], ["key", "e", "block", "other"])
+
+        return deal
+
+    rows = v.select("key", "e", "block")
+    left = rows.mapInArrow(dealt(ahead), f"key {kind}, e array<double>, block int, other int").withColumnsRenamed({"block": "i", "other": "j"})
+    right = rows.mapInArrow(dealt(met), f"key {kind}, e array<double>, block int, other int").select(F.col("key").alias("key2"), F.col("e").alias("e2"), F.col("block").alias("j2"), F.col("other").alias("i2"))
+
+    key_type = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[kind]
+
+    def unit(column: pa.ChunkedArray) -> np.ndarray:
+        x = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
         size = np.linalg.norm(x, axis=1, keepdims=True)
         return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
-    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(a) and len(b):
-            x, y, ka, kb = unit(a["e"]), unit(b["e2"]), a["key"].to_numpy(), b["key2"].to_numpy()
-            same = a["i"].iloc[0] == b["j2"].iloc[0]
+    def pair(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = []
+        if a.num_rows and b.num_rows:
+            x, y = unit(a.column("e")), unit(b.column("e2"))
+            ka, kb = (t.column(c).to_numpy() for t, c in ((a, "key"), (b, "key2")))
+            same = a.column("i")[0].as_py() == b.column("j2")[0].as_py()
             for at in range(0, len(x), 512):
                 s = x[at : at + 512] @ y.T
                 p, q = np.nonzero(s >= threshold)
                 k, m, v = ka[at + p], kb[q], s[p, q]
                 keep = k < m if same else k != m
-                out.append(pd.DataFrame({"a": np.minimum(k, m)[keep], "b": np.maximum(k, m)[keep], "similarity": v[keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "similarity": []})
+                first = k < m
+                found.append((np.where(first, k, m)[keep], np.where(first, m, k)[keep], v[keep]))
+        column = lambda c, t: pa.array(np.concatenate(parts), t) if (parts := [f[c] for f in found if len(f[c])]) else pa.array([], t)
+        return pa.table([column(0, key_type), column(1, key_type), column(2, pa.float64())], ["a", "b", "similarity"])
 
-    return left.groupBy("i", "j").cogroup(right.groupBy("i2", "j2")).applyInPandas(pair, "a string, b string, similarity double")
+    return left.groupBy("i", "j").cogroup(right.groupBy("i2", "j2")).applyInArrow(pair, f"a {kind}, b {kind}, similarity double")
