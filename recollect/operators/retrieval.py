@@ -10,6 +10,7 @@ from recollect.functions import vectors as V
 from recollect.functions.decay import ebbinghaus
 from recollect.functions.facts import split_multi_part, temporal_range
 from recollect.functions.scores import graph_score
+from recollect.functions.similarity import string_similarity
 from recollect.operators.graph import relationship_strength, undirected
 from recollect.session import materialize
 from recollect.sources.tables import spread
@@ -128,6 +129,36 @@ def bm25_store(memories: DataFrame, queries: list[tuple[str, str]], k: int) -> D
     return top(s.groupBy("query_id", "key").agg(F.round(F.sum(part), 9).alias("score")), k, F.desc("score"), F.asc("key"))
 
 
+def search_pages(memories: DataFrame, queries: list[tuple[str, str]], where: Column, least: float, order: list[Column], offset: int, limit: int, links: DataFrame | None = None, alike: float | None = None) -> DataFrame:
+    """query_id, rank, key, relevance (and related): a page of each query's results, in one call.
+
+    relevance is how many of the query's words (repeats counting) a memory has among its own, of all of them; with `alike`,
+    a word of the store whose string similarity to the query's is that or more counts by it, too. Then `where` filters, as does
+    `least` relevance; `order` (ties by key) ranks what is left, and the page is its rows offset + 1 to offset + limit. links
+    adds how many memories each result is linked with. Words are measured once each, not once a memory.
+    """
+    words = F.array_distinct(T.words(F.lower("value")))
+    asked = {i: q.lower().split() for i, q in queries if q.split()}
+    known = memories.sparkSession.range(1).select(F.expr("explode(array(" + ", ".join(f"named_struct('query_id', {quoted(i)}, 'word', {quoted(w)}, 'n', {ws.count(w)}, 'of', {len(ws)})" for i, ws in asked.items() for w in dict.fromkeys(ws)) + "))").alias("a")).select("a.*") if asked else None
+    if known is None:
+        return memories.select(F.lit("").alias("query_id"), F.lit(0).alias("rank"), "key", F.lit(0.0).alias("relevance")).limit(0)
+    held = memories.filter(where).select("key", F.explode(words).alias("word"))
+    hits = held.join(F.broadcast(known), "word").select("query_id", "key", "of", F.col("n").cast("double").alias("score"))
+    if alike is not None:
+        store = held.select("word").distinct()
+        near = store.join(F.broadcast(known.withColumnRenamed("word", "asked")), F.col("word") != F.col("asked"))  # as many rows a word as are asked for
+        near = near.withColumn("s", string_similarity(F.col("asked"), F.col("word"))).filter(F.col("s") >= alike)
+        hits = hits.unionByName(held.join(near, "word").select("query_id", "key", "of", (F.col("n") * F.col("s")).alias("score")))
+    scored = hits.groupBy("query_id", "key").agg(F.round(F.sum("score") / F.first("of"), 9).alias("relevance")).filter(F.col("relevance") >= least)
+    rest = memories.drop("value")
+    page = top(scored.join(rest, "key"), offset + limit, *order, F.asc("key")).filter(F.col("rank") > offset)
+    out = page.select("query_id", "rank", "key", "relevance")
+    if links is None:
+        return out
+    n = undirected(links.select("src", "dst")).distinct().groupBy(F.col("node").alias("key")).agg(F.count(F.lit(1)).alias("related"))
+    return out.join(n, "key", "left").select("query_id", "rank", "key", "relevance", F.coalesce("related", F.lit(0)).alias("related"))
+
+
 def temporal_score(days: Column, accesses: Column) -> Column:
     return 0.6 * F.exp(-days / 30.0) + 0.4 * (accesses / (accesses + 10.0))
 

@@ -60,6 +60,27 @@ def bm25_store(spark, sf_dir):
     return R.bm25_store(spread(memories(spark, sf_dir)), QUERIES, 50)
 
 
+_PAGED = [("s1", "Apache license the"), ("s2", "the token the"), ("s3", "der die und"), ("s4", "zzzz nothing")]
+
+
+@query(f"""WITH {MEMORIES}, {MEMORY_LINKS}, qs(query_id, query) AS (VALUES {", ".join(f"('{i}', '{q}')" for i, q in _PAGED)}), a AS (SELECT query_id, unnest(string_split(lower(query), ' ')) AS word FROM qs),
+w AS (SELECT DISTINCT key, importance, unnest(list_filter(regexp_split_to_array(lower(value), '\\s+'), lambda t: t <> '')) AS word FROM mem WHERE importance >= 0.2 AND memory_type = 'ShortTerm'),
+s AS (SELECT query_id, key, any_value(importance) AS importance, round(count(*) / (SELECT count(*) FROM a x WHERE x.query_id = a.query_id)::DOUBLE, 9) AS relevance FROM w JOIN a USING (word) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, importance DESC, key) AS rank FROM s WHERE relevance >= 0.5),
+n AS (SELECT node AS key, count(DISTINCT other) AS related FROM (SELECT src AS node, dst AS other FROM links UNION ALL SELECT dst, src FROM links) GROUP BY 1)
+SELECT query_id, rank, key, relevance, coalesce(related, 0) AS related FROM r LEFT JOIN n USING (key) WHERE rank BETWEEN 6 AND 25""")
+def search_pages(spark, sf_dir):
+    """Words, filters, a least relevance, an order and a page in one call, for several queries at once."""
+    where = (F.col("importance") >= 0.2) & (F.col("memory_type") == "ShortTerm")
+    return R.search_pages(spread(memories(spark, sf_dir)), _PAGED, where, 0.5, [F.desc("relevance"), F.desc("importance")], 5, 20, memory_links(spark, sf_dir))
+
+
+@query()
+def search_pages_fuzzy(spark, sf_dir):
+    """The same with words that are merely alike, from a similarity of 0.8."""
+    return R.search_pages(spread(memories(spark, sf_dir)), [("s1", "Apache licence"), ("s2", "tokens pasword")], F.lit(True), 0.3, [F.desc("relevance"), F.desc("importance")], 0, 20, alike=0.8)
+
+
 #: Questions of several parts, and of a time, besides the plain queries; and the rows whose vectors stand for theirs.
 _QUESTIONS = [*QUERIES, ("q6", "which license and what version"), ("q7", "spring 2024 token")]
 _QV = {"q1": "1", "q2": "2", "q3": "3", "q4": "4", "q6": "6", "q7": "7"}

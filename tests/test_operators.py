@@ -232,3 +232,16 @@ def test_byte_similar_meets_every_pair(spark, judges, block):
     got = [r.key for r in M.byte_similar(m, block=block, judges=judges).collect()]
     assert sorted(got) == sorted(gone) and 10 < len(gone) < 150
     assert M.byte_similar(m.limit(0)).collect() == []
+
+
+def test_pages_of_a_search_with_words_filters_and_likeness(spark):
+    rows = [("a", "Red fox jumps", 0.9), ("b", "red red fox", 0.5), ("c", "a foxx jumped", 0.8), ("d", "fox", 0.1), ("e", None, 0.9), ("f", "", 0.9), ("g", "fox red jumps", 0.9)]
+    m = spark.createDataFrame(rows, "key string, value string, importance double")
+    page = lambda offset, limit, **how: [(r.query_id, r["rank"], r.key, r.relevance) for r in R.search_pages(m, [("q", "red fox fox"), ("none", "  ")], F.col("importance") > 0.2, 0.3, [F.desc("relevance")], offset, limit, **how).orderBy("query_id", "rank").collect()]
+    assert page(0, 10) == [("q", 1, "a", 1.0), ("q", 2, "b", 1.0), ("q", 3, "g", 1.0)]
+    assert page(1, 1) == [("q", 2, "b", 1.0)] and page(5, 5) == []
+    fuzzy = page(0, 10, alike=0.5)
+    assert [k for _, _, k, _ in fuzzy] == ["a", "b", "g", "c"] and 0.3 <= fuzzy[-1][3] < 0.67
+    links = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a")], "src string, dst string")
+    assert {r.key: r.related for r in R.search_pages(m, [("q", "fox")], F.lit(True), 0.5, [F.asc("importance")], 0, 9, links).collect()} == {"a": 2, "b": 1, "d": 0, "g": 0}
+    assert R.search_pages(m, [("q", " ")], F.lit(True), 0.5, [F.asc("importance")], 0, 9).collect() == []
