@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recollect.llm.samples import packed_bytes
 from recollect.operators.components import connected_components
 from recollect.session import materialize
 
@@ -106,8 +107,8 @@ def sketch_log2(documents: DataFrame) -> tuple[int, int]:
 def sketch_counts(documents: DataFrame, words: int = WORDS) -> np.ndarray:
     """How many documents' n-grams fall in each of 2**k cells, over all documents, as bytes: eight times the binary logarithm.
 
-    A number of rows that MOST_LOG2 bounds meets on the driver. With cells beyond the least size tasks are merged, for
-    each task sends every cell that it hits.
+    The bytes are put together in tasks, so 2**MOST_LOG2 of them at most meet on the driver, and no rows of cells. With
+    cells beyond the least size tasks are merged, for each task sends every cell that it hits.
     """
     log2, tasks = sketch_log2(documents)
 
@@ -125,10 +126,8 @@ def sketch_counts(documents: DataFrame, words: int = WORDS) -> np.ndarray:
     if log2 > LEAST_LOG2:
         texts = texts.coalesce(tasks)
     level = F.least(F.lit(255), F.round(8 * F.log2(F.sum("n") + 1))).cast("short")
-    found = texts.mapInArrow(count, "cell int, n long").groupBy("cell").agg(level.alias("level")).toPandas()
-    out = np.zeros(1 << log2, np.uint8)
-    out[found["cell"].to_numpy(np.int64)] = found["level"].to_numpy(np.uint8)
-    return out
+    found = texts.mapInArrow(count, "cell int, n long").groupBy("cell").agg(level.alias("level"))
+    return np.frombuffer(packed_bytes(found, "cell", "level", 1 << log2), np.uint8)
 
 
 def prefixes(documents: DataFrame, counts: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

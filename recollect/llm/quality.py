@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm.ngram_join import _BYTE, Powers, _mix
-from recollect.llm.samples import global_rank, labelled_sample
+from recollect.llm.samples import global_rank, labelled_sample, packed_bytes
 
 #: Cells of the models: hashed words, hashed pairs of neighbouring words, and pairs of neighbouring word shapes.
 WORDS, PAIRS, SHAPES = 1 << 16, 1 << 16, 1 << 16
@@ -96,10 +96,8 @@ def raw_counts(documents: DataFrame) -> np.ndarray:
         hit = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), pa.array(cells[hit])], ["cell", "n"])
 
-    found = documents.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(CELLS, np.int64)
-    out[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    return out
+    found = documents.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return np.frombuffer(packed_bytes(found, "cell", "n", CELLS, "i8"), np.int64)
 
 
 def cut_between(good: list[float], bad: list[float], cost: float = COST) -> float:

@@ -146,3 +146,21 @@ def test_a_folder_of_this_machine_is_refused_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.shared_folder(Away)
+
+
+def test_count_vectors_reach_the_driver_as_bytes_and_not_as_rows(spark, monkeypatch):
+    import numpy as np
+
+    from recollect.llm import ngram_join, quality
+    from recollect.llm.ngram_join import Powers, ngram_hashes
+
+    texts = ["one two three four five six", "one two three four nine", None, "", "seven eight " * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "toPandas", lambda self: pytest.fail("rows of cells are collected"))
+    monkeypatch.setattr(ngram_join, "sketch_log2", lambda d: (18, 1))
+    cells = np.zeros(1 << 18, int)
+    for t in texts:
+        np.add.at(cells, (ngram_hashes(t, Powers()) >> np.uint64(46)).astype(int), 1)
+    assert (ngram_join.sketch_counts(docs) == np.round(8 * np.log2(cells + 1))).all()
+    want = sum(np.bincount(quality.features(t, Powers()), minlength=quality.CELLS) for t in texts)
+    assert (quality.raw_counts(docs) == want).all()
