@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.llm.samples import packed_bytes
+from recollect.operators.cells import packed_bytes
 from recollect.operators.components import connected_components
 from recollect.session import materialize
 

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm.ngram_join import _BYTE, Powers, _mix
-from recollect.llm.samples import global_rank, labelled_sample, packed_bytes
+from recollect.llm.samples import global_rank, labelled_sample
+from recollect.operators.cells import packed_bytes
 
 #: Cells of the models: hashed words, hashed pairs of neighbouring words, and pairs of neighbouring word shapes.
 WORDS, PAIRS, SHAPES = 1 << 16, 1 << 16, 1 << 16
