@@ -114,12 +114,12 @@ def like(memories: DataFrame, reference: str) -> DataFrame:
 
 
 def filter_like(found: DataFrame, memories: DataFrame, reference: str, least: float | None = None, most_distant: int | None = None) -> DataFrame:
-    """Rows of found(key, ..) that are like enough, or near enough, to a reference; all of them if the store does not hold it."""
+    """Rows of found(key, ..) that are like enough (to nine places), or near enough, to a reference; all of them if the store does not hold it."""
     if memories.filter(F.col("key") == reference).isEmpty():
         return found
     near = like(memories, reference)
     if least is not None:
-        near = near.filter(F.col("similarity") >= least)
+        near = near.filter(F.round("similarity", 9) >= least)
     if most_distant is not None:
         near = near.filter(F.col("distance") <= most_distant)
     return found.join(near.select("key"), "key", "left_semi")

@@ -286,7 +286,7 @@ lk AS (SELECT key, 0.3 * content + 0.25 * tag + 0.15 * (0.4 * greatest(0, 1 - d)
 
 @query()
 def likeness_to_one(spark, sf_dir):
-    """Likeness of every memory to one of them, and its distance from 1 to 5. No SQL: DuckDB's string measure halves an odd number of swapped letters downwards."""
+    """Likeness of every memory to one of them, and its distance from 1 to 5."""
     return K.like(spread(memories(spark, sf_dir)), "100").select("key", F.round("similarity", 7).alias("similarity"), "distance")
 
 

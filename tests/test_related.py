@@ -124,3 +124,11 @@ def test_fuzzy_words_lose_none(spark):
     got = {r.word: r.hits for r in K.fuzzy_matches(spark.createDataFrame([(w,) for w in set(vocabulary)], "word string"), words).collect()}
     want = {v: [i for i, w in enumerate(words) if jaro_winkler(w, v) > 0.8] for v in set(vocabulary)}
     assert got == {v: h for v, h in want.items() if h}
+
+
+def test_letters_out_of_place_count_half_rounded_down():
+    duckdb = pytest.importorskip("duckdb")
+    for a, b in [("andonthorble", "ononatre."), ("andonthorble", "antionhe"), ("martha", "marhta"), ("dwayne", "duane")]:
+        jaro = duckdb.sql(f"SELECT jaro_similarity('{a}', '{b}')").fetchall()[0][0]
+        common = next((i for i in range(4) if a[i] != b[i]), 4)
+        assert jaro_winkler(a, b) == pytest.approx(jaro + 0.1 * common * (1 - jaro), abs=1e-12)
