@@ -16,11 +16,14 @@ def telling_sentences(sentences: DataFrame, keep: int) -> DataFrame:
     score is the mean over a sentence's words of ln(sentences / sentences that hold the word). A sentence that repeats in
     a node counts once there; ties go to the lesser sentence.
     """
-    s = materialize(sentences.filter(F.octet_length("sentence").between(SHORTEST, LONGEST)).distinct(), "sentences")
-    words = s.select("node", "sentence", F.explode(T.scan_tokens(F.col("sentence"))).alias("w"))
+    s = sentences.filter(F.octet_length("sentence").between(SHORTEST, LONGEST)).distinct()
+    # a sentence's words carry 128 bits of it, not its text
+    s = materialize(s.withColumn("id", F.unhex(F.md5(F.concat_ws("\0", "node", "sentence")))), "sentences")
+    words = s.select("id", F.explode(T.scan_tokens(F.col("sentence"))).alias("w"))
     df = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     total = F.broadcast(s.agg(F.count(F.lit(1)).alias("all")))  # one row
-    scored = words.join(df, "w").join(total).groupBy("node", "sentence").agg(F.round(F.avg(F.log(F.col("all") / F.col("df"))), 9).alias("score"))
+    scored = words.join(df, "w").join(total).groupBy("id").agg(F.round(F.avg(F.log(F.col("all") / F.col("df"))), 9).alias("score"))
+    scored = scored.join(s, "id")
     nth = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("score"), "sentence"))
     return scored.withColumn("rank", nth).filter(F.col("rank") <= keep).select("node", "rank", "sentence", "score")
 

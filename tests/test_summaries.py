@@ -43,3 +43,15 @@ def test_places_in_sections_go_on_over_ranges(spark):
         got.setdefault(r.section, []).append((r.pos, r.at))
     assert {s: [p for p, _ in sorted(v)] for s, v in got.items()} == {s: list(range(1, len(v) + 1)) for s, v in got.items()}
     assert all([a for _, a in sorted(v)] == sorted(a for _, a in v) for v in got.values()) and len(got["hot"]) == 450
+
+
+def test_words_do_not_carry_their_sentences(spark):
+    from recollect.operators.management import key_points
+    from recollect.operators.summaries import telling_sentences
+
+    m = spark.createDataFrame([("a", "A first sentence of fitting length. A second sentence of fitting length."), ("b", "Short one here. A first sentence of fitting length.")], "key string, value string")
+    s = m.selectExpr("key AS node", "explode(split(value, '[.] ?')) AS sentence")
+    for found in (key_points(m), telling_sentences(s, 2)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert not [x for x in plan.splitlines() if "Aggregate" in x and "sentence" in x.split("Aggregate", 1)[1]]
+        assert found.count() == 3
