@@ -2,6 +2,7 @@
 import math
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -258,3 +259,20 @@ def test_pages_of_a_search_with_words_filters_and_likeness(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a")], "src string, dst string")
     assert {r.key: r.related for r in R.search_pages(m, [("q", "fox")], F.lit(True), 0.5, [F.asc("importance")], 0, 9, links).collect()} == {"a": 2, "b": 1, "d": 0, "g": 0}
     assert R.search_pages(m, [("q", " ")], F.lit(True), 0.5, [F.asc("importance")], 0, 9).collect() == []
+
+
+def test_collaborators_in_blocks_meet_all_pairs(spark, monkeypatch):
+    from recollect.operators import context as C
+
+    for name, n in (("BLOCK", 7), ("STRIP", 3), ("WIDTH", 5)):
+        monkeypatch.setattr(C, name, n)
+    rng = np.random.default_rng(3)
+    sets = {f"u{k:02}": {f"i{x}" for x in rng.choice(14, rng.integers(1, 12), replace=False)} for k in range(40)}
+    rows = [(u, i) for u, s in sets.items() for i in s for _ in range(2)] + [("u01", None), (None, "i1")]
+    got = [(r.a, r.b, r.score) for r in C.collaborators(spark.createDataFrame(rows, "user_id string, item string")).collect()]
+    want = [(a, b, len(sets[a] & sets[b]) / max(len(sets[a]), len(sets[b]))) for a in sets for b in sets if a < b]
+    assert sorted(got) == sorted(w for w in want if w[2] > 0.5)
+    assert C.collaborators(spark.createDataFrame([], "user_id long, item string")).collect() == []
+    # every two users share an item that all hold: no pair of candidates is exchanged
+    plan = C.collaborators(spark.createDataFrame([(k, "hot") for k in range(30)], "user_id long, item string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "FlatMapGroupsInArrow" in plan
