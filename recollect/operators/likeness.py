@@ -21,30 +21,52 @@ DISTANCE = (0.3, 0.25, 0.2, 0.15, 0.1)
 def fuzzy_matches(vocabulary: DataFrame, words: list[str], above: float = WORD) -> DataFrame:
     """word, hits: which of a few words each word of vocabulary(word) resembles, for those that resemble any.
 
-    A bound from lengths, common letters and common beginnings leaves few pairs to measure.
+    A bound from lengths, common letters and common beginnings leaves few pairs to measure. It is had for many words at once:
+    what two words have in common is the product of their rows of "holds this letter so many times".
     """
-    letters = sorted({c for w in words for c in w})
-    place = {c: i for i, c in enumerate(letters)}
-
-    def counts(w: str) -> np.ndarray:
-        out = np.zeros(len(letters))
-        for c, n in Counter(w).items():
-            if c in place:
-                out[place[c]] = n
+    most = Counter()
+    for w in words:
+        most |= Counter(w)
+    place = {c: i for i, c in enumerate((c, k) for c, n in sorted(most.items()) for k in range(1, n + 1))}
+
+    def letters(ws: list[str]) -> np.ndarray:
+        out = np.zeros((len(ws), len(place)), np.float32)
+        for i, w in enumerate(ws):
+            seen: dict[str, int] = {}
+            for c in w:
+                seen[c] = k = seen.get(c, 0) + 1
+                if (at := place.get((c, k))) is not None:
+                    out[i, at] = 1
         return out
 
-    table, lengths = np.array([counts(w) for w in words]).reshape(len(words), len(letters)), np.array([len(w) for w in words])
-    heads = [np.array([w[:k].ljust(k, "\0") for w in words]) for k in range(5)]
+    def heads(ws: list[str], end: int) -> np.ndarray:
+        return np.array([[ord(c) for c in w[:4]] + [end] * (4 - len(w[:4])) for w in ws], np.int32).reshape(len(ws), 4)
 
-    def one(w: str) -> list[int]:
-        m = np.minimum(table, counts(w)).sum(axis=1)
-        jaro = np.where(m > 0, (m / np.maximum(lengths, 1) + m / max(len(w), 1) + 1) / 3, 0)
-        common = sum((h == w[:k].ljust(k, "\1")).astype(int) for k, h in enumerate(heads) if k)
-        return [int(i) for i in np.flatnonzero(jaro + 0.1 * common * (1 - jaro) > above - 1e-9) if jaro_winkler(words[i], w) > above]
+    lengths = lambda ws: np.maximum(np.array([len(w) for w in ws], np.float32), 1)
+    table, own, begin = letters(words).T.copy(), lengths(words), heads(words, -1)
+
+    def bounded(ws: list[str]) -> np.ndarray:
+        m = letters(ws) @ table
+        jaro = np.where(m > 0, (m / own + m / lengths(ws)[:, None] + 1) / 3, 0)
+        common, same, theirs = np.zeros(m.shape, np.float32), np.ones(m.shape, bool), heads(ws, -2)
+        for k in range(4):
+            same &= theirs[:, k, None] == begin[None, :, k]
+            common += same
+        return jaro + np.float32(0.1) * common * (1 - jaro) > above - 1e-5
 
     @F.pandas_udf("array<int>")
     def hits(s: pd.Series) -> pd.Series:
-        return s.map(one)
+        out = []
+        for at in range(0, len(s), 1024):
+            ws = s.iloc[at : at + 1024].tolist()
+            found: list[list[int]] = [[] for _ in ws]
+            for i, j in np.argwhere(bounded(ws)).tolist():
+                if jaro_winkler(words[j], ws[i]) > above:
+                    found[i].append(j)
+            out += found
+        return pd.Series(out, index=s.index, dtype=object)
+
+    hits = hits.asNondeterministic()  # or the filter has it run a second time
 
     return vocabulary.select("word", hits("word").alias("hits")).filter(F.size("hits") > 0)
 
@@ -81,7 +103,8 @@ def like(memories: DataFrame, reference: str) -> DataFrame:
                         F.unix_seconds(F.col("created_at").cast("timestamp")).alias("c"), F.unix_seconds(F.col("last_accessed").cast("timestamp")).alias("a"))
     m = materialize(m, "likeness-rows")
     own = m.select("key", F.explode("w").alias("word"))
-    hits = fuzzy_matches(own.select("word").distinct(), words)
+    # both are written: the filter on a function of words would be moved before distinct(), and to the other side of the join, and measure every occurrence of a word
+    hits = materialize(fuzzy_matches(materialize(own.select("word").distinct(), "likeness-words"), words), "likeness-hits")
     fuzzy = own.join(hits, "word").select("key", F.explode("hits").alias("i")).groupBy("key").agg(F.count_distinct("i").alias("fuzzy"))
     m = m.join(fuzzy, "key", "left").withColumn("alike", _tag_matches(F.col("tags"), tags))
 

@@ -132,3 +132,19 @@ def test_letters_out_of_place_count_half_rounded_down():
         jaro = duckdb.sql(f"SELECT jaro_similarity('{a}', '{b}')").fetchall()[0][0]
         common = next((i for i in range(4) if a[i] != b[i]), 4)
         assert jaro_winkler(a, b) == pytest.approx(jaro + 0.1 * common * (1 - jaro), abs=1e-12)
+
+
+def test_likeness_measures_a_distinct_word_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(a, b, measure=K.jaro_winkler):
+        seen.add(1)
+        return measure(a, b)
+
+    m = spark.range(200).selectExpr("cast(id as string) AS key", "'lanterns harbour' AS value", "array('x') AS tags", "0.5D AS importance", "1L AS access_count", "timestamp_ntz'2024-01-01' AS created_at", "timestamp_ntz'2024-01-01' AS last_accessed")
+    whole, K.jaro_winkler = K.jaro_winkler, counted
+    try:
+        assert K.like(m, "5").count() == 200 and {r.similarity for r in K.like(m, "5").collect()} != set()
+    finally:
+        K.jaro_winkler = whole
+    assert 0 < seen.value < 60
