@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 SAMPLE, MOST_CELLS = 65_536, 4096
 #: Rows of a cell, and queries, that meet in one task.
 BLOCK = 8192
+#: Rows that are held against all centroids at once, and copies of queries in a batch that leaves a task.
+AT_ONCE, LEAVING = 256, 8192
 
 
 def fit_cells(points: np.ndarray, cells: int, rounds: int = 10) -> np.ndarray:
@@ -134,9 +136,11 @@ class VectorIndex:
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                near, d = nearest_cells(_matrix(b.column(1)), centers, 1) if b.num_rows else (np.zeros((0, 1), int), np.zeros((0, 1)))
-                far = np.take_along_axis(d, near, 1)[:, 0]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near[:, 0].astype(np.int32)), pa.array(far)], ["key", "v", "cell", "far"])
+                for at in range(0, b.num_rows, AT_ONCE):
+                    part = b.slice(at, AT_ONCE)
+                    near, d = nearest_cells(_matrix(part.column(1)), centers, 1)
+                    far = np.take_along_axis(d, near, 1)[:, 0]
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(near[:, 0].astype(np.int32)), pa.array(far)], ["key", "v", "cell", "far"])
 
         spread = F.pmod(F.xxhash64("key"), F.lit(64))  # a cell's rows are written by so many tasks at most
         placed = rows.mapInArrow(assign, f"key {self.kind}, v array<double>, cell int, far double").withColumn("batch", F.lit(batch))
@@ -207,18 +211,22 @@ class VectorIndex:
         kind = dict(q.dtypes)["query_id"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                near, d = nearest_cells(_matrix(b.column(1)), centers, probes) if b.num_rows else (np.zeros((0, 1), int), np.zeros((0, len(centers))))
-                if rest:
-                    bound = b.column(2).to_numpy(zero_copy_only=False).astype(float)
-                    reach = d - radius[None] <= np.where(np.isnan(bound), np.inf, bound * (1 + 1e-9) + 1e-6)[:, None]
-                    np.put_along_axis(reach, near, False, 1)
-                    reach[:, radius < 0] = False
-                    row, cell = np.nonzero(reach)
-                else:
-                    row, cell = np.repeat(np.arange(len(near)), near.shape[1]), near.ravel()
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(cell.astype(np.int32))], ["query_id", "query", "cell"])
+            # a query leaves as often as there are cells for it: neither its distances nor its copies are held for a whole batch
+            for whole in batches:
+                for first in range(0, whole.num_rows, AT_ONCE):
+                    b = whole.slice(first, AT_ONCE)
+                    near, d = nearest_cells(_matrix(b.column(1)), centers, probes)
+                    if rest:
+                        bound = b.column(2).to_numpy(zero_copy_only=False).astype(float)
+                        reach = d - radius[None] <= np.where(np.isnan(bound), np.inf, bound * (1 + 1e-9) + 1e-6)[:, None]
+                        np.put_along_axis(reach, near, False, 1)
+                        reach[:, radius < 0] = False
+                        row, cell = np.nonzero(reach)
+                    else:
+                        row, cell = np.repeat(np.arange(len(near)), near.shape[1]), near.ravel()
+                    for at in range(0, len(row), LEAVING):
+                        take = pa.array(row[at : at + LEAVING])
+                        yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(cell[at : at + LEAVING].astype(np.int32))], ["query_id", "query", "cell"])
 
         return q.mapInArrow(run, f"query_id {kind}, query array<double>, cell int")
 

@@ -100,3 +100,27 @@ def test_large_cells_and_many_queries_are_cut_into_blocks(spark, tmp_path, monke
     index = X.VectorIndex.build(table(spark, p), str(tmp_path / "index"), "euclidean", cells=3)
     got = found(index.search(table(spark, p).withColumnRenamed("key", "query_id"), k=4, probes=2, exact=True))
     assert got == brute(range(400), p, range(400), 4, "euclidean")
+
+
+def test_copies_of_queries_leave_in_small_batches(spark, tmp_path):
+    import pyarrow as pa
+
+    from recollect.operators import vector_index as X
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2000, 8))
+    index = X.VectorIndex.build(spark.createDataFrame(list(enumerate(x.tolist())), "key long, embedding array<double>"), str(tmp_path / "index"), "euclidean")
+
+    class Queries:
+        dtypes = [("query_id", "bigint")]
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    b = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(x.tolist()), pa.array([None] * 2000, pa.float64())], ["query_id", "query", "bound"])
+    cells = len(index.centers)
+    for rest, each in ((False, 3), (True, cells - 3)):
+        out = list(index._probed(Queries(), 3, np.ones(cells), rest=rest)(iter([b])))
+        assert sum(o.num_rows for o in out) == 2000 * each and max(o.num_rows for o in out) <= X.LEAVING
+        assert len({(q, c) for o in out for q, c in zip(o.column(0).to_pylist(), o.column(2).to_pylist(), strict=True)}) == 2000 * each
+        assert all(np.array_equal(o.column(1)[0].as_py(), x[o.column(0)[0].as_py()]) for o in out)
