@@ -100,7 +100,8 @@ def mix(documents: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BL
     placed = docs.join(buckets, ["sid", "bucket"]).select(
         F.struct("sid", "bucket", "nth").alias("row"), "sid", "doc_id", "source", "size", "source_size", "target", (F.col("before") + F.col("to") - F.col("size")).alias("at")
     )
-    slots = schedule(targets, block)
+    # narrow tables, written so that no plan grows large: the driver keeps a plan as often as its stages end
+    placed, slots = materialize(placed, "mix-placed"), materialize(schedule(targets, block), "mix-slots")
     lengths = slots.groupBy("sid").agg(F.max("n_slots").alias("n"))
     lengths = targets.join(lengths, "sid").select("sid", "n", F.floor(F.col("target") + 0.5).alias("len"))
     lengths = lengths.select("sid", "n", "len", F.expr("len div n").alias("base"), (F.col("len") % F.col("n")).alias("extra"))
@@ -140,6 +141,7 @@ def mixed_documents(documents: DataFrame, **how) -> DataFrame:
     # a row stands in one column, so that no name of its own can clash
     keyed = documents.select(key.alias("_mix_key"), F.struct(*own).alias("_row"))
     taken = taken_words(keyed.select(F.col("_mix_key").alias("doc_id"), "_row.text", "_row.source"), **how).groupBy(F.col("doc_id").alias("_mix_key")).agg(F.max("size").alias("_mix_size"), F.sum("taken").alias("_mix_taken"))
+    taken = materialize(taken, "mix-taken")
     rows = keyed.dropDuplicates(["_mix_key"]).join(taken.filter("_mix_taken > 0"), "_mix_key")
     size, all_words = F.col("_mix_size"), F.col("_mix_taken")
     rows = rows.withColumn("_mix_words", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.ceil(all_words / size)), lambda k: F.least(size, all_words - (k - 1) * size))))

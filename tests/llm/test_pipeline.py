@@ -164,3 +164,11 @@ def test_count_vectors_reach_the_driver_as_bytes_and_not_as_rows(spark, monkeypa
     assert (ngram_join.sketch_counts(docs) == np.round(8 * np.log2(cells + 1))).all()
     want = sum(np.bincount(quality.features(t, Powers()), minlength=quality.CELLS) for t in texts)
     assert (quality.raw_counts(docs) == want).all()
+
+
+def test_plan_of_the_mixture_stays_small(spark):
+    from recollect.llm import mixing
+
+    docs = spark.createDataFrame([(i, f"some words {i}", "en", f"s{i % 3}", 12) for i in range(30)], "doc_id long, text string, lang string, source string, n_chars long")
+    plan = mixing.mixed_documents(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") < 10
