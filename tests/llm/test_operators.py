@@ -372,6 +372,19 @@ def test_the_bound_before_the_search_changes_no_score():
     assert bounded == [model.score(t) for t in texts] and sum(s > 0.5 for s in bounded) >= 12
 
 
+def test_every_labelled_document_is_learned_from(spark, monkeypatch):
+    """A rare word of the last of many rows counts, tables teach what rows do, and counts handed on in parts add up."""
+    rows = [(i, words(30, i) + (" wretchface illwit" if i % 4 == 0 else "") + (" grumblesnout" if i % 4 == 0 and i > 8000 else ""), int(i % 4 == 0)) for i in range(9000)]
+    rows += [(i + 9000, t, y) for i, t, y in rows[:40]] + [(20000, "", 0)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t, _ in rows], DOCS)
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    learned = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    monkeypatch.setattr(toxicity, "COUNTED", 5000)
+    got, want = toxicity.learn(docs, labels), toxicity.fit(learned)
+    assert len([1 for _, y in learned if not y]) > 4000 and "=grumblesnout" in got.weights
+    assert got.weights == want.weights and got.prior == want.prior and got.lm.tri == want.lm.tri
+
+
 def test_long_decorative_lines_are_scored_soon(spark):
     docs, labels = _labelled(spark, 60)
     long = ["a" + "_-" * 100 + ",b", "_-" * 50_000, "a.b-" * 30_000 + ",x", "1a" * 60_000, "a " * 60_000 + "b,c", "w.r.e.t.c.h.f.a.c.e " + "=" * 100_000]
