@@ -166,6 +166,21 @@ def test_count_vectors_reach_the_driver_as_bytes_and_not_as_rows(spark, monkeypa
     assert (quality.raw_counts(docs) == want).all()
 
 
+def test_stages_hand_texts_to_python_in_small_batches(spark, folder):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.set(name, before)
+            stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+            assert spark.conf.get(name) == corpus_pipeline.BATCH_BYTES
+        spark.conf.set(name, "77m")
+        corpus_pipeline.run(spark, folder)
+        assert spark.conf.get(name) == "77m"
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_plan_of_the_mixture_stays_small(spark):
     from recollect.llm import mixing
 
