@@ -1,5 +1,6 @@
 """Groups, counts and scores beside plain versions."""
 import math
+import time
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -80,6 +81,16 @@ def test_scores_of_odd_input(spark):
     assert r.bytes == 0.5  # the first of their two bytes is one
 
 
+def test_entropy_of_many_kinds_of_characters_is_soon_told(spark):
+    text = "".join(map(chr, range(0x4E00, 0x4E00 + 20_000))) * 2 + "\U0001f600" * 7
+    t = spark.createDataFrame([(text,), (None,), ("aaaa",)], "t string")
+    began = time.time()
+    got = [r.h for r in t.select(S.character_entropy(F.col("t")).alias("h")).collect()]
+    total = len(text.encode())
+    assert time.time() - began < 10
+    assert got[0] == pytest.approx(-(20_000 * 2 / total * math.log2(2 / total) + 7 / total * math.log2(7 / total)) / 8) and got[1:] == [None, 0.0]
+
+
 def test_replay_stops_at_the_first_that_is_not_due(spark):
     q = spark.createDataFrame([("a", 0.9, 1.0), ("b", 0.8, 5.0), ("c", 0.7, 1.0)], "key string, priority double, due double")
     assert [r.key for r in D.replay_batch(q, F.lit(2.0)).collect()] == ["a"]
