@@ -1,6 +1,9 @@
 """Graph operators over edges(src, dst, rel_type, strength, confidence, valid_from, valid_to)."""
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ from recollect.session import materialize
 #: Fixed weights of relation types, and what each hop leaves of a strength.
 TYPE_WEIGHTS = {"causes": 1.0, "caused_by": 1.0, "part_of": 0.9, "contains": 0.9, "semantic": 0.8, "depends_on": 0.8, "related_to": 0.7, "similar_to": 0.7, "temporal": 0.6, "references": 0.6, "contradicts": 0.3}
 OTHER_WEIGHT, HOP = 0.5, 0.8
+#: Copies of vectors that leave a task at once, and rows of a block whose likeness to another block's is held at once.
+COPIES, STRIP = 8192, 128
 MIN_CONFIDENCE = 0.6
 
 
@@ -196,41 +201,46 @@ def similar_pairs(vectors: DataFrame, threshold: float, block: int = 4096, sampl
     ahead = [[k for k in meets[i] if k >= b] for b, i in enumerate(of)]
     kind = dict(v.dtypes)["key"]
 
-    def dealt(lists: list[list[int]]):
-        def deal(batches):
-            for b in batches:
-                blocks = b.column(2).to_numpy()
-                take = np.repeat(np.arange(len(blocks)), [len(lists[x]) for x in blocks])
-                other = np.array([k for x in blocks for k in lists[x]], np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take)), b.column(1).take(pa.array(take)), b.column(2).take(pa.array(take)), pa.array(other)], ["key", "e", "block", "other"])
-
-        return deal
-
-    rows = v.select("key", "e", "block")
-    left = rows.mapInArrow(dealt(ahead), f"key {kind}, e array<double>, block int, other int").withColumnsRenamed({"block": "i", "other": "j"})
-    right = rows.mapInArrow(dealt(met), f"key {kind}, e array<double>, block int, other int").select(F.col("key").alias("key2"), F.col("e").alias("e2"), F.col("block").alias("j2"), F.col("other").alias("i2"))
-
     key_type = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[kind]
 
+    def deal(batches):
+        # the copies of a row grow with the blocks it meets: they leave in batches of one size
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                b = batch.slice(at, 1024)
+                blocks = b.column(2).to_numpy().tolist()
+                take = np.repeat(np.arange(len(blocks)), [len(ahead[x]) + len(met[x]) for x in blocks])
+                left = np.array([k for x in blocks for k in [x] * len(ahead[x]) + met[x]], np.int32)
+                right = np.array([k for x in blocks for k in ahead[x] + [x] * len(met[x])], np.int32)
+                second = np.array([k for x in blocks for k in [False] * len(ahead[x]) + [True] * len(met[x])], bool)
+                for k in range(0, len(take), COPIES):
+                    rows = pa.array(take[k : k + COPIES])
+                    columns = [b.column(0).take(rows), b.column(1).take(rows), *(pa.array(c[k : k + COPIES]) for c in (left, right, second))]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "e", "i", "j", "second"])
+
     def unit(column: pa.ChunkedArray) -> np.ndarray:
         x = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
         size = np.linalg.norm(x, axis=1, keepdims=True)
         return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
-    def pair(a: pa.Table, b: pa.Table) -> pa.Table:
-        found = []
-        if a.num_rows and b.num_rows:
-            x, y = unit(a.column("e")), unit(b.column("e2"))
-            ka, kb = (t.column(c).to_numpy() for t, c in ((a, "key"), (b, "key2")))
-            same = a.column("i")[0].as_py() == b.column("j2")[0].as_py()
-            for at in range(0, len(x), 512):
-                s = x[at : at + 512] @ y.T
-                p, q = np.nonzero(s >= threshold)
-                k, m, v = ka[at + p], kb[q], s[p, q]
-                keep = k < m if same else k != m
-                first = k < m
-                found.append((np.where(first, k, m)[keep], np.where(first, m, k)[keep], v[keep]))
-        column = lambda c, t: pa.array(np.concatenate(parts), t) if (parts := [f[c] for f in found if len(f[c])]) else pa.array([], t)
-        return pa.table([column(0, key_type), column(1, key_type), column(2, pa.float64())], ["a", "b", "similarity"])
-
-    return left.groupBy("i", "j").cogroup(right.groupBy("i2", "j2")).applyInArrow(pair, f"a {kind}, b {kind}, similarity double")
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        same = t.column("i")[0].as_py() == t.column("j")[0].as_py()
+        a, b = t.filter(pc.invert(t.column("second"))), t.filter(t.column("second"))
+        if not len(a) or not len(b):
+            return
+        x, y = unit(a.column("e")), unit(b.column("e"))
+        names, place = np.unique(np.concatenate([u.column("key").to_numpy() for u in (a, b)]), return_inverse=True)
+        names, ka, kb = pa.array(names, key_type), place[: len(x)], place[len(x) :]
+        del t, a, b
+        for at in range(0, len(x), STRIP):  # a strip's pairs leave before the next one's are found
+            s = x[at : at + STRIP] @ y.T
+            p, q = np.nonzero(s >= threshold)
+            k, m, v = ka[at + p], kb[q], s[p, q]
+            keep = k < m if same else k != m
+            k, m, v = k[keep], m[keep], v[keep]
+            if len(k):
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(np.minimum(k, m))), names.take(pa.array(np.maximum(k, m))), pa.array(v)], ["a", "b", "similarity"])
+
+    copies = v.select("key", "e", "block").mapInArrow(deal, f"key {kind}, e array<double>, i int, j int, second boolean")
+    return copies.groupBy("i", "j").applyInArrow(pair, f"a {kind}, b {kind}, similarity double")

@@ -1,5 +1,6 @@
 """Pairs of like vectors beside every pair, over one block and many, with vectors of no length and repeated ones."""
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from recollect.operators import graph as G
@@ -39,3 +40,14 @@ def test_cells_that_lie_far_apart_never_meet():
 
 def test_no_vectors_no_pairs(spark):
     assert G.similar_pairs(spark.createDataFrame([], "key string, embedding array<double>"), 0.5).collect() == []
+
+
+def test_pairs_and_copies_leave_in_small_batches(spark):
+    """Every vector is like every other, in many blocks: no batch holds more than a strip's pairs, or COPIES rows."""
+    v = spark.createDataFrame([(i, [1.0, i / 1e6]) for i in range(900)], "key long, embedding array<double>")
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches)
+    pairs = G.similar_pairs(v, 0.5, 300)
+    assert pairs.count() == 900 * 899 // 2
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "CoGroups" not in plan
+    assert max(r.n for r in pairs.mapInArrow(sizes, "n long").collect()) <= G.STRIP * 900
