@@ -1,5 +1,6 @@
 """Operators on small hand-made tables."""
 import math
+import time
 from datetime import datetime
 
 import numpy as np
@@ -12,6 +13,7 @@ from recollect.functions import similarity as Y
 from recollect.functions import text as T
 from recollect.functions import vectors as V
 from recollect.operators import analytics as A
+from recollect.operators import context as C
 from recollect.operators import graph as G
 from recollect.operators import learning as L
 from recollect.operators import management as M
@@ -276,3 +278,12 @@ def test_collaborators_in_blocks_meet_all_pairs(spark, monkeypatch):
     # every two users share an item that all hold: no pair of candidates is exchanged
     plan = C.collaborators(spark.createDataFrame([(k, "hot") for k in range(30)], "user_id long, item string"))._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "FlatMapGroupsInArrow" in plan
+
+
+def test_many_highlights_of_a_long_text_are_soon_found(spark):
+    text = "é The" * 6_000 + "x"
+    began = time.time()
+    rows = spark.createDataFrame([(text,), (None,), ("none",), ("",), ("tHe",)], "t string").select(C.highlights(F.col("t"), "the", 5).alias("h")).collect()
+    assert time.time() - began < 15
+    assert [tuple(x) for x in rows[0].h] == [(2 + 5 * i, text[max(2 + 5 * i - 5, 0) : 2 + 5 * i + 8]) for i in range(6_000)]
+    assert [[tuple(x) for x in r.h] for r in rows[1:]] == [[], [], [], [(0, "tHe")]]
