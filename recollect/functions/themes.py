@@ -1,4 +1,7 @@
 """Themes of a text by the words that speak of them."""
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,5 +35,6 @@ THEMES = {
 
 def themes(text: Column) -> Column:
     """array<string>: the themes a text speaks of, in the order above."""
-    low = F.lower(text)
-    return F.array_compact(F.array(*(F.when(F.greatest(*(F.contains(low, F.lit(w)) for w in words)), name) for name, words in THEMES.items())))
+    found = lambda low: F.array_compact(F.array(*(F.when(reduce(or_, (F.contains(low, F.lit(w)) for w in words)), name) for name, words in THEMES.items())))
+    # bound by transform, a text is lowered once, not once a word; of a theme's words the first that is found is enough
+    return F.transform(F.array(F.lower(text)), found)[0]
