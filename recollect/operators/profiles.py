@@ -3,6 +3,7 @@ import math
 import zlib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import UnivariateFeatureSelector, VarianceThresholdSelector, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from recollect.operators.analytics import laplace, running_counts
 MISSING_FROM, REPEATED_BELOW = 0.1, 0.1
 #: Compression is worth its keep below this ratio.
 WORTHWHILE = 0.85
+#: Compressed texts that leave a task at once.
+RESULTS = 256
 
 
 def column_counts(df: DataFrame) -> DataFrame:
@@ -52,11 +55,17 @@ def csv_profile(spark: SparkSession, path: str, delimiter: str = ",", header: bo
 def compressed(memories: DataFrame, level: int = 6) -> DataFrame:
     """key, original_size, compressed_size, ratio, data of the texts that zlib makes smaller than WORTHWHILE; others stay as they are and are left out."""
 
-    @F.pandas_udf("binary")
-    def squeeze(values: pd.Series) -> pd.Series:
-        return values.map(lambda t: zlib.compress(t.encode(), level) if t is not None else None)
+    kind = dict(memories.dtypes)["key"]
 
-    c = memories.select("key", F.octet_length("value").alias("original_size"), squeeze("value").alias("data"))
+    def squeeze(batches):
+        # texts are compressed where they lie, and few results are held at once
+        for batch in batches:
+            for at in range(0, batch.num_rows, RESULTS):
+                b = batch.slice(at, RESULTS)
+                data = [None if t is None else zlib.compress(t.as_buffer(), level) for t in (x if x.is_valid else None for x in b.column(2).cast(pa.binary()))]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(data, pa.binary())], ["key", "original_size", "data"])
+
+    c = memories.select("key", F.octet_length("value").alias("original_size"), "value").mapInArrow(squeeze, f"key {kind}, original_size int, data binary")
     c = c.withColumn("compressed_size", F.octet_length("data")).withColumn("ratio", F.try_divide("compressed_size", "original_size"))
     return c.filter(F.col("ratio") < WORTHWHILE).select("key", "original_size", "compressed_size", "ratio", "data")
 

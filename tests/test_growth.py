@@ -1,7 +1,11 @@
 """Steps whose work, memory or exchange must not outgrow the input."""
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from recollect.functions.themes import THEMES, themes
+from recollect.operators import profiles as P
 
 
 def plan(df):
@@ -14,3 +18,24 @@ def test_a_text_is_lowered_once_however_many_words_are_looked_for(spark):
     assert plan(df).count("lower(") == 1
     for r in df.collect():
         assert r.themes == [name for name, words in THEMES.items() if any(w in (r.text or "").lower() for w in words)]
+
+
+def test_compressed_texts_leave_in_small_batches(spark):
+    rows = [(f"k{i}", None if i == 5 else f"{i} grün " * 30) for i in range(900)]
+    c = P.compressed(spark.createDataFrame(rows, "key string, value string").coalesce(1))
+    sizes = c.select("key").mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in bs), "n long")
+    assert sum(r.n for r in sizes.collect()) == 899
+    assert "MapInArrow" in plan(c) and "ArrowEvalPython" not in plan(c)
+    got = {r.key: r for r in c.collect()}
+    assert all((r := got[k]).original_size == len(t.encode()) and bytes(r.data) == zlib.compress(t.encode(), 6) and r.compressed_size == len(r.data) for k, t in rows if t)
+
+
+def test_models_of_labels_are_fitted_side_by_side(spark, monkeypatch):
+    from pyspark.ml.classification import OneVsRest
+
+    from recollect.plans import QUERIES
+
+    asked, fit = [], OneVsRest.fit
+    monkeypatch.setattr(OneVsRest, "fit", lambda self, *a: asked.append(self.getParallelism()) or fit(self, *a))
+    assert QUERIES["svm_classifier"](spark, "/root/testdata/sf0.001").count() > 0
+    assert asked and asked[0] > 1
