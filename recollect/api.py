@@ -9,6 +9,7 @@ from recollect.operators import context as C
 from recollect.operators import graph as G
 from recollect.operators import retrieval as R
 from recollect.operators.statements import Statements
+from recollect.session import materialize
 from recollect.sources.store import MemoryTable, create_tables
 
 MEMORY = "key string, value string, memory_type string, created_at timestamp_ntz, last_accessed timestamp_ntz, access_count long, tags array<string>, custom_fields map<string,string>, importance double, confidence double"
@@ -62,7 +63,7 @@ class Memory:
 
     def reflect(self, threshold: float = 0.3, least: int = 2) -> DataFrame:
         """Clusters of memories with like vectors: cluster, members, coherence, representative."""
-        return C.reflect(self.vectors, G.similar_pairs(self.vectors, threshold), least)
+        return C.insights(self.vectors, materialize(G.similar_links(self.vectors, threshold), "near-links"), least)
 
     def forget(self, as_of: datetime, floor: float = 0.1) -> DataFrame:
         """Removes the memories whose retained strength is below a floor; returns their keys and strengths."""

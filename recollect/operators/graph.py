@@ -15,6 +15,8 @@ TYPE_WEIGHTS = {"causes": 1.0, "caused_by": 1.0, "part_of": 0.9, "contains": 0.9
 OTHER_WEIGHT, HOP = 0.5, 0.8
 #: Copies of vectors that leave a task at once, and rows of a block whose likeness to another block's is held at once.
 COPIES, STRIP = 8192, 128
+#: Rows of a block of vectors at least and at most, and how many blocks there are between these bounds.
+LEAST_ROWS, MOST_ROWS, PARTS = 4096, 32_768, 24
 MIN_CONFIDENCE = 0.6
 
 
@@ -173,15 +175,17 @@ def _placed(vectors: DataFrame, parts: int, threshold: float, sample: int) -> tu
     return placed.select("key", "e", "i"), _near_cells(centers, radius, reach)
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, block: int = 4096, sample: int = 65_536) -> DataFrame:
-    """a, b, similarity: pairs of vectors(key, embedding) with cosine at least threshold, a < b.
+def _copies(vectors: DataFrame, threshold: float, block: int | None, sample: int) -> tuple[DataFrame, str, pa.DataType]:
+    """key, e, i, j, second: for every two blocks i and j that meet the rows of i, and those of j as second; and the key's type.
 
     More rows than a block are placed in cells; two cells that lie farther apart than their radii and the threshold allow
-    never meet, so what is measured follows how the vectors cluster. Cells are cut into blocks by their own size, and two
-    blocks meet as one matrix product a task; only pairs over the threshold leave it.
+    never meet, so what is measured follows how the vectors cluster. Cells are cut into blocks by their own size. Without a
+    block's size, it grows with the rows between two bounds, so that a row's copies don't.
     """
     v = vectors.select("key", F.col("embedding").cast("array<double>").alias("e")).filter("e IS NOT NULL")
-    parts = max(1, -(-v.count() // block))
+    rows = v.count()
+    block = block or min(MOST_ROWS, max(LEAST_ROWS, -(-rows // PARTS)))
+    parts = max(1, -(-rows // block))
     if parts > 1:
         v, near = _placed(v, parts, threshold, sample)
         sizes = {r.i: r["count"] for r in v.groupBy("i").count().collect()}  # a row a cell
@@ -218,29 +222,98 @@ def similar_pairs(vectors: DataFrame, threshold: float, block: int = 4096, sampl
                     columns = [b.column(0).take(rows), b.column(1).take(rows), *(pa.array(c[k : k + COPIES]) for c in (left, right, second))]
                     yield pa.RecordBatch.from_arrays(columns, ["key", "e", "i", "j", "second"])
 
-    def unit(column: pa.ChunkedArray) -> np.ndarray:
-        x = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-        size = np.linalg.norm(x, axis=1, keepdims=True)
-        return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+    return v.select("key", "e", "block").mapInArrow(deal, f"key {kind}, e array<double>, i int, j int, second boolean"), kind, key_type
 
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches))
-        same = t.column("i")[0].as_py() == t.column("j")[0].as_py()
-        a, b = t.filter(pc.invert(t.column("second"))), t.filter(t.column("second"))
-        if not len(a) or not len(b):
-            return
-        x, y = unit(a.column("e")), unit(b.column("e"))
-        names, place = np.unique(np.concatenate([u.column("key").to_numpy() for u in (a, b)]), return_inverse=True)
-        names, ka, kb = pa.array(names, key_type), place[: len(x)], place[len(x) :]
-        del t, a, b
-        for at in range(0, len(x), STRIP):  # a strip's pairs leave before the next one's are found
-            s = x[at : at + STRIP] @ y.T
+
+def _unit(column: pa.ChunkedArray) -> np.ndarray:
+    x = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+
+def _meet(batches: Iterator[pa.RecordBatch], key_type: pa.DataType, threshold: float):
+    """The keys of two blocks in order, and a function that gives their like pairs strip by strip: places of both keys, likeness."""
+    t = pa.Table.from_batches(list(batches))
+    same = t.column("i")[0].as_py() == t.column("j")[0].as_py()
+    a, b = t.filter(pc.invert(t.column("second"))), t.filter(t.column("second"))
+    if not len(a) or not len(b):
+        return pa.array([], key_type), lambda: iter(())
+    x, y = _unit(a.column("e")), _unit(b.column("e"))
+    names, place = np.unique(np.concatenate([u.column("key").to_numpy() for u in (a, b)]), return_inverse=True)
+    ka, kb = place[: len(x)], place[len(x) :]
+    strip = max(1, STRIP * LEAST_ROWS // max(LEAST_ROWS, len(y)))
+
+    def strips():
+        for at in range(0, len(x), strip):
+            s = x[at : at + strip] @ y.T
             p, q = np.nonzero(s >= threshold)
             k, m, v = ka[at + p], kb[q], s[p, q]
             keep = k < m if same else k != m
-            k, m, v = k[keep], m[keep], v[keep]
+            yield k[keep], m[keep], v[keep]
+
+    return pa.array(names, key_type), strips
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, block: int = 4096, sample: int = 65_536) -> DataFrame:
+    """a, b, similarity: pairs of vectors(key, embedding) with cosine at least threshold, a < b.
+
+    Two blocks meet as one matrix product a task; only pairs over the threshold leave it.
+    """
+    copies, kind, key_type = _copies(vectors, threshold, block, sample)
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, strips = _meet(batches, key_type, threshold)
+        for k, m, v in strips():  # a strip's pairs leave before the next one's are found
             if len(k):
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(np.minimum(k, m))), names.take(pa.array(np.maximum(k, m))), pa.array(v)], ["a", "b", "similarity"])
 
-    copies = v.select("key", "e", "block").mapInArrow(deal, f"key {kind}, e array<double>, i int, j int, second boolean")
     return copies.groupBy("i", "j").applyInArrow(pair, f"a {kind}, b {kind}, similarity double")
+
+
+def spanning(k: np.ndarray, m: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Places of the pairs (k, m) that join what root, which holds each item's class, has not joined; root is brought up to date. Pairs of one k lie together."""
+    out = []
+    open_ = np.flatnonzero(root[k] != root[m])
+    held = np.zeros(len(root), bool)
+    for here in np.split(open_, np.flatnonzero(np.diff(k[open_])) + 1):
+        if not len(here):
+            continue
+        own = root[k[here[0]]]
+        classes, first = np.unique(root[m[here]], return_index=True)
+        first, classes = first[classes != own], classes[classes != own]
+        if len(classes):
+            out.append(here[first])
+            held[classes] = True
+            root[held[root]] = own
+            held[classes] = False
+    return np.concatenate(out) if out else np.empty(0, int)
+
+
+def similar_links(vectors: DataFrame, threshold: float, neighbours: int = 1, block: int | None = None, sample: int = 65_536) -> DataFrame:
+    """u, v, n, s: what like pairs of vectors(key, embedding) come to, without the pairs. Rows without v tell of u's n pairs with summed likeness s, and add up; others link u and v.
+
+    Links join all that pairs join, by no more than a tree for every two blocks. Items with fewer than `neighbours` pairs
+    keep all of theirs, and pass nothing on: links between others join what pairs of two such items join.
+    """
+    copies, kind, key_type = _copies(vectors, threshold, block, sample)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, strips = _meet(batches, key_type, threshold)
+        size = len(names)
+        n, s, root = np.zeros(size, np.int64), np.zeros(size), np.arange(size)
+        for k, m, v in strips():
+            for x in (k, m):
+                n += np.bincount(x, minlength=size)
+                s += np.bincount(x, v, size)
+        sure = n >= neighbours  # in these two blocks alone; what is not keeps fewer pairs than that
+        for k, m, _ in strips() if n.any() else ():
+            both = sure[k] & sure[m]
+            where = np.flatnonzero(both)
+            take = np.concatenate([np.flatnonzero(~both), where[spanning(k[where], m[where], root)]])
+            if len(take):
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(k[take])), names.take(pa.array(m[take])), pa.nulls(len(take), pa.int64()), pa.nulls(len(take), pa.float64())], ["u", "v", "n", "s"])
+        some = np.flatnonzero(n)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(some)), pa.nulls(len(some), key_type), pa.array(n[some]), pa.array(s[some])], ["u", "v", "n", "s"])
+
+    return copies.groupBy("i", "j").applyInArrow(digest, f"u {kind}, v {kind}, n long, s double")

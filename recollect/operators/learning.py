@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions.vectors import literal
 from recollect.operators.components import connected_components
-from recollect.operators.graph import similar_pairs
+from recollect.operators.graph import similar_links
 from recollect.session import materialize
 
 
@@ -40,10 +40,11 @@ def _assign(v: DataFrame, centers: list[list[float]]) -> DataFrame:
 
 def dbscan_cosine(vectors: DataFrame, eps: float = 0.3, neighbours: int = 2) -> DataFrame:
     """key, cluster (its least core key): points with enough neighbours are cores, cores that are near join, others take a near core; noise is left out."""
-    p = materialize(similar_pairs(vectors, 1 - eps), "near-pairs")
-    both = p.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(p.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    cores = both.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= neighbours).select("u")
-    links = both.join(cores, "u").join(cores.select(F.col("u").alias("v")), "v").select("u", "v")
+    found = materialize(similar_links(vectors, 1 - eps, neighbours), "near-links")
+    p = found.filter("v IS NOT NULL").select("u", "v")
+    both = p.unionByName(p.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    cores = materialize(found.filter("v IS NULL").groupBy("u").agg(F.sum("n").alias("n")).filter(F.col("n") >= neighbours).select("u"), "cores")
+    links = p.join(cores, "u").join(cores.select(F.col("u").alias("v")), "v").select("u", "v")
     of_core = cores.join(connected_components(links).withColumnRenamed("id", "u"), "u", "left").select("u", F.coalesce("component", "u").alias("cluster"))
     border = both.join(cores, "u", "left_anti").join(of_core.select(F.col("u").alias("v"), "cluster"), "v").groupBy("u").agg(F.min("cluster").alias("cluster"))
     return of_core.unionByName(border).withColumnRenamed("u", "key")

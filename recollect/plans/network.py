@@ -81,7 +81,7 @@ def similarity_edges(spark, sf_dir):
 SELECT a AS key, min(b) AS component FROM r GROUP BY a""")
 def similarity_components(spark, sf_dir):
     v = vectors(spark, sf_dir).select("key", "embedding")
-    c = connected_components(G.similar_pairs(v, 0.4).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    c = connected_components(G.similar_links(v, 0.4).filter("v IS NOT NULL").select("u", "v"))
     return v.select("key").join(c.withColumnRenamed("id", "key"), "key", "left").select("key", F.coalesce("component", "key").alias("component"))
 
 

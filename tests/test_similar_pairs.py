@@ -51,3 +51,41 @@ def test_pairs_and_copies_leave_in_small_batches(spark):
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and "CoGroups" not in plan
     assert max(r.n for r in pairs.mapInArrow(sizes, "n long").collect()) <= G.STRIP * 900
+
+
+@pytest.mark.parametrize("block", [None, 25])
+def test_links_join_what_pairs_join_and_count_them_without_writing_them(spark, block):
+    rng = np.random.default_rng(5)
+    rows = [(f"k{i:03d}", rng.normal(size=6).tolist()) for i in range(150)] + [(f"r{i:03d}", [1.0, 2.0, 0.0, 0.0, 0.0, 1.0]) for i in range(400)] + [("z1", [0.0] * 6), ("n", None)]
+    v = spark.createDataFrame(rows, "key string, embedding array<double>").repartition(3)
+    want, root = brute(rows, 0.85), {k: k for k, _ in rows}
+    found = G.similar_links(v, 0.85, 1, block, sample=100).collect()
+
+    def join(pairs):
+        root = {k: k for k, _ in rows}
+        for a, b in pairs:
+            old, new = root[a], root[b]
+            root = {k: new if r == old else r for k, r in root.items()}
+        groups = {}
+        for k, r in root.items():
+            groups.setdefault(r, set()).add(k)
+        return sorted(sorted(g) for g in groups.values())
+
+    links = [(r.u, r.v) for r in found if r.v is not None]
+    parts = 1 if block is None else -(-len(rows) // block) * 2  # a cell's last block may be small
+    assert join(links) == join(want) and len(links) < len(rows) * parts < len(want)
+    for k in root:
+        of = [s for p, s in want.items() if k in p]
+        assert sum(r.n for r in found if r.v is None and r.u == k) == len(of)
+        assert abs(sum(r.s for r in found if r.v is None and r.u == k) - sum(of)) < 1e-6
+
+
+@pytest.mark.parametrize("block", [None, 20])
+def test_items_with_few_pairs_keep_them_all(spark, block):
+    rng = np.random.default_rng(6)
+    rows = [(f"k{i:03d}", rng.normal(size=4).tolist()) for i in range(120)]
+    want = brute(rows, 0.9)
+    n = {k: sum(k in p for p in want) for k, _ in rows}
+    found = G.similar_links(spark.createDataFrame(rows, "key string, embedding array<double>"), 0.9, 4, block, sample=100).collect()
+    links = {(min(r.u, r.v), max(r.u, r.v)) for r in found if r.v is not None}
+    assert links <= want.keys() and {p for p in want if n[p[0]] < 4 or n[p[1]] < 4} <= links
