@@ -21,6 +21,18 @@ def scan_tokens(text: Column) -> Column:
     return F.array_distinct(tokenize(text))
 
 
+def counts(items: Column) -> Column:
+    """array<struct<t, tf>>: the distinct items in order, and how often each is there. They are sorted once and cut where they change."""
+
+    def runs(a):
+        n = F.size(a)
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i < n) & ((i == 0) | (F.get(a, i) != F.get(a, i - 1))))
+        each = lambda s: F.transform(s, lambda at, j: F.struct(F.get(a, at).alias("t"), (F.coalesce(F.get(s, j + 1), n) - at).alias("tf")))
+        return F.transform(F.array(starts), each)[0]
+
+    return F.transform(F.array(F.sort_array(items)), runs)[0]
+
+
 def term_overlap(query: Column, text: Column) -> Column:
     """Share of the query's distinct terms that the text holds; 0 for no terms."""
     q = scan_tokens(query)

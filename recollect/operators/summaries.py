@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions import text as T
 from recollect.operators.components import connected_components
+from recollect.operators.terms import terms_of, with_texts
 from recollect.session import materialize
 
 #: Bytes of a sentence that may stand in a summary.
@@ -58,20 +59,20 @@ def summary_tree(memories: DataFrame, levels: list[tuple[str, Column]], keep: in
 
 def key_terms(memories: DataFrame, terms: int = 5, least: int = 4) -> DataFrame:
     """key, term, rank: each memory's terms of highest tf * ln(memories / memories that hold it), of `least` bytes or more and held by two memories at least."""
-    w = memories.select("key", F.explode(T.tokenize(F.col("value"))).alias("term")).filter(F.octet_length("term") >= least).groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = w.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     total = F.broadcast(memories.agg(F.count(F.lit(1)).alias("all")))  # one row
-    scored = w.join(df, "term").join(total).withColumn("score", F.round(F.col("tf") * F.log(F.col("all") / F.col("df")), 9))
+    w = with_texts(terms_of(memories, least), 2).withColumnRenamed("t", "term")
+    scored = w.join(total).withColumn("score", F.round(F.col("tf") * F.log(F.col("all") / F.col("df")), 9))
     nth = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "term"))
     return scored.withColumn("rank", nth).filter(F.col("rank") <= terms).select("key", "term", "rank")
 
 
-def concepts(memories: DataFrame, terms: int = 5, together: int = 2, jaccard: float = 0.3) -> DataFrame:
+def concepts(memories: DataFrame, terms: int = 5, together: int = 2, jaccard: float = 0.3, of: DataFrame | None = None) -> DataFrame:
     """term, concept (its least term): key terms that occur together in `together` memories and in a share `jaccard` of those that either is a key term of.
 
     A memory has `terms` key terms, so it gives few pairs however long it is; a term that none goes with is a concept of its own.
+    `of` has the key terms, if they are known.
     """
-    k = materialize(key_terms(memories, terms).select("key", "term"), "key-terms")
+    k = materialize(key_terms(memories, terms).select("key", "term"), "key-terms") if of is None else of
     n = k.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     own = k.groupBy("key").agg(F.sort_array(F.collect_list("term")).alias("ts"))  # `terms` a key
     pairs = own.select(F.explode("ts").alias("u"), "ts").select("u", F.explode("ts").alias("v")).filter("u < v").groupBy("u", "v").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= together)
@@ -87,8 +88,9 @@ def concept_summary(memories: DataFrame, terms: int = 5, together: int = 2, jacc
     Ties go to the lesser concept; memories without key terms belong to none. The most telling memory has most terms of
     the concept, then the least key.
     """
-    of = materialize(concepts(memories, terms, together, jaccard), "concepts")
-    held = key_terms(memories, terms).join(of, "term").groupBy("key", "concept").agg(F.count(F.lit(1)).alias("n"))
+    k = materialize(key_terms(memories, terms).select("key", "term"), "key-terms")
+    of = materialize(concepts(memories, terms, together, jaccard, k), "concepts")
+    held = k.join(of, "term").groupBy("key", "concept").agg(F.count(F.lit(1)).alias("n"))
     nth = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "concept"))
     best = held.withColumn("_nth", nth).filter("_nth = 1")
     groups = best.groupBy("concept").agg(F.count(F.lit(1)).alias("n_memories"), F.min(F.struct((-F.col("n")).alias("n"), "key"))["key"].alias("key"))
