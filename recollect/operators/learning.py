@@ -1,6 +1,7 @@
 """Clusters, anomalies and rankings within groups."""
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +10,9 @@ from recollect.operators.components import connected_components
 from recollect.operators.graph import similar_links
 from recollect.session import materialize
 
+#: Texts that are ranked at once; the most sentences of a text that meet in one product, and the words of a part of it.
+TEXTS, DENSE, WIDTH = 256, 2048, 4096
+
 
 def kmeans_first_rows(vectors: DataFrame, k: int, rounds: int = 10) -> DataFrame:
     """key, cluster of vectors(key, embedding): the first k rows by key are the centroids, ties go to the lower one, ten rounds.
@@ -50,36 +54,59 @@ def dbscan_cosine(vectors: DataFrame, eps: float = 0.3, neighbours: int = 2) ->
     return of_core.unionByName(border).withColumnRenamed("u", "key")
 
 
-def textrank(sentences: DataFrame, damping: float = 0.85, rounds: int = 30) -> DataFrame:
-    """key, pos, rank_score of sentences(key, pos, words): PageRank over the word Jaccard of one text's sentences, from a base of 1 - damping. A group is one text."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        sets = [set(w) for w in g["words"]]
-        n = len(sets)
-        index: dict = {}
-        for i, s in enumerate(sets):
-            for w in s:
-                index.setdefault(w, []).append(i)
+def _shared_words(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """i, j, count of a text's sentences that share words, whose words lie one after the other, `sizes` each: in one product, or sentence by sentence if they are many."""
+    n, (names, col) = len(sizes), np.unique(words, return_inverse=True)
+    row = np.repeat(np.arange(n), sizes)
+    if n <= DENSE:
+        common = np.zeros((n, n), np.float32)  # counts up to 2**24 are exact
+        for lo in range(0, len(names), WIDTH):
+            m, here = np.zeros((n, min(WIDTH, len(names) - lo)), np.float32), (col >= lo) & (col < lo + WIDTH)
+            m[row[here], col[here] - lo] = 1
+            common += m @ m.T
+        np.fill_diagonal(common, 0)
+        i, j = np.nonzero(common)
+        return i, j, common[i, j].astype(float)
+    holders = np.split(row[np.argsort(col, kind="stable")], np.cumsum(np.bincount(col, minlength=len(names)))[:-1])
+    out = []
+    for i, own in enumerate(np.split(col, np.cumsum(sizes)[:-1])):
+        c = np.bincount(np.concatenate([holders[w] for w in own]), minlength=n) if len(own) else np.zeros(n, int)
+        c[i] = 0
+        j = np.flatnonzero(c)
+        out.append((np.full(len(j), i), j, c[j].astype(float)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def textrank(texts: DataFrame, damping: float = 0.85, rounds: int = 30) -> DataFrame:
+    """key, pos, rank_score of texts(key, sentences array<array<string>>, each of distinct words): PageRank over the word Jaccard of one text's sentences, from a base of 1 - damping. Texts are ranked where they lie."""
+    kind = dict(texts.dtypes)["key"]
+
+    def ranked(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        n = len(sizes)
         score = np.ones(n)
-        rows, cols, vals = [], [], []
-        for i, s in enumerate(sets):
-            near: dict[int, int] = {}
-            for w in s:
-                for j in index[w]:
-                    near[j] = near.get(j, 0) + 1
-            for j, c in near.items():
-                if j != i:
-                    rows.append(i)
-                    cols.append(j)
-                    vals.append(c / (len(s) + len(sets[j]) - c))
-        rows, cols, vals = np.array(rows, int), np.array(cols, int), np.array(vals, float)
-        total = np.bincount(cols, vals, n)
-        share = np.divide(vals, total[cols], out=np.zeros_like(vals), where=total[cols] > 0) if len(vals) else vals
+        rows, cols, common = _shared_words(words, sizes) if len(words) else (np.empty(0, int), np.empty(0, int), np.empty(0))
+        vals = common / (sizes[rows] + sizes[cols] - common)
+        share = vals / np.bincount(cols, vals, n)[cols]
         for _ in range(rounds):
             score = (1 - damping) + damping * np.bincount(rows, share * score[cols], n)
-        return pd.DataFrame({"key": g["key"], "pos": g["pos"], "rank_score": score})
-
-    return sentences.groupBy("key").applyInPandas(run, "key string, pos int, rank_score double")
+        return score
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                b = batch.slice(at, TEXTS)
+                each = b.column(1).flatten()
+                words = each.flatten().dictionary_encode().indices.to_numpy()
+                texts, sizes = (pc.fill_null(pc.list_value_length(c), 0).to_numpy().astype(int) for c in (b.column(1), each))
+                if not len(sizes):
+                    continue
+                ends = np.cumsum(texts)
+                begin = np.concatenate([[0], np.cumsum(sizes)])
+                scores = [ranked(words[begin[e - n] : begin[e]], sizes[e - n : e]) for n, e in zip(texts, ends, strict=True) if n]
+                pos = np.arange(len(sizes)) - np.repeat(ends - texts, texts)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(texts)), texts))), pa.array(pos.astype(np.int32)), pa.array(np.concatenate(scores))], ["key", "pos", "rank_score"])
+
+    return texts.select("key", "sentences").mapInArrow(run, f"key {kind}, pos int, rank_score double")
 
 
 def _race(i: int, weight: Column, seed: int) -> Column:

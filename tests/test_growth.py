@@ -1,10 +1,12 @@
 """Steps whose work, memory or exchange must not outgrow the input."""
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from recollect.functions.themes import THEMES, themes
+from recollect.operators import learning as L
 from recollect.operators import profiles as P
 
 
@@ -39,3 +41,23 @@ def test_models_of_labels_are_fitted_side_by_side(spark, monkeypatch):
     monkeypatch.setattr(OneVsRest, "fit", lambda self, *a: asked.append(self.getParallelism()) or fit(self, *a))
     assert QUERIES["svm_classifier"](spark, "/root/testdata/sf0.001").count() > 0
     assert asked and asked[0] > 1
+
+
+def test_sentences_are_ranked_where_their_text_lies(spark, monkeypatch):
+    texts = {"a": [["x", "y"], ["y", "z"], ["q"], []], "b": [], "c": [["x"], ["x"]]}
+    r = L.textrank(spark.createDataFrame(list(texts.items()), "key string, sentences array<array<string>>"))
+    assert "Exchange" not in plan(r)
+    got = {(x.key, x.pos): round(x.rank_score, 9) for x in r.collect()}
+    # a sentence alone keeps the base; two that only have each other keep 1
+    assert got == {("a", 0): 1.0, ("a", 1): 1.0, ("a", 2): 0.15, ("a", 3): 0.15, ("c", 0): 1.0, ("c", 1): 1.0}
+
+
+def test_many_sentences_share_the_same_words_as_few(monkeypatch):
+    rng = np.random.default_rng(3)
+    sentences = [rng.choice(40, rng.integers(0, 9), replace=False) for _ in range(60)]
+    words, sizes = np.concatenate(sentences), np.array([len(s) for s in sentences])
+    want = sorted((i, j, c) for i, a in enumerate(sentences) for j, b in enumerate(sentences) if i != j and (c := len({*a} & {*b})))
+    for dense, width in ((100, 7), (100, 4096), (0, 1)):
+        monkeypatch.setattr(L, "DENSE", dense)
+        monkeypatch.setattr(L, "WIDTH", width)
+        assert sorted(zip(*(x.tolist() for x in L._shared_words(words, sizes)), strict=True)) == want
