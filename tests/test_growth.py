@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from recollect.functions import similarity as Y
 from recollect.functions.themes import THEMES, themes
 from recollect.operators import learning as L
 from recollect.operators import profiles as P
@@ -61,3 +62,19 @@ def test_many_sentences_share_the_same_words_as_few(monkeypatch):
         monkeypatch.setattr(L, "DENSE", dense)
         monkeypatch.setattr(L, "WIDTH", width)
         assert sorted(zip(*(x.tolist() for x in L._shared_words(words, sizes)), strict=True)) == want
+
+
+def test_few_pairs_of_words_are_measured_in_full(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = ["", "a", "ab", "licence", "license", "tokens", "token", "pasword", "password", "two words", *("".join(rng.choice(list("abcdet "), rng.integers(1, 9))) for _ in range(150))]
+    measured, full = [], Y.combined
+    monkeypatch.setattr(Y, "combined", lambda a, b: measured.append(1) or full(a, b))
+    for least in (0.3, 0.8, 1.0):
+        measured.clear()
+        for a in words:
+            for b in words:
+                s = full(a, b)
+                assert Y._pairs_alike(a, b, least) == (s if s >= least else None)
+    assert len(measured) < len(words) ** 2 / 10
+    rows = spark.createDataFrame([("licence", "license"), ("licence", "zebra"), (None, "x")], "a string, b string")
+    assert [r.s for r in rows.select(Y.similarity_from(F.col("a"), F.col("b"), 0.8).alias("s")).collect()] == [full("licence", "license"), None, None]
