@@ -301,17 +301,23 @@ def similar_links(vectors: DataFrame, threshold: float, neighbours: int = 1, blo
         names, strips = _meet(batches, key_type, threshold)
         size = len(names)
         n, s, root = np.zeros(size, np.int64), np.zeros(size), np.arange(size)
-        for k, m, v in strips():
-            for x in (k, m):
-                n += np.bincount(x, minlength=size)
-                s += np.bincount(x, v, size)
-        sure = n >= neighbours  # in these two blocks alone; what is not keeps fewer pairs than that
-        for k, m, _ in strips() if n.any() else ():
+
+        def links(k: np.ndarray, m: np.ndarray, sure: np.ndarray) -> Iterator[pa.RecordBatch]:
             both = sure[k] & sure[m]
             where = np.flatnonzero(both)
             take = np.concatenate([np.flatnonzero(~both), where[spanning(k[where], m[where], root)]])
             if len(take):
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(k[take])), names.take(pa.array(m[take])), pa.nulls(len(take), pa.int64()), pa.nulls(len(take), pa.float64())], ["u", "v", "n", "s"])
+
+        for k, m, v in strips():
+            for x in (k, m):
+                n += np.bincount(x, minlength=size)
+                s += np.bincount(x, v, size)
+            if neighbours <= 1:
+                yield from links(k, m, np.ones(size, bool))
+        sure = n >= neighbours  # in these two blocks alone; what is not keeps fewer pairs than that
+        for k, m, _ in strips() if neighbours > 1 and n.any() else ():
+            yield from links(k, m, sure)
         some = np.flatnonzero(n)
         if len(some):
             yield pa.RecordBatch.from_arrays([names.take(pa.array(some)), pa.nulls(len(some), key_type), pa.array(n[some]), pa.array(s[some])], ["u", "v", "n", "s"])
