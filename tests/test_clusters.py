@@ -86,3 +86,13 @@ def test_seeded_clusters_take_as_many_rounds_as_their_sql(spark, monkeypatch):
     monkeypatch.setattr(learning, "kmeans_spread_start", lambda v, k, **h: how.update(h))
     neighbours.kmeans_spread_start(spark, "/root/testdata/sf0.001")
     assert how == {"rounds": 40, "moved": 0.0}
+
+
+def test_clusters_take_few_rounds(spark, monkeypatch):
+    """Joins within a box need no rounds of their own, nor do those that are too long to count."""
+    wrote, write = [], H.materialize
+    monkeypatch.setattr(H, "materialize", lambda df, name, **k: wrote.append(name) or write(df, name, **k))
+    rng = np.random.default_rng(4)
+    rows = [(i, tuple(map(float, p))) for i, p in enumerate(rng.normal(size=(150, 2)))]
+    got = {r.id: r.cluster for r in H.hierarchical_clusters(made(spark, rows), "id", ["x", "y"], 15, 200).collect()}
+    assert got == plain(rows, 15) and len(wrote) < 8
