@@ -9,10 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from recollect.session import materialize
+
 #: Cells are fitted on so many rows at most (those with the least hashes), and number as the root of all rows, so many at most.
 SAMPLE, MOST_CELLS = 65_536, 4096
 #: Rows of a cell, and queries, that meet in one task.
 BLOCK = 8192
+#: Where all rows ask for all, the rows that ask in one task: fewer if that leaves less than so many tasks, but not fewer than these.
+ASKING, ASKING_TASKS, ASKING_LEAST = 16_384, 24, 512
 #: Rows that are held against all centroids at once, and copies of queries in a batch that leaves a task.
 AT_ONCE, LEAVING = 256, 8192
 
@@ -38,7 +42,7 @@ def nearest_cells(points: np.ndarray, centers: np.ndarray, n: int) -> tuple[np.n
     for at in range(0, len(points), 1024):
         x = points[at : at + 1024]
         d[at : at + 1024] = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (centers**2).sum(1)[None] - 2 * x @ centers.T, 0))
-    return np.argsort(d, axis=1, kind="stable")[:, :n], d
+    return (d.argmin(axis=1)[:, None] if n == 1 else np.argsort(d, axis=1, kind="stable")[:, :n]), d
 
 
 def calibrate(points: np.ndarray, centers: np.ndarray, k: int = 10, queries: int = 256, share: float = 0.95) -> int:
@@ -266,6 +270,75 @@ def _first(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _keep_nearest(rows: np.ndarray, keys: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest of each row, in order, ties to the lesser key; and their places."""
+    order = np.lexsort((keys, np.round(d, 12), rows))
+    rows, keys, d = rows[order], keys[order], d[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    first = place < k
+    return rows[first], keys[first], d[first], place[first]
+
+
+def all_neighbours(vectors: DataFrame, k: int) -> DataFrame:
+    """key, other, distance, rank: the k nearest other rows of every one of vectors(key, embedding) by Euclidean distance, exactly; ties, to 12 digits, to the lesser key.
+
+    Each task has some rows that ask, and all rows pass by in batches: products tell which may be nearer than the k-th so
+    far, and those are measured on differences. So every row is sent once to each task, a task holds its own rows and a
+    batch, and k rows leave for each that asks. Rows that an index leaves out take no part.
+    """
+    kind = dict(vectors.dtypes)
+    rows = VectorIndex._prepared(vectors, "euclidean")
+    rows = materialize(rows.select("key", F.col("v").cast("array<float>").alias("v")) if kind["embedding"] == "array<float>" else rows, "asking-rows")
+    n = rows.count()
+    tasks = max(1, min(-(-n // ASKING_LEAST), max(ASKING_TASKS, -(-n // ASKING))))
+    task = F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))
+    dealt = rows.select("key", "v", F.pmod(F.xxhash64("key"), F.lit(tasks)).cast("int").alias("mine"), task.alias("task"))
+    dealt = dealt.select("task", (F.col("mine") == F.col("task")).alias("own"), "key", "v").repartitionById(tasks, "task").sortWithinPartitions(F.desc("own"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: list[tuple[np.ndarray, np.ndarray]] = []
+        strips: list[list] = []
+
+        def pass_by(keys: np.ndarray, points: np.ndarray) -> None:
+            size = (points**2).sum(1)
+            for strip in strips:
+                names, q, bound, found = strip
+                mine = (q**2).sum(1)
+                near = mine[:, None] + size[None] - 2 * q @ points.T
+                far = bound
+                if len(keys) > k + 1:  # a row may meet itself
+                    far = np.where(np.isfinite(bound), bound, np.partition(near, k, axis=1)[:, k] if not np.isfinite(bound).all() else bound)
+                r, c = np.nonzero(near <= (far + 1e-9 * (1 + np.where(np.isfinite(far), far, 0) + size.max(initial=0) + mine))[:, None])
+                other = keys[c] != names[r]
+                r, c = r[other], c[other]
+                d = np.sqrt(((points[c] - q[r]) ** 2).sum(1))
+                strip[3] = r, _, d, place = _keep_nearest(*(np.concatenate([x, y]) for x, y in zip(found[:3], (r, keys[c], d), strict=True)), k)
+                bound[r[place == k - 1]] = d[place == k - 1] ** 2
+
+        def ask() -> None:
+            names, points = (np.concatenate(x) for x in zip(*own, strict=True))
+            for at in range(0, len(names), AT_ONCE):
+                q = points[at : at + AT_ONCE]
+                strips.append([names[at : at + AT_ONCE], q, np.full(len(q), np.inf), (np.empty(0, int), names[:0], np.empty(0), np.empty(0, int))])
+            for x, y in own:
+                pass_by(x, y)
+
+        for b in batches:
+            keys, points, asks = b.column(2).to_numpy(zero_copy_only=False), _matrix(b.column(3)).astype(float), int(b.column(1).to_numpy(zero_copy_only=False).sum())
+            if asks:
+                own.append((keys[:asks], points[:asks]))
+            if asks < len(keys) and own:
+                if not strips:
+                    ask()
+                pass_by(keys[asks:], points[asks:])
+        if own and not strips:
+            ask()
+        for names, _, _, (r, keys, d, place) in strips:
+            yield pa.RecordBatch.from_arrays([pa.array(names[r]), pa.array(keys), pa.array(d), pa.array(place.astype(np.int32) + 1)], ["key", "other", "distance", "rank"])
+
+    return dealt.mapInArrow(run, f"key {kind['key']}, other {kind['key']}, distance double, rank int")
+
+
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     """query_id, recall: the share of each query's true neighbours (query_id, key) that were found."""
     hits = found.select("query_id", "key").distinct().withColumn("_hit", F.lit(1))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recollect.operators import outliers as O
+from recollect.operators import vector_index as V
 from recollect.operators.vector_index import VectorIndex
 
 
@@ -72,3 +73,30 @@ def test_few_and_equal_rows(spark):
     same = spark.range(50).select(F.col("id"), F.lit(1.0).alias("x"))
     assert {round(r.isolation, 9) for r in O.isolation_forest(same, "id", ["x"], trees=5).collect()} == {0.5}
     assert O.isolation_forest(few.limit(0), "id", ["x", "y"]).collect() == []
+
+
+@pytest.mark.parametrize("tasks", [1, 7])
+def test_neighbours_of_all_rows_meet_the_plain_version(spark, monkeypatch, tasks):
+    monkeypatch.setattr(V, "ASKING_LEAST", 300 // tasks)
+    monkeypatch.setattr(V, "AT_ONCE", 16)
+    rng = np.random.default_rng(3)
+    points = np.vstack([rng.normal(size=(150, 3)), rng.integers(0, 3, (60, 3)) + 5.0, np.full((30, 3), 2.0)])
+    data = [(i, p.tolist()) for i, p in enumerate(points)] + [(900, [0.0] * 3), (901, None), (902, [1.0, float("nan"), 0.0])]
+    for k, kind in ((5, "double"), (300, "double"), (5, "float")):
+        if kind == "float":
+            data = [(i, None if p is None else np.float32(p).tolist()) for i, p in data]
+        exact = {i: np.array(p) for i, p in data[:240]}
+        got = {}
+        for r in V.all_neighbours(spark.createDataFrame(data, f"key long, embedding array<{kind}>").repartition(3), k).collect():
+            got.setdefault(r.key, {})[r.rank] = (r.other, round(r.distance, 9))
+        assert got.keys() == exact.keys()
+        for i, p in exact.items():
+            want = sorted((round(math.dist(p, x), 12), j) for j, x in exact.items() if j != i)[:k]
+            assert [got[i][n][0] for n in range(1, len(want) + 1)] == [j for _, j in want] and len(got[i]) == len(want)
+            assert all(got[i][n][1] == pytest.approx(d, abs=1e-8) for n, (d, _) in enumerate(want, 1))
+
+
+def test_rows_are_sent_once_to_a_task_however_many_cells_there_would_be(spark):
+    """By cells, a row that asks was sent to nearly each of them."""
+    plan = V.all_neighbours(spark.range(900).select(F.col("id").alias("key"), F.array((F.col("id") % 7 + 1).cast("double"), F.col("id").cast("double")).alias("embedding")), 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "MapInArrow" in plan
