@@ -159,3 +159,10 @@ def test_likeness_measures_a_distinct_word_once(spark):
     finally:
         K.jaro_winkler = whole
     assert 0 < seen.value < 60
+
+
+def test_classes_carry_hashes_of_their_words_once(spark):
+    m = spark.createDataFrame([("a", "one two three"), ("b", "three TWO one one"), ("c", "of"), ("d", None)], "key string, value string").fillna("")
+    got = {r.key: r for r in D.text_classes(m).collect()}
+    assert {k: r.id for k, r in got.items()} == {"a": "a", "b": "a", "c": "c", "d": "c"}
+    assert {k: None if r.hs is None else len(set(r.hs)) for k, r in got.items()} == {"a": 3, "b": None, "c": 0, "d": None}
